@@ -1,13 +1,16 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import decontaminate, packing, secrets, sharding, simhash, warc
+from . import decontaminate, lm_score, packing, secrets, sharding, simhash, spotsigs, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_packing": packing.op2_packing,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_spotsigs": spotsigs.op5_spotsigs,
     "op6_secrets": secrets.op6_secrets,
+    "op8_lm_score": lm_score.op8_lm_score,
     "op9_simhash": simhash.op9_simhash,
     "op10_sharding": sharding.op10_sharding,
 }
-SQL = {"op1_warc": warc.OP1_SQL}
+SQL = {"op1_warc": warc.OP1_SQL, "op8_lm_score": lm_score.OP8_SQL}
