@@ -172,8 +172,8 @@ def _summary(hits: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, words_per_block: int = 2_000_000) -> DataFrame:
-    """``docs`` with a column ``_hits``: n_words, n_hit, n_items, items_sha256, contaminated, spans (of words).
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, words_per_block: int = 2_000_000, out: str = "_hits") -> DataFrame:
+    """``docs`` with a column named ``out``: n_words, n_hit, n_items, items_sha256, contaminated, spans (of words).
 
     Null and empty texts have no words and no hits; repeated rows and repeated items are taken as they
     come; an empty benchmark hits nothing. Other columns stay, whatever their names.
@@ -183,20 +183,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, words
     names = docs.columns
     rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text = f"c{names.index('text')}"
-    out, first = rows, True
+    made, first = rows, True
     for block in blocks_of(benchmark, window, words_per_block):
         block.order(_rarities(docs, spark.sparkContext.broadcast(block)))
         found = _hits(spark.sparkContext.broadcast(block))(text)
         if first:
-            out, first = out.withColumn("_h", found), False
+            made, first = made.withColumn("_h", found), False
         else:  # later blocks add to what earlier ones found
-            out = scratch.save(out, "hits").withColumn("_g", found)
-            out = out.withColumn("_h", F.struct("_h.n_words", F.concat("_h.spans", "_g.spans").alias("spans"), F.concat("_h.items", "_g.items").alias("items"))).drop("_g")
+            made = scratch.save(made, "hits").withColumn("_g", found)
+            made = made.withColumn("_h", F.struct("_h.n_words", F.concat("_h.spans", "_g.spans").alias("spans"), F.concat("_h.items", "_g.items").alias("items"))).drop("_g")
     if first:
         empty = pandas_udf(lambda t: pd.DataFrame({"n_words": [len(words_of(x)) for x in t], "spans": [[]] * len(t), "items": [[]] * len(t)}), HITS, functionType=200)
-        out = out.withColumn("_h", empty(text))
+        made = made.withColumn("_h", empty(text))
     summary = pandas_udf(_summary, "struct<n_words:long,n_hit:long,n_items:long,items_sha256:string,contaminated:boolean,spans:array<struct<start:long,stop:long>>>")
-    return out.withColumn("_h", summary("_h")).toDF(*names, "_hits")
+    return made.withColumn("_h", summary("_h")).toDF(*names, out)
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -54,6 +54,13 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, made longer until no column has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null taken as empty."""
     return F.coalesce(F.col(column), F.lit(""))
