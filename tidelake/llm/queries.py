@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import decontaminate, lm_score, packing, secrets, sharding, simhash, spotsigs, toxicity, warc
+from . import decontaminate, lm_score, packing, repeats, secrets, sharding, simhash, spotsigs, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_spotsigs": spotsigs.op5_spotsigs,
     "op6_secrets": secrets.op6_secrets,
+    "op7_suffix_dedup": repeats.op7_suffix_dedup,
     "op8_lm_score": lm_score.op8_lm_score,
     "op9_simhash": simhash.op9_simhash,
     "op10_sharding": sharding.op10_sharding,
