@@ -8,8 +8,11 @@ first incumbent is best-fit-decreasing, and each node that the search reaches of
 The plan (patterns and how often each is used) is then laid over the numbered pieces in tasks.
 """
 
+import bisect
 import itertools
+import unicodedata
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,32 +30,56 @@ PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 _tokenizers: dict = {}
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level BPE writes for each byte: printable ones stand for themselves."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
+
+
 class WordwiseTokenizer:
     """Token ids of whole texts, by parts that the tokenizer never joins.
 
-    word_bpe_49k splits at white space before anything else, so a text's ids are those of its parts
-    between blanks, one after another. Parts recur; the ids of short ones are kept (at most
-    ``keep`` of them), and what is new goes through the tokenizer in one batch.
+    word_bpe_49k splits at white space before anything else, and letters from a sign that follows them, so
+    that a text's ids are those of its parts, one after another. Parts recur: the ids of the first
+    ``keep`` ones are kept. A part of plain letters goes to the tokenizer's BPE model directly, lower-cased
+    and in its byte letters; any other goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 900_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        letters, model, encode = _byte_letters(), self.tokenizer.model, self.tokenizer.encode
+
+        def plain(part: str) -> bool:
+            return part.isalpha() and (part.isascii() or max(part) < "\u0250" and part.lower().isalpha())
+
+        def ids_of(part: str) -> list[int]:
+            if part.isalpha():
+                if part.isascii():
+                    return [t.id for t in model.tokenize(part.lower())]
+                low = unicodedata.normalize("NFC", part).lower()
+                if max(low) < "\u0250" and low.isalpha():  # beyond, lower-casing may differ
+                    return [t.id for t in model.tokenize("".join([letters[b] for b in low.encode()]))]
+            return encode(part, add_special_tokens=False).ids
+
+        class Known(dict):
+            def __missing__(self, part):
+                if len(part) > 1 and part[-1] in ".,!?;:|" and plain(part[:-1]):
+                    ids = self[part[:-1]] + self[part[-1]]
+                else:
+                    ids = array("I", ids_of(part)).tobytes()
+                if len(self) < keep and len(part) <= 40:
+                    self[part] = ids
+                return ids
+
+        self.known = Known()
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         for text in texts:
             parts = text.replace("\n", " ").replace("\t", " ").split(" ")
-            known = self.known
-            new = list({p for p in parts if p not in known})
-            extra = {}
-            if new:
-                if len(known) + len(new) > self.keep:
-                    self.known = known = {}
-                    new = list(set(parts))
-                for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    (known if len(p) <= 40 else extra)[p] = np.array(e.ids, "<u4").tobytes()
-            yield np.frombuffer(b"".join([known[p] if p in known else extra[p] for p in parts]), "<u4")
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u4")
 
 
 def _tokenizer(path: str) -> WordwiseTokenizer:
@@ -80,20 +107,22 @@ def pieces_udf(path: str, end_id: int = 0, capacity: int = CAPACITY):
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Best-fit-decreasing over a histogram: (lengths in a sequence, how many sequences)."""
     open_bins: dict[int, dict[tuple[int, ...], int]] = {}
+    rooms: list[int] = []  # the keys of open_bins, in order
     closed: list[tuple[tuple[int, ...], int]] = []
     for length in sorted(counts, reverse=True):
         left = counts[length]
         while left:
-            room = min((r for r in open_bins if r >= length), default=None)
-            if room is None:
+            at = bisect.bisect_left(rooms, length)
+            if at == len(rooms):
                 each = capacity // length
                 full, rest = divmod(left, each)
                 new = [((length,) * each, full)] * (full > 0) + [((length,) * rest, 1)] * (rest > 0)
                 left = 0
             else:
+                room = rooms[at]
                 pattern, n = open_bins[room].popitem()
                 if not open_bins[room]:
-                    del open_bins[room]
+                    del open_bins[room], rooms[at]
                 each = room // length
                 full = min(n, left // each)
                 new = [(pattern + (length,) * each, full)] * (full > 0)
@@ -107,8 +136,10 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
             for pattern, n in new:
                 room = capacity - sum(pattern)
                 if room:
-                    at = open_bins.setdefault(room, {})
-                    at[pattern] = at.get(pattern, 0) + n
+                    if room not in open_bins:
+                        bisect.insort(rooms, room)
+                    same = open_bins.setdefault(room, {})
+                    same[pattern] = same.get(pattern, 0) + n
                 else:
                     closed.append((pattern, n))
     return closed + [(p, n) for at in open_bins.values() for p, n in at.items()]
@@ -116,21 +147,25 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
 
 def bound(counts: dict[int, int], capacity: int) -> int:
     """No packing needs fewer sequences: the largest of the Martello-Toth bounds over all thresholds."""
-    total = sum(k * n for k, n in counts.items())
-    best = -(-total // capacity)
-    for k in {0, *(x for x in counts if x <= capacity // 2)}:
-        over = sum(n for x, n in counts.items() if x > capacity - k)
-        middle = {x: n for x, n in counts.items() if capacity // 2 < x <= capacity - k}
-        n_mid, room = sum(middle.values()), sum((capacity - x) * n for x, n in middle.items())
-        low = sum(x * n for x, n in counts.items() if k <= x <= capacity // 2)
-        best = max(best, over + n_mid + max(0, -(-(low - room) // capacity)))
-    return best
+    if not counts:
+        return 0
+    x = np.array(sorted(counts), np.int64)
+    n = np.array([counts[k] for k in x.tolist()], np.int64)
+    items, sizes = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(n * x))
+    k = np.append(0, x[x <= capacity // 2])
+    low, half, high = np.searchsorted(x, k), np.searchsorted(x, capacity // 2, "right"), np.searchsorted(x, capacity - k, "right")
+    high = np.maximum(high, half)
+    middle = items[high] - items[half]
+    room = capacity * middle - (sizes[high] - sizes[half])
+    rest = sizes[half] - sizes[np.minimum(low, half)] - room
+    return int((items[-1] - items[half] + np.maximum(0, -(-rest // capacity))).max())
 
 
 def fillings(room: int, counts: dict[int, int], limit: int) -> list[tuple[int, ...]]:
     """Undominated fillings of ``room``, least waste first: no length left fits in the waste, and no
     item of it can be exchanged for a single longer one that is left."""
     lengths = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
+    place = {x: k for k, x in enumerate(lengths)}
     found: list[tuple[int, tuple[int, ...]]] = []
     budget = [limit * 40]
 
@@ -146,7 +181,7 @@ def fillings(room: int, counts: dict[int, int], limit: int) -> list[tuple[int, .
                 found.append((left, taken))
             return
         for x in fits:
-            grow(lengths.index(x), left - x, (*taken, x))
+            grow(place[x], left - x, (*taken, x))
             if budget[0] < 0:
                 return
 
@@ -154,7 +189,7 @@ def fillings(room: int, counts: dict[int, int], limit: int) -> list[tuple[int, .
     return [f for _, f in sorted(set(found))[:limit]]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 400, width: int = 12) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 120, width: int = 12) -> list[tuple[tuple[int, ...], int]]:
     """Patterns and their counts that use as few sequences as the search finds within ``nodes`` nodes.
 
     Ends at once when the incumbent meets the lower bound.
@@ -172,11 +207,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 400, wid
         if not left:
             incumbent = min(incumbent, done, key=size)
             continue
-        offer = done + best_fit(left, capacity)
-        if size(offer) < size(incumbent):
-            incumbent = offer
-        if size(done) + bound(left, capacity) >= size(incumbent):
-            continue
+        if seen % 64 == 1 or len(left) <= 32:  # best-fit on what is left, and the bound of what is left
+            offer = done + best_fit(left, capacity)
+            if size(offer) < size(incumbent):
+                incumbent = offer
+            if size(done) + bound(left, capacity) >= size(incumbent):
+                continue
         largest = max(left)
         rest = left | {largest: left[largest] - 1}
         for fill in reversed(fillings(capacity - largest, rest, width) or [()]):
