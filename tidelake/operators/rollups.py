@@ -14,10 +14,10 @@ def per_entity(df: DataFrame, entity: str, value: Column, more_than: int) -> Dat
     return df.groupBy(entity).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).where(F.col("n") > more_than)
 
 
-def rolling_mean(df: DataFrame, key: str, order: list[str], value: str, preceding: int = 100) -> DataFrame:
-    """Mean over a row and the ``preceding`` before it; ``order`` should leave no ties."""
+def rolling_mean(df: DataFrame, key: str, order: list[str], value: str | Column, preceding: int = 100) -> DataFrame:
+    """Mean over a row and the ``preceding`` before it; ``order`` should leave no ties. Decimal values are summed exactly."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(-preceding, 0)
-    return df.withColumn("rolling_mean", F.avg(value).over(w))
+    return df.withColumn("rolling_mean", F.sum(value).over(w).cast("double") / F.count(value).over(w))
 
 
 def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
