@@ -30,9 +30,11 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/tidelake-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.saved = 0
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
+        self.saved += 1
+        path = f"{self.root}/{name}-{self.saved}"
         before = self.spark.conf.get(FREE_SHUFFLES, None)
         with contextlib.suppress(Exception):
             self.spark.conf.set(FREE_SHUFFLES, "true")
