@@ -6,7 +6,9 @@ the sentence scores are combined by noisy-or, P = 1 - prod(1 - p). The weights a
 document labels through that combination; the sentence scores then tell where the offence is.
 """
 
+import functools
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,7 +22,7 @@ SENTENCE_END = re.compile(r"[.?\n]+|(?<!!)!(?!!)")  # a run of exclamation marks
 EDGES = "\"'()[]{}<>|,;:*#_-+=/\\&%$"
 THRESHOLD = 0.3
 #: Bounds of the training sample: labelled documents of each class, and characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS, FEATURES = 4_000, 12_000, 5_000
+SAMPLE_DOCS, SAMPLE_CHARS, FEATURES = 3_000, 12_000, 5_000
 
 
 def features_of(token: str) -> list[str]:
@@ -90,23 +92,30 @@ def learn(texts: list[str], labels: list[int], weight: tuple[float, float] = (1.
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Model({}, -8.0 if not len(y) or y[0] == 0 else 0.0)
-    docs = [[[f for t in set(s.split()) for f in features_of(t)] for s in SENTENCE_END.split(t.lower()) if s.strip()] for t in texts]
-    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for d, label in zip(docs, labels, strict=True):
-        seen[label].update({f for s in d for f in s})
+    known = functools.lru_cache(200_000)(features_of)
+    sentences = lambda text: (set(x.split()) for x in SENTENCE_END.split(text.lower()))
+    # only features of three toxic documents or more are counted at all, so that memory follows those
+    seen = [Counter(), Counter()]
+    for text, label in zip(texts, labels, strict=True):
+        if label:
+            seen[1].update({f for s in sentences(text) for t in s for f in known(t)})
+    seen[1] = Counter({f: k for f, k in seen[1].items() if k >= 3})
+    for text, label in zip(texts, labels, strict=True):
+        if not label:
+            seen[0].update({f for s in sentences(text) for t in s for f in known(t) if f in seen[1]})
     n1, n0 = y.sum(), len(y) - y.sum()
-    lift = {f: abs(np.log((k + 0.5) / (n1 + 1)) - np.log((seen[0][f] + 0.5) / (n0 + 1))) * np.sqrt(k + seen[0][f]) for f, k in seen[1].items() if k >= 3}
+    lift = {f: abs(np.log((k + 0.5) / (n1 + 1)) - np.log((seen[0][f] + 0.5) / (n0 + 1))) * np.sqrt(k + seen[0][f]) for f, k in seen[1].items()}
     chosen = sorted(lift, key=lambda f: (-lift[f], f))[:features]
     number = {f: k for k, f in enumerate(chosen)}
-    col, sentence, owner, plain = [], [], [], np.zeros(len(docs))
-    for d, parts in enumerate(docs):
-        for s in parts:
-            ids = [number[f] for f in s if f in number]
+    col, sentence, owner, plain = array("i"), array("i"), array("i"), np.zeros(len(texts))
+    for d, text in enumerate(texts):
+        for s in sentences(text):
+            ids = [number[f] for t in s for f in known(t) if f in number]
             if ids:
-                col += ids
-                sentence += [len(owner)] * len(ids)
+                col.extend(ids)
+                sentence.extend([len(owner)] * len(ids))
                 owner.append(d)
-            else:
+            elif s:
                 plain[d] += 1
     col, sentence, owner = np.array(col, np.int64), np.array(sentence, np.int64), np.array(owner, np.int64)
     w, each = np.zeros(len(chosen) + 1), np.where(y == 1, weight[1], weight[0])
