@@ -414,3 +414,12 @@ def test_best_fit_decreasing():
     for s, b in zip([5, 4, 4, 3, 2, 2, 11], at, strict=True):
         totals[b] += s
     assert sorted(totals.values()) == [2, 9, 9, 11] and sharding.best_fit_decreasing([], 5) == []
+
+
+def test_next_documents_over_two_levels_of_cuts(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "FAN", 4)
+    rows = [(3 * k % 101, f"t{k}") for k in range(101)] + [(None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["next_text"]) for r in spotsigs.with_next(docs, {}, rows_per_part=7).collect()}
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0), reverse=True)
+    assert got == {(i, order[(k + 1) % len(order)][1]) for k, (i, _) in enumerate(order)}

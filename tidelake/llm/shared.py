@@ -1,22 +1,14 @@
 """What the operators of this subpackage share: scratch tables, gapless numbering and connected components."""
 
 import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
+from ..scratch import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tidelake-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return str(folder).rstrip("/")
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:

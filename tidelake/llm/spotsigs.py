@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .shared import Scratch, components, text_of
 
 ANCHORS, CHAIN = 48, 2
+#: Parts are found among so many cuts, and again so many within each; their number has that square as its bound.
+FAN = 512
 
 
 def let(value: Column, body) -> Column:
@@ -81,18 +83,25 @@ def with_next(docs: DataFrame, make: dict[str, callable], rows_per_part: int = 2
     """
     spark = docs.sparkSession
     base = docs.select("doc_id", text_of().alias("text"))
-    n = base.count()
-    parts = max(1, -(-n // rows_per_part))
-    cuts = sorted({c for c in (base.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []) if c is not None}, reverse=True)
-    steps = [int(c) for c in cuts]
-    # the part of an id: how many cuts lie above it; found by halving, so that the expression stays small
-    def part_of(low: int, high: int) -> Column:
+    parts = max(1, min(-(-base.count() // rows_per_part), FAN * FAN))
+    found = base.approxQuantile("doc_id", [k / parts for k in range(1, parts)], max(1e-5, 0.1 / parts)) if parts > 1 else []
+    cuts = sorted({int(c) for c in found if c is not None}, reverse=True)
+    # the part of an id is how many cuts lie above it: found by halving among every ``each``-th cut, then counted
+    each = -(-max(1, len(cuts)) // FAN)
+    coarse = [cuts[min(k + each, len(cuts)) - 1] for k in range(0, len(cuts), each)]
+
+    def halve(low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         middle = (low + high) // 2
-        return F.when(F.col("doc_id") >= steps[middle], part_of(low, middle)).otherwise(part_of(middle + 1, high))
-
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(steps))).otherwise(part_of(0, len(steps)))
+        return F.when(F.col("doc_id") >= coarse[middle], halve(low, middle)).otherwise(halve(middle + 1, high))
+
+    part = halve(0, len(coarse))
+    if each > 1:
+        block = [cuts[k : k + each] for k in range(0, len(cuts), each)] + [[]]
+        lists = F.lit(block) if len(cuts) else F.array(F.array())
+        part = let(part, lambda g: g * each + F.size(F.filter(F.get(lists, g), lambda c: c > F.col("doc_id"))))
+    part = F.when(F.col("doc_id").isNull(), F.lit(len(coarse) * each)).otherwise(part)
     order = F.struct(F.col("doc_id").isNotNull(), "doc_id", F.sha2("text", 256).alias("tie"))
     keyed = base.withColumn("part", part)
     heads = {r["part"]: (r["head"]["doc_id"], r["head"]["tie"]) for r in keyed.groupBy("part").agg(F.max(order).alias("head")).collect()}
