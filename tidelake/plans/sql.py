@@ -7,6 +7,8 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Parsed statements that are no commands yet when the parser returns them.
+WRITES = ("Insert", "Create", "Drop", "Alter", "Set", "Merge", "Update", "Delete", "Truncate", "Cache", "Uncache", "Refresh", "Load", "Compound")
 MAX_ROWS, MAX_SECONDS = 5_000, 30.0
 
 
@@ -20,13 +22,13 @@ def guard(spark: SparkSession, text: str) -> None:
         root = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except Exception as e:
         raise Refused(f"not one statement: {str(e)[:200]}") from None
+    command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
     stack = [root]
     while stack:
         node = stack.pop()
         name = node.getClass().getName()
         simple = name.rsplit(".", 1)[-1]
-        command = spark._jvm.org.apache.spark.sql.catalyst.plans.logical.Command
-        if spark._jvm.java.lang.Class.forName(command._fqn if hasattr(command, "_fqn") else "org.apache.spark.sql.catalyst.plans.logical.Command").isInstance(node) or simple.startswith(("Insert", "Create", "Drop", "Alter", "Set", "Merge", "Update", "Delete", "Truncate", "Cache", "Uncache", "Refresh", "Load", "Compound")) or ".command." in name:
+        if command.isInstance(node) or ".command." in name or simple.startswith(WRITES):
             raise Refused(f"{simple} is not allowed")
         for children in (node.children(), node.innerChildren()):
             for k in range(children.size()):
