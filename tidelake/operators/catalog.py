@@ -19,6 +19,11 @@ def merge(shards: DataFrame) -> DataFrame:
     )
 
 
+def record_write(entry: DataFrame, log: str) -> None:
+    """Add a write to the log. Totals add up and spans widen when the log is read with merge()."""
+    entry.write.mode("append").parquet(log)
+
+
 def summary(catalog: DataFrame) -> DataFrame:
     """datasets, rows, bytes, files by layer, and of all (layer null)."""
     return catalog.rollup("layer").agg(F.count(F.lit(1)).alias("datasets"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.sum("files").alias("files"))

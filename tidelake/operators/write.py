@@ -102,6 +102,37 @@ def load_missing(wanted: DataFrame, rows: DataFrame, path: str, key: str, time:
     return wanted.join(there.withColumn("_there", F.lit(True)), key, "left").join(counts, key, "left").select(key, F.coalesce("written", F.lit(0)).alias("written"), status.alias("status"))
 
 
+def copy_days(spark: SparkSession, table_root: str, out: str, first: str, last: str, time: str) -> DataFrame:
+    """Copy the days of a date= tree that ``out`` lacks, each sorted by time; day, rows and status of every day of the range.
+
+    Files are read and written anew, all days in one job; a day without a partition is reported as missing.
+    """
+    from ..sources.dated import days_between
+
+    days = days_between(spark, first, last).select(F.date_format("day", "yyyy-MM-dd").alias("date"))
+    rows = spark.read.option("basePath", table_root).parquet(table_root).where(F.col("date").cast("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return load_missing(days, rows.withColumn("date", F.date_format("date", "yyyy-MM-dd")), out, "date", time)
+
+
+def archive_day(spark: SparkSession, table_root: str, out: str, day: str, time: str) -> dict:
+    """One day of a date= tree: sorted, counted, refused when empty, published; the catalog row of the write."""
+    from ..sources.dated import scan
+
+    df = scan(spark, table_root, day).drop("date")
+    path = f"{out.rstrip('/')}/date={day}"
+    rows = publish(df.coalesce(1).sortWithinPartitions(time), path)
+    fs, p = file_system(spark, path)
+    return {"dataset": out.rstrip("/").rsplit("/", 1)[-1], "path": out, "rows": rows, "bytes": fs.getContentSummary(p).getLength(), "files": 1, "time_min": day, "time_max": day}
+
+
+def dataset_stats(spark: SparkSession, root: str) -> DataFrame:
+    """files, bytes and undersized files of a tree, and its rows."""
+    from ..sources.discovery import inventory
+
+    sizes = inventory(spark, root).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.count_if(F.col("length") < LEAST_BYTES).alias("undersized"))
+    return sizes.crossJoin(spark.read.parquet(root).agg(F.count(F.lit(1)).alias("rows")))  # one row each
+
+
 def written_stats(spark: SparkSession, path: str, day: str, entity: str) -> DataFrame:
     """rows, first and last day, and distinct entities of what lies at ``path``."""
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count_distinct(entity).alias("entities"))

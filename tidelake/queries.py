@@ -256,6 +256,18 @@ def schema_describe(spark, sf_dir):
     return discovery.describe(spark, f"{sf_dir}/lineitem.parquet")
 
 
+@query("select strftime(min(ts), '%Y-%m-%d') as first_day, strftime(max(ts), '%Y-%m-%d') as last_day, count(distinct cast(ts as date)) as days, cast(date '2024-02-02' - max(cast(ts as date)) as int) as days_behind, date '2024-02-02' - max(cast(ts as date)) <= 2 as fresh from events")
+def freshness(spark, sf_dir):
+    return discovery.freshness(discovery.partition_span(spark, dated_events(spark, sf_dir)), 2, F.lit("2024-02-02").cast("date"))
+
+
+@query("select 's3_ledger_events_2024_01' as view, count(*) as n from events where strftime(ts, '%Y-%m') = '2024-01'")
+def register_prefix(spark, sf_dir):
+    root = dated_events(spark, sf_dir).rsplit("/", 2)[0]
+    made = dated.register_all(spark, root, [("ledger", "events"), ("ledger", "absent")], "2024-01")
+    return union(spark, [spark.table(v).agg(F.lit(v).alias("view"), F.count(F.lit(1)).alias("n")) for v in made], "view string, n long")
+
+
 @query("select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey between 1000 and 5000")
 def block_range(spark, sf_dir):
     return chain.block_range(table(spark, sf_dir, "orders"), 1000, 5000, "o_orderkey").select("o_orderkey", "o_custkey", "o_totalprice")
@@ -286,6 +298,19 @@ def publish_archive(spark, sf_dir):
     return layers.written_stats(spark, path, "day", "user_id")
 
 
+@query("""with b as (select min(cast(ts as date)) as lo, max(cast(ts as date)) + 2 as hi from events),
+spine as (select strftime(cast(unnest(generate_series(lo, hi, interval 1 day)) as date), '%Y-%m-%d') as date from b)
+select spine.date, count(event_id) as written, case when count(event_id) > 0 then 'written' else 'missing' end as status from spine left join events on strftime(ts, '%Y-%m-%d') = spine.date group by spine.date""")
+def copy_days(spark, sf_dir):
+    b = table(spark, sf_dir, "events").agg(F.min(F.to_date("ts")), F.date_add(F.max(F.to_date("ts")), 2)).first()
+    return layers.copy_days(spark, dated_events(spark, sf_dir), new_path(spark, "copy"), str(b[0]), str(b[1]), "ts")
+
+
+@query("select count(distinct cast(ts as date)) as files, count(distinct cast(ts as date)) as undersized, count(*) as rows from events")
+def dataset_stats(spark, sf_dir):
+    return layers.dataset_stats(spark, dated_events(spark, sf_dir)).select("files", "undersized", "rows")
+
+
 @query("select event_type, count(*) as n, sum(cast(value as decimal(18,4))) as total from events group by event_type")
 def compacted_rows(spark, sf_dir):
     root = new_path(spark, "small")
@@ -341,6 +366,14 @@ def catalog_merge(spark, sf_dir):
     return catalog.merge(shards(spark, sf_dir))
 
 
+@query(SHARDS + MERGED + "select dataset, account, rows, time_min, time_max from m")
+def catalog_upsert(spark, sf_dir):
+    log, all_writes = new_path(spark, "catalog"), shards(spark, sf_dir)
+    for k in range(3):
+        catalog.record_write(all_writes.where(F.col("updated_at") % 3 == k), log)
+    return catalog.merge(spark.read.parquet(log)).select("dataset", "account", "rows", "time_min", "time_max")
+
+
 @query(SHARDS + MERGED + "select layer, count(*) as datasets, cast(sum(rows) as bigint) as rows, cast(sum(bytes) as bigint) as bytes, cast(sum(files) as bigint) as files from m group by rollup (layer)")
 def catalog_summary(spark, sf_dir):
     return catalog.summary(catalog.merge(shards(spark, sf_dir)))

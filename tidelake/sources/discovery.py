@@ -96,6 +96,17 @@ def partition_span(spark: SparkSession, root: str) -> DataFrame:
     return days.agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count_distinct("day").alias("days"))
 
 
+def freshness(span: DataFrame, freshness_days: int, today: Column | None = None) -> DataFrame:
+    """days_behind and fresh, from a partition_span."""
+    behind = F.datediff(today if today is not None else F.current_date(), F.col("last_day").cast("date"))
+    return span.withColumns({"days_behind": behind, "fresh": behind <= freshness_days})
+
+
+def sample_json(df: DataFrame, n: int = 20) -> list[str]:
+    """The first ``n`` rows as JSON records."""
+    return df.limit(n).toJSON().collect()
+
+
 def layout(spark: SparkSession, root: str) -> DataFrame:
     """chain and its tables, at whatever depth: the last two plain folders before the first key=value."""
     plain = F.regexp_extract(relative(F.col("path"), root), r"^((?:[^/=]+/)+)", 1)
