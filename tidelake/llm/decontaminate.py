@@ -204,3 +204,19 @@ def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", *[f"_hits.{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")])
+
+
+OP4_SQL = r"""
+with words as (select translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t, doc_id from documents),
+d as (select doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from words),
+b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark where text is not null),
+bp as (select item_id, ws, least(13, len(ws)) as size, unnest(range(greatest(1, len(ws) - 12))) as k from b where len(ws) > 0),
+win as (select distinct item_id, size, ws[k + 1 : k + size] as win from bp),
+dp as (select doc_id, ws, size, unnest(range(greatest(0, len(ws) - size + 1))) as s from d, (select distinct size from win)),
+hit as (select doc_id, s, dw.size, item_id from (select doc_id, s, size, ws[s + 1 : s + size] as win from dp) dw join win on dw.win = win.win and dw.size = win.size),
+covered as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(s, s + size)) as pos from hit) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, cast(item_id as varchar) as item from hit) group by doc_id)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from d left join covered using (doc_id) left join items using (doc_id)
+"""

@@ -14,4 +14,4 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_sharding": sharding.op10_sharding,
 }
-SQL = {"op1_warc": warc.OP1_SQL, "op8_lm_score": lm_score.OP8_SQL}
+SQL = {"op1_warc": warc.OP1_SQL, "op4_decontaminate": decontaminate.OP4_SQL, "op7_suffix_dedup": repeats.OP7_SQL, "op8_lm_score": lm_score.OP8_SQL}

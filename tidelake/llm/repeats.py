@@ -216,3 +216,21 @@ def repeats(docs: DataFrame) -> DataFrame:
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents without the strings of 50 bytes that earlier ones have."""
     return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+
+
+#: Bytes are two hex digits each, so that strings of them can be cut at any byte.
+OP7_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+c as (select doc_id, begin, least(256, n - 49 - begin) as starts, substr(h, 2 * begin + 1, 610) as piece from (select doc_id, h, n, unnest(range(0, greatest(0, n - 49), 256)) as begin from d)),
+w as (select doc_id, begin + k as s, md5_number(substr(piece, 2 * k + 1, 100)) as g from (select doc_id, begin, piece, unnest(range(starts)) as k from c)),
+m as (select g, min(doc_id) as first_doc from w group by g),
+dup as (select w.doc_id, w.s from w join m using (g) where m.first_doc < w.doc_id),
+marked as (select doc_id, s, case when s <= lag(s) over (partition by doc_id order by s) + 50 then 0 else 1 end as fresh from dup),
+numbered as (select doc_id, s, sum(fresh) over (partition by doc_id order by s) as run from marked),
+runs as (select doc_id, run, min(s) as a, max(s) + 50 as b from numbered group by doc_id, run),
+before as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as kept_from from runs),
+cut as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * kept_from + 1, 2 * (a - kept_from)), '' order by a) || substr(max(h), 2 * max(b) + 1) as kept
+        from before join d using (doc_id) group by doc_id)
+select d.doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
+from d left join cut using (doc_id)
+"""
