@@ -198,6 +198,12 @@ def mount_views(spark, sf_dir):
     return union(spark, [spark.table(v).agg(F.lit(v).alias("view"), F.count(F.lit(1)).alias("n")) for v in made], "view string, n long")
 
 
+@query("select distinct 'market_' || event_type || '_1m' as view from events")
+def list_views(spark, sf_dir):
+    made = set(discovery.mount_views(spark, typed_events(spark, sf_dir)))
+    return spark.createDataFrame([(t,) for t in readonly.tables(spark) if t in made], "view string")
+
+
 def union(spark: SparkSession, frames: list[DataFrame], schema: str) -> DataFrame:
     out = spark.createDataFrame([], schema)
     for f in frames:
@@ -386,6 +392,20 @@ def placement(spark, sf_dir):
     return catalog.placement(accounts, catalog.merge(shards(spark, sf_dir)))
 
 
+@query(SHARDS + MERGED + ", accounts as (select distinct 'a' || (s_suppkey % 3) as account from supplier) select dataset, account from m where account not in (select account from accounts)")
+def unplaced(spark, sf_dir):
+    accounts = table(spark, sf_dir, "supplier").select(F.concat(F.lit("a"), (F.col("s_suppkey") % 3).cast("string")).alias("account")).distinct()
+    return catalog.unplaced(accounts, catalog.merge(shards(spark, sf_dir))).select("dataset", "account")
+
+
+@query("select r_name as chain, n_name as table_name, gb from region join nation on n_regionkey = r_regionkey left join (select s_nationkey, cast(sum(cast(s_acctbal as decimal(18,2))) as double) as gb from supplier group by 1) on s_nationkey = n_nationkey")
+def measured_tables(spark, sf_dir):
+    layout = table(spark, sf_dir, "region").join(table(spark, sf_dir, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("chain"), F.col("n_name").alias("table"), "n_nationkey")
+    gb = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.sum(money("s_acctbal", 2)).cast("double").alias("gb"))
+    sizes = gb.join(layout, F.col("s_nationkey") == F.col("n_nationkey")).select("chain", "table", "gb")
+    return catalog.measured(layout.select("chain", "table"), sizes).withColumnRenamed("table", "table_name")
+
+
 @query("select r_name as chain, round(sum(s_acctbal), 1) as gb from region join nation on n_regionkey = r_regionkey left join (select s_nationkey, sum(s_acctbal) as s_acctbal from supplier group by 1) on s_nationkey = n_nationkey group by rollup (r_name)")
 def measured_sizes(spark, sf_dir):
     layout = table(spark, sf_dir, "region").join(table(spark, sf_dir, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("chain"), F.col("n_name").alias("table"), "n_nationkey")
@@ -473,6 +493,25 @@ def watch_dedup(spark, sf_dir):
     return spark.read.schema(e.schema).parquet(out).select("event_id", "user_id")
 
 
+@query("select count(*) as n, cast(sum(cast(value as decimal(18,4))) as decimal(38,4)) as total, min(ts) as first_ts, max(ts) as last_ts from events")
+def buffered_append(spark, sf_dir):
+    arrived, out, checkpoint = new_path(spark, "records"), new_path(spark, "appended"), new_path(spark, "cursor")
+    e = table(spark, sf_dir, "events")
+    for k in range(2):
+        e.where(F.col("event_id") % 2 == k).repartition(3).write.mode("append").parquet(arrived)
+        pump.buffered_append(spark, arrived, e.schema, checkpoint, out, "ts")
+    back = spark.read.schema(e.schema).parquet(out)
+    return back.agg(F.count(F.lit(1)).alias("n"), F.sum(money("value")).cast("decimal(38,4)").alias("total"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query("select event_type, count(*) as n from events group by event_type")
+def micro_compaction(spark, sf_dir):
+    root, checkpoint = new_path(spark, "arrivals"), new_path(spark, "cursor")
+    table(spark, sf_dir, "events").repartition(12).write.parquet(root)
+    compact.watch(spark, root, checkpoint, "ts", pending_bytes=1)
+    return spark.read.parquet(root).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("select event_id from events where event_id % 3 <> 0")
 def unseen_ids(spark, sf_dir):
     e = table(spark, sf_dir, "events")
