@@ -185,17 +185,25 @@ def repeats(docs: DataFrame) -> DataFrame:
     runs = scratch.save(runs, "runs")
     scratch.drop("recurring")
 
-    firsts = scratch.save(runs.groupBy("h", "run").agg(F.min(F.struct("ord", "row", "first")).alias("least")), "firsts")
-    whole = runs.join(firsts, ["h", "run"]).where(F.col("ord") > F.col("least.ord")).select("row", F.col("first").alias("a"), (F.col("last") + LENGTH - 1).alias("b"))
+    # each step's tables go as soon as nothing reads them, since they and the shuffles share the disk
+    least = F.min(F.struct("ord", "row", "first")).alias("least")
+    firsts = scratch.save(runs.groupBy("h", "run").agg(least, F.max("ord").alias("most")), "firsts")
+    copied = firsts.where("most > least.ord").select("h", "run", F.col("least.ord").alias("least_ord"))
+    whole = runs.join(copied, ["h", "run"]).where("ord > least_ord").select("row", F.col("first").alias("a"), (F.col("last") + LENGTH - 1).alias("b"))
     whole = scratch.save(whole, "whole")
+    scratch.drop("runs")
     several = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    open_runs = firsts.join(several, "h").select("least.row", "least.first").groupBy("row").agg(F.collect_list("first").alias("firsts"))
-    strings = texts.select("row", "ord", "text").join(open_runs, "row").mapInPandas(_strings, "h long, string long, ord long, row long, at int")
+    open_runs = scratch.save(firsts.join(several, "h").select("least.row", "least.first"), "open")
+    scratch.drop("firsts")
+    open_rows = open_runs.groupBy("row").agg(F.collect_list("first").alias("firsts"))  # of one text
+    strings = texts.select("row", "ord", "text").join(open_rows, "row").mapInPandas(_strings, "h long, string long, ord long, row long, at int")
     strings = scratch.save(strings, "strings")
+    scratch.drop("open")
     shared = strings.groupBy("h", "string").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most").drop("most")
+    shared = scratch.save(shared, "shared")
     single = strings.join(shared, ["h", "string"]).where("ord > least").select("row", F.col("at").alias("a"), (F.col("at") + LENGTH).alias("b"))
     single = scratch.save(single, "single")
-    scratch.drop("runs", "firsts", "strings")
+    scratch.drop("strings", "shared")
 
     spans = whole.unionByName(single).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # of one text
     cut = texts.select("row", "digest", "text").join(spans, "row").select("digest", "text", "spans")
