@@ -56,7 +56,8 @@ def state_counts(df: DataFrame, states: list[str]) -> DataFrame:
 def latency(df: DataFrame, last: int = 200) -> DataFrame:
     """Mean over the newest ``last`` requests (time, call_id, ms), and how many there are in all."""
     newest = df.orderBy(F.desc("time"), F.desc("call_id")).limit(last)
-    return newest.agg(F.round(F.avg("ms"), 6).alias("mean_ms")).crossJoin(df.agg(F.count(F.lit(1)).alias("requests")))  # one row each
+    rows = newest.select("ms", F.lit(0).cast("long").alias("n")).unionByName(df.agg(F.lit(None).cast("double").alias("ms"), F.count(F.lit(1)).alias("n")))
+    return rows.agg(F.round(F.avg("ms"), 6).alias("mean_ms"), F.sum("n").alias("requests"))
 
 
 def slow_calls(df: DataFrame, over_ms: float) -> DataFrame:

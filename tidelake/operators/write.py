@@ -129,8 +129,9 @@ def dataset_stats(spark: SparkSession, root: str) -> DataFrame:
     """files, bytes and undersized files of a tree, and its rows."""
     from ..sources.discovery import inventory
 
-    sizes = inventory(spark, root).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.count_if(F.col("length") < LEAST_BYTES).alias("undersized"))
-    return sizes.crossJoin(spark.read.parquet(root).agg(F.count(F.lit(1)).alias("rows")))  # one row each
+    sizes = inventory(spark, root).select(F.lit(1).alias("files"), F.col("length").alias("bytes"), (F.col("length") < LEAST_BYTES).cast("int").alias("undersized"), F.lit(0).cast("long").alias("rows"))
+    rows = spark.read.parquet(root).agg(F.lit(0).alias("files"), F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("undersized"), F.count(F.lit(1)).alias("rows"))
+    return sizes.unionByName(rows).agg(*[F.sum(c).alias(c) for c in ("files", "bytes", "undersized", "rows")])
 
 
 def written_stats(spark: SparkSession, path: str, day: str, entity: str) -> DataFrame:

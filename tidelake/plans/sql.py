@@ -66,8 +66,7 @@ def tables(spark: SparkSession) -> list[str]:
 
 def summarise(df: DataFrame, order: list[str], last: int = 5) -> DataFrame:
     """The last rows by ``order``, each with the number of all rows."""
-    total = df.agg(F.count(F.lit(1)).alias("row_count"))
-    return df.orderBy(*[F.desc(c) for c in order]).limit(last).crossJoin(total)  # ``last`` rows by one
+    return df.orderBy(*[F.desc(c) for c in order]).limit(last).withColumn("row_count", F.lit(df.count()).cast("long"))
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: str, time: str, values: list[str]) -> DataFrame:
