@@ -239,6 +239,8 @@ def test_spotsigs(spark, docs):
 def test_spotsigs_near_duplicates(spark):
     base = [prose(k, 80) for k in range(6)]
     rows = [(k, t) for k, t in enumerate(base)] + [(10, base[0] + " lamp"), (11, base[0]), (12, "stone " + base[1]), (13, None), (14, "")]
+    words = base[3].split(" ")
+    rows += [(20 + k, " ".join(words[:k] + ["garden"] + words[k:])) for k in range(0, 80, 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     anchors = set(spotsigs.common_words(docs))
     sets = {i: spots(t, anchors) for i, t in rows}

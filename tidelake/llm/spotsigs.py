@@ -159,12 +159,26 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     prefixes = ranked.groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "sign"))).alias("order"))
     part = F.floor(F.log(F.col("size").cast("double")) / -math.log(least)).cast("int")
     tokens = scratch.save(prefixes.select("node", "size", part.alias("part"), F.explode(F.slice("order", F.lit(1), first)).alias("o")).where("o.n > 1").select("node", "size", "part", "o.sign"), "tokens")
-    left = tokens.select(F.col("node").alias("a"), F.col("size").alias("size_a"), "part", "sign")
-    right = tokens.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), "sign")
-    pairs = left.join(right, ["part", "sign"]).where((F.col("a") != F.col("b")) & (F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b")))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    a, b = sets.select(F.col("node").alias("a"), F.col("signs").alias("signs_a")), sets.select(F.col("node").alias("b"), F.col("signs").alias("signs_b"))
-    links = scratch.save(pairs.join(a, "a").join(b, "b").where(likeness(F.col("signs_a"), F.col("signs_b"), least) >= least).select("a", "b"), "links")
+    # a cell has the sets of two neighbouring partitions that share a prefix signature
+    cells = scratch.save(tokens.select("node", "size", "sign", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part")), "cells")
+    sized = sets.select("node", "signs")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        a, b = sized.toDF("a", "signs_a"), sized.toDF("b", "signs_b")
+        return pairs.distinct().join(a, "a").join(b, "b").where(likeness(F.col("signs_a"), F.col("signs_b"), least) >= least).select("a", "b")
+
+    # first each set with its cell's least: a crowd of copies falls into one component by as many pairs as it has sets
+    pivots = cells.groupBy("part", "sign").agg(F.min("node").alias("a"))
+    to_pivot = scratch.save(alike(cells.join(pivots, ["part", "sign"]).where("node <> a").select("a", F.col("node").alias("b"))), "to-pivot")
+    roots = scratch.save(components(to_pivot, scratch, "first"), "first-roots")
+    # then pairs of different components, in the cells that still have some
+    placed = scratch.save(cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    mixed = placed.groupBy("part", "sign").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("part", "sign")
+    left = placed.join(mixed, ["part", "sign"]).select("part", "sign", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
+    right = placed.select("part", "sign", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
+    near = (F.col("root_a") < F.col("root_b")) & (F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b"))
+    others = alike(left.join(right, ["part", "sign"]).where(near).select("a", "b"))
+    links = scratch.save(to_pivot.unionByName(others), "links")
     roots = scratch.save(sets.select("name", "node", "least").join(components(links, scratch), "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
     named = roots.join(roots.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("name", "class_id")
     return rows.select("doc_id", "name").join(named, "name").select("doc_id", "class_id")
