@@ -46,7 +46,7 @@ class WordwiseTokenizer:
     and in its byte letters; any other goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, keep: int = 900_000):
+    def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -41,7 +41,7 @@ class Model:
     def __init__(self, weights: dict[str, float], bias: float, cut: float = THRESHOLD):
         self.weights, self.bias, self.cut = weights, bias, cut
 
-    def scorer(self, keep: int = 500_000):
+    def scorer(self, keep: int = 150_000):
         """A function from a text to (score, [(start, end, p) of sentences]); it remembers the weights of tokens."""
         weights, bias = self.weights, self.bias
 
