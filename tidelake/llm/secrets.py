@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.functions import pandas_udf
 
+from .shared import small_batches
+
 #: The kinds in their order, keywords and expressions of the base kinds.
 KINDS = ("assign", "access", "hex", "github", "npm", "card")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -136,11 +138,13 @@ def scan(docs: DataFrame) -> DataFrame:
 
     One row a document, equal rows and null ids included; no shuffle; a very long text is one row's work.
     """
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", pandas_udf(_scan, SCAN)("text").alias("_s")).select("doc_id", "_s.*")
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with secrets taken out of the text; null texts stay null, other columns as they are."""
+    small_batches(docs.sparkSession)
     return docs.withColumn("text", pandas_udf(_redact, "string")("text"))
 
 

@@ -11,6 +11,13 @@ from ..scratch import shared_folder
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Let at most ``rows`` texts go to a Python worker at once, where the session has Spark's default of 10,000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 class Scratch:
     """Intermediate tables of one operator call, written to the shared folder.
 
@@ -20,6 +27,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_folder(spark)}/tidelake-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
         self.saved = 0

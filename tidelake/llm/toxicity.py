@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .shared import small_batches
+
 SENTENCE_END = re.compile(r"[.?\n]+|(?<!!)!(?!!)")  # a run of exclamation marks is no end: shouted words are no sentences
 EDGES = "\"'()[]{}<>|,;:*#_-+=/\\&%$"
 THRESHOLD = 0.3
@@ -166,6 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, chars:
 
 def score_column(model: Model, spark):
     """A column function from texts to scores in 0 to 1; null and empty texts have no sentence and score 0."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
