@@ -44,7 +44,7 @@ class Model:
         self.weights, self.bias, self.cut = weights, bias, cut
 
     def scorer(self, keep: int = 150_000):
-        """A function from a text to (score, [(start, end, p) of sentences]); it remembers the weights of tokens."""
+        """A function from a text to its score; it remembers the weights of up to ``keep`` tokens."""
         weights, bias = self.weights, self.bias
 
         class Known(dict):
