@@ -98,18 +98,37 @@ def _samples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for h, at, *_ in owned_runs(text.encode("utf-8", "surrogatepass")):
                     yield h.view(np.int64), np.full(len(h), row, np.int64), at
 
-    return _frames(["h", "row", "at"], parts())
+    for frame in _frames(["h", "row", "at"], parts()):
+        yield _known_here(frame)
+
+
+def _known_here(frame: pd.DataFrame) -> pd.DataFrame:
+    """Mark tuples whose hash recurs within the frame, by a negative position; all but the first of them get a key of their own.
+
+    Those are known to recur and need not meet the others, so that a passage that a third of all
+    documents share sends one tuple a frame to its key, and the rest anywhere.
+    """
+    h, row, at = (frame[c].to_numpy(np.int64) for c in ("h", "row", "at"))
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    later = np.zeros(len(h), bool)
+    later[order] = np.append(False, same)
+    known = later.copy()
+    known[order] |= np.append(same, False)
+    own = _mix(row.view(np.uint64) * _ODD[0] + at.view(np.uint64) * _ODD[1]).view(np.int64)
+    return pd.DataFrame({"h": np.where(later, own, h), "row": row, "at": np.where(known, -1 - at, at).astype(np.int32)})
 
 
 def _recurring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of tuples sorted by hash, those with an equal neighbour; batches may cut a group anywhere."""
+    """Of tuples sorted by key, those marked and those with an equal neighbour; batches may cut a group anywhere."""
     held = None  # the last tuple, and whether it has been passed on
     for batch in batches:
         if not len(batch):
             continue
-        h = batch["h"].to_numpy()
+        h, at = batch["h"].to_numpy(), batch["at"].to_numpy()
         same = h[1:] == h[:-1]
-        keep = np.append(False, same) | np.append(same, False)
+        keep = np.append(False, same) | np.append(same, False) | (at < 0)
+        batch = batch.assign(at=np.where(at < 0, -1 - at, at))
         if held is not None and held[0] == h[0]:
             keep[0] = True
             if not held[3]:
