@@ -300,6 +300,25 @@ def test_repeats(spark, docs):
     assert repeats.repeats(docs.limit(0)).count() == 0
 
 
+def test_repeats_of_a_run_twice_in_one_document(spark):
+    p, around = prose(31, 40), (prose(32, 12), prose(33, 12))
+    long = " ".join([prose(34, 20), around[0], p, around[1], prose(35, 20), around[0], p, around[1], prose(36, 20)])
+    rows = [(1, " ".join([prose(37, 20), p, prose(38, 20)])), (2, long), (2, around[0] + " " + p + " " + around[1] + " other"), (3, around[0] + " " + p)]
+    first = {}
+    for i, t in rows:
+        for s in range(len(t) - 49):
+            first.setdefault(t[s : s + 50], i)
+    got = repeats.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = Counter()
+    for i, t in rows:
+        gone = set()
+        for s in range(len(t) - 49):
+            if first[t[s : s + 50]] < i:
+                gone |= set(range(s, s + 50))
+        expected[(i, len(gone), hashlib.sha256("".join(c for k, c in enumerate(t) if k not in gone).encode()).hexdigest())] += 1
+    assert Counter((r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in got) == expected
+
+
 def test_repeats_over_stretches(spark, monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK", 64)
     data = prose(5, 200).encode()

@@ -13,7 +13,7 @@ alone decides. That sample owns the string. The steps:
 3. A recurring sample's owned strings are one run of bytes. Runs that are equal as wholes are settled at
    once: all strings of a run are repeats in every document but the first that has it.
 4. Where a sample recurs in different runs, the strings of each distinct run are compared one by one, by
-   a minimum over equal strings.
+   a minimum over equal strings. What is found at a run's first place holds for its other places under the same doc_id.
 5. The strings found are merged to spans in their texts.
 
 Each step is joins and minima with combination before the shuffle; no group is gathered in one task.
@@ -206,23 +206,31 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     # each step's tables go as soon as nothing reads them, since they and the shuffles share the disk
     least = F.min(F.struct("ord", "row", "first")).alias("least")
-    firsts = scratch.save(runs.groupBy("h", "run").agg(least, F.max("ord").alias("most")), "firsts")
-    copied = firsts.where("most > least.ord").select("h", "run", F.col("least.ord").alias("least_ord"))
-    whole = runs.join(copied, ["h", "run"]).where("ord > least_ord").select("row", F.col("first").alias("a"), (F.col("last") + LENGTH - 1).alias("b"))
-    whole = scratch.save(whole, "whole")
+    last = F.max(F.struct(F.bitwise_not("ord").alias("back"), "row", "first")).alias("last")  # of those with the least ord
+    firsts = scratch.save(runs.groupBy("h", "run").agg(least, F.max("ord").alias("most"), last), "firsts")
+    tied = (F.col("last.row") != F.col("least.row")) | (F.col("last.first") != F.col("least.first"))
+    copied = firsts.where((F.col("most") > F.col("least.ord")) | tied).select("h", "run", "least")
+    # all other places of a run: later documents lose it as a whole, those of the same doc_id what its first place loses
+    other = runs.join(copied, ["h", "run"]).where("row <> least.row or first <> least.first")
+    other = scratch.save(other.select("row", "first", "last", F.when(F.col("ord") == F.col("least.ord"), F.struct("least.row", "least.first")).alias("like")), "other")
     scratch.drop("runs")
+    whole = other.where("like is null").select("row", F.col("first").alias("a"), (F.col("last") + LENGTH - 1).alias("b"))
     several = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     open_runs = scratch.save(firsts.join(several, "h").select("least.row", "least.first"), "open")
     scratch.drop("firsts")
     open_rows = open_runs.groupBy("row").agg(F.collect_list("first").alias("firsts"))  # of one text
     strings = texts.select("row", "ord", "text").join(open_rows, "row").mapInPandas(_strings, "h long, string long, ord long, row long, at int")
     strings = scratch.save(strings, "strings")
+    twins = other.where("like is not null").join(open_runs.toDF("like_row", "like_first"), (F.col("like.row") == F.col("like_row")) & (F.col("like.first") == F.col("like_first")))
+    twins = scratch.save(twins.select("row", "like_row", F.explode(F.expr("transform(sequence(0, last - first - 1), k -> struct(first + k as a, like_first + k as at))")).alias("_s")).select("row", "like_row", "_s.a", "_s.at"), "twins")
     scratch.drop("open")
     shared = strings.groupBy("h", "string").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most").drop("most")
     shared = scratch.save(shared, "shared")
-    single = strings.join(shared, ["h", "string"]).where("ord > least").select("row", F.col("at").alias("a"), (F.col("at") + LENGTH).alias("b"))
+    single = strings.join(shared, ["h", "string"]).where("ord > least").select("row", "at")
     single = scratch.save(single, "single")
     scratch.drop("strings", "shared")
+    same = twins.join(single.select(F.col("row").alias("like_row"), "at"), ["like_row", "at"]).select("row", F.col("a").alias("at"))
+    single = single.unionByName(same).select("row", F.col("at").alias("a"), (F.col("at") + LENGTH).alias("b"))
 
     spans = whole.unionByName(single).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # of one text
     cut = texts.select("row", "digest", "text").join(spans, "row").select("digest", "text", "spans")
