@@ -116,6 +116,17 @@ def test_plan_is_optimal_on_small_cases():
     assert packing.plan({}) == []
 
 
+def test_plan_beyond_best_fit():
+    r, counts = np.random.default_rng(1), Counter()
+    while counts.total() < 600:
+        a, b = r.integers(550, 851, 2).tolist()
+        if 550 <= 2048 - a - b <= 850:
+            counts.update((a, b, 2048 - a - b))
+    found = packing.plan(dict(counts))
+    assert sum((Counter({x: p.count(x) * t for x in set(p)}) for p, t in found), Counter()) == counts
+    assert packing.bound(counts, 2048) == 200 and sum(t for _, t in found) <= 205 and all(sum(p) <= 2048 for p, _ in found)
+
+
 def test_packing(spark, docs):
     out = packing.pack_documents(docs, packing.word_bpe_path()).toPandas()
     from tokenizers import Tokenizer

@@ -162,64 +162,78 @@ def bound(counts: dict[int, int], capacity: int) -> int:
 
 
 def fillings(room: int, counts: dict[int, int], limit: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first: no length left fits in the waste, and no
-    item of it can be exchanged for a single longer one that is left."""
+    """At most ``limit`` undominated fillings of ``room``, least waste of all first: no length left fits in the waste,
+    and no item of it can be exchanged for a single longer one that is left."""
     lengths = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
-    place = {x: k for k, x in enumerate(lengths)}
-    found: list[tuple[int, tuple[int, ...]]] = []
-    budget = [limit * 40]
-
-    def grow(i: int, left: int, taken: tuple[int, ...]) -> None:
-        budget[0] -= 1
-        if budget[0] < 0 or len(found) >= limit and found[-1][0] == 0:
-            return
-        used = Counter(taken)
-        fits = [x for x in lengths[i:] if x <= left and counts[x] > used[x]]
-        if not fits:
-            free = [x for x in lengths if counts[x] > used[x]]
-            if not any(x <= left for x in free) and not any(y < x <= y + left for y in used for x in free):
-                found.append((left, taken))
+    mask, sums = (1 << room + 1) - 1, [1]  # bit r of sums[k]: lengths[k:] have a filling of exactly r
+    for x in reversed(lengths):
+        here, copies, step = sums[-1], min(counts[x], room // x), 1
+        while copies:
+            step = min(step, copies)
+            here |= here << step * x & mask
+            copies, step = copies - step, 2 * step
+        sums.append(here)
+    sums.reverse()
+    below = [-x for x in lengths]
+
+    def exact(i: int, left: int, taken: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        if not left:
+            yield taken
             return
-        for x in fits:
-            grow(place[x], left - x, (*taken, x))
-            if budget[0] < 0:
+        for k in range(max(i, bisect.bisect_left(below, -left)), len(lengths)):
+            if not sums[k] >> left & 1:
                 return
-
-    grow(0, room, ())
-    return [f for _, f in sorted(set(found))[:limit]]
-
-
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 120, width: int = 12) -> list[tuple[tuple[int, ...], int]]:
+            x = lengths[k]
+            for n in range(min(counts[x], left // x), 0, -1):
+                if sums[k + 1] >> left - n * x & 1:
+                    yield from exact(k + 1, left - n * x, taken + (x,) * n)
+
+    found: list[tuple[int, ...]] = []
+    looked = 0
+    for waste in range(room + 1):
+        for taken in exact(0, room - waste, ()) if sums[0] >> room - waste & 1 else ():
+            used = Counter(taken)
+            free = [x for x in lengths if counts[x] > used[x]] if waste else []
+            if not any(x <= waste for x in free) and not any(y < x <= y + waste for y in used for x in free):
+                found.append(taken)
+            looked += 1
+            if len(found) == limit or found and looked >= 40 * limit:
+                return sorted(found, key=lambda f: (-sum(f), f))
+    return sorted(found, key=lambda f: (-sum(f), f))
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = None, width: int = 12) -> list[tuple[tuple[int, ...], int]]:
     """Patterns and their counts that use as few sequences as the search finds within ``nodes`` nodes.
 
-    Ends at once when the incumbent meets the lower bound.
+    Each node uses up a length at least, so that a leaf is no deeper than there are lengths; without ``nodes``
+    the budget is twice that and 120 more. Ends at once when the incumbent meets the lower bound.
     """
     counts = {k: n for k, n in counts.items() if n}
     size = lambda p: sum(n for _, n in p)
     incumbent, least = best_fit(counts, capacity), bound(counts, capacity)
     total = sum(k * n for k, n in counts.items())
-    stack, seen = [(counts, [], 0)], 0
+    nodes = 120 + 2 * len(counts) if nodes is None else nodes
+    # a branch is held as its parent's counts and one filling, so that the stack has one table of counts a level
+    stack, seen = [(counts, {}, 0, 0, None)], 0
     while stack and seen < nodes and size(incumbent) > least:
-        left, done, waste = stack.pop()
+        above, used, bins, waste, done = stack.pop()
         seen += 1
         if waste > (size(incumbent) - 1) * capacity - total:  # this branch cannot save a sequence
             continue
-        if not left:
-            incumbent = min(incumbent, done, key=size)
+        left = {x: n - used.get(x, 0) for x, n in above.items() if n > used.get(x, 0)}
+        rest = best_fit(left, capacity)
+        if bins + size(rest) < size(incumbent):
+            incumbent, at = rest, done
+            while at:
+                incumbent, at = [at[0], *incumbent], at[1]
+        if not left or bins + bound(left, capacity) >= size(incumbent):
             continue
-        if seen % 64 == 1 or len(left) <= 32:  # best-fit on what is left, and the bound of what is left
-            offer = done + best_fit(left, capacity)
-            if size(offer) < size(incumbent):
-                incumbent = offer
-            if size(done) + bound(left, capacity) >= size(incumbent):
-                continue
         largest = max(left)
-        rest = left | {largest: left[largest] - 1}
-        for fill in reversed(fillings(capacity - largest, rest, width) or [()]):
-            used = Counter((largest, *fill))
-            times = min(left[x] // n for x, n in used.items())
-            after = {x: n - times * used[x] for x, n in left.items() if n > times * used[x]}
-            stack.append((after, [*done, ((largest, *fill), times)], waste + times * (capacity - largest - sum(fill))))
+        beside = left | {largest: left[largest] - 1}
+        for fill in reversed(fillings(capacity - largest, beside, width) or [()]):
+            taken = Counter((largest, *fill))
+            times = min(left[x] // n for x, n in taken.items())
+            stack.append((left, {x: times * n for x, n in taken.items()}, bins + times, waste + times * (capacity - largest - sum(fill)), (((largest, *fill), times), done)))
     return incumbent
 
 
