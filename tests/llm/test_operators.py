@@ -334,10 +334,10 @@ def test_repeats_over_stretches(spark, monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK", 64)
     data = prose(5, 200).encode()
     owners = {}
-    for h, at, first, last, runs, strings, begin in repeats.owned_runs(data):
-        for a, b, p in zip(first.tolist(), last.tolist(), at.tolist(), strict=True):
+    for _, _, at, first, last, _, begin, strings in repeats.owned_runs([b"short", data]):
+        for a, b, p, k in zip(first.tolist(), last.tolist(), at.tolist(), begin.tolist(), strict=True):
             for s in range(a, b):
-                owners.setdefault(data[s : s + 50], set()).add((p - s, int(strings[s - begin])))
+                owners.setdefault(data[s : s + 50], set()).add((p - s, int(strings[k + s - a])))
     assert len(owners) == len({data[s : s + 50] for s in range(len(data) - 49)}) and all(len(v) == 1 for v in owners.values())
 
 

@@ -33,6 +33,11 @@ from .shared import Scratch, text_of
 LENGTH, GRAM = 50, 32
 CHUNK, LOW = 1 << 19, np.uint64((1 << 20) - 1)
 LAST = (1 << 63) - 1
+#: Texts are dealt to cells of 2 ** CELL_BITS rows; one over LONG bytes is a cell by itself.
+CELL_BITS, LONG = 8, 1 << 18
+#: Bytes of text whose samples (one in about ten) make a bucket.
+BUCKET_BYTES = 20_000_000
+HOT = 2_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -53,14 +58,28 @@ def gram_hashes(data: bytes) -> np.ndarray:
     return _mix(total)
 
 
-def owned_runs(data: bytes) -> Iterator[tuple[np.ndarray, ...]]:
-    """For stretches of the text: samples' hashes, positions, first and last + 1 owned string, hashes of runs and of strings.
+def stretches(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """The texts in groups of about CHUNK bytes, as (number of the text, offset in it, bytes); long texts go in
+    pieces that overlap by LENGTH - 1, texts under LENGTH bytes are left out."""
+    held, size = [], 0
+    for k, data in enumerate(texts):
+        for begin in range(0, len(data) - LENGTH + 1, CHUNK):
+            piece = data[begin : begin + CHUNK + LENGTH - 1]
+            if held and size + len(piece) > CHUNK:
+                yield held
+                held, size = [], 0
+            held.append((k, begin, piece))
+            size += len(piece)
+    if held:
+        yield held
 
-    The hashes of strings are for all starts from the stretch's begin, which comes last.
-    """
+
+def owned_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The samples of the texts, some texts at a time. Of each sample: number of its text, hash, position, first and
+    last + 1 owned string (in its text), hash of that run, and where its strings begin in the last array, the hashes of strings."""
     window = LENGTH - GRAM + 1
-    for begin in range(0, max(0, len(data) - LENGTH + 1), CHUNK):
-        part = data[begin : begin + CHUNK + LENGTH - 1]
+    for pieces in stretches(texts):
+        part = b"".join(p for _, _, p in pieces)
         h = gram_hashes(part)
         least = (h & ~LOW) | np.arange(len(h), dtype=np.uint64)  # ties: the first
         size = 1
@@ -69,13 +88,24 @@ def owned_runs(data: bytes) -> Iterator[tuple[np.ndarray, ...]]:
             size *= 2
         if window > size:
             least = np.minimum(least[: len(least) - (window - size)], least[window - size :])
-        owner = (least & LOW).astype(np.int64)
-        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        last = np.append(first[1:], len(owner))
-        at = owner[first]
-        strings = _mix(h[: len(owner)] * _ODD[1] + h[LENGTH - GRAM : LENGTH - GRAM + len(owner)] * _ODD[2])
-        runs = _mix(strings[first] * _ODD[3] + strings[last - 1] * _ODD[0] + (last - first).astype(np.uint64) * _ODD[4] + (at - first).astype(np.uint64) * _ODD[5])
-        yield h[at], at + begin, first + begin, last + begin, runs, strings, begin
+        # only strings that lie in one piece count; the sample that owns one lies in the same piece
+        lengths = np.array([len(p) for _, _, p in pieces])
+        starts = lengths - (LENGTH - 1)
+        shift = np.cumsum(lengths) - lengths
+        of = np.repeat(np.arange(len(pieces)), starts)
+        start = np.arange(len(of)) + np.repeat(shift - (np.cumsum(starts) - starts), starts)
+        owner = (least[start] & LOW).astype(np.int64)
+        begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        end = np.append(begin[1:], len(owner))
+        at, first, last = owner[begin], start[begin], start[end - 1] + 1
+        strings = _mix(h[start] * _ODD[1] + h[start + LENGTH - GRAM] * _ODD[2])
+        runs = _mix(strings[begin] * _ODD[3] + strings[end - 1] * _ODD[0] + (last - first).astype(np.uint64) * _ODD[4] + (at - first).astype(np.uint64) * _ODD[5])
+        text, offset = np.array([k for k, _, _ in pieces])[of[begin]], (np.array([o for _, o, _ in pieces]) - shift)[of[begin]]
+        yield text, h[at], at + offset, first + offset, last + offset, runs, begin, strings
+
+
+def encoded(texts) -> list[bytes]:
+    return [t.encode("utf-8", "surrogatepass") for t in texts]
 
 
 def _frames(columns: list[str], parts: Iterator[tuple], most: int = 400_000) -> Iterator[pd.DataFrame]:
@@ -91,76 +121,131 @@ def _frames(columns: list[str], parts: Iterator[tuple], most: int = 400_000) ->
         yield pd.DataFrame({c: np.concatenate([h[k] for h in held]) for k, c in enumerate(columns)})
 
 
-def _samples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def parts():
-        for batch in batches:
-            for row, text in zip(batch["row"], batch["text"], strict=True):
-                for h, at, *_ in owned_runs(text.encode("utf-8", "surrogatepass")):
-                    yield h.view(np.int64), np.full(len(h), row, np.int64), at
+def _samples(buckets: int):
+    """Sample tuples, dealt to ``buckets`` ranges of the hash; a row has a frame's tuples of one range as bytes."""
+
+    def samples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def parts():
+            for batch in batches:
+                rows = batch["row"].to_numpy(np.int64)
+                for text, h, at, *_ in owned_runs(encoded(batch["text"])):
+                    yield h, rows[text], at
 
-    for frame in _frames(["h", "row", "at"], parts()):
-        yield _known_here(frame)
+        for frame in _frames(["h", "row", "at"], parts()):
+            yield _dealt(*_known_here(*(frame[c].to_numpy() for c in ("h", "row", "at"))), buckets)
 
+    return samples
 
-def _known_here(frame: pd.DataFrame) -> pd.DataFrame:
-    """Mark tuples whose hash recurs within the frame, by a negative position; all but the first of them get a key of their own.
+
+def _known_here(h: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mark tuples whose hash recurs among these, by a negative position; all but the first of them get a key of their own.
 
     Those are known to recur and need not meet the others, so that a passage that a third of all
     documents share sends one tuple a frame to its key, and the rest anywhere.
     """
-    h, row, at = (frame[c].to_numpy(np.int64) for c in ("h", "row", "at"))
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     later = np.zeros(len(h), bool)
     later[order] = np.append(False, same)
     known = later.copy()
     known[order] |= np.append(same, False)
-    own = _mix(row.view(np.uint64) * _ODD[0] + at.view(np.uint64) * _ODD[1]).view(np.int64)
-    return pd.DataFrame({"h": np.where(later, own, h), "row": row, "at": np.where(known, -1 - at, at).astype(np.int32)})
+    own = _mix(row.view(np.uint64) * _ODD[0] + at.view(np.uint64) * _ODD[1])
+    return np.where(later, own, h), row, np.where(known, -1 - at, at).astype(np.int32)
 
 
-def _recurring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of tuples sorted by key, those marked and those with an equal neighbour; batches may cut a group anywhere."""
-    held = None  # the last tuple, and whether it has been passed on
-    for batch in batches:
-        if not len(batch):
-            continue
-        h, at = batch["h"].to_numpy(), batch["at"].to_numpy()
-        same = h[1:] == h[:-1]
-        keep = np.append(False, same) | np.append(same, False) | (at < 0)
-        batch = batch.assign(at=np.where(at < 0, -1 - at, at))
-        if held is not None and held[0] == h[0]:
-            keep[0] = True
-            if not held[3]:
-                yield pd.DataFrame({"row": [held[1]], "at": [held[2]]})
-        yield batch.loc[keep, ["row", "at"]]
-        held = (h[-1], batch["row"].iloc[-1], batch["at"].iloc[-1], bool(keep[-1]))
+def _dealt(h: np.ndarray, row: np.ndarray, at: np.ndarray, buckets: int) -> pd.DataFrame:
+    bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    there, first = np.unique(bucket[order], return_index=True)
+    cuts = [*first.tolist(), len(h)]
+    low, row, at = h[order].astype(np.uint32), row[order], at[order]  # within a bucket 32 bits tell tuples apart well enough
+    return pd.DataFrame({"bucket": there, **{name: [v[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] for name, v in (("h", low), ("row", row), ("at", at))}})
 
 
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def parts():
-        for batch in batches:
-            for row, order, text, places in zip(batch["row"], batch["ord"], batch["text"], batch["places"], strict=True):
-                wanted = np.sort(np.asarray(places, np.int64))
-                for h, at, first, last, runs, _, _ in owned_runs(text.encode("utf-8", "surrogatepass")):
-                    k = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, at), len(wanted) - 1)] == at)
-                    if len(k):
-                        yield h[k].view(np.int64), runs[k].view(np.int64), np.full(len(k), order, np.int64), np.full(len(k), row, np.int64), first[k], last[k]
+class _Meeting:
+    """The tuples of one bucket: recurring ones are passed on, one of each hash is kept for those to come.
+
+    Memory follows the distinct hashes of the bucket, not how often one comes.
+    """
 
-    return _frames(["h", "run", "ord", "row", "first", "last"], parts())
+    def __init__(self):
+        self.h, self.row, self.at, self.done = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool)
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+        self.rows = 0
+
+    def add(self, h: bytes, row: bytes, at: bytes) -> None:
+        self.waiting.append((np.frombuffer(h, np.uint32), np.frombuffer(row, np.int64), np.frombuffer(at, np.int32)))
+        self.rows += len(self.waiting[-1][0])
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row, at) of the tuples that are newly known to recur."""
+        h, row, at = (np.concatenate([own, *new]) for own, new in zip((self.h, self.row, self.at), zip(*self.waiting, strict=True) if self.waiting else ((), (), ()), strict=True))
+        done = np.append(self.done, np.zeros(len(h) - len(self.done), bool))
+        order = np.argsort(h, kind="stable")
+        h, row, at, done = h[order], row[order], at[order], done[order]
+        same = h[1:] == h[:-1]
+        again = np.append(False, same) | np.append(same, False) | (at < 0)
+        out = again & ~done
+        found = row[out], np.where(at < 0, -1 - at, at)[out]
+        one = np.append(True, ~same)[: len(h)]
+        self.h, self.row, self.at, self.done = h[one], row[one], at[one], (again | done)[one]
+        self.waiting, self.rows = [], 0
+        return found
+
+
+def _recurring(batches: Iterator[pd.DataFrame], most: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """(cell, places): of the tuples of sorted buckets those that recur, by the cell of their text."""
+
+    def places(row: np.ndarray, at: np.ndarray) -> pd.DataFrame:
+        order = np.argsort(row, kind="stable")
+        row, at = row[order], at[order]
+        cell = row >> CELL_BITS
+        there, first = np.unique(cell, return_index=True)
+        cuts = [*first.tolist(), len(cell)]
+        return pd.DataFrame({"cell": there, **{name: [v[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] for name, v in (("rows", row), ("places", at))}})
+
+    bucket, met = None, _Meeting()
+    for batch in batches:
+        for b, h, row, at in zip(batch["bucket"].tolist(), batch["h"], batch["row"], batch["at"], strict=True):
+            if b != bucket or met.rows >= most:
+                yield places(*met.settle())
+                if b != bucket:
+                    bucket, met = b, _Meeting()
+            met.add(h, row, at)
+    yield places(*met.settle())
+
+
+def _runs(key: tuple, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    """The runs of the recurring samples of one cell's texts."""
+    columns = ["h", "run", "ord", "row", "first", "last"]
+    if not len(found) or not len(texts):
+        return pd.DataFrame({c: np.empty(0, np.int64) for c in columns})
+    rows, order = texts["row"].to_numpy(np.int64), texts["ord"].to_numpy(np.int64)
+    number = np.argsort(rows, kind="stable")
+    of = number[np.searchsorted(rows[number], np.frombuffer(b"".join(found["rows"]), np.int64))]
+    wanted = np.sort((of.astype(np.int64) << 32) | np.frombuffer(b"".join(found["places"]), np.int32))
+    out = []
+    for text, h, at, first, last, runs, *_ in owned_runs(encoded(texts["text"])):
+        here = (text.astype(np.int64) << 32) | at
+        k = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, here), len(wanted) - 1)] == here)
+        out.append((h[k].view(np.int64), runs[k].view(np.int64), order[text[k]], rows[text[k]], first[k], last[k]))
+    return pd.DataFrame({c: np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k, c in enumerate(columns)})
 
 
 def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The strings of the runs that begin at ``firsts``, each with its place."""
+
     def parts():
         for batch in batches:
-            for row, order, text, wanted in zip(batch["row"], batch["ord"], batch["text"], batch["firsts"], strict=True):
-                wanted = np.sort(np.asarray(wanted, np.int64))
-                for h, _, first, last, _, strings, begin in owned_runs(text.encode("utf-8", "surrogatepass")):
-                    k = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, first), len(wanted) - 1)] == first)
-                    if len(k):
-                        n = last[k] - first[k]
-                        at = np.repeat(first[k] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-                        yield np.repeat(h[k], n).view(np.int64), strings[at - begin].view(np.int64), np.full(len(at), order, np.int64), np.full(len(at), row, np.int64), at
+            rows, order = batch["row"].to_numpy(np.int64), batch["ord"].to_numpy(np.int64)
+            wanted = np.sort(np.concatenate([(np.int64(k) << 32) | np.asarray(f, np.int64) for k, f in enumerate(batch["firsts"])]))
+            for text, h, _, first, last, _, begin, strings in owned_runs(encoded(batch["text"])):
+                here = (text.astype(np.int64) << 32) | first
+                k = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, here), len(wanted) - 1)] == here)
+                if len(k):
+                    n = last[k] - first[k]
+                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    yield np.repeat(h[k], n).view(np.int64), strings[np.repeat(begin[k], n) + step].view(np.int64), np.repeat(order[text[k]], n), np.repeat(rows[text[k]], n), np.repeat(first[k], n) + step
 
     return _frames(["h", "string", "ord", "row", "at"], parts())
 
@@ -189,18 +274,25 @@ def repeats(docs: DataFrame) -> DataFrame:
     Null ids count as larger than any other and as equal to each other; documents with equal ids do not take from one
     another. Null and short texts lose nothing. Every row of ``docs`` gives one row.
     """
-    scratch = Scratch(docs.sparkSession)
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
     order = F.coalesce("doc_id", F.lit(LAST))
     rows = docs.select("doc_id", order.alias("ord"), text_of().alias("text"))
     size = F.octet_length("text").cast("long")
-    keys = scratch.save(rows.select("doc_id", "ord", size.alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("digest")), "keys")
-    once = rows.where(size >= LENGTH).groupBy(F.unhex(F.sha2("text", 256)).alias("digest")).agg(F.min("ord").alias("ord"), F.first("text").alias("text"))
-    texts = scratch.save(once.withColumn("row", F.monotonically_increasing_id()), "texts")
-
-    tuples = texts.select("row", "text").mapInPandas(_samples, "h long, row long, at int")
-    again = scratch.save(tuples.repartition("h").sortWithinPartitions("h").mapInPandas(_recurring, "row long, at int"), "recurring")
-    places = again.groupBy("row").agg(F.collect_list("at").alias("places"))  # of one text
-    runs = texts.select("row", "ord", "text").join(places, "row").mapInPandas(_runs, "h long, run long, ord long, row long, first int, last int")
+    digest = F.unhex(F.sha2("text", 256)).alias("digest")
+    keys = scratch.save(rows.select("doc_id", "ord", size.alias("n_bytes"), digest), "keys")
+    once = rows.where(size >= LENGTH).groupBy(digest).agg(F.min("ord").alias("ord"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    number = F.monotonically_increasing_id()
+    alone = F.lit(-1) - F.shiftleft(number, CELL_BITS)  # a cell that no other row has
+    texts = scratch.save(once.withColumn("row", F.when(F.octet_length("text") > LONG, alone).otherwise(number)), "texts")
+
+    total = keys.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    buckets = max(spark.sparkContext.defaultParallelism, -(-total // BUCKET_BYTES))
+    tuples = texts.select("row", "text").mapInPandas(_samples(buckets), "bucket int, h binary, row binary, at binary")
+    again = tuples.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_recurring, "cell long, rows binary, places binary")
+    again = scratch.save(again, "recurring")
+    cell = F.shiftright("row", CELL_BITS).alias("cell")
+    runs = texts.select("row", "ord", "text", cell).groupBy("cell").cogroup(again.groupBy("cell")).applyInPandas(_runs, "h long, run long, ord long, row long, first int, last int")
     runs = scratch.save(runs, "runs")
     scratch.drop("recurring")
 
@@ -236,10 +328,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     cut = texts.select("row", "digest", "text").join(spans, "row").select("digest", "text", "spans")
     cut = cut.mapInPandas(_cut, "digest binary, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
     cut = scratch.save(cut, "cut")
-    found = texts.select("digest", F.col("ord").alias("first_ord")).join(cut, "digest", "left")
+    found = texts.select("digest", F.col("ord").alias("first_ord"), "copies").join(cut, "digest", "left")
     copy, whole_digest = F.col("ord") > F.col("first_ord"), F.lower(F.hex("digest"))
     own = lambda c, none: F.coalesce(F.col(c), none)
-    return keys.join(found, "digest", "left").select(
+    # at most HOT texts have a HOT-th of all rows or more each: their rows meet them without a shuffle
+    crowd = F.col("copies") >= max(2, -(-keys.count() // HOT))
+    hot = F.broadcast(found.where(crowd))
+    joined = keys.join(hot, "digest").unionByName(keys.join(hot.select("digest"), "digest", "left_anti").join(found.where(~crowd), "digest", "left"))
+    return joined.select(
         "doc_id", "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(own("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(copy, F.lit(1).cast("long")).otherwise(own("n_spans", F.lit(0).cast("long"))).alias("n_spans"),
