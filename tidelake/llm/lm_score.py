@@ -1,82 +1,164 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models share one vocabulary: the target model counts the documents labelled good, the
-background model all documents. A token's loss is its negative log probability after the token
-before it; a document's score is the mean over its tokens of target loss less background loss, so
+Two bigram models share one vocabulary, all words of all documents: the target model counts the documents
+labelled good, the background model all documents. A token's loss is its negative log probability after the
+token before it; a document's score is the mean over its tokens of target loss less background loss, so
 that a lower score stands nearer to the target.
 
-Both models: P(w|h) = (c(h,w) + MU * P(w)) / (c(h) + MU), P(w) = (c(w) + 1) / (N + size of the vocabulary).
-The vocabulary has all words seen at least 2^k times in all documents, with the least k that keeps it at
-2^16 words; other words are one unknown word. That bound is the model's; counts cover all documents, and the
-table of pairs grows with them. Pairs seen often (at most 2^19, by the same rule) are looked up in tasks;
-all others are joined.
+Both models: P(w|h) = (c(h,w) + MU * P(w)) / (c(h) + MU), P(w) = (c(w) + 1) / (N + number of words + 1).
+Nothing is cut: the vocabulary and the pairs grow with the corpus, and are never in one place.
+
+Documents are dealt to cells. A cell asks for the counts that it needs: once for each distinct pair, word and context
+in it, with its own counts, under the key's 64-bit hash. Tasks that each own a range of hashes add up what all cells
+say and answer every question; the cells then score their documents. A pair that all documents have is asked
+for once a cell, so that no task gets more of it than there are cells.
 """
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import words_of
-from .shared import Scratch
-
-MU, WORDS, HEAD, SHIFT = 2.0, 1 << 16, 1 << 19, 20
-START, UNKNOWN = 0, 1
-
-
-def often(counted: DataFrame, most: int) -> int:
-    """The least power of two such that at most ``most`` rows have that count ``n`` or a larger one."""
-    by_size = counted.groupBy(F.length(F.bin("n")).alias("bits")).agg(F.count(F.lit(1)).alias("rows")).collect()  # at most 64 rows
-    total, least = 0, 1 << 62
-    for r in sorted(by_size, key=lambda r: -r["bits"]):
-        total += r["rows"]
-        if total > most:
-            break
-        least = 1 << (r["bits"] - 1)
-    return least
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            n = Counter()
-            for text in batch["text"]:
-                n.update(words_of(text))
-            yield pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in n], "n": list(n.values())})
-
-    return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _pairs(text, number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """A text's distinct pairs, previous word << SHIFT | word, and their counts."""
-    ids = np.array([START, *[number.get(w, UNKNOWN) for w in words_of(text)]], np.int64)
-    return np.unique((ids[:-1] << SHIFT) | ids[1:], return_counts=True)
-
-
-def pair_counts(docs: DataFrame, number) -> DataFrame:
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [_pairs(t, number.value) for t in batch["text"]]
-            pairs, where = np.unique(np.concatenate([p for p, _ in found]), return_inverse=True)
-            yield pd.DataFrame({"pair": pairs, "n": np.bincount(where, np.concatenate([n for _, n in found]), len(pairs)).astype(np.int64)})
-
-    return docs.select("text").mapInPandas(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-def _losses(model: DataFrame, words: DataFrame, totals) -> DataFrame:
-    """target_loss and background_loss of each pair of ``model`` (pair, n, target_n). words: counts of contexts and words, by id."""
-    size = totals["size"]
-    previous = words.select(F.col("id").alias("prev"), F.col("h").alias("h_all"), F.col("h_t").alias("h_target"))
-    current = words.select(F.col("id").alias("cur"), F.col("w").alias("w_all"), F.col("w_t").alias("w_target"))
-    joined = (
-        model.withColumn("prev", F.shiftright("pair", SHIFT)).withColumn("cur", F.col("pair").bitwiseAND(F.lit((1 << SHIFT) - 1)))
-        .join(F.broadcast(previous), "prev").join(F.broadcast(current), "cur")
-    )
-    loss = lambda n, h, w, total: -F.log((F.col(n) + MU * (F.col(w) + 1) / (total + size)) / (F.col(h) + MU))
-    return joined.select("pair", loss("target_n", "h_target", "w_target", totals["target"]).alias("target_loss"), loss("n", "h_all", "w_all", totals["all"]).alias("background_loss"))
+from .shared import ODD, Scratch, bucket_of, cell_of, dealt, mix, row_number, text_of
+
+MU = 2.0
+CELL_BITS, LONG = 10, 1 << 16
+#: Bytes of text whose pairs make a bucket; words and contexts are fewer.
+BUCKET_BYTES = 20_000_000
+START = np.uint64(0)
+KINDS = range(3)  # pairs, words, contexts
+
+
+class _Hashes(dict):
+    """The 64-bit hashes of words, as signed integers; up to ``keep`` are remembered."""
+
+    def __init__(self, keep: int = 300_000):
+        self.keep = keep
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.keep:
+            self.clear()
+        h = xxhash.xxh64_intdigest(word)
+        self[word] = h = h - (1 << 64) if h >> 63 else h
+        return h
+
+
+_hashes = _Hashes()
+
+
+class _Cell:
+    """The tokens of a cell's texts, and the keys of their counts: for each kind the distinct keys in order."""
+
+    def __init__(self, texts):
+        words, sizes = [], []
+        for t in texts:
+            w = words_of(t)
+            words += w
+            sizes.append(len(w))
+        self.sizes = np.array(sizes, np.int64)
+        self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
+        word = np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words)).view(np.uint64)
+        context = np.empty_like(word)
+        context[1:] = word[:-1]
+        context[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = START
+        self.orders, self.firsts, self.keys = [], [], []
+        for key in (mix(context * ODD[0] + word * ODD[1] + ODD[2]), word, context):
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))[: len(key)]
+            self.orders.append(order)
+            self.firsts.append(first)
+            self.keys.append(key[order[first]])
+
+    def totals(self, kind: int, each: np.ndarray) -> np.ndarray:
+        """Sums of a token's values by distinct key."""
+        return np.add.reduceat(each[self.orders[kind]], self.firsts[kind]) if len(each) else np.zeros(0, each.dtype)
+
+    def spread(self, kind: int, values: np.ndarray) -> np.ndarray:
+        """A value of each distinct key, for every token."""
+        out = np.empty(len(self.doc))
+        out[self.orders[kind]] = np.repeat(values, np.diff(np.append(self.firsts[kind], len(self.doc))))
+        return out
+
+
+def _small(values: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs; none if all are 0."""
+    top = int(values.max(initial=0))
+    return b"" if not top else values.astype(next(t for t in ("u1", "u2", "u4", "u8") if top < 1 << 8 * int(t[1]))).tobytes()
+
+
+def _large(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64) if data else np.zeros(n, np.int64)
+
+
+QUESTIONS = "kind int, bucket int, cell long, keys binary, n binary, target_n binary"
+ANSWERS = "cell long, kind int, bucket int, n binary, target_n binary, distinct long, tokens long, target_tokens long"
+
+
+def _ask(buckets: list[int]):
+    def ask(key: tuple, docs: pd.DataFrame) -> pd.DataFrame:
+        cell, out = _Cell(docs["text"]), []
+        good = docs["good"].to_numpy(bool)[cell.doc].astype(np.int64)
+        for kind in KINDS:
+            n, target = cell.totals(kind, np.ones_like(good)), cell.totals(kind, good)
+            frame = dealt("bucket", bucket_of(cell.keys[kind], buckets[kind]), {"keys": cell.keys[kind], "n": n, "target_n": target})
+            for c in ("n", "target_n"):
+                frame[c] = [_small(np.frombuffer(x, np.int64)) for x in frame[c]]
+            out.append(frame.assign(kind=kind, cell=key[0]))
+        return pd.concat(out)[["kind", "bucket", "cell", "keys", "n", "target_n"]]
+
+    return ask
+
+
+def _answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Questions arrive sorted by kind and bucket. Each gets the sums over all questions; a bucket of words also says how many there are."""
+
+    def settle(asked: list[tuple]) -> pd.DataFrame:
+        kind, bucket = asked[0][:2]
+        keys = [np.frombuffer(q[3], np.uint64) for q in asked]
+        key, where = np.unique(np.concatenate(keys), return_inverse=True)
+        n, target = (np.bincount(where, np.concatenate([_large(q[c], len(k)) for q, k in zip(asked, keys, strict=True)]), len(key)).astype(np.int64) for c in (4, 5))
+        cuts = np.append(0, np.cumsum([len(k) for k in keys])).tolist()
+        told = [where[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        out = [(q[2], kind, bucket, _small(n[w]), _small(target[w]), None, None, None) for q, w in zip(asked, told, strict=True)]
+        if kind == 1:
+            out.append((None, kind, bucket, None, None, len(key), int(n.sum()), int(target.sum())))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWERS.split(", ")]).astype({c: "Int64" for c in ("cell", "distinct", "tokens", "target_tokens")})
+
+    asked: list[tuple] = []
+    for batch in batches:
+        for q in batch.itertuples(index=False, name=None):
+            if asked and q[:2] != asked[0][:2]:
+                yield settle(asked)
+                asked = []
+            asked.append(q)
+    if asked:
+        yield settle(asked)
+
+
+def _score(size: int, tokens: int, target_tokens: int, buckets: list[int]):
+    def score(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        """The losses of a cell's documents. Its buckets are ranges of the keys, so that answers in the buckets' order are in the keys' order."""
+        cell = _Cell(docs["text"])
+        losses = []
+        told = [answers[answers["kind"] == kind].sort_values("bucket") for kind in KINDS]
+        for counts, total in (("n", tokens), ("target_n", target_tokens)):
+            values = []
+            for kind in KINDS:
+                bucket = np.unique(bucket_of(cell.keys[kind], buckets[kind]), return_counts=True)[1] if len(cell.keys[kind]) else []
+                parts = [_large(x, int(k)) for x, k in zip(told[kind][counts], bucket, strict=True)]
+                values.append(cell.spread(kind, np.concatenate(parts)) if parts else np.zeros(0))
+            pair, word, context = values
+            each = -np.log((pair + MU * (word + 1) / (total + size)) / (context + MU))
+            losses.append(np.bincount(cell.doc, each, len(docs)))
+        n = cell.sizes
+        mean = [np.where(n > 0, x / np.maximum(n, 1), np.nan) for x in losses]
+        return pd.DataFrame({"doc_id": docs["doc_id"], "none": docs["none"], "n_tokens": n, "target_loss": mean[1], "background_loss": mean[0]})
+
+    return score
 
 
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -84,59 +166,31 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
 
     A document without tokens (null and empty texts) has 0 tokens and null losses and score. Repeated rows are
     scored each, and counted as often as they come; repeated target ids count once; null ids are no target.
-    Without target documents the target model is the uniform one over the vocabulary.
+    Without target documents the target model is the uniform one over the vocabulary. Other columns are not
+    looked at, whatever their names. No rows give no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    docs = docs.select("doc_id", "text")
-    counted = scratch.save(word_counts(docs), "words")
-    kept = counted.where(F.col("n") >= often(counted, WORDS)).select("word").toLocalIterator()  # at most WORDS rows
-    number = {w: k for k, w in enumerate(sorted(r["word"].encode() for r in kept), UNKNOWN + 1)}
-    scratch.drop("words")
-    shared = spark.sparkContext.broadcast(number)
-    pairs = scratch.save(pair_counts(docs, shared), "pairs")
-    chosen = docs.join(target.select("doc_id").where("doc_id is not null"), "doc_id", "left_semi")
-    model = scratch.save(pairs.join(pair_counts(chosen, shared).withColumnRenamed("n", "target_n"), "pair", "left").na.fill(0, ["target_n"]), "model")
-    scratch.drop("pairs")
-    prev, cur = F.shiftright("pair", SHIFT), F.col("pair").bitwiseAND(F.lit((1 << SHIFT) - 1))
-    sides = model.select(F.explode(F.array(F.struct(prev.alias("id"), F.lit(1).alias("as_h"), F.lit(0).alias("as_w")), F.struct(cur.alias("id"), F.lit(0).alias("as_h"), F.lit(1).alias("as_w")))).alias("s"), "n", "target_n")
-    words = scratch.save(sides.groupBy("s.id").agg(*[F.sum(F.col(f"s.as_{x}") * F.col(n)).alias(name) for x in "hw" for n, name in (("n", x), ("target_n", f"{x}_t"))]), "ids")  # at most WORDS + 2 rows
-    sums = words.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("all"), F.coalesce(F.sum("w_t"), F.lit(0)).alias("target")).first()
-    totals = {"all": sums["all"], "target": sums["target"], "size": len(number) + 1}
-    least = often(model, HEAD)
-    head = _losses(model.where(F.col("n") >= least), words, totals).toPandas().sort_values("pair")  # at most HEAD rows
-    known = spark.sparkContext.broadcast(tuple(head[c].to_numpy() for c in ("pair", "target_loss", "background_loss")))
-
-    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """For each document a row with the sums over the pairs known here, and a row for each other pair.
-
-        The first has a negative pair of its own, which meets nothing in the join.
-        """
-        keys, target_loss, background_loss = known.value
-        for batch in batches:
-            out = {c: [] for c in ("row", "pair", "n", "tokens", "t", "b")}
-            for row, text in zip(batch["row"], batch["text"], strict=True):
-                p, n = _pairs(text, shared.value)
-                at = np.minimum(np.searchsorted(keys, p), max(0, len(keys) - 1))
-                here = keys[at] == p if len(keys) else np.zeros(len(p), bool)
-                zeros = np.zeros(len(p) - int(here.sum()))
-                out["row"].append(np.full(1 + len(zeros), row, np.int64))
-                out["pair"].append(np.append(-1 - row, p[~here]))
-                out["n"].append(np.append(0, n[~here]))
-                out["tokens"].append(np.append(n.sum(), zeros.astype(np.int64)))
-                out["t"].append(np.append((n[here] * target_loss[at[here]]).sum(), zeros))
-                out["b"].append(np.append((n[here] * background_loss[at[here]]).sum(), zeros))
-            yield pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
-
-    rows = docs.withColumn("row", F.monotonically_increasing_id())
-    parts = rows.select("row", "text").mapInPandas(look_up, "row long, pair long, n long, tokens long, t double, b double")
-    found = parts.join(_losses(model.where(F.col("n") < least), words, totals), "pair", "left")
-    plus = lambda known_here, loss: F.sum(F.col(known_here) + F.col("n") * F.coalesce(loss, F.lit(0.0)))
-    sums = found.groupBy("row").agg(F.sum("tokens").alias("n_tokens"), plus("t", "target_loss").alias("t"), plus("b", "background_loss").alias("b"))
-    mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
-    return rows.select("row", "doc_id").join(sums, "row").select(
-        "doc_id", "n_tokens", mean("t").alias("target_loss"), mean("b").alias("background_loss"), (mean("t") - mean("b")).alias("score")
-    )
+    docs = docs.select("doc_id", text_of().alias("text"))
+    ids = target.select("doc_id").where("doc_id is not null").distinct().withColumn("good", F.lit(True))
+    known = docs.where("doc_id is not null").join(ids, "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
+    marked = known.unionByName(docs.where("doc_id is null").withColumn("good", F.lit(False)))
+    size = F.octet_length("text")
+    rows = scratch.save(marked.select("doc_id", "text", "good", size.cast("long").alias("bytes"), row_number(size, CELL_BITS, LONG)), "rows")
+    # pandas has no null among whole numbers: a null id travels as 0 with a mark
+    texts = rows.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text", "good", cell_of("row", CELL_BITS))
+    total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    most = max(spark.sparkContext.defaultParallelism, -(-total // BUCKET_BYTES))
+    buckets = [most, -(-most // 8), -(-most // 8)]
+    asked = texts.select("text", "good", "cell").groupBy("cell").applyInPandas(_ask(buckets), QUESTIONS)
+    answers = asked.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInPandas(_answer, ANSWERS)
+    answers = scratch.save(answers, "answers")
+    sums = answers.where("cell is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("distinct", "tokens", "target_tokens")]).first()
+    made = _score(sums["distinct"] + 1, sums["tokens"], sums["target_tokens"], buckets)
+    told = answers.where("cell is not null").select("cell", "kind", "bucket", "n", "target_n")
+    out = texts.drop("good").groupBy("cell").cogroup(told.groupBy("cell")).applyInPandas(made, "doc_id long, none boolean, n_tokens long, target_loss double, background_loss double")
+    loss = lambda c: F.when(F.col("n_tokens") > 0, F.col(c)).alias(c)
+    return out.select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "n_tokens", loss("target_loss"), loss("background_loss")).withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def op8_lm_score(spark, sf_dir: str) -> DataFrame:
@@ -150,13 +204,8 @@ OP8_SQL = r"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws,
                  doc_id in (select doc_id from labels where quality = 1) as good from documents),
 t as (select doc_id, good, unnest(ws) as word, unnest(range(len(ws))) as pos from d),
-wc as (select word, count(*) as n from t group by word),
-sizes as (select length(bin(n)) as bits, count(*) as words from wc group by 1),
-cut as (select coalesce(min(1 << (bits - 1)), 1 << 62) as least from (select bits, sum(words) over (order by bits desc) as total from sizes) where total <= 65536),
-vocabulary as (select word from wc where n >= (select least from cut)),
-v as (select count(*) + 1 as size from vocabulary),
-k as (select t.doc_id, t.good, t.pos, case when vocabulary.word is null then '<unk>' else t.word end as word from t left join vocabulary using (word)),
-p as (select doc_id, good, word, coalesce(lag(word) over (partition by doc_id order by pos), '<s>') as prev from k),
+v as (select count(distinct word) + 1 as size from t),
+p as (select doc_id, good, word, coalesce(lag(word) over (partition by doc_id order by pos), '<s>') as prev from t),
 hw as (select prev, word, count(*) as n, count(*) filter (where good) as nt from p group by all),
 h as (select prev, sum(n) as n, sum(nt) as nt from hw group by prev),
 w as (select word, sum(n) as n, sum(nt) as nt from hw group by word),

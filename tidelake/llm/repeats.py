@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, text_of
+from .shared import ODD, Scratch, bucket_of, cell_of, dealt, mix, row_number, text_of
 
 LENGTH, GRAM = 50, 32
 CHUNK, LOW = 1 << 19, np.uint64((1 << 20) - 1)
@@ -38,24 +38,17 @@ CELL_BITS, LONG = 8, 1 << 18
 #: Bytes of text whose samples (one in about ten) make a bucket.
 BUCKET_BYTES = 20_000_000
 HOT = 2_000
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _ODD[4]
-    x = (x ^ (x >> np.uint64(29))) * _ODD[5]
-    return x ^ (x >> np.uint64(32))
 
 
 def gram_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash of each GRAM bytes."""
     n = len(data) - 7
-    words = _mix(np.ndarray((n,), "<u8", data, 0, (1,)) * _ODD[0] + _ODD[1])
+    words = mix(np.ndarray((n,), "<u8", data, 0, (1,)) * ODD[0] + ODD[1])
     n = len(data) - GRAM + 1
-    total = words[:n] * _ODD[0]
+    total = words[:n] * ODD[0]
     for k in range(1, GRAM // 8):
-        total = total + words[8 * k : 8 * k + n] * _ODD[k]
-    return _mix(total)
+        total = total + words[8 * k : 8 * k + n] * ODD[k]
+    return mix(total)
 
 
 def stretches(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -98,8 +91,8 @@ def owned_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         end = np.append(begin[1:], len(owner))
         at, first, last = owner[begin], start[begin], start[end - 1] + 1
-        strings = _mix(h[start] * _ODD[1] + h[start + LENGTH - GRAM] * _ODD[2])
-        runs = _mix(strings[begin] * _ODD[3] + strings[end - 1] * _ODD[0] + (last - first).astype(np.uint64) * _ODD[4] + (at - first).astype(np.uint64) * _ODD[5])
+        strings = mix(h[start] * ODD[1] + h[start + LENGTH - GRAM] * ODD[2])
+        runs = mix(strings[begin] * ODD[3] + strings[end - 1] * ODD[0] + (last - first).astype(np.uint64) * ODD[4] + (at - first).astype(np.uint64) * ODD[5])
         text, offset = np.array([k for k, _, _ in pieces])[of[begin]], (np.array([o for _, o, _ in pieces]) - shift)[of[begin]]
         yield text, h[at], at + offset, first + offset, last + offset, runs, begin, strings
 
@@ -132,7 +125,9 @@ def _samples(buckets: int):
                     yield h, rows[text], at
 
         for frame in _frames(["h", "row", "at"], parts()):
-            yield _dealt(*_known_here(*(frame[c].to_numpy() for c in ("h", "row", "at"))), buckets)
+            h, row, at = _known_here(*(frame[c].to_numpy() for c in ("h", "row", "at")))
+            # within a bucket 32 bits tell hashes apart well enough: a chance match costs work, no wrong result
+            yield dealt("bucket", bucket_of(h, buckets), {"h": h.astype(np.uint32), "row": row, "at": at})
 
     return samples
 
@@ -149,19 +144,10 @@ def _known_here(h: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     later[order] = np.append(False, same)
     known = later.copy()
     known[order] |= np.append(same, False)
-    own = _mix(row.view(np.uint64) * _ODD[0] + at.view(np.uint64) * _ODD[1])
+    own = mix(row.view(np.uint64) * ODD[0] + at.view(np.uint64) * ODD[1])
     return np.where(later, own, h), row, np.where(known, -1 - at, at).astype(np.int32)
 
 
-def _dealt(h: np.ndarray, row: np.ndarray, at: np.ndarray, buckets: int) -> pd.DataFrame:
-    bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    there, first = np.unique(bucket[order], return_index=True)
-    cuts = [*first.tolist(), len(h)]
-    low, row, at = h[order].astype(np.uint32), row[order], at[order]  # within a bucket 32 bits tell tuples apart well enough
-    return pd.DataFrame({"bucket": there, **{name: [v[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] for name, v in (("h", low), ("row", row), ("at", at))}})
-
-
 class _Meeting:
     """The tuples of one bucket: recurring ones are passed on, one of each hash is kept for those to come.
 
@@ -197,12 +183,7 @@ def _recurring(batches: Iterator[pd.DataFrame], most: int = 4_000_000) -> Iterat
     """(cell, places): of the tuples of sorted buckets those that recur, by the cell of their text."""
 
     def places(row: np.ndarray, at: np.ndarray) -> pd.DataFrame:
-        order = np.argsort(row, kind="stable")
-        row, at = row[order], at[order]
-        cell = row >> CELL_BITS
-        there, first = np.unique(cell, return_index=True)
-        cuts = [*first.tolist(), len(cell)]
-        return pd.DataFrame({"cell": there, **{name: [v[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] for name, v in (("rows", row), ("places", at))}})
+        return dealt("cell", row >> CELL_BITS, {"rows": row, "places": at})
 
     bucket, met = None, _Meeting()
     for batch in batches:
@@ -282,17 +263,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     digest = F.unhex(F.sha2("text", 256)).alias("digest")
     keys = scratch.save(rows.select("doc_id", "ord", size.alias("n_bytes"), digest), "keys")
     once = rows.where(size >= LENGTH).groupBy(digest).agg(F.min("ord").alias("ord"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    number = F.monotonically_increasing_id()
-    alone = F.lit(-1) - F.shiftleft(number, CELL_BITS)  # a cell that no other row has
-    texts = scratch.save(once.withColumn("row", F.when(F.octet_length("text") > LONG, alone).otherwise(number)), "texts")
+    texts = scratch.save(once.withColumn("row", row_number(F.octet_length("text"), CELL_BITS, LONG)), "texts")
 
     total = keys.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = max(spark.sparkContext.defaultParallelism, -(-total // BUCKET_BYTES))
     tuples = texts.select("row", "text").mapInPandas(_samples(buckets), "bucket int, h binary, row binary, at binary")
     again = tuples.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_recurring, "cell long, rows binary, places binary")
     again = scratch.save(again, "recurring")
-    cell = F.shiftright("row", CELL_BITS).alias("cell")
-    runs = texts.select("row", "ord", "text", cell).groupBy("cell").cogroup(again.groupBy("cell")).applyInPandas(_runs, "h long, run long, ord long, row long, first int, last int")
+    runs = texts.select("row", "ord", "text", cell_of("row", CELL_BITS)).groupBy("cell").cogroup(again.groupBy("cell")).applyInPandas(_runs, "h long, run long, ord long, row long, first int, last int")
     runs = scratch.save(runs, "runs")
     scratch.drop("recurring")
 

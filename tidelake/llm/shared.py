@@ -3,6 +3,8 @@
 import contextlib
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,41 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: Odd multipliers for hashing.
+ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """64-bit integers, each bit of which depends on all bits of ``x``."""
+    x = (x ^ (x >> np.uint64(32))) * ODD[4]
+    x = (x ^ (x >> np.uint64(29))) * ODD[5]
+    return x ^ (x >> np.uint64(32))
+
+
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Which of so many equal ranges of hash values each lies in."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
+def dealt(by: str, key: np.ndarray, columns: dict[str, np.ndarray]) -> pd.DataFrame:
+    """One row a value of ``key``, with the values of each column as bytes, in the order given: far fewer rows to shuffle."""
+    order = np.argsort(key, kind="stable")
+    there, first = np.unique(key[order], return_index=True)
+    cuts = [*first.tolist(), len(key)]
+    return pd.DataFrame({by: there, **{name: [v[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] for name, v in ((n, c[order]) for n, c in columns.items())}})
+
+
+def cell_of(row: str, bits: int) -> Column:
+    """The cell of a row number: 2 ** bits rows that were read together."""
+    return F.shiftright(row, bits).alias("cell")
+
+
+def row_number(size: Column, bits: int, long: int) -> Column:
+    """A number for each row; one whose ``size`` is over ``long`` gets a cell that no other row has."""
+    number = F.monotonically_increasing_id()
+    return F.when(size > long, F.lit(-1) - F.shiftleft(number, bits)).otherwise(number).alias("row")
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, rows_per_cell: int = 100_000) -> DataFrame:
     """Add ``out``: gapless numbers from 0 within each combination of ``keys``.
 
