@@ -109,7 +109,7 @@ def test_plan_is_optimal_on_small_cases():
     for seed in range(60):
         items = sorted(np.random.default_rng(seed).integers(1, 21, 10).tolist(), reverse=True)
         counts = dict(Counter(items))
-        found = packing.plan(counts, 20, nodes=500)
+        found = packing.plan(counts, 20)
         assert Counter({x: n for x, n in sum((Counter({x: p.count(x) * t for x in set(p)}) for p, t in found), Counter()).items()}) == Counter(items)
         assert all(sum(p) <= 20 for p, _ in found)
         assert packing.bound(counts, 20) <= sum(t for _, t in found) == least(items, 20)
@@ -118,13 +118,26 @@ def test_plan_is_optimal_on_small_cases():
 
 def test_plan_beyond_best_fit():
     r, counts = np.random.default_rng(1), Counter()
-    while counts.total() < 600:
+    while counts.total() < 3000:
         a, b = r.integers(550, 851, 2).tolist()
         if 550 <= 2048 - a - b <= 850:
             counts.update((a, b, 2048 - a - b))
     found = packing.plan(dict(counts))
     assert sum((Counter({x: p.count(x) * t for x in set(p)}) for p, t in found), Counter()) == counts
-    assert packing.bound(counts, 2048) == 200 and sum(t for _, t in found) <= 205 and all(sum(p) <= 2048 for p, _ in found)
+    assert packing.bound(counts, 2048) == 1000 and sum(t for _, t in found) <= 1010 and all(sum(p) <= 2048 for p, _ in found)
+
+
+def test_fillings_are_undominated():
+    for seed in range(30):
+        counts = Counter(np.random.default_rng(seed).integers(1, 15, 8).tolist())
+        bags = {tuple(sorted(c, reverse=True)) for n in range(1, 9) for c in itertools.combinations(sorted(counts.elements()), n) if sum(c) <= 20}
+        found = packing.fillings(20, dict(counts), 1000)
+        assert len(set(found)) == len(found) and set(found) <= bags
+        for bag in found:
+            free, waste = counts - Counter(bag), 20 - sum(bag)
+            units = [0, *bag, *(x + y for x, y in itertools.combinations(bag, 2))]
+            assert not any(u + waste >= x > u or x == u and u not in bag and u for u in units for x in free)
+        assert max(map(sum, found), default=0) == max(map(sum, bags), default=0)
 
 
 def test_packing(spark, docs):
@@ -142,7 +155,10 @@ def test_packing(spark, docs):
     placed = out.sort_values(["sequence_id", "offset"])
     assert (placed.groupby("sequence_id").length.cumsum() - placed.length == placed.offset).all() and placed.groupby("sequence_id").length.sum().max() <= 2048
     assert out.sequence_id.nunique() == -(-out.length.sum() // 2048)
+    assert set(out.least_sequences) == {-(-out.length.sum() // 2048)}
     assert packing.pack_documents(docs.limit(0), packing.word_bpe_path()).count() == 0
+    clash = spark.createDataFrame([(1, 0, 5, 7, "a", "b", 1, 2), (1, 0, 5, 7, "a", "b", 1, 2)], "doc_id long, piece int, length long, ids_crc32 long, number string, at string, cell int, start int")
+    assert sorted((r["number"], r["offset"]) for r in packing.pack(clash).collect()) == [("a", 0), ("a", 5)]
 
 
 def test_toxicity(spark):

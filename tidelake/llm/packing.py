@@ -4,12 +4,15 @@ Pieces of one length are interchangeable, so what is packed is the histogram of
 ``capacity`` counts, however many documents there are. Bin completion takes the largest length left,
 enumerates the undominated fillings of the room beside it, applies each as often as the counts allow,
 and prunes a branch whose waste shows that it cannot need fewer sequences than the incumbent. The
-first incumbent is best-fit-decreasing, and each node that the search reaches offers a new one.
-The plan (patterns and how often each is used) is then laid over the numbered pieces in tasks.
+first incumbent is best-fit-decreasing, and each node that the search reaches offers a new one. Where the search
+ends by its budget above the lower bound, small parts of the incumbent (its emptiest sequences with some others) are
+searched again by the same method. The plan (patterns and how often each is used) is then laid over the numbered
+pieces in tasks. ``least_sequences`` tells the lower bound beside the plan, so that a gap shows.
 """
 
 import bisect
 import itertools
+import random
 import unicodedata
 import zlib
 from array import array
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .shared import Scratch, numbered
+from .shared import Scratch, fresh, numbered
 
 CAPACITY = 2048
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
@@ -163,7 +166,7 @@ def bound(counts: dict[int, int], capacity: int) -> int:
 
 def fillings(room: int, counts: dict[int, int], limit: int) -> list[tuple[int, ...]]:
     """At most ``limit`` undominated fillings of ``room``, least waste of all first: no length left fits in the waste,
-    and no item of it can be exchanged for a single longer one that is left."""
+    and no item or pair of items of it can be exchanged for a single longer one that is left."""
     lengths = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
     mask, sums = (1 << room + 1) - 1, [1]  # bit r of sums[k]: lengths[k:] have a filling of exactly r
     for x in reversed(lengths):
@@ -188,36 +191,54 @@ def fillings(room: int, counts: dict[int, int], limit: int) -> list[tuple[int, .
                 if sums[k + 1] >> left - n * x & 1:
                     yield from exact(k + 1, left - n * x, taken + (x,) * n)
 
+    def dominated(taken: tuple[int, ...], waste: int) -> bool:
+        used = Counter(taken)
+        several = [x for x, n in used.items() if n > 1]
+        units = {0, *used, *(2 * x for x in several), *(x + y for x, y in itertools.combinations(used, 2))}
+        free = lambda x: counts[x] > used[x]
+        for u in units:  # a free length from u (itself only for a pair) to u + waste takes the place of u
+            low = u if u and u not in used else u + 1
+            k = bisect.bisect_left(below, -(u + waste))
+            while k < len(lengths) and lengths[k] >= low:
+                if free(lengths[k]):
+                    return True
+                k += 1
+        return False
+
     found: list[tuple[int, ...]] = []
     looked = 0
     for waste in range(room + 1):
         for taken in exact(0, room - waste, ()) if sums[0] >> room - waste & 1 else ():
-            used = Counter(taken)
-            free = [x for x in lengths if counts[x] > used[x]] if waste else []
-            if not any(x <= waste for x in free) and not any(y < x <= y + waste for y in used for x in free):
+            if not dominated(taken, waste):
                 found.append(taken)
             looked += 1
             if len(found) == limit or found and looked >= 40 * limit:
-                return sorted(found, key=lambda f: (-sum(f), f))
-    return sorted(found, key=lambda f: (-sum(f), f))
+                return found
+    return found
+
+
+Plan = list[tuple[tuple[int, ...], int]]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = None, width: int = 12) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns and their counts that use as few sequences as the search finds within ``nodes`` nodes.
+def size(patterns: Plan) -> int:
+    return sum(n for _, n in patterns)
 
-    Each node uses up a length at least, so that a leaf is no deeper than there are lengths; without ``nodes``
-    the budget is twice that and 120 more. Ends at once when the incumbent meets the lower bound.
+
+def complete(counts: dict[int, int], capacity: int, nodes: int, width: int) -> Plan:
+    """Bin completion: the best plan that the search finds. Ends when the incumbent meets the lower bound.
+
+    ``width`` fillings a node are branched on. After ``nodes`` nodes no further branch is begun; the one at hand is
+    followed to its leaf, and each node on it uses up a length at least.
     """
-    counts = {k: n for k, n in counts.items() if n}
-    size = lambda p: sum(n for _, n in p)
     incumbent, least = best_fit(counts, capacity), bound(counts, capacity)
     total = sum(k * n for k, n in counts.items())
-    nodes = 120 + 2 * len(counts) if nodes is None else nodes
     # a branch is held as its parent's counts and one filling, so that the stack has one table of counts a level
-    stack, seen = [(counts, {}, 0, 0, None)], 0
-    while stack and seen < nodes and size(incumbent) > least:
-        above, used, bins, waste, done = stack.pop()
-        seen += 1
+    stack, seen, depth = [(counts, {}, 0, 0, None, 0)], 0, -1
+    while stack and size(incumbent) > least:
+        above, used, bins, waste, done, level = stack.pop()
+        if seen >= nodes and level <= depth:
+            break
+        seen, depth = seen + 1, level
         if waste > (size(incumbent) - 1) * capacity - total:  # this branch cannot save a sequence
             continue
         left = {x: n - used.get(x, 0) for x, n in above.items() if n > used.get(x, 0)}
@@ -233,10 +254,57 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = N
         for fill in reversed(fillings(capacity - largest, beside, width) or [()]):
             taken = Counter((largest, *fill))
             times = min(left[x] // n for x, n in taken.items())
-            stack.append((left, {x: times * n for x, n in taken.items()}, bins + times, waste + times * (capacity - largest - sum(fill)), (((largest, *fill), times), done)))
+            branch = {x: times * n for x, n in taken.items()}
+            stack.append((left, branch, bins + times, waste + times * (capacity - largest - sum(fill)), (((largest, *fill), times), done), level + 1))
     return incumbent
 
 
+def repacked(patterns: Plan, capacity: int, least: int, tries: int, width: int, part: int = 10, nodes: int = 20) -> Plan:
+    """The plan with parts of it searched again: the emptiest sequences, and others at random, ``part`` in all.
+
+    A part is taken over if it needs fewer sequences, or as many with the room in fewer of them. Ends after
+    ``tries`` parts in a row without a sequence less.
+    """
+    held, chance = Counter(), random.Random(17)
+    for p, n in patterns:
+        held[tuple(sorted(p, reverse=True))] += n
+    filled = lambda ps: sum(sum(p) ** 2 * n for p, n in ps)
+    failed = 0
+    while failed < tries and held.total() > least:
+        failed += 1
+        room = sorted((sum(p), p) for p in held if sum(p) < capacity)[: 4 * part]
+        chosen: Counter = Counter()
+        for _, p in chance.sample(room, min(len(room), chance.randint(part // 3, part - 3))):
+            chosen[p] += min(held[p], 2)
+        others = list(held)
+        for p in chance.choices(others, weights=[held[p] for p in others], k=3 * part):
+            if chosen.total() < part and chosen[p] < held[p]:
+                chosen[p] += 1
+        lengths: Counter = Counter()
+        for p, n in chosen.items():
+            for x in p:
+                lengths[x] += n
+        found = complete(dict(lengths), capacity, nodes, width)
+        if (size(found), -filled(found)) < (chosen.total(), -filled(chosen.items())):
+            failed = 0 if size(found) < chosen.total() else failed
+            held -= chosen
+            for p, n in found:
+                held[tuple(sorted(p, reverse=True))] += n
+    return list(held.items())
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, work: int = 200_000, width: int = 12, tries: int = 300) -> Plan:
+    """Patterns and their counts that use as few sequences as the search finds.
+
+    ``work`` bounds the search: so many nodes times lengths, besides the branch at hand; ``tries`` the parts that are searched
+    again. Ends at once when the plan meets the lower bound, ``bound(counts, capacity)``.
+    """
+    counts = {k: n for k, n in counts.items() if n}
+    least = bound(counts, capacity)
+    found = complete(counts, capacity, 200 + work // max(1, len(counts)), width)
+    return repacked(found, capacity, least, tries, width) if size(found) > least and len(counts) > 12 else found
+
+
 def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     """For each length and first number: how many a sequence takes, its first sequence and offset."""
     taken: Counter = Counter()
@@ -254,11 +322,12 @@ def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]
     return {"key": (table[:, 0] << 48) + table[:, 1], "first": table[:, 1], "each": table[:, 2], "base": table[:, 3], "offset": table[:, 4]}
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = None) -> DataFrame:
-    """Add sequence_id and offset to pieces (columns doc_id, piece, length, ids_crc32 and any others).
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Add sequence_id, offset and least_sequences to pieces (columns doc_id, piece, length, ids_crc32 and any others).
 
     ``pieces`` is read several times and should be a written table. No rows give no rows; equal rows
-    are pieces of their own; null ids are kept.
+    are pieces of their own; null ids are kept; other columns come back as they are, whatever their names, unless they
+    have one of the three. least_sequences is the lower bound that no packing beats, the same in all rows.
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
@@ -272,12 +341,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None =
         return pd.DataFrame({"sequence_id": t["base"][at] + turn // t["each"][at], "offset": t["offset"][at] + turn % t["each"][at] * k})
 
     order = [c for c in ("doc_id", "piece", "ids_crc32", "start") if c in pieces.columns]
-    placed = numbered(pieces, ["length"], order, "_number").withColumn("_at", place("length", "_number"))
-    return placed.select(*pieces.columns, "_at.sequence_id", "_at.offset")
+    number, at = fresh("number", pieces.columns), fresh("at", pieces.columns)
+    placed = numbered(pieces, ["length"], order, number).withColumn(at, place("length", number))
+    least = F.lit(bound(counts, capacity)).cast("long").alias("least_sequences")
+    return placed.select(*pieces.columns, f"{at}.sequence_id", f"{at}.offset", least)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenize, cut and pack whole documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """Tokenize, cut and pack whole documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset, least_sequences.
 
     A null or empty text is the end id alone. Repeated rows are packed as often as they come. Other
     columns of ``docs`` are not looked at.

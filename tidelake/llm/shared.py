@@ -1,6 +1,7 @@
 """What the operators of this subpackage share: scratch tables, gapless numbering and connected components."""
 
 import contextlib
+import functools
 import uuid
 
 import numpy as np
@@ -113,19 +114,14 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, rows_pe
     after those of the cells before it. ``df`` is read twice and should be a written table.
     """
     cells = max(64, -(-df.count() // rows_per_cell))
-    dealt = df.withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(cells)))
-    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        dealt.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_cell").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    )
-    inside = Window.partitionBy(*keys, "_cell").orderBy(*order)
-    ranked = dealt.withColumn("_rank", F.row_number().over(inside) - 1)
-    same = [ranked[k].eqNullSafe(starts[f"_k{i}"]) for i, k in enumerate(keys)] + [ranked["_cell"] == starts["_c"]]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    return ranked.join(starts, on).withColumn(out, F.col("_start") + F.col("_rank")).select(*df.columns, out)
+    cell, rank, start, n = (fresh(name, [*df.columns, out]) for name in ("cell", "rank", "start", "n"))
+    dealt_rows = df.withColumn(cell, F.pmod(F.xxhash64(*order), F.lit(cells)))
+    before = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt_rows.groupBy(*keys, cell).agg(F.count(F.lit(1)).alias(n)).withColumn(start, F.coalesce(F.sum(n).over(before), F.lit(0)))
+    there = sizes.select(*[F.col(c).alias(f"{c}{k}") for k, c in enumerate([start, *keys, cell])])
+    ranked = dealt_rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys, cell).orderBy(*order)) - 1)
+    same = functools.reduce(Column.__and__, [ranked[c].eqNullSafe(there[f"{c}{k}"]) for k, c in enumerate([*keys, cell], 1)])
+    return ranked.join(there, same).select(*[ranked[c] for c in df.columns], (there[f"{start}0"] + ranked[rank]).alias(out))
 
 
 def components(links: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
