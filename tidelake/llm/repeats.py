@@ -12,12 +12,14 @@ alone decides. That sample owns the string. The steps:
 2. Sample tuples (hash, text, position) are sorted; those with an equal neighbour recur.
 3. A recurring sample's owned strings are one run of bytes. Runs that are equal as wholes are settled at
    once: all strings of a run are repeats in every document but the first that has it.
-4. Where a sample recurs in different runs, the strings of each distinct run are compared one by one, by
-   a minimum over equal strings. What is found at a run's first place holds for its other places under the same doc_id.
+4. Where a sample recurs in different runs, the strings of each of those runs in the first document are compared one by
+   one. What is found at a run's first place in a document holds for its other places there.
 5. The strings found are merged to spans in their texts.
 
-Each step is joins and minima with combination before the shuffle; no group is gathered in one task.
-Equality is of two independent 64-bit hashes.
+Texts lie in cells of neighbouring rows, tuples go to buckets, ranges of their hash: a shuffled row is the bytes of
+the tuples that go from one cell or frame to one bucket, and back. A bucket keeps one tuple of each hash (those of one
+doc_id, where equal ids share a string) and passes the others on as they come, so that no hash fills a task.
+Equality is of 96 bits of hashes or more.
 """
 
 import hashlib
@@ -35,6 +37,7 @@ CHUNK, LOW = 1 << 19, np.uint64((1 << 20) - 1)
 LAST = (1 << 63) - 1
 #: Texts are dealt to cells of 2 ** CELL_BITS rows; one over LONG bytes is a cell by itself.
 CELL_BITS, LONG = 8, 1 << 18
+LOW_ROW = (1 << CELL_BITS) - 1
 #: Bytes of text whose samples (one in about ten) make a bucket.
 BUCKET_BYTES = 20_000_000
 HOT = 2_000
@@ -101,17 +104,17 @@ def encoded(texts) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in texts]
 
 
-def _frames(columns: list[str], parts: Iterator[tuple], most: int = 400_000) -> Iterator[pd.DataFrame]:
-    """Frames of about ``most`` rows from tuples of arrays."""
+def _frames(parts: Iterator[tuple], most: int = 400_000) -> Iterator[list[np.ndarray]]:
+    """Tuples of arrays, put together to about ``most`` rows."""
     held, rows = [], 0
     for p in parts:
         held.append(p)
         rows += len(p[0])
         if rows >= most:
-            yield pd.DataFrame({c: np.concatenate([h[k] for h in held]) for k, c in enumerate(columns)})
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
             held, rows = [], 0
     if held:
-        yield pd.DataFrame({c: np.concatenate([h[k] for h in held]) for k, c in enumerate(columns)})
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def _samples(buckets: int):
@@ -124,8 +127,9 @@ def _samples(buckets: int):
                 for text, h, at, *_ in owned_runs(encoded(batch["text"])):
                     yield h, rows[text], at
 
-        for frame in _frames(["h", "row", "at"], parts()):
-            h, row, at = _known_here(*(frame[c].to_numpy() for c in ("h", "row", "at")))
+        for frame in _frames(parts()):
+            h, row, at = _known_here(*frame)
+            h = mix(h)  # samples are least of many hashes: mixed anew, they lie evenly
             # within a bucket 32 bits tell hashes apart well enough: a chance match costs work, no wrong result
             yield dealt("bucket", bucket_of(h, buckets), {"h": h.astype(np.uint32), "row": row, "at": at})
 
@@ -148,104 +152,208 @@ def _known_here(h: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return np.where(later, own, h), row, np.where(known, -1 - at, at).astype(np.int32)
 
 
-class _Meeting:
-    """The tuples of one bucket: recurring ones are passed on, one of each hash is kept for those to come.
+def _by_bucket(batches: Iterator[pd.DataFrame], kinds: dict[str, str], most: int = 4_000_000) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
+    """The tuples of sorted buckets as arrays: at most about ``most`` at once, and whether the bucket ends with them."""
+    bucket, held, rows = None, [], 0
 
-    Memory follows the distinct hashes of the bucket, not how often one comes.
-    """
+    def arrays() -> dict[str, np.ndarray]:
+        return {c: np.concatenate([np.frombuffer(x[k], t) for x in held]) for k, (c, t) in enumerate(kinds.items())}
 
-    def __init__(self):
-        self.h, self.row, self.at, self.done = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool)
-        self.waiting: list[tuple[np.ndarray, ...]] = []
-        self.rows = 0
-
-    def add(self, h: bytes, row: bytes, at: bytes) -> None:
-        self.waiting.append((np.frombuffer(h, np.uint32), np.frombuffer(row, np.int64), np.frombuffer(at, np.int32)))
-        self.rows += len(self.waiting[-1][0])
-
-    def settle(self) -> tuple[np.ndarray, np.ndarray]:
-        """(row, at) of the tuples that are newly known to recur."""
-        h, row, at = (np.concatenate([own, *new]) for own, new in zip((self.h, self.row, self.at), zip(*self.waiting, strict=True) if self.waiting else ((), (), ()), strict=True))
-        done = np.append(self.done, np.zeros(len(h) - len(self.done), bool))
-        order = np.argsort(h, kind="stable")
-        h, row, at, done = h[order], row[order], at[order], done[order]
-        same = h[1:] == h[:-1]
-        again = np.append(False, same) | np.append(same, False) | (at < 0)
-        out = again & ~done
-        found = row[out], np.where(at < 0, -1 - at, at)[out]
-        one = np.append(True, ~same)[: len(h)]
-        self.h, self.row, self.at, self.done = h[one], row[one], at[one], (again | done)[one]
-        self.waiting, self.rows = [], 0
-        return found
-
-
-def _recurring(batches: Iterator[pd.DataFrame], most: int = 4_000_000) -> Iterator[pd.DataFrame]:
-    """(cell, places): of the tuples of sorted buckets those that recur, by the cell of their text."""
-
-    def places(row: np.ndarray, at: np.ndarray) -> pd.DataFrame:
-        return dealt("cell", row >> CELL_BITS, {"rows": row, "places": at})
-
-    bucket, met = None, _Meeting()
     for batch in batches:
-        for b, h, row, at in zip(batch["bucket"].tolist(), batch["h"], batch["row"], batch["at"], strict=True):
-            if b != bucket or met.rows >= most:
-                yield places(*met.settle())
-                if b != bucket:
-                    bucket, met = b, _Meeting()
-            met.add(h, row, at)
-    yield places(*met.settle())
-
-
-def _runs(key: tuple, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-    """The runs of the recurring samples of one cell's texts."""
-    columns = ["h", "run", "ord", "row", "first", "last"]
-    if not len(found) or not len(texts):
-        return pd.DataFrame({c: np.empty(0, np.int64) for c in columns})
-    rows, order = texts["row"].to_numpy(np.int64), texts["ord"].to_numpy(np.int64)
-    number = np.argsort(rows, kind="stable")
-    of = number[np.searchsorted(rows[number], np.frombuffer(b"".join(found["rows"]), np.int64))]
-    wanted = np.sort((of.astype(np.int64) << 32) | np.frombuffer(b"".join(found["places"]), np.int32))
-    out = []
-    for text, h, at, first, last, runs, *_ in owned_runs(encoded(texts["text"])):
-        here = (text.astype(np.int64) << 32) | at
-        k = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, here), len(wanted) - 1)] == here)
-        out.append((h[k].view(np.int64), runs[k].view(np.int64), order[text[k]], rows[text[k]], first[k], last[k]))
-    return pd.DataFrame({c: np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k, c in enumerate(columns)})
+        for b, *x in zip(batch["bucket"].tolist(), *[batch[c] for c in kinds], strict=True):
+            if held and (b != bucket or rows >= most):
+                yield arrays(), b != bucket
+                held, rows = [], 0
+            bucket = b
+            held.append(x)
+            rows += len(x[0]) // np.dtype(next(iter(kinds.values()))).itemsize
+    if held:
+        yield arrays(), True
 
 
-def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The strings of the runs that begin at ``firsts``, each with its place."""
+def _joined(kept: dict[str, np.ndarray] | None, new: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {c: np.concatenate([kept[c], new[c]]) for c in new} if kept else new
 
-    def parts():
-        for batch in batches:
-            rows, order = batch["row"].to_numpy(np.int64), batch["ord"].to_numpy(np.int64)
-            wanted = np.sort(np.concatenate([(np.int64(k) << 32) | np.asarray(f, np.int64) for k, f in enumerate(batch["firsts"])]))
-            for text, h, _, first, last, _, begin, strings in owned_runs(encoded(batch["text"])):
-                here = (text.astype(np.int64) << 32) | first
-                k = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, here), len(wanted) - 1)] == here)
-                if len(k):
-                    n = last[k] - first[k]
-                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    yield np.repeat(h[k], n).view(np.int64), strings[np.repeat(begin[k], n) + step].view(np.int64), np.repeat(order[text[k]], n), np.repeat(rows[text[k]], n), np.repeat(first[k], n) + step
 
-    return _frames(["h", "string", "ord", "row", "at"], parts())
+def _differs(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before; the first one does."""
+    n = len(columns[0])
+    out = np.ones(n, bool)
+    out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return out
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for text, spans in zip(batch["text"], batch["spans"], strict=True):
-            data, merged = text.encode("utf-8", "surrogatepass"), []
-            for a, b in sorted((int(s["a"]), int(s["b"])) for s in spans):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            edges = [0, *(x for m in merged for x in m), len(data)]
-            kept = hashlib.sha256(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            out.append((sum(b - a for a, b in merged), len(merged), kept.hexdigest(), [tuple(m) for m in merged]))
-        frame = pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256", "spans"])
-        yield pd.concat([batch[["digest"]].reset_index(drop=True), frame], axis=1)
+def _head(new: np.ndarray) -> np.ndarray:
+    """For each row the first one of its group; ``new`` marks those."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def _recurring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sample tuples that recur, by the cell of their text. Memory follows the distinct hashes of a bucket: one tuple of each waits."""
+    kept = None
+    for t, ends in _by_bucket(batches, {"h": "u4", "row": "i8", "at": "i4"}):
+        t = _joined(kept, t | {"done": np.zeros(len(t["h"]), bool)})
+        order = np.argsort(t["h"], kind="stable")
+        t = {c: v[order] for c, v in t.items()}
+        new = _differs(t["h"])
+        again = ~new | np.append(~new[1:], False) | (t["at"] < 0)
+        out = again & ~t["done"]
+        row, at = t["row"][out], t["at"][out]
+        yield dealt("cell", row >> CELL_BITS, {"low": (row & LOW_ROW).astype(np.uint8), "x": np.where(at < 0, -1 - at, at)})
+        kept = None if ends else {c: v[new] for c, v in (t | {"done": again | t["done"]}).items()}
+
+
+def _places(texts: pd.DataFrame, found: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """The texts' row numbers, and of what was found in the cell the number of its text and the values."""
+    rows = texts["row"].to_numpy(np.int64)
+    number = np.zeros(LOW_ROW + 1, np.int64)
+    number[rows & LOW_ROW] = np.arange(len(rows))
+    values = {c: np.frombuffer(b"".join(found[c]), np.int32) for c in ("x", "y", "z") if c in found}
+    return rows, number[np.frombuffer(b"".join(found["low"]), np.uint8)], values
+
+
+def _chosen(wanted: np.ndarray, text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the places (text, at) are among the sorted ``wanted`` ones."""
+    here = (text.astype(np.int64) << 32) | at
+    return np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, here), len(wanted) - 1)] == here)
+
+
+def _in_cell(bits, columns: dict[str, str], take):
+    """A function for a cell's texts and what was found in them: the tuples that ``take`` makes, dealt to buckets."""
+
+    def made(key: tuple, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if not len(found) or not len(texts):
+            return pd.DataFrame({c: [] for c in ("bucket", *columns)}).astype({"bucket": "int32"})
+        rows, of, values = _places(texts, found)
+        wanted, order = np.sort((of << 32) | values["x"]), texts["ord"].to_numpy(np.int64)
+        out = [x for x in (take(wanted, rows, order, owned) for owned in owned_runs(encoded(texts["text"]))) if x is not None]
+        parts = {c: np.concatenate([x[c] for x in out]).astype(t) if out else np.empty(0, t) for c, t in columns.items()}
+        return dealt("bucket", bucket_of(mix(parts[bits[0]].view(np.uint64)), bits[1]), parts)
+
+    return made
+
+
+RUNS = {"h": "u8", "run": "u8", "ord": "i8", "row": "i8", "first": "i4", "n": "u1"}
+STRINGS = {"string": "u8", "h": "u4", "ord": "i8", "row": "i8", "at": "i4"}
+
+
+def _take_runs(wanted, rows, order, owned):
+    """Of recurring samples their runs."""
+    text, h, at, first, last, runs, *_ = owned
+    k = _chosen(wanted, text, at)
+    return {"h": h[k], "run": runs[k], "ord": order[text[k]], "row": rows[text[k]], "first": first[k], "n": last[k] - first[k]} if len(k) else None
+
+
+def _take_strings(wanted, rows, order, owned):
+    """The strings of the runs that begin at wanted places."""
+    text, h, _, first, last, _, begin, strings = owned
+    k = _chosen(wanted, text, first)
+    if not len(k):
+        return None
+    n = last[k] - first[k]
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return {"string": strings[np.repeat(begin[k], n) + step], "h": np.repeat(h[k], n), "ord": np.repeat(order[text[k]], n), "row": np.repeat(rows[text[k]], n), "at": np.repeat(first[k], n) + step}
+
+
+FOUND = "cell long, kind string, low binary, x binary, y binary, z binary"
+
+
+def _by_cell(kind: str, row: np.ndarray, *values: np.ndarray) -> pd.DataFrame:
+    columns = {"low": (row & LOW_ROW).astype(np.uint8)} | {c: np.asarray(v, np.int32) for c, v in zip("xyz", values, strict=False)}
+    frame = dealt("cell", row >> CELL_BITS, columns).assign(kind=kind)
+    return frame.reindex(columns=["cell", "kind", "low", "x", "y", "z"]).astype({c: object for c in "xyz"}).where(lambda f: f.notna(), b"")
+
+
+def _settled_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What is known of whole runs: ``whole`` ones go, begin x to end y; the strings of ``open`` ones (x) must be compared, since their
+    sample recurs in another run; of ``twin`` ones (x, y) goes what goes of the same document's run at z."""
+    kept = None
+    for t, ends in _by_bucket(batches, RUNS):
+        t = _joined(kept, t)
+        order = np.lexsort((t["ord"], t["run"], t["h"]))
+        t = {c: v[order] for c, v in t.items()}
+        head = _head(_differs(t["h"], t["run"]))
+        gone = t["ord"] > t["ord"][head]
+        if gone.any():
+            yield _by_cell("whole", t["row"][gone], t["first"][gone], t["first"][gone] + t["n"][gone])
+        t = {c: v[~gone] for c, v in t.items()}
+        if not ends:
+            kept = t
+            continue
+        kept = None
+        new_h, new_run = _differs(t["h"]), _differs(t["h"], t["run"])
+        several = (np.add.reduceat(new_run, np.flatnonzero(new_h)) > 1)[np.cumsum(new_h) - 1]
+        new_row = _differs(t["h"], t["run"], t["row"])  # a document's places of a run arrive in one piece
+        head = _head(new_row)
+        for kind, at in (("open", several & new_row), ("twin", several & ~new_row)):
+            if at.any():
+                yield _by_cell(kind, t["row"][at], t["first"][at], t["first"][at] + t["n"][at], t["first"][head[at]])
+
+
+def _settled_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The places (x) of strings that a smaller doc_id has. Of each string those of the least doc_id so far wait."""
+    kept = None
+    for t, ends in _by_bucket(batches, STRINGS):
+        t = _joined(kept, t)
+        order = np.lexsort((t["ord"], t["h"], t["string"]))
+        t = {c: v[order] for c, v in t.items()}
+        gone = t["ord"] > t["ord"][_head(_differs(t["h"], t["string"]))]
+        if gone.any():
+            yield _by_cell("single", t["row"][gone], t["at"][gone])
+        kept = None if ends else {c: v[~gone] for c, v in t.items()}
+
+
+def _starts(found: pd.DataFrame, of: np.ndarray, v: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the intervals of places where strings to remove begin, text << 32 | place, in order and apart."""
+    kind = np.repeat(found["kind"].to_numpy(), [len(x) for x in found["low"]])
+    # each column has values only in the rows whose kind has them, so that they are laid out by kind
+    has = {c: np.repeat([len(x) > 0 for x in found[c]], [len(x) for x in found["low"]]) for c in "yz"}
+    full = {"x": v["x"].astype(np.int64)} | {c: np.zeros(len(kind), np.int64) for c in "yz"}
+    for c in "yz":
+        full[c][has[c]] = v[c]
+    base = of << 32
+    runs, twins = np.isin(kind, ("whole", "single")), kind == "twin"
+    begin = (base + full["x"])[runs]
+    end = np.where(kind == "single", base + full["x"] + 1, base + full["y"])[runs]
+    begin, end = _apart(begin, end)
+    if twins.any() and len(begin):
+        n = (full["y"] - full["x"])[twins]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        like, own = np.repeat((base + full["z"])[twins], n) + step, np.repeat((base + full["x"])[twins], n) + step
+        k = np.searchsorted(begin, like, side="right") - 1
+        gone = own[(k >= 0) & (like < end[np.maximum(k, 0)])]
+        begin, end = _apart(np.append(begin, gone), np.append(end, gone + 1))
+    return begin, end
+
+
+def _apart(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of intervals, touching ones made one."""
+    if not len(begin):
+        return begin, end
+    order = np.argsort(begin, kind="stable")
+    begin, reach = begin[order], np.maximum.accumulate(end[order])
+    new = np.append(True, begin[1:] > reach[:-1])
+    return begin[new], reach[np.append(np.flatnonzero(new)[1:], len(new)) - 1]
+
+
+CUT = "digest binary, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
+
+
+def _cut(key: tuple, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    """The results of the texts of a cell that lose something."""
+    out = []
+    if len(texts) and len(found):
+        rows, of, values = _places(texts, found)
+        begin, end = _starts(found, of, values)
+        begin, end = _apart(begin, end + LENGTH - 1)
+        for k in np.unique(begin >> 32).tolist():
+            a, b = np.searchsorted(begin, [k << 32, (k + 1) << 32]).tolist()
+            spans = list(zip((begin[a:b] - (k << 32)).tolist(), (end[a:b] - (k << 32)).tolist(), strict=True))
+            data = texts["text"].iat[k].encode("utf-8", "surrogatepass")
+            edges = [0, *(x for s in spans for x in s), len(data)]
+            kept = hashlib.sha256(b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
+            out.append((texts["digest"].iat[k], sum(y - x for x, y in spans), len(spans), kept.hexdigest(), spans))
+    return pd.DataFrame(out, columns=["digest", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -267,45 +375,25 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     total = keys.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = max(spark.sparkContext.defaultParallelism, -(-total // BUCKET_BYTES))
-    tuples = texts.select("row", "text").mapInPandas(_samples(buckets), "bucket int, h binary, row binary, at binary")
-    again = tuples.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_recurring, "cell long, rows binary, places binary")
-    again = scratch.save(again, "recurring")
-    runs = texts.select("row", "ord", "text", cell_of("row", CELL_BITS)).groupBy("cell").cogroup(again.groupBy("cell")).applyInPandas(_runs, "h long, run long, ord long, row long, first int, last int")
-    runs = scratch.save(runs, "runs")
-    scratch.drop("recurring")
+    def sorted_by_bucket(df: DataFrame) -> DataFrame:
+        return df.repartition("bucket").sortWithinPartitions("bucket")
 
+    def binaries(columns) -> str:
+        return ", ".join(f"{c} binary" for c in columns)
+
+    cells = texts.withColumn("cell", cell_of("row", CELL_BITS)).groupBy("cell")
     # each step's tables go as soon as nothing reads them, since they and the shuffles share the disk
-    least = F.min(F.struct("ord", "row", "first")).alias("least")
-    last = F.max(F.struct(F.bitwise_not("ord").alias("back"), "row", "first")).alias("last")  # of those with the least ord
-    firsts = scratch.save(runs.groupBy("h", "run").agg(least, F.max("ord").alias("most"), last), "firsts")
-    tied = (F.col("last.row") != F.col("least.row")) | (F.col("last.first") != F.col("least.first"))
-    copied = firsts.where((F.col("most") > F.col("least.ord")) | tied).select("h", "run", "least")
-    # all other places of a run: later documents lose it as a whole, those of the same doc_id what its first place loses
-    other = runs.join(copied, ["h", "run"]).where("row <> least.row or first <> least.first")
-    other = scratch.save(other.select("row", "first", "last", F.when(F.col("ord") == F.col("least.ord"), F.struct("least.row", "least.first")).alias("like")), "other")
-    scratch.drop("runs")
-    whole = other.where("like is null").select("row", F.col("first").alias("a"), (F.col("last") + LENGTH - 1).alias("b"))
-    several = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    open_runs = scratch.save(firsts.join(several, "h").select("least.row", "least.first"), "open")
-    scratch.drop("firsts")
-    open_rows = open_runs.groupBy("row").agg(F.collect_list("first").alias("firsts"))  # of one text
-    strings = texts.select("row", "ord", "text").join(open_rows, "row").mapInPandas(_strings, "h long, string long, ord long, row long, at int")
-    strings = scratch.save(strings, "strings")
-    twins = other.where("like is not null").join(open_runs.toDF("like_row", "like_first"), (F.col("like.row") == F.col("like_row")) & (F.col("like.first") == F.col("like_first")))
-    twins = scratch.save(twins.select("row", "like_row", F.explode(F.expr("transform(sequence(0, last - first - 1), k -> struct(first + k as a, like_first + k as at))")).alias("_s")).select("row", "like_row", "_s.a", "_s.at"), "twins")
-    scratch.drop("open")
-    shared = strings.groupBy("h", "string").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most").drop("most")
-    shared = scratch.save(shared, "shared")
-    single = strings.join(shared, ["h", "string"]).where("ord > least").select("row", "at")
-    single = scratch.save(single, "single")
-    scratch.drop("strings", "shared")
-    same = twins.join(single.select(F.col("row").alias("like_row"), "at"), ["like_row", "at"]).select("row", F.col("a").alias("at"))
-    single = single.unionByName(same).select("row", F.col("at").alias("a"), (F.col("at") + LENGTH).alias("b"))
-
-    spans = whole.unionByName(single).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # of one text
-    cut = texts.select("row", "digest", "text").join(spans, "row").select("digest", "text", "spans")
-    cut = cut.mapInPandas(_cut, "digest binary, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
-    cut = scratch.save(cut, "cut")
+    tuples = texts.select("row", "text").mapInPandas(_samples(buckets), f"bucket int, {binaries(('h', 'row', 'at'))}")
+    again = scratch.save(sorted_by_bucket(tuples).mapInPandas(_recurring, "cell long, low binary, x binary"), "recurring")
+    runs = cells.cogroup(again.groupBy("cell")).applyInPandas(_in_cell(("h", buckets), RUNS, _take_runs), f"bucket int, {binaries(RUNS)}")
+    known = scratch.save(sorted_by_bucket(runs).mapInPandas(_settled_runs, FOUND), "known")
+    scratch.drop("recurring")
+    opened = known.where("kind = 'open'").select("cell", "low", "x")
+    strings = cells.cogroup(opened.groupBy("cell")).applyInPandas(_in_cell(("string", buckets), STRINGS, _take_strings), f"bucket int, {binaries(STRINGS)}")
+    single = scratch.save(sorted_by_bucket(strings).mapInPandas(_settled_strings, FOUND), "single")
+    gone = known.where("kind <> 'open'").unionByName(single)
+    cut = scratch.save(cells.cogroup(gone.groupBy("cell")).applyInPandas(_cut, CUT), "cut")
+    scratch.drop("known", "single")
     found = texts.select("digest", F.col("ord").alias("first_ord"), "copies").join(cut, "digest", "left")
     copy, whole_digest = F.col("ord") > F.col("first_ord"), F.lower(F.hex("digest"))
     own = lambda c, none: F.coalesce(F.col(c), none)

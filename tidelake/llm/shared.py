@@ -14,11 +14,12 @@ from ..scratch import shared_folder
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
-    """Let at most ``rows`` texts go to a Python worker at once, where the session has Spark's default of 10,000."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 2_000, size: int = 8 << 20) -> None:
+    """Let at most ``rows`` rows and about ``size`` bytes go to a Python worker at once, where the session has Spark's defaults."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", rows), ("maxBytesPerBatch", "67108864b", size)):
+        name = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(name, None) == default:
+            spark.conf.set(name, str(value))
 
 
 class Scratch:
