@@ -9,7 +9,7 @@ Both models: P(w|h) = (c(h,w) + MU * P(w)) / (c(h) + MU), P(w) = (c(w) + 1) / (N
 Nothing is cut: the vocabulary and the pairs grow with the corpus, and are never in one place.
 
 Documents are dealt to cells. A cell asks for the counts that it needs: once for each distinct pair, word and context
-in it, with its own counts, under the key's 64-bit hash. Tasks that each own a range of hashes add up what all cells
+in it, with its own counts, under the key's hash (48 bits of it and its bucket are compared). Tasks that each own a range of hashes add up what all cells
 say and answer every question; the cells then score their documents. A pair that all documents have is asked
 for once a cell, so that no task gets more of it than there are cells.
 """
@@ -94,39 +94,62 @@ def _large(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64) if data else np.zeros(n, np.int64)
 
 
-QUESTIONS = "kind int, bucket int, cell long, keys binary, n binary, target_n binary"
-ANSWERS = "cell long, kind int, bucket int, n binary, target_n binary, distinct long, tokens long, target_tokens long"
+QUESTIONS = "kind int, bucket int, cell long, first long, last long, keys binary, n binary, target_n binary"
+ANSWERS = "cell long, first long, last long, kind int, bucket int, n binary, target_n binary, distinct long, tokens long, target_tokens long"
+
+
+def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each cell, or of the part of it that this task reads."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        cell = batch["cell"].to_numpy()
+        for a, b in zip([0, *(cuts := (np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist())], [*cuts, len(cell)], strict=True):
+            if held and a < b and held[0]["cell"].iat[0] != cell[a]:
+                yield pd.concat(held)
+                held = []
+            if a < b:
+                held.append(batch.iloc[a:b])
+    if held:
+        yield pd.concat(held)
 
 
 def _ask(buckets: list[int]):
-    def ask(key: tuple, docs: pd.DataFrame) -> pd.DataFrame:
-        cell, out = _Cell(docs["text"]), []
-        good = docs["good"].to_numpy(bool)[cell.doc].astype(np.int64)
-        for kind in KINDS:
-            n, target = cell.totals(kind, np.ones_like(good)), cell.totals(kind, good)
-            frame = dealt("bucket", bucket_of(cell.keys[kind], buckets[kind]), {"keys": cell.keys[kind], "n": n, "target_n": target})
-            for c in ("n", "target_n"):
-                frame[c] = [_small(np.frombuffer(x, np.int64)) for x in frame[c]]
-            out.append(frame.assign(kind=kind, cell=key[0]))
-        return pd.concat(out)[["kind", "bucket", "cell", "keys", "n", "target_n"]]
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for docs in _cells(batches):
+            cell, row = _Cell(docs["text"]), docs["row"]
+            good = docs["good"].to_numpy(bool)[cell.doc].astype(np.int64)
+            for kind in KINDS:
+                keys, n, target = cell.keys[kind], cell.totals(kind, np.ones_like(good)), cell.totals(kind, good)
+                low, high = (keys & np.uint64((1 << 32) - 1)).astype("u4"), (keys >> np.uint64(32)).astype("u2")  # 48 bits, and the bucket
+                frame = dealt("bucket", bucket_of(keys, buckets[kind]), {"low": low, "high": high, "n": n, "target_n": target})
+                for c in ("n", "target_n"):
+                    frame[c] = [_small(np.frombuffer(x, np.int64)) for x in frame[c]]
+                frame["keys"] = frame.pop("low") + frame.pop("high")
+                yield frame.assign(kind=kind, cell=docs["cell"].iat[0], first=row.min(), last=row.max())[[c.split()[0] for c in QUESTIONS.split(", ")]]
 
     return ask
 
 
+def _keys(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return np.frombuffer(data, "u4", n).astype(np.uint64) | np.frombuffer(data, "u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
 def _answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Questions arrive sorted by kind and bucket. Each gets the sums over all questions; a bucket of words also says how many there are."""
 
     def settle(asked: list[tuple]) -> pd.DataFrame:
         kind, bucket = asked[0][:2]
-        keys = [np.frombuffer(q[3], np.uint64) for q in asked]
+        keys = [_keys(q[5]) for q in asked]
         key, where = np.unique(np.concatenate(keys), return_inverse=True)
-        n, target = (np.bincount(where, np.concatenate([_large(q[c], len(k)) for q, k in zip(asked, keys, strict=True)]), len(key)).astype(np.int64) for c in (4, 5))
+        n, target = (np.bincount(where, np.concatenate([_large(q[c], len(k)) for q, k in zip(asked, keys, strict=True)]), len(key)).astype(np.int64) for c in (6, 7))
         cuts = np.append(0, np.cumsum([len(k) for k in keys])).tolist()
         told = [where[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        out = [(q[2], kind, bucket, _small(n[w]), _small(target[w]), None, None, None) for q, w in zip(asked, told, strict=True)]
+        out = [(*q[2:5], kind, bucket, _small(n[w]), _small(target[w]), None, None, None) for q, w in zip(asked, told, strict=True)]
         if kind == 1:
-            out.append((None, kind, bucket, None, None, len(key), int(n.sum()), int(target.sum())))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWERS.split(", ")]).astype({c: "Int64" for c in ("cell", "distinct", "tokens", "target_tokens")})
+            out.append((None, None, None, kind, bucket, None, None, len(key), int(n.sum()), int(target.sum())))
+        whole = ("cell", "first", "last", "distinct", "tokens", "target_tokens")
+        return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWERS.split(", ")]).astype({c: "Int64" for c in whole})
 
     asked: list[tuple] = []
     for batch in batches:
@@ -140,23 +163,28 @@ def _answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _score(size: int, tokens: int, target_tokens: int, buckets: list[int]):
-    def score(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        """The losses of a cell's documents. Its buckets are ranges of the keys, so that answers in the buckets' order are in the keys' order."""
-        cell = _Cell(docs["text"])
-        losses = []
-        told = [answers[answers["kind"] == kind].sort_values("bucket") for kind in KINDS]
+    def part(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        """Losses of the documents that asked together. Buckets are ranges of the keys, so that answers in their order are in the keys' order."""
+        cell, losses = _Cell(docs["text"]), []
         for counts, total in (("n", tokens), ("target_n", target_tokens)):
             values = []
             for kind in KINDS:
-                bucket = np.unique(bucket_of(cell.keys[kind], buckets[kind]), return_counts=True)[1] if len(cell.keys[kind]) else []
-                parts = [_large(x, int(k)) for x, k in zip(told[kind][counts], bucket, strict=True)]
+                each = np.unique(bucket_of(cell.keys[kind], buckets[kind]), return_counts=True)[1].tolist()
+                data = told[told["kind"] == kind].sort_values("bucket")[counts]
+                parts = [_large(x, k) for x, k in zip(data, each, strict=True)]
                 values.append(cell.spread(kind, np.concatenate(parts)) if parts else np.zeros(0))
             pair, word, context = values
-            each = -np.log((pair + MU * (word + 1) / (total + size)) / (context + MU))
-            losses.append(np.bincount(cell.doc, each, len(docs)))
-        n = cell.sizes
-        mean = [np.where(n > 0, x / np.maximum(n, 1), np.nan) for x in losses]
-        return pd.DataFrame({"doc_id": docs["doc_id"], "none": docs["none"], "n_tokens": n, "target_loss": mean[1], "background_loss": mean[0]})
+            losses.append(np.bincount(cell.doc, -np.log((pair + MU * (word + 1) / (total + size)) / (context + MU)), len(docs)))
+        n = np.maximum(cell.sizes, 1)
+        return pd.DataFrame({"doc_id": docs["doc_id"], "none": docs["none"], "n_tokens": cell.sizes, "target_loss": losses[1] / n, "background_loss": losses[0] / n})
+
+    def score(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        asked, parts = answers.groupby(["first", "last"]), []
+        for (first, last), told in asked:
+            parts.append(part(docs[docs["row"].between(first, last)].sort_values("row"), told.drop_duplicates(["kind", "bucket"])))
+        # without any word in a part, nothing was asked
+        rest = docs[~docs["row"].isin(pd.concat([docs["row"][docs["row"].between(*k)] for k, _ in asked]))] if parts else docs
+        return pd.concat([*parts, part(rest, answers.iloc[:0])])
 
     return score
 
@@ -177,18 +205,19 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     marked = known.unionByName(docs.where("doc_id is null").withColumn("good", F.lit(False)))
     size = F.octet_length("text")
     rows = scratch.save(marked.select("doc_id", "text", "good", size.cast("long").alias("bytes"), row_number(size, CELL_BITS, LONG)), "rows")
+    cell = cell_of("row", CELL_BITS)
     # pandas has no null among whole numbers: a null id travels as 0 with a mark
-    texts = rows.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text", "good", cell_of("row", CELL_BITS))
+    texts = rows.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text", "row", cell)
     total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     most = max(spark.sparkContext.defaultParallelism, -(-total // BUCKET_BYTES))
     buckets = [most, -(-most // 8), -(-most // 8)]
-    asked = texts.select("text", "good", "cell").groupBy("cell").applyInPandas(_ask(buckets), QUESTIONS)
+    asked = rows.select("text", "good", "row", cell).mapInPandas(_ask(buckets), QUESTIONS)
     answers = asked.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInPandas(_answer, ANSWERS)
     answers = scratch.save(answers, "answers")
     sums = answers.where("cell is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("distinct", "tokens", "target_tokens")]).first()
     made = _score(sums["distinct"] + 1, sums["tokens"], sums["target_tokens"], buckets)
-    told = answers.where("cell is not null").select("cell", "kind", "bucket", "n", "target_n")
-    out = texts.drop("good").groupBy("cell").cogroup(told.groupBy("cell")).applyInPandas(made, "doc_id long, none boolean, n_tokens long, target_loss double, background_loss double")
+    told = answers.where("cell is not null").drop("distinct", "tokens", "target_tokens")
+    out = texts.groupBy("cell").cogroup(told.groupBy("cell")).applyInPandas(made, "doc_id long, none boolean, n_tokens long, target_loss double, background_loss double")
     loss = lambda c: F.when(F.col("n_tokens") > 0, F.col(c)).alias(c)
     return out.select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "n_tokens", loss("target_loss"), loss("background_loss")).withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
