@@ -421,9 +421,51 @@ def test_simhash(spark, docs):
     expected = Counter((key(TEXTS[k][0]), f"{fps[k]:016x}", least[g]) for k, g in enumerate(linked(fps)))
     assert Counter((key(r["doc_id"]), r["fingerprint"], r["component_id"]) for r in out) == expected
     assert simhash.simhash_components(docs.limit(0)).count() == 0
+
+
+def word_shingles(t, size=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))
+    return {" ".join(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def near_copies(texts, least=0.8):
+    """For each text the first one that chains of likeness ``least`` reach."""
+    sets, up = [word_shingles(t) for t in texts], list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+            up = [min(up[a], up[b]) if x in (up[a], up[b]) else x for x in up]
+    return up
+
+
+def test_keep_one(spark, docs):
+    order = sorted(TEXTS, key=lambda r: key(r[0]))
     kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == len(groups)
-    assert sorted(key(r["doc_id"]) for r in kept.collect()) == sorted(min(key(i) for i in ids) for ids in groups.values())
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    expected = [key(order[k][0]) for k, g in enumerate(near_copies([t for _, t in order])) if k == g]
+    assert sorted(key(r["doc_id"]) for r in kept.collect()) == sorted(expected)
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_keep_one_of_near_copies_and_crowds(spark):
+    r = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(4000)]
+    draw = lambda n: r.choice(words, n).tolist()
+    shared, rows = draw(40), []
+    for k in range(60):  # a text and an edited copy of it
+        text = draw(int(r.integers(20, 500)))
+        edited = list(text)
+        for at in r.integers(0, len(text), max(1, len(text) // 60)):
+            edited[at] = words[r.integers(len(words))]
+        rows += [" ".join(text), " ".join(edited)]
+    rows += [" ".join([*draw(int(r.integers(3, 14))), *shared, *draw(int(r.integers(3, 14)))]) for _ in range(60)]  # a crowd with one passage, not alike
+    base = draw(200)
+    for _ in range(60):  # a crowd of near copies
+        edited = list(base)
+        edited[r.integers(200)] = words[r.integers(len(words))]
+        rows.append(" ".join(edited))
+    kept = {x["doc_id"] for x in simhash.keep_one(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    expected = {k for k, g in enumerate(near_copies(rows)) if k == g}
+    assert expected <= kept and len(kept) <= len(expected) + 2  # the candidate keys find nearly all
 
 
 def test_trie_join_of_crowds(spark):

@@ -4,11 +4,11 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from tidelake.llm import decontaminate, secrets, simhash, toxicity
+from tidelake.llm import decontaminate, secrets, toxicity
 from tidelake.llm.queries import QUERIES, SQL
 
 from ..conftest import SMALL
-from .test_operators import contaminated, linked
+from .test_operators import contaminated, near_copies
 
 
 def test_stages(spark):
@@ -22,7 +22,7 @@ def test_stages(spark):
     a = stage["toxicity"](spark, docs, SMALL)
     assert a.columns == names and {r["doc_id"] for r in a.collect()} == set(clean)
     ids = sorted(clean)
-    first = {ids[k] for k, g in enumerate(linked([simhash.fingerprint(clean[i]) for i in ids])) if k == g}
+    first = {ids[k] for k, g in enumerate(near_copies([clean[i] for i in ids])) if k == g}
     b = stage["near_duplicates"](spark, a, SMALL)
     assert b.columns == names and {r["doc_id"] for r in b.collect()} == first
     items = [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]

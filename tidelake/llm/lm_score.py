@@ -18,12 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import words_of
-from .shared import ODD, Scratch, bucket_of, cell_of, dealt, mix, row_number, text_of
+from .shared import ODD, Scratch, WordHashes, bucket_of, cell_of, dealt, mix, row_number, text_of
 
 MU = 2.0
 CELL_BITS, LONG = 10, 1 << 16
@@ -33,21 +32,7 @@ START = np.uint64(0)
 KINDS = range(3)  # pairs, words, contexts
 
 
-class _Hashes(dict):
-    """The 64-bit hashes of words, as signed integers; up to ``keep`` are remembered."""
-
-    def __init__(self, keep: int = 300_000):
-        self.keep = keep
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.keep:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word)
-        self[word] = h = h - (1 << 64) if h >> 63 else h
-        return h
-
-
-_hashes = _Hashes()
+_hashes = WordHashes()
 
 
 class _Cell:
@@ -61,7 +46,7 @@ class _Cell:
             sizes.append(len(w))
         self.sizes = np.array(sizes, np.int64)
         self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
-        word = np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words)).view(np.uint64)
+        word = _hashes.of(words)
         context = np.empty_like(word)
         context[1:] = word[:-1]
         context[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = START

@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +84,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class WordHashes(dict):
+    """The 64-bit hashes of words, as signed integers; up to ``keep`` are remembered."""
+
+    def __init__(self, keep: int = 300_000):
+        self.keep = keep
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.keep:
+            self.clear()
+        h = xxhash.xxh64_intdigest(word)
+        self[word] = h = h - (1 << 64) if h >> 63 else h
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words)).view(np.uint64)
+
+
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Which of so many equal ranges of hash values each lies in."""
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)

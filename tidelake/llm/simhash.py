@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .shared import Scratch, components
+from . import set_join
+from .shared import ODD, Scratch, WordHashes, components, mix, text_of
 
 #: For each byte value its eight bits.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -35,9 +36,44 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     stops = (ends[shingle - 1 :] - 1).tolist() if len(words) >= shingle else [len(joined)]
     hashed = xxhash.xxh64_intdigest
     h = np.fromiter((hashed(joined[a:b], seed) for a, b in zip(starts[:n], stops, strict=True)), np.uint64, n)
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     by_byte = h.astype("<u8").view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(by_byte[:, k], minlength=256) @ _BITS for k in range(8)])
-    return int(sum(1 << int(i) for i in np.flatnonzero(2 * ones > n)))
+    return int(sum(1 << int(i) for i in np.flatnonzero(2 * ones > len(h))))
+
+
+def shingles(text: str | None, size: int, known: WordHashes) -> np.ndarray:
+    """Hashes of the word shingles, repeats included; fewer words than ``size`` are one shingle, none have none."""
+    word = known.of((text or "").encode("utf-8", "surrogatepass").lower().split())
+    size = min(size, len(word))
+    h = np.zeros(len(word) - size + 1 if size else 0, np.uint64)
+    for k in range(size):
+        h = h * ODD[0] + mix(word[k : k + len(h)])
+    return mix(h)
+
+
+def part_keys(distinct: np.ndarray, least: float, parts: int = 16, each: int = 4) -> np.ndarray:
+    """Fingerprints of parts of a set of shingles: two sets of likeness ``least`` have an equal one, almost surely.
+
+    The shingles are dealt to parts by hash: to 2 ** k parts that hold ``each`` to twice as many on average (``parts``
+    parts at least, which few shingles leave with less); the first ``parts`` parts are used. A set whose size may
+    put a like one in other parts is dealt both ways. Where the likeness is ``least``, a part is the same in both
+    with a chance of 1 in 4 or better, and all 16 differ in under 1 of 100 pairs.
+    """
+    out = []
+    levels = {max(parts.bit_length() - 1, max(1, int(n) // each).bit_length() - 1) for n in (len(distinct), len(distinct) / least)}
+    for level in sorted(levels) if len(distinct) else ():
+        part = (distinct >> np.uint64(64 - level)).astype(np.int64)
+        used = part < parts
+        sums, number = np.zeros(parts, np.uint64), np.bincount(part[used], minlength=parts)
+        np.add.at(sums, part[used], mix(distinct[used] + ODD[1]))
+        there = np.flatnonzero(number)
+        out.append(mix(sums[there] * ODD[0] + there.astype(np.uint64) * ODD[1] + np.uint64(level)))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -195,19 +231,82 @@ def simhash_components(docs: DataFrame, budget: int = 2) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, budget: int = 2) -> DataFrame:
-    """One document of each component: the one with the least doc_id (null last), of equal ones the first read.
+def _keys(size: int, least: float):
+    def keys(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
+        for batch in texts:
+            rows = []
+            for t in batch:
+                h = shingles(t, size, known)
+                keys = part_keys(np.unique(h), least)
+                rows.append((np.uint64(majority(h) if len(h) else 0).astype(np.int64), keys.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["fp", "parts"])
 
-    All columns of ``docs`` come back unchanged, under whatever names.
+    return pandas_udf(keys, "struct<fp:long,parts:array<long>>")
+
+
+def _signs(size: int):
+    def signs(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = WordHashes()
+        for batch in texts:
+            yield pd.Series([np.unique(shingles(t, size, known)).view(np.int64) for t in batch])
+
+    return pandas_udf(signs, "array<long>")
+
+
+def alike_texts(texts: DataFrame, least: float, size: int, scratch: Scratch, budget: int = 2, few: int = 16) -> DataFrame:
+    """Links (a, b) among the distinct texts (node, text): pairs whose sets of ``size``-word shingles have the Jaccard
+    likeness ``least``, and enough of them to connect all such pairs that share a candidate key.
+
+    Near copies by that measure differ in about ten bits of a whole text's fingerprint, more than a trie can be pruned
+    by. So the trie join of whole fingerprints is joined by equal fingerprints of parts (part_keys); every candidate
+    is verified. Texts that share a key with a crowd first meet the crowd's least one. Where that leaves different
+    components, up to ``few`` texts of a key meet each other, and the texts of larger crowds meet by the exact set join.
+    """
+    made = scratch.save(texts.withColumn("_k", _keys(size, least)("text")).select("node", F.col("_k.fp").alias("fp"), F.col("_k.parts").alias("parts")), "keys")
+    first = made.groupBy("fp").agg(F.min("node").alias("node"))
+    by_trie = scratch.save(trie_links(first.select("fp"), scratch, budget), "trie")
+    ends = [first.select(F.col("fp").alias(x), F.col("node").alias(f"{x}_node")) for x in "ab"]
+    by_trie = by_trie.join(ends[0], "a").join(ends[1], "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    same_fp = made.join(first.withColumnRenamed("node", "a"), "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    keyed = made.select("node", F.explode("parts").alias("part"))
+    crowds = keyed.groupBy("part").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    cells = scratch.save(keyed.join(crowds, "part"), "cells")
+    to_first = cells.where("node <> a").select("a", F.col("node").alias("b"))
+    pairs = scratch.save(to_first.unionByName(by_trie).unionByName(same_fp).distinct(), "candidates")
+    named = cells.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    sets = scratch.save(texts.join(named, "node", "left_semi").select("node", _signs(size)("text").alias("signs")), "sets")
+    star = scratch.save(set_join.alike(pairs, sets, least), "star")
+    roots = scratch.save(components(star, scratch, "star"), "star-roots")
+    placed = scratch.save(cells.select("part", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    mixed = placed.groupBy("part").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("part")
+    open_cells = scratch.save(placed.join(mixed, "part"), "open")
+    small = open_cells.where(F.col("n") <= few)
+    left, right = small.select("part", F.col("node").alias("a"), F.col("root").alias("ra")), small.select("part", F.col("node").alias("b"), F.col("root").alias("rb"))
+    met = set_join.alike(left.join(right, "part").where("ra < rb").select("a", "b"), sets, least)
+    crowd = sets.join(open_cells.where(F.col("n") > few).select("node").distinct(), "node", "left_semi").where("size(signs) > 0")
+    return star.unionByName(met).unionByName(set_join.links(scratch.save(crowd, "crowd"), least, scratch))
+
+
+def keep_one(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
+    """One document of each group of near copies: the one with the least doc_id (null last), of equal ones the first read.
+
+    Near copies are equal texts and texts whose sets of ``size``-word shingles have the Jaccard likeness ``least`` or more, in
+    chains. Texts without words (null and empty ones) are one group. All columns of ``docs`` come back unchanged, under
+    whatever names; no rows give no rows.
     """
     scratch = Scratch(docs.sparkSession)
     names = docs.columns
     rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text, doc = f"c{names.index('text')}", f"c{names.index('doc_id')}"
-    saved = scratch.save(rows.withColumn("fp", pandas_udf(_fingerprints, "long")(text)).withColumn("row", F.monotonically_increasing_id()), "rows")
-    roots = scratch.save(near_duplicates(saved, budget), "roots")
-    first = saved.select("fp", "row", F.col(doc).alias("doc")).groupBy("fp").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "row")).alias("first"))
-    kept = roots.join(first, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    digest = F.unhex(F.sha2(text_of(text), 256))
+    saved = scratch.save(rows.withColumn("digest", digest).withColumn("row", F.monotonically_increasing_id()), "rows")
+    once = saved.groupBy("digest").agg(F.min(F.struct(F.col(doc).isNull(), F.col(doc).alias("doc"), F.col("row"))).alias("first"))
+    once = scratch.save(once.select("first", F.col("first.row").alias("node")), "once")
+    texts = scratch.save(saved.select(F.col("row").alias("node"), text_of(text).alias("text")).join(once.select("node"), "node", "left_semi"), "texts")
+    links = scratch.save(alike_texts(texts, least, size, scratch), "links")
+    roots = once.join(components(links, scratch), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = roots.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     return saved.join(kept, "row", "left_semi").select(*rows.columns).toDF(*names)
 
 

@@ -7,12 +7,13 @@ alike enough: sizes are cut into partitions so that two sets further apart than
 """
 
 import functools
-import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import set_join
+from .set_join import likeness
 from .shared import Scratch, components, text_of
 
 ANCHORS, CHAIN = 48, 2
@@ -66,14 +67,6 @@ def digest(signs: Column) -> Column:
     return F.concat(F.size(signs).cast("string"), F.lit(":"), F.md5(F.array_join(F.transform(signs, lambda s: F.hex(s)), "")))
 
 
-def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
-    """Jaccard likeness; 0 where the sizes alone keep it under ``least``."""
-    small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
-    both = F.size(F.array_intersect(a, b))
-    exact = both / (F.size(a) + F.size(b) - both)
-    return F.when(small < least * large, F.lit(0.0)).otherwise(exact) if least > 0 else exact
-
-
 def with_next(docs: DataFrame, make: dict[str, callable], rows_per_part: int = 2_000) -> DataFrame:
     """doc_id, text, the columns of ``make`` (from text), and for each its value in the next document, ``next_<name>``.
 
@@ -144,41 +137,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id and class_id: documents that chains of fingerprints of likeness ``least`` or more connect.
 
-    Equal fingerprints are put together first. Set sizes are cut into partitions that grow by 1 / ``least``, so
-    that like sets lie in one partition or in neighbours. Within a partition, sets are candidates if they share
-    one of the rarest signatures that a pair so alike must share; size bounds and the exact likeness follow.
-    class_id is the least doc_id of the class.
+    Equal fingerprints are put together first; the others are joined by size partitions and pruned likeness
+    (set_join). class_id is the least doc_id of the class.
     """
     scratch = Scratch(docs.sparkSession)
     anchors = common_words(docs)
     rows = scratch.save(docs.select("doc_id", signatures(text_of(), anchors).alias("signs")).withColumn("name", digest(F.col("signs"))), "rows")
     sets = scratch.save(rows.groupBy("name").agg(F.first("signs").alias("signs"), F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("name")), "sets")
-    counts = sets.select(F.explode("signs").alias("sign")).groupBy("sign").agg(F.count(F.lit(1)).alias("n"))
-    ranked = sets.select("node", F.size("signs").alias("size"), F.explode("signs").alias("sign")).join(counts, "sign")
-    first = F.size("order") - F.ceil(F.lit(least) * F.size("order")).cast("int") + 1
-    prefixes = ranked.groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "sign"))).alias("order"))
-    part = F.floor(F.log(F.col("size").cast("double")) / -math.log(least)).cast("int")
-    tokens = scratch.save(prefixes.select("node", "size", part.alias("part"), F.explode(F.slice("order", F.lit(1), first)).alias("o")).where("o.n > 1").select("node", "size", "part", "o.sign"), "tokens")
-    # a cell has the sets of two neighbouring partitions that share a prefix signature
-    cells = scratch.save(tokens.select("node", "size", "sign", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part")), "cells")
-    sized = sets.select("node", "signs")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        a, b = sized.toDF("a", "signs_a"), sized.toDF("b", "signs_b")
-        return pairs.distinct().join(a, "a").join(b, "b").where(likeness(F.col("signs_a"), F.col("signs_b"), least) >= least).select("a", "b")
-
-    # first each set with its cell's least: a crowd of copies falls into one component by as many pairs as it has sets
-    pivots = cells.groupBy("part", "sign").agg(F.min("node").alias("a"))
-    to_pivot = scratch.save(alike(cells.join(pivots, ["part", "sign"]).where("node <> a").select("a", F.col("node").alias("b"))), "to-pivot")
-    roots = scratch.save(components(to_pivot, scratch, "first"), "first-roots")
-    # then pairs of different components, in the cells that still have some
-    placed = scratch.save(cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
-    mixed = placed.groupBy("part", "sign").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("part", "sign")
-    left = placed.join(mixed, ["part", "sign"]).select("part", "sign", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
-    right = placed.select("part", "sign", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-    near = (F.col("root_a") < F.col("root_b")) & (F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b"))
-    others = alike(left.join(right, ["part", "sign"]).where(near).select("a", "b"))
-    links = scratch.save(to_pivot.unionByName(others), "links")
+    links = scratch.save(set_join.links(sets, least, scratch), "links")
     roots = scratch.save(sets.select("name", "node", "least").join(components(links, scratch), "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
     named = roots.join(roots.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("name", "class_id")
     return rows.select("doc_id", "name").join(named, "name").select("doc_id", "class_id")
