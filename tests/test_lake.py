@@ -11,12 +11,12 @@ from tidelake.functions import scalars as S
 from tidelake.operators import compact, flows, frontier, rollups
 from tidelake.operators import write as layers
 from tidelake.plans import sql as readonly
-from tidelake.scratch import new_path
+from tidelake.scratch import file_system, new_path
 from tidelake.sources import chain, dated, discovery, klines
 from tidelake.streaming import pump
 
 
-@pytest.mark.parametrize("text", ["select 1", "with x as (select 1 as a) select a from x", "(select 1)", "values (1)", "select 1 union select 2"])
+@pytest.mark.parametrize("text", ["select 1", "with x as (select 1 as a) select a from x", "(select 1)", "values (1)", "select 1 union select 2", "select explode(array(1, 2))", "select upper('a'), count(*) over w from range(2) window w as (partition by id)", "select x from range(3) as t(x) lateral view explode(array(1)) e as y"])
 def test_guard_accepts(spark, text):
     readonly.guard(spark, text)
 
@@ -27,6 +27,24 @@ def test_guard_refuses(spark, text):
         readonly.guard(spark, text)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "select java_method('java.lang.System', 'setProperty', 'x.y', 'z')", "select reflect('java.lang.System', 'exit', 0)", "select 1 where try_reflect('a', 'b') is null",
+        "select * from (select 1 as a) order by java_method('java.lang.System', 'gc')", "with t as (select reflect('a', 'b') as c) select c from t",
+        "select (select max(reflect('a', 'b')) from range(2))", "select sum(id) over w from range(3) window w as (order by reflect('a', 'b'))", "select own_function(1)", "select abs(1)",
+        "select * from parquet.`/tmp/x`", "select * from `/tmp/x`", "select transform(a) using 'cat' as (b) from (select 1 as a)", "select identifier('abs')(1)",
+        "select * from identifier('x')", "execute immediate 'select 1'", "select rand()", "select input_file_name()",
+    ],
+)
+def test_guard_refuses_what_does_more_than_read(spark, text):
+    other = spark.newSession()  # with functions of its own, one of them under a built-in name
+    for name in ("own_function", "abs"):
+        other.udf.register(name, lambda x: x, "int")
+    with pytest.raises(readonly.Refused):
+        readonly.guard(other, text)
+
+
 def test_run_caps_rows_and_hides_nan(spark):
     out = readonly.run(spark, "select id, double('NaN') as x from range(20)", max_rows=5)
     assert out["truncated"] and out["row_count"] == 5 and out["columns"] == ["id", "x"]
@@ -42,6 +60,31 @@ def test_mounting(spark):
     assert discovery.mount_views(spark, root) == ["market_btc_x_1m"]
 
 
+def test_files_of_one_folder_are_united_by_name(spark):
+    root = new_path(spark, "market")
+    kinds = ["close double, a string", "close int, b long", "close string"]
+    for kind, row in zip(kinds, [(1.5, "x"), (2, 7), ("3", )], strict=True):
+        spark.createDataFrame([row], kind).coalesce(1).write.mode("append").parquet(f"{root}/symbol=ETH/interval=1h/deeper")
+    assert discovery.mount_views(spark, root) == ["market_eth_1h"]
+    rows = spark.table("market_eth_1h").orderBy("close").collect()
+    assert [(r["close"], r["a"], r["b"], r["symbol"], r["interval"]) for r in rows] == [("1.5", "x", None, "ETH", "1h"), ("2", None, 7, "ETH", "1h"), ("3", None, None, "ETH", "1h")]
+
+
+def test_trees_under_one_root_have_names_of_their_own(spark):
+    root = new_path(spark, "data")
+    one = spark.range(1).coalesce(1)
+    for tree in ("market/symbol=BTC/interval=1m", "hypersync_output/symbol=ETHEREUM", "other-tree/day=1", "day=2"):
+        one.write.parquet(f"{root}/{tree}")
+    one.write.parquet(f"{root}/plain")
+    fs, p = file_system(spark, f"{root}/plain")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for s in fs.listStatus(p):
+        if s.getPath().getName().endswith(".parquet"):
+            fs.rename(s.getPath(), path(f"{root}/plain/a-file.v1.parquet"))
+    made = discovery.mount_views(spark, root)
+    assert made == ["a_file_v1", "chain_ethereum", "data_2", "market_btc_1m", "other_tree_1"] and all(spark.table(v).count() == 1 for v in made)
+
+
 def test_union_widens(spark):
     a, b = spark.createDataFrame([(1, "x")], "v int, a string"), spark.createDataFrame([("2", 3)], "v string, b long")
     out = discovery.union_by_name([a, b])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: epochs above this are microseconds, others milliseconds.
 MICROS_ABOVE = 10_000_000_000_000
-SECRET_WORDS = ("key", "token", "secret", "password", "credential")
+SECRET_WORDS = ("api_?key", "private_?key", "access_?key", "token", "secret", "password", "credential")
 
 
 def epoch_to_timestamp(epoch: Column) -> Column:

@@ -1,9 +1,10 @@
-"""Keyed blobs: small ones inline in a table, large ones left as files."""
+"""Keyed blobs: small ones packed in a table, large ones one a file; an index without data over both."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INLINE_BYTES = 8 * 1024**2
+PLACES = {True: "inline", False: "large"}
 
 
 def describe(blobs: DataFrame, inline_bytes: int = INLINE_BYTES) -> DataFrame:
@@ -13,13 +14,32 @@ def describe(blobs: DataFrame, inline_bytes: int = INLINE_BYTES) -> DataFrame:
 
 
 def pack(blobs: DataFrame, path: str, inline_bytes: int = INLINE_BYTES) -> DataFrame:
-    """Write the inline blobs, the latest put of each key (column put), sorted by key; returns the index, without data."""
-    latest = describe(blobs, inline_bytes).groupBy("key").agg(F.max_by(F.struct("content_type", "sha256", "length", "inline", "data"), "put").alias("b")).select("key", "b.*")
-    latest.where("inline").select("key", "content_type", "sha256", "data").repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").option("compression", "zstd").parquet(path)
+    """Write the latest put of each key (column put), sorted by key; returns the index, without data.
+
+    Small blobs share files under ``path``/inline; each large one is a file of its own under ``path``/large, so that a reader of
+    small ones never passes over it. Of puts at the same time the one with the greatest digest counts.
+    """
+    columns = ["content_type", "sha256", "length", "inline", "data"]
+    newest = F.max_by(F.struct(*columns), F.struct("put", "sha256")).alias("b")
+    latest = describe(blobs, inline_bytes).groupBy("key").agg(newest).select("key", "b.*")
+    for inline, place in PLACES.items():
+        part = latest.where(F.col("inline") == inline).select("key", "content_type", "sha256", "data")
+        writer = part.repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").option("compression", "zstd")
+        writer.option("maxRecordsPerFile", 0 if inline else 1).parquet(f"{path}/{place}")
     return latest.drop("data")
 
 
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """All packed blobs again: key, content_type, sha256, data; one whose bytes no longer have their digest is an error."""
+    schema = "key string, content_type string, sha256 string, data binary"
+    both = [spark.read.schema(schema).parquet(f"{path}/{place}") for place in PLACES.values()]
+    sound = F.when(F.sha2("data", 256) == F.col("sha256"), F.col("data"))
+    damaged = F.raise_error(F.concat(F.lit("damaged blob "), "key")).cast("binary")
+    return both[0].unionByName(both[1]).withColumn("data", F.coalesce(sound, F.when(F.col("data").isNotNull(), damaged)))
+
+
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """Files under ``root`` as blobs, keyed by path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select(F.col("path").alias("key"), F.lit("application/octet-stream").alias("content_type"), F.col("content").alias("data"), F.unix_micros("modificationTime").alias("put"))
+    kind = F.lit("application/octet-stream").alias("content_type")
+    return files.select(F.col("path").alias("key"), kind, F.col("content").alias("data"), F.unix_micros("modificationTime").alias("put"))

@@ -1,15 +1,18 @@
 """Compaction of small files: plan, rewrite, verify, publish, delete."""
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import file_system
-from ..sources.discovery import inventory
+from ..sources.discovery import inventory, read_groups, union_by_name
 from .write import GOAL_BYTES, LEAST_BYTES, MOST_BYTES
 
+COMPACTED = "compacted-"
+
 
 def plan(spark: SparkSession, root: str, least: int = LEAST_BYTES, most: int = MOST_BYTES) -> DataFrame:
     """folder, part, path, length: files under ``least`` in groups of at most ``most`` bytes, in path order, folder by folder.
@@ -32,20 +35,20 @@ def plan(spark: SparkSession, root: str, least: int = LEAST_BYTES, most: int = M
 
 
 def compact_group(spark: SparkSession, paths: list[str], time: str, dry_run: bool = False, count=lambda df: df.count()) -> dict:
-    """Rewrite files of one folder as one, sorted by ``time``. Inputs go only after the new file has been read back whole."""
+    """Rewrite files of one folder as one, sorted by ``time``. Inputs go only after the new file has been read back whole.
+
+    Columns of one name may differ in type, and are widened; their names must agree.
+    """
     if len(paths) < 2:
         raise ValueError("a group has two files or more")
     folders = {p.rsplit("/", 1)[0] for p in paths}
     if len(folders) > 1:
         raise ValueError("a group lies in one folder")
-    frames = [spark.read.parquet(p) for p in paths]
+    files = spark.createDataFrame([(p,) for p in paths], "path string").select(F.lit("").alias("view"), F.col("path").alias("folder"), "path")
+    frames = [spark.read.parquet(*r["paths"]) for r in read_groups(files).collect()]  # one for each set of columns
     if any(set(f.columns) != set(frames[0].columns) for f in frames):
         raise ValueError("the files' columns differ")
-    rows = spark.read.parquet(*paths) if all(f.schema == frames[0].schema for f in frames) else None
-    if rows is None:
-        from ..sources.discovery import union_by_name
-
-        rows = union_by_name(frames)
+    rows = union_by_name(frames)
     before = rows.count()
     report = {"files": len(paths), "rows": before, "dry_run": dry_run}
     if dry_run:
@@ -53,6 +56,7 @@ def compact_group(spark: SparkSession, paths: list[str], time: str, dry_run: boo
     folder = folders.pop()
     aside = f"{folder}/_compacting-{uuid.uuid4().hex}"
     fs, staging = file_system(spark, aside)
+    # a group has at most MOST_BYTES, so that one task can sort it
     rows.coalesce(1).sortWithinPartitions(time).write.option("compression", "zstd").parquet(aside)
     back = spark.read.parquet(aside)
     if count(back) != before or set(back.columns) != set(frames[0].columns):
@@ -61,7 +65,7 @@ def compact_group(spark: SparkSession, paths: list[str], time: str, dry_run: boo
     made = [s.getPath() for s in fs.listStatus(staging) if s.getPath().getName().endswith(".parquet")]
     path = spark._jvm.org.apache.hadoop.fs.Path
     for k, m in enumerate(made):
-        if not fs.rename(m, path(f"{folder}/compacted-{uuid.uuid4().hex}-{k}.parquet")):
+        if not fs.rename(m, path(f"{folder}/{COMPACTED}{uuid.uuid4().hex}-{k}.parquet")):
             raise OSError("could not publish the new file; nothing was deleted")
     for p in paths:
         fs.delete(path(p), False)
@@ -69,33 +73,48 @@ def compact_group(spark: SparkSession, paths: list[str], time: str, dry_run: boo
     return report
 
 
-def compact(spark: SparkSession, root: str, time: str, least: int = LEAST_BYTES, most: int = MOST_BYTES) -> dict:
-    """All groups of a tree; one that fails does not stop the others."""
-    groups = plan(spark, root, least, most).groupBy("folder", "part").agg(F.sort_array(F.collect_list("path")).alias("paths")).where(F.size("paths") > 1)
-    out = {"groups": 0, "files": 0, "rows": 0, "failed": []}
-    for g in groups.toLocalIterator():
+def compact(spark: SparkSession, root: str, time: str, least: int = LEAST_BYTES, most: int = MOST_BYTES, at_once: int = 8) -> dict:
+    """All groups of a tree, ``at_once`` of them as jobs side by side; one that fails does not stop the others."""
+    paths = F.sort_array(F.collect_list("path")).alias("paths")
+    groups = plan(spark, root, least, most).groupBy("folder", "part").agg(paths).where(F.size("paths") > 1)
+
+    def one(group) -> tuple[dict | None, tuple[str, str] | None]:
         try:
-            r = compact_group(spark, g["paths"], time)
-            out |= {"groups": out["groups"] + 1, "files": out["files"] + r["files"], "rows": out["rows"] + r["rows"]}
+            return compact_group(spark, group["paths"], time), None
         except Exception as e:  # noqa: BLE001 - reported with the totals
-            out["failed"].append((g["folder"], str(e)[:300]))
-    return out
+            return None, (group["folder"], str(e)[:300])
+
+    with ThreadPoolExecutor(at_once) as pool:
+        done = list(pool.map(one, groups.toLocalIterator()))
+    reports = [r for r, _ in done if r]
+    totals = {"groups": len(reports), "files": sum(r["files"] for r in reports), "rows": sum(r["rows"] for r in reports)}
+    return totals | {"failed": [f for _, f in done if f]}
+
+
+def pending(spark: SparkSession, root: str, least: int = LEAST_BYTES) -> int:
+    """Bytes in small files that no compaction has made."""
+    name = F.element_at(F.split("path", "/"), -1)
+    small = inventory(spark, root).where((F.col("length") < least) & ~name.startswith(COMPACTED))
+    return small.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
 
 def watch(spark: SparkSession, root: str, checkpoint: str, time: str, pending_bytes: int = 100 * 1024**2, goal: int = GOAL_BYTES) -> dict:
-    """Compact folders once the files that have come since the last time make ``pending_bytes``. Compacted files do not count."""
+    """Compact folders whenever files have come and those still small make ``pending_bytes``, however many calls they came in.
+
+    What has come since the last call is Spark's cursor; what waits is read from the tree itself, so that no call forgets
+    what an earlier one left.
+    """
     seen = {"bytes": 0, "files": 0, "compactions": 0}
 
     def arrived(batch: DataFrame, _: int) -> None:
-        new = batch.where(~F.col("path").contains("/compacted-")).agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
+        new = batch.where(~F.col("path").contains(f"/{COMPACTED}")).agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
         seen["bytes"] += new[0]
         seen["files"] += new[1]
-        if seen["bytes"] >= pending_bytes:
-            compact(spark, root, time, goal)
-            seen["bytes"], seen["compactions"] = 0, seen["compactions"] + 1
+        if new[1] and pending(spark, root, goal) >= pending_bytes:
+            seen["compactions"] += compact(spark, root, time, goal)["groups"] > 0
 
-    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root)
-    q = stream.select("path", "length").writeStream.foreachBatch(arrived).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    reader = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+    writer = reader.load(root).select("path", "length").writeStream.foreachBatch(arrived).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
     return seen
-

@@ -1,6 +1,6 @@
 """Per-address daily token flow."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,21 +13,20 @@ def addr_flow_1d(transfers: DataFrame, first: str | None = None, last: str | Non
     """
     narrow = transfers.select("date", "token_address", "from_address", "to_address", "value")
     if first is not None or last is not None:
-        narrow = narrow.where(F.col("date").between(F.lit(first or "0001-01-01").cast("date"), F.lit(last or "9999-12-31").cast("date")))
-    leg = lambda address, sign, other: F.struct(F.col(address).alias("address"), sign.alias("signed"), F.col(other).alias("counterparty"))
-    legs = narrow.select("date", "token_address", F.inline(F.array(leg("from_address", -F.col("value"), "to_address"), leg("to_address", F.col("value"), "from_address"))))
-    positive, negative = F.col("signed") > 0, F.col("signed") < 0
-    zero = F.lit(0).cast("decimal(38,2)")
-    # one row a (token, counterparty) first: the two distinct counts then expand far fewer rows
-    finer = legs.groupBy("date", "address", "token_address", "counterparty").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.when(positive, F.col("signed"))).alias("up"), F.sum(F.when(negative, -F.col("signed"))).alias("down"), F.sum("signed").alias("net")
-    )
-    return (
-        finer.groupBy("date", "address")
-        .agg(
-            F.sum("n").alias("transfer_count"), F.count_distinct("token_address").alias("token_count"), F.count_distinct("counterparty").alias("counterparty_count"),
-            F.coalesce(F.sum("up").cast("decimal(38,2)"), zero).alias("inflow"), F.coalesce(F.sum("down").cast("decimal(38,2)"), zero).alias("outflow"),
-            F.sum("net").cast("decimal(38,2)").alias("net_flow"),
-        )
-        .where(F.col("transfer_count") >= min_transfers)
+        span = F.lit(first or "0001-01-01").cast("date"), F.lit(last or "9999-12-31").cast("date")
+        narrow = narrow.where(F.col("date").between(*span))
+
+    def leg(address: str, signed: Column, other: str) -> Column:
+        return F.struct(F.col(address).alias("address"), signed.alias("signed"), F.col(other).alias("counterparty"))
+
+    both = F.array(leg("from_address", -F.col("value"), "to_address"), leg("to_address", F.col("value"), "from_address"))
+    legs = narrow.select("date", "token_address", F.inline(both))
+    signed, zero = F.col("signed"), F.lit(0).cast("decimal(38,2)")
+    # the distinct counts are combined before either shuffle, so that an address with most legs of a day is no single task
+    grouped = legs.groupBy("date", "address").agg(
+        F.count(F.lit(1)).alias("transfer_count"), F.count_distinct("token_address").alias("token_count"),
+        F.count_distinct("counterparty").alias("counterparty_count"), F.sum(F.when(signed > 0, signed)).alias("inflow"),
+        F.sum(F.when(signed < 0, -signed)).alias("outflow"), F.sum("signed").alias("net_flow"),
     )
+    amount = {c: F.coalesce(F.col(c).cast("decimal(38,2)"), zero) for c in ("inflow", "outflow")}
+    return grouped.where(F.col("transfer_count") >= min_transfers).withColumns(amount | {"net_flow": F.col("net_flow").cast("decimal(38,2)")})

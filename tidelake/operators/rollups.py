@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 UP_BYTES, DOWN_BYTES = 750 * 1024**3, 10 * 1024**4
 
 
@@ -14,10 +16,37 @@ def per_entity(df: DataFrame, entity: str, value: Column, more_than: int) -> Dat
     return df.groupBy(entity).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).where(F.col("n") > more_than)
 
 
-def rolling_mean(df: DataFrame, key: str, order: list[str], value: str | Column, preceding: int = 100) -> DataFrame:
-    """Mean over a row and the ``preceding`` before it; ``order`` should leave no ties. Decimal values are summed exactly."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(-preceding, 0)
-    return df.withColumn("rolling_mean", F.sum(value).over(w).cast("double") / F.count(value).over(w))
+def positioned(df: DataFrame, order: list, out: str = "position") -> DataFrame:
+    """Add ``out``: gapless places from 0 in the order of all rows, without one task that has them all.
+
+    Rows are dealt to ranges and numbered within each; a range starts behind the rows of those before it. The dealt rows are written
+    once, so that both passes see the same ranges.
+    """
+    part, rank, start, n = (f"_{x}_{out}" for x in ("part", "rank", "start", "n"))
+    dealt = written(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(part).agg(F.count(F.lit(1)).alias(n))  # one row a range
+    starts = sizes.select(part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    ranked = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1)
+    return ranked.join(F.broadcast(starts), part).withColumn(out, F.col(start) + F.col(rank)).select(*df.columns, out)
+
+
+def rolling_mean(df: DataFrame, key: str, order: list[str], value: str | Column, preceding: int = 100, rows_per_cell: int = 1_000_000) -> DataFrame:
+    """Mean over a row and the ``preceding`` before it; ``order`` should leave no ties. Decimal values are summed exactly.
+
+    A key may hold any share of the rows: all rows are laid in one order and cut into cells, each of which also gets the
+    ``preceding`` rows before it, so that every frame lies in one cell.
+    """
+    size = max(rows_per_cell, preceding + 1)
+    placed = positioned(df.withColumn("_value", value if isinstance(value, Column) else F.col(value)), [key, *order], "_at")
+    cell = F.floor(F.col("_at") / size).cast("long")
+    own = F.struct(cell.alias("cell"), F.lit(False).alias("guest"))
+    guest = F.struct((cell + 1).alias("cell"), F.lit(True).alias("guest"))
+    late = F.col("_at") % size >= size - preceding
+    dealt = placed.withColumn("_in", F.explode(F.when(late, F.array(own, guest)).otherwise(F.array(own)))).select("*", "_in.*")
+    w = Window.partitionBy("cell", key).orderBy("_at").rowsBetween(-preceding, 0)
+    mean = F.sum("_value").over(w).cast("double") / F.count("_value").over(w)
+    return dealt.withColumn("rolling_mean", mean).where("not guest").select(*df.columns, "rolling_mean")
 
 
 def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:

@@ -1,18 +1,34 @@
 """Layered datasets: where they lie, how they are written, and what was written."""
 
-import re
+import math
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import file_system
+from ..sources.dated import days_between, scan
+from ..sources.discovery import inventory
 
+#: The folder of each layer, and the sizes that files should have.
 LAYERS = {"L1": "l1", "L2": "features", "L3": "signals"}
-KEY, VALUE = re.compile(r"^[a-z][a-z0-9_]*$"), re.compile(r"^[A-Za-z0-9][A-Za-z0-9._-]*$")
 MIB = 1024**2
 LEAST_BYTES, GOAL_BYTES, MOST_BYTES, GROUP_ROWS = 200 * MIB, 300 * MIB, 500 * MIB, 122_880
 
+#: What each field may hold, and the fields that each kind of source needs.
+ALLOWED = {
+    "mode": {"in_place", "batch", "poll"},
+    "shape": {"tabular", "text", "binary"},
+    "layer": set(LAYERS),
+    "strategy": {None, "pump", "watch"},
+}
+NEEDS = {
+    "in_place": ("locator",),
+    "batch": ("partition_keys",),
+    "poll": ("partition_keys", "strategy"),
+}
+
 
 @dataclass(frozen=True)
 class Source:
@@ -29,77 +45,120 @@ class Source:
     freshness_days: int = 2
     tags: dict = field(default_factory=dict)
 
+    def faults(self) -> list[str]:
+        """Everything that is wrong with the declaration; none if it may be used."""
+        odd = [f"{f} cannot be {getattr(self, f)!r}" for f, values in ALLOWED.items() if getattr(self, f) not in values]
+        needed = list(NEEDS.get(self.mode, ()))
+        if self.mode != "in_place" and self.shape != "binary":
+            needed.append("time_column")  # rows are sorted by it within a file
+        odd += [f"{f} is needed" for f in needed if not getattr(self, f)]
+        if self.strategy and self.mode != "poll":
+            odd.append("only a polled source has a strategy")
+        return odd
+
     def __post_init__(self):
-        if self.mode not in ("in_place", "batch", "poll") or self.shape not in ("tabular", "text", "binary") or self.layer not in LAYERS:
-            raise ValueError(f"{self.name}: unknown mode, shape or layer")
-        if self.mode == "in_place" and not self.locator:
-            raise ValueError(f"{self.name}: an in-place source needs a locator")
-        if self.mode != "in_place" and not self.partition_keys:
-            raise ValueError(f"{self.name}: partition keys are needed")
-        if self.mode != "in_place" and self.shape in ("tabular", "text") and not self.time_column:
-            raise ValueError(f"{self.name}: a time column is needed")
-        if self.mode == "poll" and self.strategy not in ("pump", "watch"):
-            raise ValueError(f"{self.name}: a polled source is pumped or watched")
+        if odd := self.faults():
+            raise ValueError(f"{self.name}: {'; '.join(odd)}")
+
+
+def _plain(part: str, also: str) -> bool:
+    return part.isascii() and part[:1].isalnum() and part.translate({ord(c): None for c in also}).isalnum()
 
 
 def dataset_path(root: str, layer: str, **keys: str) -> str:
-    """<root>/<layer>/k=v/... in the caller's order; keys and values are checked."""
+    """<root>/<layer>/k=v/... in the caller's order.
+
+    A key is lower-case letters, digits and underscores after a letter; a value is letters, digits, dots, dashes
+    and underscores after a letter or digit.
+    """
     for k, v in keys.items():
-        if not KEY.match(k) or not VALUE.match(str(v)):
+        if not (_plain(k, "_") and k == k.lower() and k[0].isalpha() and _plain(str(v), "._-")):
             raise ValueError(f"not a partition: {k}={v}")
     return "/".join([root.rstrip("/"), LAYERS[layer], *(f"{k}={v}" for k, v in keys.items())])
 
 
-def plan_files(total_bytes: int) -> tuple[int, str | None]:
-    """How many files, and a warning if they would be small."""
-    if total_bytes <= 0:
+def plan_files(size: int) -> tuple[int, str | None]:
+    """How many files ``size`` bytes make, near the goal and none over the most; a warning where one file is too small."""
+    if size <= 0:
         raise ValueError("nothing to write")
-    if total_bytes < LEAST_BYTES:
-        return 1, f"{total_bytes} bytes make a file under {LEAST_BYTES}"
-    n = max(1, round(total_bytes / GOAL_BYTES))
-    while total_bytes / n > MOST_BYTES:
-        n += 1
-    return n, None
-
-
-def write(df: DataFrame, path: str, keys: list[str], time: str, mode: str = "overwrite", files: int | None = None) -> None:
-    """zstd files, each partition's rows together and sorted by time. With ``files``, dealt to so many ranges of time."""
-    dealt = df.repartitionByRange(files, *keys, time) if files else df.repartition(*[F.col(k) for k in keys]) if keys else df.repartitionByRange(time)
-    writer = dealt.sortWithinPartitions(*keys, time).write.mode(mode).option("compression", "zstd").option("parquet.block.row.count.limit", str(GROUP_ROWS)).option("partitionOverwriteMode", "dynamic")
+    if size < LEAST_BYTES:
+        return 1, f"{size} bytes make a file under {LEAST_BYTES}"
+    return max(round(size / GOAL_BYTES), math.ceil(size / MOST_BYTES)), None
+
+
+def planned(df: DataFrame, size: int | None = None) -> int:
+    """Files for ``size`` bytes, or for the optimizer's estimate, which is what the source's files hold; at most the session's shuffle partitions."""
+    spark = df.sparkSession
+    if size is None:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(plan_files(max(1, size))[0], max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def write(
+    df: DataFrame, path: str, keys: list[str], time: str, mode: str = "overwrite", files: int | None = None, size: int | None = None
+) -> None:
+    """zstd files, sorted by keys and time, under one folder for each combination of ``keys``.
+
+    Rows are dealt to ranges of (keys, time), as many as the size plans files for, so that a day with a third of all
+    rows is spread over tasks and files like any other, and small days share a task.
+    """
+    ranges = files or planned(df, size)
+    sorted_rows = df.repartitionByRange(ranges, *keys, time).sortWithinPartitions(*keys, time)
+    writer = sorted_rows.write.mode(mode).option("compression", "zstd").option("partitionOverwriteMode", "dynamic")
+    writer = writer.option("parquet.block.row.count.limit", str(GROUP_ROWS))
     (writer.partitionBy(*keys) if keys else writer).parquet(path)
 
 
 def publish(df: DataFrame, path: str, least_rows: int = 1) -> int:
-    """Write aside, count, and only then rename into place; an empty result is refused. Returns the rows."""
+    """Write aside, count, and only then put into place; an empty result is refused. Returns the rows.
+
+    What was there is moved aside before the new folder is moved in and deleted after, so that at every moment
+    one of them stands under ``path`` or beside it: a call that finds only the moved one puts it back first.
+    """
     spark = df.sparkSession
-    aside = f"{path.rstrip('/').rsplit('/', 1)[0]}/_staging-{abs(hash(path))}"
-    fs, staging = file_system(spark, aside)
-    fs.delete(staging, True)
-    df.write.option("compression", "zstd").parquet(aside)
-    rows = spark.read.parquet(aside).count()
+    parent, name = path.rstrip("/").rsplit("/", 1)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs, target = file_system(spark, path)
+    old, new = hadoop(f"{parent}/_previous-{name}"), hadoop(f"{parent}/_staging-{name}-{uuid.uuid4().hex}")
+    if fs.exists(old):
+        if fs.exists(target):  # an earlier call ended before it could delete the old one
+            fs.delete(old, True)
+        else:
+            fs.rename(old, target)
+    df.write.option("compression", "zstd").parquet(str(new.toString()))
+    rows = spark.read.schema(df.schema).parquet(str(new.toString())).count()
     if rows < least_rows:
-        fs.delete(staging, True)
+        fs.delete(new, True)
         raise ValueError(f"{rows} rows for {path}; not published")
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs.delete(target, True)
     fs.mkdirs(target.getParent())
-    if not fs.rename(staging, target):
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"could not move what is at {path} aside")
+    if not fs.rename(new, target):
+        if fs.exists(old):
+            fs.rename(old, target)
         raise OSError(f"could not publish {path}")
+    fs.delete(old, True)
     return rows
 
 
+def present(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The values of ``key`` among the k=v folders right under ``path``: one listing, no file is read."""
+    fs, p = file_system(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
+    values = [(n.split("=", 1)[1],) for n in names if n.startswith(f"{key}=")]
+    return spark.createDataFrame(values, f"{key} string")
+
+
 def load_missing(wanted: DataFrame, rows: DataFrame, path: str, key: str, time: str) -> DataFrame:
     """Write the rows of wanted periods (column ``key``) that ``path`` lacks; period, rows and status of each wanted one."""
-    spark = rows.sparkSession
-    fs, p = file_system(spark, path)
-    there = spark.read.parquet(path).select(F.col(key).cast("string").alias(key)).distinct() if fs.exists(p) else spark.createDataFrame([], f"{key} string")
-    there = spark.createDataFrame(there.collect(), f"{key} string")  # names of partitions, before they change
+    there = present(rows.sparkSession, path, key)
     todo = wanted.join(there, key, "left_anti")
     new = rows.join(todo, key, "left_semi")
     write(new, path, [key], time)
     counts = new.groupBy(key).agg(F.count(F.lit(1)).alias("written"))
     status = F.when(F.col("_there"), "skipped").when(F.col("written") > 0, "written").otherwise("missing")
-    return wanted.join(there.withColumn("_there", F.lit(True)), key, "left").join(counts, key, "left").select(key, F.coalesce("written", F.lit(0)).alias("written"), status.alias("status"))
+    marked = wanted.join(there.withColumn("_there", F.lit(True)), key, "left").join(counts, key, "left")
+    return marked.select(key, F.coalesce("written", F.lit(0)).alias("written"), status.alias("status"))
 
 
 def copy_days(spark: SparkSession, table_root: str, out: str, first: str, last: str, time: str) -> DataFrame:
@@ -107,36 +166,38 @@ def copy_days(spark: SparkSession, table_root: str, out: str, first: str, last:
 
     Files are read and written anew, all days in one job; a day without a partition is reported as missing.
     """
-    from ..sources.dated import days_between
-
     days = days_between(spark, first, last).select(F.date_format("day", "yyyy-MM-dd").alias("date"))
-    rows = spark.read.option("basePath", table_root).parquet(table_root).where(F.col("date").cast("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    rows = spark.read.option("basePath", table_root).parquet(table_root)
+    rows = rows.where(F.col("date").cast("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
     return load_missing(days, rows.withColumn("date", F.date_format("date", "yyyy-MM-dd")), out, "date", time)
 
 
 def archive_day(spark: SparkSession, table_root: str, out: str, day: str, time: str) -> dict:
     """One day of a date= tree: sorted, counted, refused when empty, published; the catalog row of the write."""
-    from ..sources.dated import scan
-
     df = scan(spark, table_root, day).drop("date")
     path = f"{out.rstrip('/')}/date={day}"
-    rows = publish(df.coalesce(1).sortWithinPartitions(time), path)
+    rows = publish(df.repartitionByRange(planned(df), time).sortWithinPartitions(time), path)
     fs, p = file_system(spark, path)
-    return {"dataset": out.rstrip("/").rsplit("/", 1)[-1], "path": out, "rows": rows, "bytes": fs.getContentSummary(p).getLength(), "files": 1, "time_min": day, "time_max": day}
+    held = fs.getContentSummary(p)
+    name = out.rstrip("/").rsplit("/", 1)[-1]
+    files = sum(s.getPath().getName().endswith(".parquet") for s in fs.listStatus(p))
+    return {"dataset": name, "path": out, "rows": rows, "bytes": held.getLength(), "files": files, "time_min": day, "time_max": day}
 
 
 def dataset_stats(spark: SparkSession, root: str) -> DataFrame:
     """files, bytes and undersized files of a tree, and its rows."""
-    from ..sources.discovery import inventory
-
-    sizes = inventory(spark, root).select(F.lit(1).alias("files"), F.col("length").alias("bytes"), (F.col("length") < LEAST_BYTES).cast("int").alias("undersized"), F.lit(0).cast("long").alias("rows"))
-    rows = spark.read.parquet(root).agg(F.lit(0).alias("files"), F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("undersized"), F.count(F.lit(1)).alias("rows"))
-    return sizes.unionByName(rows).agg(*[F.sum(c).alias(c) for c in ("files", "bytes", "undersized", "rows")])
+    names = ("files", "bytes", "undersized", "rows")
+    zero = F.lit(0).cast("long")
+    size = F.col("length")
+    of_files = inventory(spark, root).select(F.lit(1), size, (size < LEAST_BYTES).cast("long"), zero)
+    of_rows = spark.read.parquet(root).agg(F.lit(0), zero, zero, F.count(F.lit(1)))
+    return of_files.toDF(*names).union(of_rows.toDF(*names)).agg(*[F.sum(c).alias(c) for c in names])
 
 
 def written_stats(spark: SparkSession, path: str, day: str, entity: str) -> DataFrame:
     """rows, first and last day, and distinct entities of what lies at ``path``."""
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count_distinct(entity).alias("entities"))
+    span = F.min(day).alias("first_day"), F.max(day).alias("last_day")
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"), *span, F.count_distinct(entity).alias("entities"))
 
 
 def append_log(df: DataFrame, path: str) -> None:

@@ -48,7 +48,7 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.to_date("o_orderdate").alias("date"), F.col("l_partkey").alias("token_address"), F.col("o_custkey").alias("from_address"),
-        F.col("l_suppkey").alias("to_address"), F.col("l_extendedprice").cast("decimal(38,2)").alias("value"),
+        F.col("l_suppkey").alias("to_address"), F.col("l_extendedprice").cast("decimal(18,2)").alias("value"),
     )
 
 
@@ -138,9 +138,9 @@ spine as (select strftime(unnest(generate_series(date_trunc('month', lo), date_t
 select spine.month, count(o_orderkey) as n from spine left join orders on strftime(o_orderdate, '%Y-%m') = spine.month group by spine.month""")
 def month_spine(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    months = orders.agg(F.explode(F.sequence(F.trunc(F.min("o_orderdate"), "month"), F.trunc(F.max("o_orderdate"), "month"), F.expr("interval 1 month"))).alias("m"))
+    months = orders.agg(dated.months(F.min("o_orderdate"), F.max("o_orderdate")).alias("names")).select(F.explode("names").alias("month"))
     counts = orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
-    return months.select(F.date_format("m", "yyyy-MM").alias("month")).join(counts, "month", "left").select("month", F.coalesce("n", F.lit(0)).alias("n"))
+    return months.join(counts, "month", "left").select("month", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("""with b as (select min(cast(o_orderdate as date)) as lo, max(cast(o_orderdate as date)) as hi from orders),
@@ -191,11 +191,22 @@ def scan_month(spark, sf_dir):
     return dated.scan(spark, dated_events(spark, sf_dir), "2024-01").select("event_id", "user_id", F.col("date").cast("date").alias("date"))
 
 
-@query("select 'market_' || event_type || '_1m' as view, count(*) as n from events group by event_type")
+@query("""
+select 'market_' || event_type || '_1m' as view, event_type as type, '1m' as step, count(*) as n, count(case when event_id % 2 = 0 then props end) as with_props,
+  sum(case when event_id % 2 = 0 then length(props) end)::bigint as letters, sum(cast(value as decimal(18,4)))::decimal(38,4) as total,
+  sum(event_id)::bigint as ids, count(distinct user_id) as users, min(ts) as first_ts, max(ts) as last_ts
+from events group by event_type
+""")
 def mount_views(spark, sf_dir):
     root = typed_events(spark, sf_dir)
     made = [v for v in discovery.mount_views(spark, root) if v.startswith("market_")]
-    return union(spark, [spark.table(v).agg(F.lit(v).alias("view"), F.count(F.lit(1)).alias("n")) for v in made], "view string, n long")
+    kinds = "view string, type string, step string, n long, with_props long, letters long, total decimal(38,4), ids long, users long, first_ts timestamp_ntz, last_ts timestamp_ntz"
+    columns = [
+        F.lower(F.max("symbol")).alias("type"), F.max("interval").alias("step"), F.count(F.lit(1)).alias("n"), F.count("props").alias("with_props"),
+        F.sum(F.length("props")).alias("letters"), F.sum(money("value")).cast("decimal(38,4)").alias("total"), F.sum("event_id").alias("ids"),
+        F.count_distinct("user_id").alias("users"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+    ]
+    return union(spark, [spark.table(v).agg(F.lit(v).alias("view"), *columns) for v in made], kinds)
 
 
 @query("select distinct 'market_' || event_type || '_1m' as view from events")
@@ -270,8 +281,8 @@ def freshness(spark, sf_dir):
 @query("select 's3_ledger_events_2024_01' as view, count(*) as n from events where strftime(ts, '%Y-%m') = '2024-01'")
 def register_prefix(spark, sf_dir):
     root = dated_events(spark, sf_dir).rsplit("/", 2)[0]
-    made = dated.register_all(spark, root, [("ledger", "events"), ("ledger", "absent")], "2024-01")
-    return union(spark, [spark.table(v).agg(F.lit(v).alias("view"), F.count(F.lit(1)).alias("n")) for v in made], "view string, n long")
+    made = dated.register_all(spark, root, [("ledger", "events"), ("ledger", "absent")], "2024-01").where("view is not null").collect()
+    return union(spark, [spark.table(r["view"]).agg(F.lit(r["view"]).alias("view"), F.count(F.lit(1)).alias("n")) for r in made], "view string, n long")
 
 
 @query("select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey between 1000 and 5000")
@@ -334,10 +345,15 @@ def compaction_plan(spark, sf_dir):
     return compact.plan(spark, root, most=64 * 1024).groupBy("part").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
 
 
-@query("select url as key, sha256(html) as sha256, strlen(html) as length, strlen(html) <= 8192 as inline from (select url, arg_max(html, page_id) as html from pages group by url)")
+@query("""select url as key, sha256(html) as sha256, strlen(html) as length, strlen(html) <= 2048 as inline, md5(html) as stored_md5, strlen(html) as stored_length
+from (select url, arg_max(html, page_id) as html from pages where html is not null group by url)""")
 def blob_pack(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(F.col("url").alias("key"), F.lit("text/html").alias("content_type"), F.encode("html", "UTF-8").alias("data"), F.col("page_id").alias("put"))
-    return blobs.pack(pages, new_path(spark, "blobs"), 8192).select("key", "sha256", "length", "inline")
+    pages = table(spark, sf_dir, "pages").where("html is not null")
+    put = pages.select(F.col("url").alias("key"), F.lit("text/html").alias("content_type"), F.encode("html", "UTF-8").alias("data"), F.col("page_id").alias("put"))
+    path = new_path(spark, "blobs")
+    index = blobs.pack(put, path, 2048)
+    stored = blobs.read(spark, path).select("key", F.md5("data").alias("stored_md5"), F.octet_length("data").cast("long").alias("stored_length"))
+    return index.join(stored, "key").select("key", "sha256", "length", "inline", "stored_md5", "stored_length")
 
 
 @query("select event_id, user_id, event_type as action, round(value, 1) as duration_ms, substr(props, 1, 300) as detail from events")
@@ -462,11 +478,11 @@ def newest_calls(spark, sf_dir):
     return rollups.newest(table(spark, sf_dir, "events"), "ts", 100, "event_id").select("event_id", "ts")
 
 
-@query("select c_custkey, row_number() over (order by coalesce(c_acctbal, 0) desc, c_custkey) as place from customer order by place limit 50")
+@query("select c_custkey, row_number() over (order by coalesce(c_acctbal, 0) desc, c_custkey) as place from customer")
 def rank_by_size(spark, sf_dir):
-    top = table(spark, sf_dir, "customer").orderBy(F.coalesce("c_acctbal", F.lit(0.0)).desc(), "c_custkey").limit(50)
-    w = F.row_number().over(Window.orderBy(F.coalesce("c_acctbal", F.lit(0.0)).desc(), "c_custkey"))  # over 50 rows
-    return top.select("c_custkey", w.cast("long").alias("place"))
+    order = [F.coalesce("c_acctbal", F.lit(0.0)).desc(), F.col("c_custkey")]
+    ranked = rollups.positioned(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), order)
+    return ranked.select("c_custkey", (F.col("position") + 1).alias("place"))
 
 
 # -- streams -------------------------------------------------------------------------------------------------------
@@ -488,7 +504,7 @@ def watch_dedup(spark, sf_dir):
     visits, out, checkpoint = new_path(spark, "visits"), new_path(spark, "watched"), new_path(spark, "seen")
     e = table(spark, sf_dir, "events")
     for k in range(3):  # each visit brings a third again
-        e.where((F.col("event_id") % 3 == k) | (F.col("event_id") % 3 == (k + 1) % 3)).coalesce(1).write.mode("append").parquet(visits)
+        e.where((F.col("event_id") % 3 == k) | (F.col("event_id") % 3 == (k + 1) % 3)).repartition(2).write.mode("append").parquet(visits)
     pump.watch(spark, visits, e.schema, checkpoint, out, "event_id", "ts")
     return spark.read.schema(e.schema).parquet(out).select("event_id", "user_id")
 
@@ -504,12 +520,21 @@ def buffered_append(spark, sf_dir):
     return back.agg(F.count(F.lit(1)).alias("n"), F.sum(money("value")).cast("decimal(38,4)").alias("total"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-@query("select event_type, count(*) as n from events group by event_type")
+@query("""select event_type, count(*) as n, cast(sum(cast(value as decimal(18,4))) as decimal(38,4)) as total, count(props) as with_props,
+  sum(event_id)::bigint as ids, min(ts) as first_ts, max(ts) as last_ts from events group by event_type""")
 def micro_compaction(spark, sf_dir):
     root, checkpoint = new_path(spark, "arrivals"), new_path(spark, "cursor")
-    table(spark, sf_dir, "events").repartition(12).write.parquet(root)
-    compact.watch(spark, root, checkpoint, "ts", pending_bytes=1)
-    return spark.read.parquet(root).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    e, made = table(spark, sf_dir, "events"), []
+    for k in range(3):  # each call alone brings too little; all three together make the amount
+        e.where(F.col("event_id") % 3 == k).repartition(4).write.mode("append").parquet(root)
+        enough = compact.pending(spark, root) + (1 if k < 2 else 0)
+        made.append(compact.watch(spark, root, checkpoint, "ts", pending_bytes=enough)["compactions"])
+    if made != [0, 0, 1]:
+        raise RuntimeError(f"compactions by call: {made}")
+    total = F.sum(money("value")).cast("decimal(38,4)").alias("total")
+    span = F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    back = spark.read.parquet(root).groupBy("event_type")
+    return back.agg(F.count(F.lit(1)).alias("n"), total, F.count("props").alias("with_props"), F.sum("event_id").alias("ids"), *span)
 
 
 @query("select event_id from events where event_id % 3 <> 0")
@@ -619,15 +644,21 @@ def column_probes(spark, sf_dir):
     )
 
 
-@query("select unnest(['uncompressed', 'snappy', 'zstd']) as codec, count(*) as n from lineitem")
+@query("""select unnest(['uncompressed', 'snappy', 'zstd']) as codec, count(*) as n, sum(l_orderkey)::bigint as orders, sum(l_partkey)::bigint as parts,
+  sum(cast(l_extendedprice as decimal(18,2)))::decimal(38,2) as price, count(distinct l_shipdate) as days, sum(length(l_returnflag))::bigint as flags from lineitem""")
 def codec_rows(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     out = []
     for codec in ("uncompressed", "snappy", "zstd"):
         path = new_path(spark, codec)
         li.write.option("compression", codec).parquet(path)
-        out.append(spark.read.parquet(path).agg(F.lit(codec).alias("codec"), F.count(F.lit(1)).alias("n")))
-    return union(spark, out, "codec string, n long")
+        columns = [
+            F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("orders"), F.sum("l_partkey").alias("parts"),
+            F.sum(money("l_extendedprice", 2)).cast("decimal(38,2)").alias("price"), F.count_distinct("l_shipdate").alias("days"),
+            F.sum(F.length("l_returnflag")).alias("flags"),
+        ]
+        out.append(spark.read.parquet(path).agg(F.lit(codec).alias("codec"), *columns))
+    return union(spark, out, "codec string, n long, orders long, parts long, price decimal(38,2), days long, flags long")
 
 
 @query()

@@ -1,56 +1,82 @@
 """In-place datasets under date= partitions: prefix scans, budgets and estimates."""
 
-import re
+import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .discovery import inventory
 
-PREFIX = re.compile(r"^\d{4}(-\d{2}(-\d{2})?)?$")
+#: How a date may begin, by its length.
+FORMS = {4: "%Y", 7: "%Y-%m", 10: "%Y-%m-%d"}
+
+
+def checked_prefix(prefix: str) -> str:
+    """``prefix`` if it is a year, a month or a day that the calendar has."""
+    form = FORMS.get(len(prefix))
+    try:
+        if form and datetime.datetime.strptime(prefix, form).strftime(form) == prefix:
+            return prefix
+    except ValueError:
+        pass
+    raise ValueError(f"a date prefix is a year, a month or a day, such as 2024-01, and not {prefix!r}")
 
 
 def scan(spark: SparkSession, table_root: str, prefix: str) -> DataFrame:
     """The partitions whose date begins with ``prefix`` (a year, month or day); others are not listed."""
-    if not PREFIX.match(prefix):
-        raise ValueError(f"a date prefix is YYYY, YYYY-MM or YYYY-MM-DD: {prefix!r}")
-    return spark.read.option("basePath", table_root).parquet(f"{table_root}/date={prefix}*")
+    return spark.read.option("basePath", table_root).parquet(f"{table_root}/date={checked_prefix(prefix)}*")
+
+
+def view_of(chain: str, table: str, prefix: str) -> str:
+    """Fixed value: the name under which queries find a scanned table."""
+    return f"s3_{chain}_{table}_{prefix}".replace("-", "_")
 
 
-def register_all(spark: SparkSession, root: str, tables: list[tuple[str, str]], prefix: str) -> list[str]:
-    """A view of each (chain, table) for one prefix; a table that fails is left out."""
-    if not prefix:
-        raise ValueError("a date prefix is needed: whole tables are too large to list")
-    made = []
+def register_all(spark: SparkSession, root: str, tables: list[tuple[str, str]], prefix: str) -> DataFrame:
+    """Make a view of each (chain, table) for one prefix; chain, table, view and, where there is none, why.
+
+    The prefix is checked before anything is listed; a table that cannot be read does not keep the others out.
+    """
+    checked_prefix(prefix)
+    rows = []
     for chain, table in tables:
-        name = f"s3_{chain}_{table}_{prefix.replace('-', '_')}"
+        view, why = view_of(chain, table, prefix), None
         try:
-            scan(spark, f"{root}/{chain}/{table}", prefix).createOrReplaceTempView(name)
-            made.append(name)
-        except ValueError:
-            raise
-        except Exception as e:  # noqa: BLE001 - one bad table must not hide the others
-            print(f"not registered: {name}: {e}")
-    return made
+            scan(spark, f"{root}/{chain}/{table}", prefix).createOrReplaceTempView(view)
+        except Exception as e:  # noqa: BLE001 - told in the result
+            view, why = None, str(e)[:300]
+        rows.append((chain, table, view, why))
+    return spark.createDataFrame(rows, "chain string, table string, view string, why string")
 
 
 def days_between(spark: SparkSession, first: str, last: str) -> DataFrame:
     """Every day from ``first`` to ``last``; a reversed range is an error."""
     if first > last:
         raise ValueError(f"{first} is after {last}")
-    return spark.sql("select explode(sequence(cast(:a as date), cast(:b as date), interval 1 day)) as day", args={"a": first, "b": last})
+    days = "select explode(sequence(cast(:a as date), cast(:b as date), interval 1 day)) as day"
+    return spark.sql(days, args={"a": first, "b": last})
+
+
+def months(first, last):
+    """A column: the names of all months from that of ``first`` to that of ``last``, as an array."""
+    starts = F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("interval 1 month"))
+    return F.transform(starts, lambda m: F.date_format(m, "yyyy-MM"))
 
 
-def last_months(spark: SparkSession, n: int) -> DataFrame:
-    """The last ``n`` complete months, oldest first."""
-    return spark.range(n).select(F.date_format(F.add_months(F.trunc(F.current_date(), "month"), (F.col("id") - n).cast("int")), "yyyy-MM").alias("month")).orderBy("month")
+def last_months(spark: SparkSession, n: int, today=None) -> DataFrame:
+    """The last ``n`` complete months before ``today``, oldest first."""
+    today = F.current_date() if today is None else today
+    span = months(F.add_months(today, -n), F.add_months(today, -1))
+    return spark.range(1).select(F.explode(span).alias("month"))
 
 
 def preview(spark: SparkSession, table_root: str, first: str, last: str) -> DataFrame:
     """day, files, bytes, present for every day of a range."""
     day = F.regexp_extract("path", r"date=(\d{4}-\d{2}-\d{2})", 1).cast("date")
-    sizes = inventory(spark, table_root).groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
-    return days_between(spark, first, last).join(sizes, "day", "left").select("day", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"), F.col("files").isNotNull().alias("present"))
+    files = inventory(spark, table_root).groupBy(day.alias("day"))
+    sizes = files.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    known = [F.coalesce(c, F.lit(0)).alias(c) for c in ("files", "bytes")]
+    return days_between(spark, first, last).join(sizes, "day", "left").select("day", *known, F.col("files").isNotNull().alias("present"))
 
 
 def within_budget(previewed: DataFrame, done: DataFrame, most_bytes: int) -> DataFrame:
@@ -64,4 +90,5 @@ def within_budget(previewed: DataFrame, done: DataFrame, most_bytes: int) -> Dat
 
 def estimate(sizes: DataFrame, spans: DataFrame, days: int, columns_fraction: float) -> DataFrame:
     """Gigabytes that a scan of ``days`` would read: total * days / span * fraction; null where unmeasured."""
-    return spans.join(sizes, ["chain", "table"], "left").select("chain", "table", (F.col("gb") * F.least(F.lit(1.0), days / F.col("span_days")) * columns_fraction).alias("scan_gb"))
+    share = F.least(F.lit(1.0), days / F.col("span_days")) * columns_fraction
+    return spans.join(sizes, ["chain", "table"], "left").select("chain", "table", (F.col("gb") * share).alias("scan_gb"))

@@ -1,22 +1,26 @@
 """Partition trees: what files there are, views over them, and reading files whose columns differ."""
 
 import functools
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalars import partition_map, view_name
-from ..scratch import file_system
+from ..scratch import file_system, written
 
 WIDENING = ["boolean", "tinyint", "smallint", "int", "bigint", "float", "double"]
+#: The first part of the names of views over these folders.
 PREFIXES = {"hypersync_output": "chain", "market": "market"}
+FOLDER = r"^(.*/)?[^/]*$"
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
     """path, length, modificationTime, is_synthetic of every Parquet file at any depth; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root)
-    return files.select("path", "length", "modificationTime", F.element_at(F.split("path", "/"), -1).startswith("synthetic_").alias("is_synthetic"))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+    name = F.element_at(F.split("path", "/"), -1)
+    return reader.load(root).select("path", "length", "modificationTime", name.startswith("synthetic_").alias("is_synthetic"))
 
 
 def relative(path: Column, root: str) -> Column:
@@ -56,33 +60,67 @@ def strict_concat(frames: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, frames)
 
 
-def read_tree(spark: SparkSession, root: str, folders: list[str]) -> DataFrame:
-    """The Parquet files of folders under ``root``, united by name; one read for all folders of one schema."""
-    by_schema: dict[str, tuple[T.StructType, list[str]]] = {}
-    for folder in folders:
-        schema = spark.read.option("basePath", root).parquet(folder).schema
-        by_schema.setdefault(schema.json(), (schema, []))[1].append(folder)
-    return union_by_name([spark.read.schema(s).option("basePath", root).parquet(*paths) for s, paths in by_schema.values()])
+def _schemas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The columns of each file, from its footer. A store that Arrow does not know gives none: its folders are taken to be of one schema."""
+    import pyarrow.parquet as pq
+    from pyarrow import ArrowException, fs
+
+    def columns(path: str) -> str:
+        try:
+            store, name = fs.FileSystem.from_uri(path)
+            return str(pq.read_schema(name, filesystem=store).remove_metadata())
+        except (ArrowException, OSError, ValueError):
+            return ""
+
+    for batch in batches:
+        yield batch.assign(columns=[columns(p) for p in batch["path"]])
+
+
+def read_groups(files: DataFrame) -> DataFrame:
+    """view, columns, paths of files (view, folder, path): what can be read with one schema, by view.
+
+    Footers are read in tasks. A folder whose files all have the same columns is named as a whole, so that
+    the paths follow the folders and not the files.
+    """
+    kinds = "view string, folder string, path string, columns string"
+    seen = written(files.select("view", "folder", "path").mapInPandas(_schemas, kinds), "footers")
+    one = seen.groupBy("folder").agg(F.count_distinct("columns").alias("n"))
+    place = F.when(F.col("n") == 1, F.col("folder")).otherwise(F.col("path"))
+    return seen.join(one, "folder").groupBy("view", "columns").agg(F.sort_array(F.collect_set(place)).alias("paths"))
+
+
+def read_tree(spark: SparkSession, root: str, groups: list[list[str]]) -> DataFrame:
+    """The Parquet files of groups of paths under ``root``, each of one schema, united by name."""
+    return union_by_name([spark.read.option("basePath", root).parquet(*paths) for paths in groups])
 
 
 def mount_views(spark: SparkSession, root: str) -> list[str]:
-    """A temporary view for each deepest chain of partition keys under ``root``; the first of a name wins.
+    """A temporary view for each deepest chain of partition keys under ``root``, and one for each file outside of any.
 
-    Can be called again: what is new is seen, what is there stays. A tree that cannot be read is left out.
+    Files of one chain of keys are one view, united by name with widening, whatever lies between. A view is named
+    by the first folder under ``root`` (by ``root`` itself where its partitions begin at once) and the keys' values;
+    a file outside of any partition by its own name. Of files that would get one name the first stays. Can be called again:
+    what is new is seen, what is there stays. A tree that cannot be read is left out.
     """
     fs, path = file_system(spark, root)
     if not fs.exists(path):
         return []
-    name = root.rstrip("/").rsplit("/", 1)[-1]
     under = relative(F.col("path"), root)
-    folders = (
-        inventory(spark, root).select(F.regexp_extract(under, "^(.*/)?[^/]*$", 1).alias("folder"), view_name(under, F.lit(PREFIXES.get(name, name))).alias("view"))
-        .groupBy("view").agg(F.sort_array(F.collect_set("folder")).alias("folders")).orderBy("view").collect()
-    )
+    own = root.rstrip("/").rsplit("/", 1)[-1]
+    first = F.when(F.instr(under, "/") > 0, F.substring_index(under, "/", 1))
+    tree = F.when(first.isNull() | first.contains("="), F.lit(own)).otherwise(first)
+    prefix = functools.reduce(lambda c, known: F.when(tree == known[0], F.lit(known[1])).otherwise(c), PREFIXES.items(), tree)
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.parquet$", "")
+    inside = F.size(partition_map(under)) > 0
+    view = F.when(inside, view_name(under, prefix)).otherwise(F.translate(name, "-.", "__"))
+    files = inventory(spark, root).select(view.alias("view"), inside.alias("inside"), F.regexp_extract("path", FOLDER, 1).alias("folder"), "path")
+    loose = files.where("not inside").groupBy("view").agg(F.min("path").alias("path"))  # a file is a view by itself
+    alone = loose.select("view", F.col("path").alias("folder"), "path").join(files.where("inside").select("view").distinct(), "view", "left_anti")
+    groups = read_groups(files.where("inside").select("view", "folder", "path").unionByName(alone))
     made = []
-    for r in folders:
+    for r in groups.groupBy("view").agg(F.collect_list("paths").alias("groups")).orderBy("view").toLocalIterator():  # a row a view
         try:
-            read_tree(spark, root, [f"{root.rstrip('/')}/{f}" for f in r["folders"]]).createOrReplaceTempView(r["view"])
+            read_tree(spark, root, r["groups"]).createOrReplaceTempView(r["view"])
             made.append(r["view"])
         except Exception as e:  # noqa: BLE001 - one bad tree must not hide the others
             print(f"not mounted: {r['view']}: {e}")

@@ -6,43 +6,59 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from ..scratch import file_system
 
 FLUSH_ROWS, FLUSH_BYTES = 500_000, 200 * 1024**2
 
 
-def pump(spark: SparkSession, pages: str, schema: T.StructType, checkpoint: str, sink: Callable[[DataFrame, int], None], pages_per_batch: int = 1, deadline_s: float | None = None) -> dict:
+def drained(q: StreamingQuery, deadline_s: float | None = None) -> tuple[str, int]:
+    """Wait for a query: why it ended, and how many rows it read.
+
+    Progress is taken up while the query runs, batch by batch, since Spark only keeps the newest hundred reports.
+    """
+    end = time.monotonic() + deadline_s if deadline_s else None
+    rows: dict[int, int] = {}
+    reason = "exhausted"
+    while True:
+        over = q.awaitTermination(0.5)
+        rows |= {p["batchId"]: max(p["numInputRows"], rows.get(p["batchId"], 0)) for p in q.recentProgress}
+        if over:
+            return reason, sum(rows.values())
+        if end and time.monotonic() > end:
+            q.stop()
+            end, reason = None, "deadline"
+
+
+def pump(
+    spark: SparkSession, pages: str, schema: T.StructType, checkpoint: str, sink: Callable[[DataFrame, int], None],
+    pages_per_batch: int = 1, deadline_s: float | None = None,
+) -> dict:
     """Give every page file to ``sink`` once more at most: the sink goes first, then the cursor moves.
 
     Runs until the pages there now are drained, or the deadline. A later call goes on behind the last page;
-    an error in the sink leaves the cursor where it was. Returns why it stopped and how many rows it gave.
+    an error in the sink leaves the cursor where it was. Returns why it stopped, and the rows and batches that the sink took.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", pages_per_batch).parquet(pages)
     given = {"rows": 0, "batches": 0}
 
     def deliver(batch: DataFrame, number: int) -> None:
         sink(batch, number)
+        given["rows"] += batch.count()  # of Parquet pages, from their footers
         given["batches"] += 1
 
     q = stream.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    end = time.monotonic() + deadline_s if deadline_s else None
-    reason = "exhausted"
-    while not q.awaitTermination(1):
-        if end and time.monotonic() > end:
-            q.stop()
-            reason = "deadline"
-            break
-    given["rows"] = sum(p["numInputRows"] for p in q.recentProgress)
+    reason, _ = drained(q, deadline_s)
     return given | {"reason": reason}
 
 
 def pump_to(spark: SparkSession, pages: str, schema: T.StructType, checkpoint: str, out: str, pages_per_batch: int = 4) -> dict:
     """Drain pages to Parquet files, exactly once: Spark's file sink commits files and cursor together."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", pages_per_batch).parquet(pages)
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).option("compression", "zstd").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return {"rows": sum(p["numInputRows"] for p in q.recentProgress)}
+    writer = stream.writeStream.format("parquet").option("path", out).option("compression", "zstd")
+    q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return {"rows": drained(q)[1]}
 
 
 def watch(spark: SparkSession, visits: str, schema: T.StructType, checkpoint: str, out: str, id_column: str, time_column: str) -> dict:
@@ -53,9 +69,8 @@ def watch(spark: SparkSession, visits: str, schema: T.StructType, checkpoint: st
     Returns fetched, stored and the resume point, which never goes back.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(visits).dropDuplicates([id_column])
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    fetched = sum(p["numInputRows"] for p in q.recentProgress)
+    writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    _, fetched = drained(writer.trigger(availableNow=True).start())
     kept = spark.read.schema(schema).parquet(out).agg(F.count(F.lit(1)), F.max(time_column)).first()
     return {"fetched": fetched, "stored": kept[0], "watermark": kept[1]}
 
@@ -71,20 +86,27 @@ def resume_point(batch: DataFrame, time_column: str, before):
     return before if new is None or before is not None and new < before else new
 
 
-def buffered_append(spark: SparkSession, records: str, schema: T.StructType, checkpoint: str, out: str, time_column: str, every: str | None = None) -> list[dict]:
+def buffered_append(
+    spark: SparkSession, records: str, schema: T.StructType, checkpoint: str, out: str, time_column: str, every: str | None = None
+) -> list[dict]:
     """Append records in sorted files; rows that are null throughout are dropped. A report of each flush.
 
-    Flushes what has arrived (``every`` None), or at each interval. Files under FLUSH_BYTES are reported as undersized.
+    Flushes what has arrived (``every`` None), or at each interval. A flush is dealt to ranges of time of about
+    FLUSH_ROWS rows, one file each. Files under FLUSH_BYTES on average are reported as undersized.
     """
     reports: list[dict] = []
 
     def flush(batch: DataFrame, number: int) -> None:
-        rows = batch.dropna("all")
         path = f"{out}/part={number}"
-        rows.coalesce(1).sortWithinPartitions(time_column).write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", FLUSH_ROWS).parquet(path)
+        rows = batch.dropna("all")
+        n = batch.count()  # from the footers
+        files = max(1, -(-n // FLUSH_ROWS))
+        dealt = rows.repartitionByRange(files, time_column).sortWithinPartitions(time_column)
+        dealt.write.mode("overwrite").option("compression", "zstd").parquet(path)
         fs, p = file_system(spark, path)
         size = fs.getContentSummary(p).getLength()
-        reports.append({"batch": number, "rows": spark.read.schema(schema).parquet(path).count(), "bytes": size, "undersized": size < FLUSH_BYTES})
+        written = spark.read.schema(schema).parquet(path).count()
+        reports.append({"batch": number, "rows": written, "bytes": size, "undersized": size / files < FLUSH_BYTES})
 
     stream = spark.readStream.schema(schema).parquet(records)
     trigger = {"processingTime": every} if every else {"availableNow": True}
