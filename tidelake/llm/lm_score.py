@@ -8,8 +8,8 @@ that a lower score stands nearer to the target.
 Both models: P(w|h) = (c(h,w) + MU * P(w)) / (c(h) + MU), P(w) = (c(w) + 1) / (N + number of words + 1).
 Nothing is cut: the vocabulary and the pairs grow with the corpus, and are never in one place.
 
-Documents are dealt to cells. A cell asks for the counts that it needs: once for each distinct pair, word and context
-in it, with its own counts, under the key's hash (48 bits of it and its bucket are compared). Tasks that each own a range of hashes add up what all cells
+Documents are dealt to cells. A cell asks for the counts that it needs: once for each distinct pair and word
+in it, with its own counts (how often a word ends a document tells how often it is a context), under the key's hash (48 bits of it and its bucket are compared). Tasks that each own a range of hashes add up what all cells
 say and answer every question; the cells then score their documents. A pair that all documents have is asked
 for once a cell, so that no task gets more of it than there are cells.
 """
@@ -29,7 +29,8 @@ CELL_BITS, LONG = 10, 1 << 16
 #: Bytes of text whose pairs make a bucket; words and contexts are fewer.
 BUCKET_BYTES = 20_000_000
 START = np.uint64(0)
-KINDS = range(3)  # pairs, words, contexts
+PAIRS, WORDS, STARTS = KINDS = range(3)
+COUNTS = ("n", "target_n", "ends", "target_ends")
 
 
 _hashes = WordHashes()
@@ -49,9 +50,12 @@ class _Cell:
         word = _hashes.of(words)
         context = np.empty_like(word)
         context[1:] = word[:-1]
-        context[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = START
+        ends = np.cumsum(self.sizes)[self.sizes > 0]
+        self.first, self.last = np.zeros(len(word), bool), np.zeros(len(word), bool)
+        self.first[ends - self.sizes[self.sizes > 0]], self.last[ends - 1] = True, True
+        context[self.first] = START
         self.orders, self.firsts, self.keys = [], [], []
-        for key in (mix(context * ODD[0] + word * ODD[1] + ODD[2]), word, context):
+        for key in (mix(context * ODD[0] + word * ODD[1] + ODD[2]), word):
             order = np.argsort(key, kind="stable")
             first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))[: len(key)]
             self.orders.append(order)
@@ -70,17 +74,21 @@ class _Cell:
 
 
 def _small(values: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest needs; none if all are 0."""
-    top = int(values.max(initial=0))
-    return b"" if not top else values.astype(next(t for t in ("u1", "u2", "u4", "u8") if top < 1 << 8 * int(t[1]))).tobytes()
+    """Counts in as few bytes each as the largest needs, first all lowest bytes, so that the others compress; none if all are 0."""
+    width = (int(values.max(initial=0)).bit_length() + 7) // 8
+    return values.astype("<u8").view("u1").reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def _large(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"u{len(data) // n}").astype(np.int64) if data else np.zeros(n, np.int64)
+    out = np.zeros(n, np.int64)
+    for k, plane in enumerate(np.frombuffer(data, "u1").reshape(-1, n) if data else ()):
+        out |= plane.astype(np.int64) << 8 * k
+    return out
 
 
-QUESTIONS = "kind int, bucket int, cell long, first long, last long, keys binary, n binary, target_n binary"
-ANSWERS = "cell long, first long, last long, kind int, bucket int, n binary, target_n binary, distinct long, tokens long, target_tokens long"
+QUESTIONS = "kind int, bucket int, cell long, first long, last long, keys binary, n binary, target_n binary, ends binary, target_ends binary"
+ANSWERS = "cell long, first long, last long, kind int, bucket int, n binary, target_n binary, ends binary, target_ends binary, " \
+    "distinct long, tokens long, target_tokens long, starts long, target_starts long"
 
 
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,18 +107,24 @@ def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _ask(buckets: list[int]):
+    columns = [c.split()[0] for c in QUESTIONS.split(", ")]
+
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for docs in _cells(batches):
             cell, row = _Cell(docs["text"]), docs["row"]
-            good = docs["good"].to_numpy(bool)[cell.doc].astype(np.int64)
-            for kind in KINDS:
-                keys, n, target = cell.keys[kind], cell.totals(kind, np.ones_like(good)), cell.totals(kind, good)
+            good, last = docs["good"].to_numpy(bool)[cell.doc].astype(np.int64), cell.last.astype(np.int64)
+            named = {"cell": docs["cell"].iat[0], "first": row.min(), "last": row.max()}
+            for kind in (PAIRS, WORDS):
+                keys, each = cell.keys[kind], [np.ones_like(good), good]
+                counts = dict(zip(COUNTS, [cell.totals(kind, x) for x in [*each, last, last * good][: 4 if kind == WORDS else 2]], strict=False))
                 low, high = (keys & np.uint64((1 << 32) - 1)).astype("u4"), (keys >> np.uint64(32)).astype("u2")  # 48 bits, and the bucket
-                frame = dealt("bucket", bucket_of(keys, buckets[kind]), {"low": low, "high": high, "n": n, "target_n": target})
-                for c in ("n", "target_n"):
-                    frame[c] = [_small(np.frombuffer(x, np.int64)) for x in frame[c]]
+                frame = dealt("bucket", bucket_of(keys, buckets[kind]), {"low": low, "high": high} | counts)
+                for c in COUNTS:
+                    frame[c] = [_small(np.frombuffer(x, np.int64)) for x in frame[c]] if c in counts else b""
                 frame["keys"] = frame.pop("low") + frame.pop("high")
-                yield frame.assign(kind=kind, cell=docs["cell"].iat[0], first=row.min(), last=row.max())[[c.split()[0] for c in QUESTIONS.split(", ")]]
+                yield frame.assign(kind=kind, **named)[columns]
+            starts = [_small(np.array([x])) for x in (cell.first.sum(), (cell.first * good).sum())]
+            yield pd.DataFrame([named | {"kind": STARTS, "bucket": int(row.min()) % buckets[WORDS], "keys": b"", "n": starts[0], "target_n": starts[1], "ends": b"", "target_ends": b""}])[columns]
 
     return ask
 
@@ -123,19 +137,26 @@ def _keys(data: bytes) -> np.ndarray:
 def _answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Questions arrive sorted by kind and bucket. Each gets the sums over all questions; a bucket of words also says how many there are."""
 
+    columns = [c.split()[0] for c in ANSWERS.split(", ")]
+
     def settle(asked: list[tuple]) -> pd.DataFrame:
         kind, bucket = asked[0][:2]
+        if kind == STARTS:
+            starts = [sum(int(_large(q[c], 1)[0]) for q in asked) for c in (6, 7)]
+            return pd.DataFrame([(*[None] * 3, kind, bucket, *[None] * 7, *starts)], columns=columns).astype(whole)
         keys = [_keys(q[5]) for q in asked]
         key, where = np.unique(np.concatenate(keys), return_inverse=True)
-        n, target = (np.bincount(where, np.concatenate([_large(q[c], len(k)) for q, k in zip(asked, keys, strict=True)]), len(key)).astype(np.int64) for c in (6, 7))
+        sums = [np.zeros(len(key), np.int64) for _ in COUNTS]
+        for c in range(4 if kind == WORDS else 2):
+            np.add.at(sums[c], where, np.concatenate([_large(q[6 + c], len(k)) for q, k in zip(asked, keys, strict=True)]))
         cuts = np.append(0, np.cumsum([len(k) for k in keys])).tolist()
         told = [where[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        out = [(*q[2:5], kind, bucket, _small(n[w]), _small(target[w]), None, None, None) for q, w in zip(asked, told, strict=True)]
-        if kind == 1:
-            out.append((None, None, None, kind, bucket, None, None, len(key), int(n.sum()), int(target.sum())))
-        whole = ("cell", "first", "last", "distinct", "tokens", "target_tokens")
-        return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWERS.split(", ")]).astype({c: "Int64" for c in whole})
+        out = [(*q[2:5], kind, bucket, *[_small(x[w]) for x in sums], *[None] * 5) for q, w in zip(asked, told, strict=True)]
+        if kind == WORDS:
+            out.append((*[None] * 3, kind, bucket, *[None] * 4, len(key), int(sums[0].sum()), int(sums[1].sum()), None, None))
+        return pd.DataFrame(out, columns=columns).astype(whole)
 
+    whole = {c: "Int64" for c in columns if c not in ("kind", "bucket", *COUNTS)}
     asked: list[tuple] = []
     for batch in batches:
         for q in batch.itertuples(index=False, name=None):
@@ -147,19 +168,25 @@ def _answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield settle(asked)
 
 
-def _score(size: int, tokens: int, target_tokens: int, buckets: list[int]):
+def _score(totals: dict[str, int], buckets: list[int]):
+    size = totals["distinct"] + 1
+
     def part(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         """Losses of the documents that asked together. Buckets are ranges of the keys, so that answers in their order are in the keys' order."""
         cell, losses = _Cell(docs["text"]), []
-        for counts, total in (("n", tokens), ("target_n", target_tokens)):
-            values = []
-            for kind in KINDS:
-                each = np.unique(bucket_of(cell.keys[kind], buckets[kind]), return_counts=True)[1].tolist()
-                data = told[told["kind"] == kind].sort_values("bucket")[counts]
-                parts = [_large(x, k) for x, k in zip(data, each, strict=True)]
-                values.append(cell.spread(kind, np.concatenate(parts)) if parts else np.zeros(0))
-            pair, word, context = values
-            losses.append(np.bincount(cell.doc, -np.log((pair + MU * (word + 1) / (total + size)) / (context + MU)), len(docs)))
+        each = [np.unique(bucket_of(cell.keys[kind], buckets[kind]), return_counts=True)[1].tolist() for kind in (PAIRS, WORDS)]
+        answers = [told[told["kind"] == kind].sort_values("bucket") for kind in (PAIRS, WORDS)]
+
+        def counts(kind: int, column: str) -> np.ndarray:
+            parts = [_large(x, k) for x, k in zip(answers[kind][column], each[kind], strict=True)]
+            return cell.spread(kind, np.concatenate(parts)) if parts else np.zeros(0)
+
+        for which in ("", "target_"):
+            pair, word = counts(PAIRS, f"{which}n"), counts(WORDS, f"{which}n")
+            context = np.append(0.0, word - counts(WORDS, f"{which}ends"))[: len(word)]  # of the token before
+            context[cell.first] = totals[f"{which}starts"]
+            p = (pair + MU * (word + 1) / (totals[f"{which}tokens"] + size)) / (context + MU)
+            losses.append(np.bincount(cell.doc, -np.log(p), len(docs)))
         n = np.maximum(cell.sizes, 1)
         return pd.DataFrame({"doc_id": docs["doc_id"], "none": docs["none"], "n_tokens": cell.sizes, "target_loss": losses[1] / n, "background_loss": losses[0] / n})
 
@@ -186,7 +213,8 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     scratch = Scratch(spark)
     docs = docs.select("doc_id", text_of().alias("text"))
     ids = target.select("doc_id").where("doc_id is not null").distinct().withColumn("good", F.lit(True))
-    known = docs.where("doc_id is not null").join(ids, "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
+    # the same plan at every size: which side is small depends on the labels
+    known = docs.where("doc_id is not null").join(ids.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
     marked = known.unionByName(docs.where("doc_id is null").withColumn("good", F.lit(False)))
     size = F.octet_length("text")
     rows = scratch.save(marked.select("doc_id", "text", "good", size.cast("long").alias("bytes"), row_number(size, CELL_BITS, LONG)), "rows")
@@ -195,13 +223,14 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     texts = rows.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text", "row", cell)
     total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     most = max(spark.sparkContext.defaultParallelism, -(-total // BUCKET_BYTES))
-    buckets = [most, -(-most // 8), -(-most // 8)]
+    buckets = [most, -(-most // 8)]
     asked = rows.select("text", "good", "row", cell).mapInPandas(_ask(buckets), QUESTIONS)
     answers = asked.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInPandas(_answer, ANSWERS)
     answers = scratch.save(answers, "answers")
-    sums = answers.where("cell is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("distinct", "tokens", "target_tokens")]).first()
-    made = _score(sums["distinct"] + 1, sums["tokens"], sums["target_tokens"], buckets)
-    told = answers.where("cell is not null").drop("distinct", "tokens", "target_tokens")
+    names = ("distinct", "tokens", "target_tokens", "starts", "target_starts")
+    sums = answers.where("cell is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
+    made = _score(sums.asDict(), buckets)
+    told = answers.where("cell is not null").drop(*names)
     out = texts.groupBy("cell").cogroup(told.groupBy("cell")).applyInPandas(made, "doc_id long, none boolean, n_tokens long, target_loss double, background_loss double")
     loss = lambda c: F.when(F.col("n_tokens") > 0, F.col(c)).alias(c)
     return out.select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "n_tokens", loss("target_loss"), loss("background_loss")).withColumn("score", F.col("target_loss") - F.col("background_loss"))
