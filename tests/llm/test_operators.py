@@ -486,7 +486,7 @@ def test_trie_join_of_crowds(spark):
 
 
 def test_sharding(spark, docs):
-    out = sharding.into_shards(docs, shards=4, grain=8).toPandas()
+    out = sharding.into_shards(docs, shards=4).toPandas()
     assert Counter((s, c) for s, c in zip(out["size"], out.text_crc32, strict=True)) == Counter((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t in TEXTS)
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
     assert (out.groupby("text_crc32").shard.nunique() == 1).all()
@@ -499,11 +499,46 @@ def test_sharding(spark, docs):
 
 
 def test_best_fit_decreasing():
-    at = sharding.best_fit_decreasing([5, 4, 4, 3, 2, 2, 11], 10)
-    totals = Counter()
-    for s, b in zip([5, 4, 4, 3, 2, 2, 11], at, strict=True):
-        totals[b] += s
-    assert sorted(totals.values()) == [2, 9, 9, 11] and sharding.best_fit_decreasing([], 5) == []
+    def plain(sizes, capacity):  # item by item
+        rooms = []
+        for x in sorted(sizes, reverse=True):
+            fits = [(r, k) for k, r in enumerate(rooms) if r >= x]
+            if fits:
+                rooms[min(fits)[1]] -= x
+            else:
+                rooms.append(max(capacity, x) - x)
+        return sorted(rooms), len(rooms)
+
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        sizes, capacity = r.integers(1, 40, r.integers(0, 60)).tolist(), int(r.integers(20, 100))
+        runs, held = sharding.best_fit_decreasing(Counter(sizes), capacity), Counter()
+        for size, _, n, b in runs:
+            held[b] += size * n
+        assert Counter(sizes) == sum((Counter({size: n}) for size, _, n, _ in runs), Counter())
+        for size in set(sizes):  # every number of a size has one place
+            assert [k for s, first, n, _ in sorted(runs) if s == size for k in range(first, first + n)] == list(range(sizes.count(size)))
+        limit = lambda b: max(capacity, max(x for x, _, _, c in runs if c == b))
+        assert (sorted(limit(b) - x for b, x in held.items()), sharding.bins_of(runs)) == plain(sizes, capacity)
+
+
+def test_least_capacity_on_small_cases():
+    def best(sizes, bins):
+        return min(max(sum(s for s, b in zip(sizes, at, strict=True) if b == k) for k in range(bins)) for at in itertools.product(range(bins), repeat=len(sizes)))
+
+    r = np.random.default_rng(6)
+    for _ in range(30):
+        sizes = r.integers(1, 30, 7).tolist()
+        runs, held = sharding.least_capacity(Counter(sizes), 3), Counter()
+        for size, _, n, b in runs:
+            held[b] += size * n
+        assert len(held) <= 3 and best(sizes, 3) <= max(held.values()) <= 11 / 9 * best(sizes, 3) + 3
+
+
+def test_planned_sizes(spark):
+    sizes = [1, 65_535, 65_536, 65_537, 131_073, 10**9 + 1, 3 * 10**12]
+    got = [x["p"] for x in spark.createDataFrame([(k, x) for k, x in enumerate(sizes)], "k int, s long").orderBy("k").select(sharding.planned_size(F.col("s")).alias("p")).collect()]
+    assert all(x <= p <= x * (1 + 2**-15) and p % (1 << max(0, x.bit_length() - 16)) == 0 for x, p in zip(sizes, got, strict=True)) and got[:3] == sizes[:3]
 
 
 def test_next_documents_over_two_levels_of_cuts(spark, monkeypatch):

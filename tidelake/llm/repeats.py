@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ODD, Scratch, bucket_of, cell_of, dealt, mix, row_number, text_of
+from .shared import ODD, Scratch, bucket_of, cell_of, crowd_join, dealt, mix, row_number, text_of
 
 LENGTH, GRAM = 50, 32
 CHUNK, LOW = 1 << 19, np.uint64((1 << 20) - 1)
@@ -40,7 +40,6 @@ CELL_BITS, LONG = 8, 1 << 18
 LOW_ROW = (1 << CELL_BITS) - 1
 #: Bytes of text whose samples (one in about ten) make a bucket.
 BUCKET_BYTES = 20_000_000
-HOT = 2_000
 
 
 def gram_hashes(data: bytes) -> np.ndarray:
@@ -397,10 +396,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = texts.select("digest", F.col("ord").alias("first_ord"), "copies").join(cut, "digest", "left")
     copy, whole_digest = F.col("ord") > F.col("first_ord"), F.lower(F.hex("digest"))
     own = lambda c, none: F.coalesce(F.col(c), none)
-    # at most HOT texts have a HOT-th of all rows or more each: their rows meet them without a shuffle
-    crowd = F.col("copies") >= max(2, -(-keys.count() // HOT))
-    hot = F.broadcast(found.where(crowd))
-    joined = keys.join(hot, "digest").unionByName(keys.join(hot.select("digest"), "digest", "left_anti").join(found.where(~crowd), "digest", "left"))
+    joined = crowd_join(keys, found, "digest", "copies", keys.count())
     return joined.select(
         "doc_id", "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(own("n_removed", F.lit(0).cast("long"))).alias("n_removed"),

@@ -143,6 +143,18 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, rows_pe
     return ranked.join(there, same).select(*[ranked[c] for c in df.columns], (there[f"{start}0"] + ranked[rank]).alias(out))
 
 
+def crowd_join(rows: DataFrame, facts: DataFrame, key: str, copies: str, total: int, crowds: int = 2_000) -> DataFrame:
+    """``rows`` left-joined with ``facts`` (one row a key; ``copies``: how many rows have it), no task with a crowd's rows.
+
+    At most ``crowds`` keys have a ``crowds``-th of the ``total`` rows or more each: their facts are broadcast,
+    and their rows stay where they are. All others are joined by a shuffle.
+    """
+    crowd = F.col(copies) >= max(2, -(-total // crowds))
+    hot = F.broadcast(facts.where(crowd))
+    rest = rows.join(hot.select(key), key, "left_anti").join(facts.where(~crowd), key, "left")
+    return rows.join(hot, key).unionByName(rest)
+
+
 def components(links: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """(node, root) for the nodes of the long pairs (a, b): root is the component's least node.
 
