@@ -69,6 +69,11 @@ class Model:
         """P moved so that the learned cut stands at the threshold; order is kept."""
         return np.where(p < self.cut, THRESHOLD * p / self.cut, THRESHOLD + (1 - THRESHOLD) * (p - self.cut) / max(1e-9, 1 - self.cut))
 
+    def offending(self, text: str) -> list[tuple[int, int, float]]:
+        """The sentences to blame for a text that scores over the threshold: those of p = 0.5 or more, else the worst one."""
+        found = self.locate(text, 0.0)
+        return [s for s in found if s[2] >= 0.5] or sorted(found, key=lambda s: -s[2])[:1]
+
     def locate(self, text: str | None, least: float = 0.5) -> list[tuple[int, int, float]]:
         """(start, end, p) in code points of the sentences whose own score is ``least`` or more."""
         out, at = [], 0
@@ -150,17 +155,18 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model:
     """Learn from a sample of at most ``sample`` labelled documents of each class, outside the held-out fold.
 
-    Several labels of one document count as toxic if one is. Null ids, labels and texts, and texts over
-    ``chars`` characters, are not learned from. Nothing of a document but its text is an input.
+    Several labels of one document count as toxic if one is; of several texts under one id the least is learned from. Null ids,
+    labels and texts, and texts over ``chars`` characters, are not learned from, and the sample is drawn among the others. Nothing
+    of a document but its text is an input; other columns are not looked at, whatever their names.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    fit = docs.select("doc_id", "text").where(F.length("text") <= chars)
+    usable = known.join(fit.select("doc_id").distinct(), "doc_id", "left_semi")
     # both samples are bounded, so that they may be broadcast
-    picked = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
-    rows = (
-        docs.select(F.col("doc_id").alias("doc_id"), "text").where(F.length("text") <= chars)
-        .join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    )
+    picked = [usable.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
+    chosen = fit.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    rows = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     got = Counter(r["toxic"] for r in rows)
     weight = tuple(counts.get(k, 0) / max(1, got[k]) for k in (0, 1))
     return learn([r["text"] for r in rows], [r["toxic"] for r in rows], weight)
@@ -179,19 +185,36 @@ def score_column(model: Model, spark):
     return pandas_udf(score, "double")
 
 
-def locate_column(model: Model, spark, least: float = 0.5):
-    """A column function from texts to their offending sentences: array of (start, end, p)."""
+JUDGED = "struct<score:double,offending:array<struct<start:long,end:long,p:double>>>"
+
+
+def judged_column(model: Model, spark):
+    """A column function from texts to their score and, from the threshold on, the sentences that give offence (code points)."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    def locate(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.locate(t, least) for t in texts])
+    def judged(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = shared.value
+        one = model.scorer()
+        for batch in texts:
+            scores = [float(one(t)) for t in batch]
+            yield pd.DataFrame({"score": scores, "offending": [model.offending(t) if s >= THRESHOLD else [] for t, s in zip(batch, scores, strict=True)]})
 
-    return pandas_udf(locate, "array<struct<start:long,end:long,p:double>>")
+    return pandas_udf(judged, JUDGED)
+
+
+def judge(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score, predicted, offending of every row; null and empty texts score 0.
+
+    Equal texts score equally; repeated rows stay; other columns of ``docs`` are not looked at, whatever their names.
+    """
+    made = docs.select("doc_id", held_out().alias("held_out"), judged_column(model, docs.sparkSession)("text").alias("judged"))
+    predicted = (F.col("judged.score") >= THRESHOLD).cast("int").alias("predicted")
+    return made.select("doc_id", "held_out", "judged.score", predicted, "judged.offending")
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     """Scores of all documents, by a model that has not seen the held-out labels."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = docs.select("doc_id", held_out().alias("held_out"), score_column(model, spark)("text").alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return judge(docs, model)
