@@ -1,5 +1,6 @@
 """Operators against brute force, on rows with nulls, empty and long texts, ties, repeats and odd columns."""
 
+import base64
 import hashlib
 import itertools
 import re
@@ -70,7 +71,22 @@ def test_warc(spark):
     assert by_payload == expected
     top = {r["payload"].decode(): r["header"] for r in read.where("type = 'response'").collect()}
     assert "<urn:page:2:" in top["a"] and "<urn:page:5:" in top["é"] and "<urn:page:null:" in top["alone"] and "<urn:page:4:" in top[""]
-    assert all(r["record"].endswith(b"\r\n\r\n") for r in warc.warc_bytes(read).collect())
+    for r in warc.warc_bytes(read).collect():
+        head, block = bytes(r["record"]).split(b"\r\n\r\n", 1)
+        fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+        block = block[:-4]
+        assert int(fields[b"Content-Length"]) == len(block) and fields[b"WARC-Block-Digest"] == b"sha256:" + hashlib.sha256(block).hexdigest().encode()
+        assert b"%0D%0Ax" in fields[b"WARC-Target-URI"] if fields.get(b"WARC-Target-URI", b"").startswith(b"v") else True
+    clash = pages.withColumns({c: F.lit("x") for c in ("digest", "header", "copy", "top", "payload", "id", "length")})
+    said = Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.archived(clash, scratch).collect())
+    wanted: Counter = Counter()
+    for html in {h or "" for _, _, h in rows}:
+        ids = sorted([i for i, _, h in rows if (h or "") == html], key=lambda i: (i is not None, i or 0))
+        digest = base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+        wanted[(ids[-1], len(html.encode()), digest, "response", None)] += 1
+        for i in ids[:-1]:
+            wanted[(i, len(html.encode()), digest, "revisit", ids[-1])] += 1
+    assert said == wanted
     damaged = payloads.withColumn("payload", F.lit(b"?"))
     with pytest.raises(Exception, match="damaged"):
         warc.read_archive(records, damaged).collect()
@@ -178,12 +194,28 @@ def test_toxicity(spark):
     spans = model.locate(texts[0])
     assert len(spans) == 1 and "grunch" in texts[0][spans[0][0] : spans[0][1]]
     assert score(None) == score("") == score(" . ") == 0.0
+    for t in [*texts[:200], "", "Hm!! GRUNCHA?\nno. " + texts[0], "É grunchb, x", "!"]:  # noisy-or, sentence by sentence
+        clean = 1.0
+        for sentence in re.split(r"[.?\n]+|(?<!!)!(?!!)", t.lower()):
+            words = {w.strip(toxicity.EDGES) for w in sentence.split()}
+            if sentence.split():
+                z = model.bias + sum(model.weights.get(f, 0.0) for token in set(sentence.split()) for f in toxicity.features_of(token))
+                clean *= 1 - 1 / (1 + np.exp(-z))
+                assert words
+        assert abs(score(t) - float(model.graded(1 - clean))) < 1e-9
     for few in ([], [0, 0], [1, 1]):
         assert 0 <= toxicity.learn(["a b"] * len(few), few).scorer()("a b") <= 1
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] + [(None, None, "x"), (1, "", "x")], "doc_id long, text string, toxic string")
     marks = spark.createDataFrame([(k, y) for k, y in enumerate(labels)] + [(None, 1), (3, None), (0, 0)], "doc_id long, toxic int")
     learned = toxicity.train(docs, marks, sample=200)
     scored = docs.select("doc_id", toxicity.held_out().alias("held_out"), toxicity.score_column(learned, spark)("text").alias("score")).toPandas()
+    judged = toxicity.judge(docs.withColumn("held_out", F.lit(1)), learned).toPandas()
+    assert sorted(judged.score) == sorted(scored.score) and ((judged.score >= 0.3) == (judged.predicted == 1)).all()
+    whole = {k: t for k, t in enumerate(texts)}
+    for r in judged[(judged.predicted == 1) & judged.doc_id.notna()].itertuples():
+        said = " ".join(whole[int(r.doc_id)][s["start"] : s["end"]] for s in r.offending)
+        assert ("grunch" in said) == ("grunch" in whole[int(r.doc_id)])
+    assert all(len(o) == 0 for o in judged[judged.predicted == 0].offending)
     kept = scored[scored.held_out & scored.doc_id.notna() & (scored.score > 0)]
     assert np.mean([(s >= 0.3) == bool(labels[int(i)]) for i, s in zip(kept.doc_id, kept.score, strict=True)]) > 0.95
     assert all(h == (zlib.crc32(str(int(i)).encode()) % 4 == 2) for i, h in zip(scored.doc_id, scored.held_out, strict=True) if i == i)

@@ -34,7 +34,7 @@ def records_of(pages: DataFrame) -> DataFrame:
 
     Of the records of one payload, that with the largest page_id is the response (of equal ids the
     last url, of equal rows the last copy); the others are revisits. Null html is an empty payload; a
-    null id is less than any other.
+    null id is less than any other. Other columns are not looked at, whatever their names; no rows give no rows.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").alias("id"), "url", F.sha2(payload, 256).alias("digest"), base32_sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("length"))
@@ -48,14 +48,15 @@ def records_of(pages: DataFrame) -> DataFrame:
 
 
 def header(date: str) -> Column:
-    """The exact header of a record, up to and with the empty line."""
+    """The exact header of a record, up to and with the empty line. Line ends in a URL, which a header cannot hold, are percent-encoded."""
     urn = lambda x: F.concat(F.lit("<urn:page:"), F.coalesce(x("id").cast("string"), F.lit("null")), F.lit(":"), F.substring(F.sha2(F.coalesce(x("url"), F.lit("")), 256), 1, 16), F.lit(":"), x("copy").cast("string"), F.lit(">"))
     own, other = urn(F.col), urn(lambda c: F.col(f"top.{c}"))
     line = lambda k, v: F.concat(F.lit(f"{k}: "), v, F.lit(CRLF))
+    block = F.when(F.col("responds"), F.col("digest")).otherwise(F.sha2(F.lit(""), 256))  # a revisit's block is empty
     return F.concat(
         F.lit(f"WARC/1.1{CRLF}"), line("WARC-Type", F.when(F.col("responds"), "response").otherwise("revisit")), line("WARC-Record-ID", own),
-        F.coalesce(line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", " ")), F.lit("")), line("WARC-Date", F.lit(date)),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "sha1")), line("WARC-Block-Digest", F.concat(F.lit("sha256:"), "digest")),
+        F.coalesce(line("WARC-Target-URI", F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))), F.lit("")), line("WARC-Date", F.lit(date)),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "sha1")), line("WARC-Block-Digest", F.concat(F.lit("sha256:"), block)),
         F.when(F.col("responds"), "").otherwise(F.concat(line("WARC-Refers-To", other), line("WARC-Profile", F.lit(PROFILE)))),
         F.lit(f"Content-Type: text/html; charset=UTF-8{CRLF}"), line("Content-Length", F.when(F.col("responds"), F.col("length")).otherwise(0).cast("string")), F.lit(CRLF),
     )
@@ -87,17 +88,22 @@ def field(name: str) -> Column:
     return F.when(found != "", found)
 
 
-def op1_warc(spark, sf_dir: str) -> DataFrame:
-    """All pages written to an archive and read back."""
-    scratch = Scratch(spark)
-    read = read_archive(*write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), scratch))
+def archived(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """What the archive says of each page, once it is written and read back: one row a row of ``pages``."""
+    read = read_archive(*write_archive(pages.select("page_id", "url", "html"), scratch))
     page = lambda name: F.expr(f"try_cast(regexp_extract(header, '\\r\\n{name}: <urn:page:([^:]*):', 1) as long)")
     return read.select(
-        page("WARC-Record-ID").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"),
-        field("WARC-Type").alias("record_type"), page("WARC-Refers-To").alias("refers_to"), F.col("digest").alias("payload_sha256"), field("WARC-Target-URI").alias("target_uri"),
+        page("WARC-Record-ID").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+        base32_sha1(F.col("payload")).alias("payload_digest"), field("WARC-Type").alias("record_type"), page("WARC-Refers-To").alias("refers_to"),
+        F.col("digest").alias("payload_sha256"), field("WARC-Target-URI").alias("target_uri"),
     )
 
 
+def op1_warc(spark, sf_dir: str) -> DataFrame:
+    """All pages written to an archive and read back."""
+    return archived(spark.read.parquet(f"{sf_dir}/pages.parquet"), Scratch(spark))
+
+
 #: DuckDB has no base-32 function: eight digits from each 40 bits, as above.
 _DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 10 * {g}, 10))::bigint >> {s}) & 31)::int, 1)"
 OP1_SQL = f"""
@@ -107,6 +113,6 @@ select page_id, strlen(payload)::bigint as payload_bytes,
        {" || ".join(_DIGIT.format(g=g, s=35 - 5 * k) for g in range(4) for k in range(8))} as payload_digest,
        case when page_id = top then 'response' else 'revisit' end as record_type,
        case when page_id = top then null else top end as refers_to,
-       sha256(payload) as payload_sha256, url as target_uri
+       sha256(payload) as payload_sha256, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') as target_uri
 from q
 """
