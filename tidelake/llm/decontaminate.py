@@ -6,11 +6,12 @@ tokens is the rarest one: it alone is joined with the documents' tokens. A match
 window would have to begin; begins outside the document, or in documents too short for it, are given
 up, and what is left is compared word by word.
 
-The benchmark is the stated query set: its windows are taken in blocks of a bounded number, and each
+The benchmark is the stated query set: its windows are taken in blocks of bounded bytes, and each
 block is joined inside one pass over the documents, without a shuffle. Any number of blocks is exact.
 """
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,24 +36,60 @@ def found_in(sorted_keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     return sorted_keys[np.minimum(np.searchsorted(sorted_keys, values), len(sorted_keys) - 1)] == values
 
 
+class Windows:
+    """The distinct windows of one length: where each stands in the block's words, and the items that have it."""
+
+    def __init__(self, flat: np.ndarray, length: int, starts: np.ndarray, owner: np.ndarray, shingle: int):
+        self.length, self.size = length, min(shingle, length)
+        rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, length)[starts])
+        _, first, which = np.unique(rows.view(np.dtype((np.void, rows.itemsize * length))).ravel(), return_index=True, return_inverse=True)
+        self.start = starts[first].astype(np.int32)
+        pairs = np.unique((which.astype(np.int64) << 32) | owner)
+        self.items = (pairs & 0xFFFFFFFF).astype(np.int32)
+        self.begin = np.searchsorted(pairs >> 32, np.arange(len(first) + 1)).astype(np.int32)
+
+    def order(self, tokens: np.ndarray, rank: np.ndarray) -> None:
+        """Sort the windows by the rarest of their shingles (``rank`` by place in the block) and keep where it stands."""
+        inside = np.lib.stride_tricks.sliding_window_view(rank, self.length - self.size + 1)
+        at = np.concatenate([inside[part].argmin(axis=1) for part in np.array_split(self.start, len(self.start) // 100_000 + 1)])
+        key = tokens[self.start + at]
+        self.by_key = np.argsort(key, kind="stable").astype(np.int32)
+        self.key, self.at = key[self.by_key], at[self.by_key].astype(np.int8)
+
+
 class Block:
-    """The windows of some benchmark items, indexed by the rarest shingle of each.
+    """The windows of some benchmark items, indexed by the rarest shingle of each: flat arrays of numbers.
 
     Words are numbered; a shingle is three word numbers in one integer, a shorter window is its own shingle.
     """
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int, shingle: int = 3):
-        self.shingle, self.words = shingle, {}
-        number = lambda w: self.words.setdefault(w, len(self.words) + 1)
-        at: dict[tuple[int, ...], set[str]] = {}
-        for item, words in items:
-            ids = [number(w) for w in words]
-            for k in range(max(1, len(ids) - window + 1)):
-                at.setdefault(tuple(ids[k : k + window]), set()).add(item)
+    def __init__(self, window: int, shingle: int = 3):
+        self.window, self.shingle, self.words = window, shingle, {}
+        self.names: list[str] = []
+        self.held, self.lengths = array("i"), array("q")
+
+    def add(self, item: str, words: list[bytes]) -> None:
+        self.names.append(item)
+        self.lengths.append(len(words))
+        self.held.extend([self.words.setdefault(w, len(self.words) + 1) for w in words])
+        self.held.append(0)  # no shingle goes from one item to the next
+
+    def close(self) -> None:
+        self.flat, lengths = np.array(self.held, np.int32), np.array(self.lengths, np.int64)
         self.base = len(self.words) + 1
-        self.windows = [(np.array(w, np.int64), sorted(names)) for w, names in sorted(at.items())]
-        self.tokens = np.unique(np.concatenate([self.shingles(w, min(shingle, len(w))) for w, _ in self.windows]))
-        self.prefix: dict[int, list[tuple[int, int]]] = {}
+        begins = np.cumsum(lengths + 1) - lengths - 1
+        size = np.minimum(lengths, self.window)
+        self.groups = []
+        for length in np.unique(size).tolist():
+            owners = np.flatnonzero(size == length)
+            n = lengths[owners] - length + 1
+            owner = np.repeat(owners, n)
+            starts = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + begins[owner]
+            self.groups.append(Windows(self.flat, length, starts, owner, self.shingle))
+        self.sizes = sorted({g.size for g in self.groups})
+        found = np.unique(np.concatenate([self.shingles(self.flat, k) for k in self.sizes]))
+        self.tokens = found[found > 0]
+        del self.held, self.lengths
 
     def shingles(self, ids: np.ndarray, size: int | None = None) -> np.ndarray:
         """Shingles of ``size`` words each; one with an unknown word is 0. Sizes never share a number."""
@@ -73,35 +110,52 @@ class Block:
             out.append(0)
         return np.array(out, np.int64), np.array([*begins, len(out)], np.int64)
 
-    def order(self, rarity: dict[int, int]) -> None:
-        """Keep of each window only the necessary prefix: its rarest shingle and where that stands in it."""
-        for k, (ids, _) in enumerate(self.windows):
-            tokens = self.shingles(ids, min(self.shingle, len(ids))).tolist()
-            j = min(range(len(tokens)), key=lambda j: (rarity.get(tokens[j], 0), tokens[j], j))
-            self.prefix.setdefault(tokens[j], []).append((k, j))
-        self.sizes = sorted({min(self.shingle, len(w)) for w, _ in self.windows})
-        self.keys = np.array(sorted(self.prefix), np.int64)
+    def order(self, counts: np.ndarray) -> None:
+        """Keep of each window only the necessary prefix: its rarest shingle by ``counts`` of the tokens, and where that stands in it."""
+        rank = np.empty(len(self.tokens), np.int32)
+        rank[np.lexsort((self.tokens, counts))] = np.arange(len(counts), dtype=np.int32)
+        for size in self.sizes:
+            here = self.shingles(self.flat, size)
+            there = np.where(here > 0, rank[np.minimum(np.searchsorted(self.tokens, here), len(rank) - 1)], np.int32(1 << 30)).astype(np.int32)
+            for g in self.groups:
+                if g.size == size:
+                    g.order(here, there)
 
-    def search(self, ids: np.ndarray, begins: np.ndarray) -> dict[int, tuple[set[tuple[int, int]], set[str]]]:
+    def search(self, ids: np.ndarray, begins: np.ndarray, most: int = 1_000_000) -> dict[int, tuple[set[tuple[int, int]], set[str]]]:
         """For each text with occurrences: spans of words inside them, and the items of the windows."""
         found: dict[int, tuple[set, set]] = {}
-        for size in self.sizes:
-            tokens = self.shingles(ids, size)
-            for p in np.flatnonzero(found_in(self.keys, tokens)).tolist():
-                row = int(np.searchsorted(begins, p, side="right")) - 1
-                low, high = int(begins[row]), int(begins[row + 1]) - 1
-                for k, j in self.prefix[int(tokens[p])]:
-                    window, names = self.windows[k]
-                    start = p - j
-                    if min(self.shingle, len(window)) != size or start < low or start + len(window) > high:
-                        continue  # positional and length bounds
-                    if np.array_equal(ids[start : start + len(window)], window):
-                        spans, items = found.setdefault(row, (set(), set()))
-                        spans.add((start - low, start - low + len(window)))
-                        items.update(names)
+        for g in self.groups:
+            tokens = self.shingles(ids, g.size)
+            hits = np.flatnonzero(found_in(g.key, tokens)) if len(tokens) else np.empty(0, np.int64)
+            low, high = (np.searchsorted(g.key, tokens[hits], side) for side in ("left", "right"))
+            total = np.cumsum(high - low)
+            for a, b in _slices(total, most):
+                n = (high - low)[a:b]
+                k = np.repeat(low[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())  # each window whose shingle this is
+                start = np.repeat(hits[a:b], n) - g.at[k]
+                row = np.searchsorted(begins, np.repeat(hits[a:b], n), side="right") - 1
+                there = (start >= begins[row]) & (start + g.length < begins[row + 1])  # positional and length bounds
+                k, start, row = g.by_key[k[there]], start[there], row[there]
+                for d in range(g.length):
+                    same = ids[start + d] == self.flat[g.start[k] + d]
+                    k, start, row = k[same], start[same], row[same]
+                for w, s, r in zip(k.tolist(), (start - begins[row]).tolist(), row.tolist(), strict=True):
+                    spans, items = found.setdefault(r, (set(), set()))
+                    spans.add((s, s + g.length))
+                    items.update(self.names[i] for i in g.items[g.begin[w] : g.begin[w + 1]])
         return found
 
 
+def _slices(total: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Slices of a running total that each add at most ``most``, or are one entry."""
+    a = 0
+    while a < len(total):
+        before = total[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(total, before + most, side="right")))
+        yield a, b
+        a = b
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -112,43 +166,48 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def blocks_of(benchmark: DataFrame, window: int = 13, words_per_block: int = 2_000_000) -> Iterator[Block]:
+def blocks_of(benchmark: DataFrame, window: int = 13, words_per_block: int = 1_000_000) -> Iterator[Block]:
     """Read the benchmark row by row and cut it into blocks; one block at a time is in memory.
 
-    Items without words have no windows; a null id is named ''.
+    A word takes about 30 bytes of a block, in the driver and in each Python worker, and the block's different words about
+    150 bytes each. Items without words have no windows; a null id is named ''.
     """
-    items, size = [], 0
+    block, size = Block(window), 0
     for r in benchmark.select(F.col("item_id").cast("string").alias("item"), "text").toLocalIterator():
         words = words_of(r["text"])
         while words:  # an item longer than a block goes on, overlapping by a window less one, in the next
             room = max(window, words_per_block - size)
-            items.append((r["item"] or "", words[:room]))
+            block.add(r["item"] or "", words[:room])
             size += len(words[:room])
             words = words[room - window + 1 :] if len(words) > room else []
             if size >= words_per_block:
-                yield Block(items, window)
-                items, size = [], 0
-    if items:
-        yield Block(items, window)
+                block.close()
+                yield block
+                block, size = Block(window), 0
+    if size:
+        block.close()
+        yield block
 
 
-def _rarities(docs: DataFrame, block) -> dict[int, int]:
-    """How often each shingle of the block stands in all documents: at most as many rows as it has shingles."""
+def _rarities(docs: DataFrame, block) -> np.ndarray:
+    """How often each shingle of the block stands in all documents."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         b = block.value
-        sizes = sorted({min(b.shingle, len(w)) for w, _ in b.windows})
         totals = np.zeros(len(b.tokens), np.int64)
         for batch in batches:
             ids, _ = b.ids(batch["text"])
-            for size in sizes:
+            for size in b.sizes:
                 t = b.shingles(ids, size)
                 np.add.at(totals, np.searchsorted(b.tokens, t[found_in(b.tokens, t)]), 1)
         seen = np.flatnonzero(totals)
         yield pd.DataFrame({"token": b.tokens[seen], "n": totals[seen]})
 
+    tokens, out = block.value.tokens, np.zeros(len(block.value.tokens), np.int64)
     counted = docs.select("text").mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return {r["token"]: r["n"] for r in counted.toLocalIterator()}
+    seen = counted.toPandas()  # at most as many rows as the block has shingles
+    out[np.searchsorted(tokens, seen["token"].to_numpy(np.int64))] = seen["n"]
+    return out
 
 
 def _hits(block):
@@ -172,7 +231,7 @@ def _summary(hits: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, words_per_block: int = 2_000_000, out: str = "_hits") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, words_per_block: int = 1_000_000, out: str = "_hits") -> DataFrame:
     """``docs`` with a column named ``out``: n_words, n_hit, n_items, items_sha256, contaminated, spans (of words).
 
     Null and empty texts have no words and no hits; repeated rows and repeated items are taken as they
