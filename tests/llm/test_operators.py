@@ -287,7 +287,23 @@ def test_spotsigs(spark, docs):
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
         expected[(key(i), len(t), hashlib.sha256(edited.encode()).hexdigest())] += 1
     assert Counter((key(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in out) == expected
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in out)
+    everywhere = set(anchors)
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    near: Counter = Counter()
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        own, changed, other = (spots(x, everywhere) for x in (t, t[: len(t) - len(t) // 2] + after[: len(t) // 2], after))
+        near[(key(i), len(own), round(jaccard(own, changed), 9), round(jaccard(own, other), 9))] += 1
+    assert Counter((key(r["doc_id"]), len(r["signatures"]), round(r["near_edited"], 9), round(r["near_next"], 9)) for r in out) == near
+    for r in out:
+        a, b = set(r["signatures"]), set(r["edited_signatures"])
+        assert abs(jaccard(a, b) - r["near_edited"]) < 1e-12 and r["fingerprint"].split(":")[0] == str(len(a))
+        assert (r["fingerprint"] == r["edited_fingerprint"]) == (a == b)
+    clash = docs.withColumns({c: F.lit(1) for c in ("signs", "edited", "part", "guest", "tie", "next_text", "head_id", "other", "size", "node", "name", "least")})
+    assert Counter((key(r["doc_id"]), r["fingerprint"]) for r in spotsigs.fingerprints(clash).collect()) == Counter((key(r["doc_id"]), r["fingerprint"]) for r in out)
+    classes = Counter((key(r["doc_id"]), r["class_id"]) for r in spotsigs.near_duplicates(clash).collect())
+    assert classes.total() == len(TEXTS) and classes == Counter((key(r["doc_id"]), r["class_id"]) for r in spotsigs.near_duplicates(docs).collect())
+    assert spotsigs.near_duplicates(docs.limit(0)).count() == 0
     same = {r["fingerprint"] for r in out if r["doc_id"] in (0, 9)}
     assert len(same) == 1
     assert spotsigs.fingerprints(docs.limit(0)).count() == 0
@@ -332,8 +348,17 @@ def test_secrets(spark):
     good = "é ghp_" + "A" * 30 + "".join(reversed(digits))
     assert [s[0] for s in secrets.find_secrets(good)] == ["github"] and secrets.find_secrets(good[:-1] + "!") == []
     assert [s[0] for s in secrets.find_secrets("card number: 4111 1111 1111 1111 ok")] == ["card"] and secrets.find_secrets("card number: 4111 1111 1111 1112 ok") == []
-    docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts[:300])] + [(None, None, 1), (1, good, 1)], "doc_id long, text string, spans int")
-    assert secrets.scan(docs).count() == 302
+    odd = [*((k, t, 1) for k, t in enumerate(texts[:300])), (None, None, 1), (1, good, 1), (1, good, 1), (2, "", 1)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, spans int")
+    kinds, listed = secrets.KINDS[:3], lambda found: ",".join(f"{k}:{a}:{b}" for k, a, b in found)
+    expected: Counter = Counter()
+    for i, t, _ in odd:
+        base = base_spans(t or "")
+        every = sorted([*base, *(x for x in secrets.find_secrets(t) if x[0] not in kinds)], key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+        counts = [sum(x[0] == k for x in base) for k in kinds]
+        expected[(i, *counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(every))] += 1
+    got = Counter(tuple(r[c] for c in ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")) for r in secrets.scan(docs).collect())
+    assert got == expected
     red = {x["doc_id"]: x["text"] for x in secrets.redact(docs.where("doc_id = 1 or doc_id is null")).collect() if x["text"] is None or "<github>" in x["text"]}
     assert red[None] is None and red[1] == "é <github>"
     assert secrets.redact(docs).columns == docs.columns and secrets.scan(docs.limit(0)).count() == 0

@@ -360,7 +360,8 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     A byte goes if a string of LENGTH bytes that covers it also begins in a document with a smaller doc_id.
     Null ids count as larger than any other and as equal to each other; documents with equal ids do not take from one
-    another. Null and short texts lose nothing. Every row of ``docs`` gives one row.
+    another. Null and short texts lose nothing. Every row of ``docs`` gives one row; other columns are not looked at,
+    whatever their names.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)

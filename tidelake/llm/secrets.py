@@ -136,7 +136,8 @@ def _redact(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id and what was found in its text: counts of the base kinds, their digest, and all spans.
 
-    One row a document, equal rows and null ids included; no shuffle; a very long text is one row's work.
+    One row a document, equal rows and null ids included; null and empty texts have no secrets; no rows give no rows; other
+    columns are not looked at, whatever their names. No shuffle; a very long text is one row's work.
     """
     small_batches(docs.sparkSession)
     return docs.select("doc_id", pandas_udf(_scan, SCAN)("text").alias("_s")).select("doc_id", "_s.*")

@@ -221,7 +221,8 @@ def simhash_components(docs: DataFrame, budget: int = 2) -> DataFrame:
 
     component_id is the least doc_id among the documents that chains of fingerprints within
     ``budget`` bits reach; null ids count only if there is no other. Texts without words, empty and
-    null ones included, have fingerprint 0 and are linked like any other. Equal rows stay.
+    null ones included, have fingerprint 0 and are linked like any other. Equal rows stay; no rows give no rows;
+    other columns are not looked at, whatever their names.
     """
     scratch = Scratch(docs.sparkSession)
     fps = scratch.save(docs.select("doc_id", pandas_udf(_fingerprints, "long")("text").alias("fp")), "fingerprints")

@@ -115,10 +115,11 @@ def with_next(docs: DataFrame, make: dict[str, callable], rows_per_part: int = 2
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, the edited text's digest, both fingerprints and the likenesses that the contract asks for.
+    """doc_id, n_chars, the edited text's digest, both fingerprints, their signatures, and the likenesses that the contract asks for.
 
-    Null texts count as empty. Equal ids and repeated rows each keep their row and are neighbours. A single
-    document is its own next one. No rows give no rows.
+    A fingerprint is named by its size and digest; its signatures, from which the likenesses follow, stand beside it. Null
+    texts count as empty. Equal ids and repeated rows each keep their row and are neighbours. A single
+    document is its own next one. No rows give no rows. Other columns are not looked at, whatever their names.
     """
     anchors = common_words(docs)
     signs = functools.partial(signatures, anchors=anchors)
@@ -127,10 +128,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = rows.withColumn("edited", edited).withColumn("edited_signs", signs(F.col("edited")))
+    own, changed, after = F.col("signs"), F.col("edited_signs"), F.col("next_signs")
     return rows.select(
-        "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("signs")).alias("fingerprint"),
-        digest(F.col("edited_signs")).alias("edited_fingerprint"), likeness(F.col("signs"), F.col("edited_signs")).alias("near_edited"),
-        likeness(F.col("signs"), F.col("next_signs")).alias("near_next"),
+        "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digest(own).alias("fingerprint"),
+        digest(changed).alias("edited_fingerprint"), likeness(own, changed).alias("near_edited"), likeness(own, after).alias("near_next"),
+        own.alias("signatures"), changed.alias("edited_signatures"),
     )
 
 
@@ -138,7 +140,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id and class_id: documents that chains of fingerprints of likeness ``least`` or more connect.
 
     Equal fingerprints are put together first; the others are joined by size partitions and pruned likeness
-    (set_join). class_id is the least doc_id of the class.
+    (set_join). class_id is the least doc_id of the class. Null texts count as empty, and texts without words are one class; null
+    ids name a class only if it has no other; repeated rows stay; no rows give no rows; other columns are not looked at.
     """
     scratch = Scratch(docs.sparkSession)
     anchors = common_words(docs)
