@@ -93,8 +93,10 @@ def slow_calls(df: DataFrame, over_ms: float) -> DataFrame:
     return df.where(F.col("ms") > over_ms)
 
 
-def throughput(rows: int, size: int, seconds: float) -> dict[str, float]:
-    return {"rows_per_s": rows / max(seconds, 1e-9), "mb_per_s": size / 1e6 / max(seconds, 1e-9)}
+def throughput(rows: Column, size: Column, seconds: Column) -> tuple[Column, Column]:
+    """rows_per_s and mb_per_s."""
+    spent = F.greatest(seconds, F.lit(1e-9))
+    return (rows / spent).alias("rows_per_s"), (size / 1e6 / spent).alias("mb_per_s")
 
 
 def newest(df: DataFrame, time: str, n: int, tie: str) -> DataFrame:

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch_to_timestamp
+from ..scratch import file_system
 
 #: Fixed value: the twelve columns of the format, in order.
-COLUMNS = "open_time bigint, open double, high double, low double, close double, volume double, close_time bigint, quote_volume double, trade_count bigint, taker_buy_volume double, taker_buy_quote_volume double, ignore string"
+COLUMNS = (
+    "open_time bigint, open double, high double, low double, close double, volume double, close_time bigint, quote_volume double, "
+    "trade_count bigint, taker_buy_volume double, taker_buy_quote_volume double, ignore string"
+)
 
 
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -30,11 +34,16 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     yield pd.DataFrame({"path": path, "line": block})
 
 
-def read(spark: SparkSession, archives: str, symbol: str, interval: str) -> DataFrame:
-    """Klines of all zips that ``archives`` names: typed, times normalised, tagged; sort on write."""
-    lines = spark.read.format("binaryFile").load(archives).select("path", "content").mapInPandas(_lines, "path string, line string")
+def parse(archives: DataFrame) -> DataFrame:
+    """Klines of zips (path, content): typed, times normalised; sort on write."""
+    lines = archives.select("path", "content").mapInPandas(_lines, "path string, line string")
     rows = lines.select(F.from_csv("line", COLUMNS).alias("k")).select("k.*")
-    return rows.withColumns({"open_time": epoch_to_timestamp(F.col("open_time")), "close_time": epoch_to_timestamp(F.col("close_time")), "symbol": F.lit(symbol), "interval": F.lit(interval)}).drop("ignore")
+    return rows.withColumns({c: epoch_to_timestamp(F.col(c)) for c in ("open_time", "close_time")}).drop("ignore")
+
+
+def read(spark: SparkSession, archives: str, symbol: str, interval: str) -> DataFrame:
+    """Klines of all zips that ``archives`` names, tagged."""
+    return parse(spark.read.format("binaryFile").load(archives)).withColumns({"symbol": F.lit(symbol), "interval": F.lit(interval)})
 
 
 def load(spark: SparkSession, months: list[tuple[str, str]], symbol: str, interval: str, out: str) -> DataFrame:
@@ -42,8 +51,6 @@ def load(spark: SparkSession, months: list[tuple[str, str]], symbol: str, interv
 
     Written as symbol=/interval=/date= partitions of zstd files sorted by time; a second run writes nothing.
     """
-    from ..scratch import file_system
-
     status = []
     for month, archive in months:
         target = f"{out}/symbol={symbol}/interval={interval}/date={month}"
@@ -54,6 +61,8 @@ def load(spark: SparkSession, months: list[tuple[str, str]], symbol: str, interv
         elif not source_fs.exists(source):
             status.append((month, "missing"))
         else:
-            read(spark, archive, symbol, interval).drop("symbol", "interval").coalesce(1).sortWithinPartitions("open_time").write.option("compression", "zstd").parquet(target)
+            # an archive is one zip, read by one task: its month is one file
+            rows = read(spark, archive, symbol, interval).drop("symbol", "interval")
+            rows.coalesce(1).sortWithinPartitions("open_time").write.option("compression", "zstd").parquet(target)
             status.append((month, "written"))
     return spark.createDataFrame(status, "month string, status string")
