@@ -1,5 +1,7 @@
 """The pipeline against a plain version of its own, stage by stage, and the queries that have SQL."""
 
+from collections import Counter
+
 import duckdb
 import pytest
 
@@ -38,6 +40,37 @@ def test_stages(spark):
     assert set(packed.doc_id) == kept and packed.groupby("sequence_id").length.sum().max() <= 2048
 
 
+ODD = [
+    (1, None), (2, ""), (2, ""), (None, " \n\t "), (3, "one"), (3, "one"), (None, "one"), (None, None), (4, "É 中文 😀 " * 50), (5, "x" * 100_000),
+    (6, "token = abcdefghijklmnop and more words here"), (7, "word " * 30_000), (8, "é"), (9, "a b c d"), (10, "A B C D"),
+]
+CLASHES = ["_hits", "_h", "hits", "digest", "fp", "node", "row", "judged", "contaminated", "cell", "rank", "start", "n", "number", "at", "c0", "first", "root", "spans"]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_on_odd_rows(spark, name):
+    stage, columns = dict(corpus_pipeline.STAGES)[name], ["doc_id", "text", *CLASHES]
+    docs = spark.createDataFrame([(i, t, *[k] * len(CLASHES)) for k, (i, t) in enumerate(ODD)], "doc_id long, text string, " + ", ".join(f"{c} int" for c in CLASHES))
+    none = stage(spark, docs.limit(0), SMALL)
+    assert none.count() == 0
+    out = stage(spark, docs.repartition(3), SMALL)
+    if name == "packing":
+        assert out.where("piece = 0").count() == len(ODD) and none.columns == out.columns
+        return
+    assert out.columns == columns == none.columns
+    kept = {r["digest"]: r["text"] for r in out.collect()}
+    whole = {k: t for k, (_, t) in enumerate(ODD)}
+    if name == "near_duplicates":
+        order = sorted(whole, key=lambda k: (ODD[k][0] is None, ODD[k][0] or 0))
+        groups = near_copies([ODD[k][1] for k in order])
+        assert len(kept) == len(set(groups)) and all(whole[k] == t for k, t in kept.items())
+        assert Counter((ODD[k][0], ODD[k][1] or "") for k in kept if (ODD[k][1] or "").split()) == Counter((ODD[order[g]][0], ODD[order[g]][1]) for g in set(groups) if (ODD[order[g]][1] or "").split())
+    elif name == "secrets":
+        assert kept.keys() == whole.keys() and "abcdefghijklmnop" not in kept[10] and all(whole[k] == t for k, t in kept.items() if k != 10)
+    else:  # nothing here is toxic or from the benchmark
+        assert kept == whole
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
     assert decontaminate.words_of(None) == []
