@@ -56,24 +56,22 @@ def shingles(text: str | None, size: int, known: WordHashes) -> np.ndarray:
     return mix(h)
 
 
-def part_keys(distinct: np.ndarray, least: float, parts: int = 16, each: int = 4) -> np.ndarray:
-    """Fingerprints of parts of a set of shingles: two sets of likeness ``least`` have an equal one, almost surely.
+def band_keys(distinct: np.ndarray, bands: int = 16, rows: int = 6) -> np.ndarray:
+    """Keys of a set of shingle hashes (distinct, in order), of which sets of likeness 0.8 have an equal one in 99 of 100 cases.
 
-    The shingles are dealt to parts by hash: to 2 ** k parts that hold ``each`` to twice as many on average (``parts``
-    parts at least, which few shingles leave with less); the first ``parts`` parts are used. A set whose size may
-    put a like one in other parts is dealt both ways. Where the likeness is ``least``, a part is the same in both
-    with a chance of 1 in 4 or better, and all 16 differ in under 1 of 100 pairs.
+    The range of hashes is cut into ``bands`` * ``rows`` bins; a bin stands for its least hash, an empty one for that of the
+    next bin that has any. Two sets agree in a bin with a chance of their likeness. A key is made of ``rows`` bins that lie
+    far apart, whatever the size of the set, so that it takes several shingles in common to agree in it.
     """
-    out = []
-    levels = {max(parts.bit_length() - 1, max(1, int(n) // each).bit_length() - 1) for n in (len(distinct), len(distinct) / least)}
-    for level in sorted(levels) if len(distinct) else ():
-        part = (distinct >> np.uint64(64 - level)).astype(np.int64)
-        used = part < parts
-        sums, number = np.zeros(parts, np.uint64), np.bincount(part[used], minlength=parts)
-        np.add.at(sums, part[used], mix(distinct[used] + ODD[1]))
-        there = np.flatnonzero(number)
-        out.append(mix(sums[there] * ODD[0] + there.astype(np.uint64) * ODD[1] + np.uint64(level)))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+    if not len(distinct):
+        return np.empty(0, np.uint64)
+    bins = bands * rows
+    edges = (np.arange(bins, dtype=np.uint64) * np.uint64((1 << 64) // bins)).astype(np.uint64)
+    least = distinct[np.searchsorted(distinct, edges) % len(distinct)].reshape(rows, bands)
+    keys = np.arange(bands, dtype=np.uint64)
+    for row in least:
+        keys = mix(keys * ODD[0] + row * ODD[1])
+    return keys
 
 
 def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -232,18 +230,17 @@ def simhash_components(docs: DataFrame, budget: int = 2) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _keys(size: int, least: float):
+def _keys(size: int):
     def keys(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for batch in texts:
             rows = []
             for t in batch:
                 h = shingles(t, size, known)
-                keys = part_keys(np.unique(h), least)
-                rows.append((np.uint64(majority(h) if len(h) else 0).astype(np.int64), keys.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["fp", "parts"])
+                rows.append((np.uint64(majority(h) if len(h) else 0).astype(np.int64), band_keys(np.unique(h)).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["fp", "bands"])
 
-    return pandas_udf(keys, "struct<fp:long,parts:array<long>>")
+    return pandas_udf(keys, "struct<fp:long,bands:array<long>>")
 
 
 def _signs(size: int):
@@ -255,38 +252,52 @@ def _signs(size: int):
     return pandas_udf(signs, "array<long>")
 
 
+def _bands_of(signs: pd.Series) -> pd.Series:
+    return pd.Series([band_keys(np.sort(np.asarray(s, np.int64).view(np.uint64))).view(np.int64) for s in signs])
+
+
+def _pairs(cells: DataFrame, key: str) -> DataFrame:
+    """Pairs (a, b) of different components that share ``key``; a key has a bounded number of rows (key, node, root)."""
+    left, right = (cells.select(key, F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    return left.join(right, key).where("root_a < root_b").select("a", "b")
+
+
 def alike_texts(texts: DataFrame, least: float, size: int, scratch: Scratch, budget: int = 2, few: int = 16) -> DataFrame:
     """Links (a, b) among the distinct texts (node, text): pairs whose sets of ``size``-word shingles have the Jaccard
-    likeness ``least``, and enough of them to connect all such pairs that share a candidate key.
+    likeness ``least``, and enough of them to connect the groups of such texts.
 
     Near copies by that measure differ in about ten bits of a whole text's fingerprint, more than a trie can be pruned
-    by. So the trie join of whole fingerprints is joined by equal fingerprints of parts (part_keys); every candidate
-    is verified. Texts that share a key with a crowd first meet the crowd's least one. Where that leaves different
-    components, up to ``few`` texts of a key meet each other, and the texts of larger crowds meet by the exact set join.
+    by. So the trie join of whole fingerprints is helped by keys from the least hashes of the shingles (band_keys); every
+    candidate is verified. All texts of a key meet the key's first one. Where that leaves different components, up to ``few``
+    texts of a key meet each other. Texts of larger keys owe them to a passage that many share: of those, the shingles that
+    two to ``few`` of them have make new keys, which at most ``few`` texts can share, and those meet each other.
     """
-    made = scratch.save(texts.withColumn("_k", _keys(size, least)("text")).select("node", F.col("_k.fp").alias("fp"), F.col("_k.parts").alias("parts")), "keys")
+    made = scratch.save(texts.withColumn("_k", _keys(size)("text")).select("node", F.col("_k.fp").alias("fp"), F.col("_k.bands").alias("bands")), "keys")
     first = made.groupBy("fp").agg(F.min("node").alias("node"))
     by_trie = scratch.save(trie_links(first.select("fp"), scratch, budget), "trie")
     ends = [first.select(F.col("fp").alias(x), F.col("node").alias(f"{x}_node")) for x in "ab"]
     by_trie = by_trie.join(ends[0], "a").join(ends[1], "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     same_fp = made.join(first.withColumnRenamed("node", "a"), "fp").where("node <> a").select("a", F.col("node").alias("b"))
-    keyed = made.select("node", F.explode("parts").alias("part"))
-    crowds = keyed.groupBy("part").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    cells = scratch.save(keyed.join(crowds, "part"), "cells")
+    keyed = made.select("node", F.explode("bands").alias("band"))
+    crowds = keyed.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    cells = scratch.save(keyed.join(crowds, "band"), "cells")
     to_first = cells.where("node <> a").select("a", F.col("node").alias("b"))
     pairs = scratch.save(to_first.unionByName(by_trie).unionByName(same_fp).distinct(), "candidates")
     named = cells.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
     sets = scratch.save(texts.join(named, "node", "left_semi").select("node", _signs(size)("text").alias("signs")), "sets")
     star = scratch.save(set_join.alike(pairs, sets, least), "star")
     roots = scratch.save(components(star, scratch, "star"), "star-roots")
-    placed = scratch.save(cells.select("part", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
-    mixed = placed.groupBy("part").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("part")
-    open_cells = scratch.save(placed.join(mixed, "part"), "open")
-    small = open_cells.where(F.col("n") <= few)
-    left, right = small.select("part", F.col("node").alias("a"), F.col("root").alias("ra")), small.select("part", F.col("node").alias("b"), F.col("root").alias("rb"))
-    met = set_join.alike(left.join(right, "part").where("ra < rb").select("a", "b"), sets, least)
-    crowd = sets.join(open_cells.where(F.col("n") > few).select("node").distinct(), "node", "left_semi").where("size(signs) > 0")
-    return star.unionByName(met).unionByName(set_join.links(scratch.save(crowd, "crowd"), least, scratch))
+    placed = scratch.save(cells.select("band", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    left = scratch.save(placed.join(mixed, "band"), "left")
+    # a crowd's texts again, by what few of them share
+    crowd = left.where(F.col("n") > few).select("node", "root").distinct().join(sets, "node")
+    signs = scratch.save(crowd.select("node", "root", F.explode("signs").alias("sign")), "signs")
+    shared = signs.groupBy("sign").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, few)).select("sign")
+    own = signs.join(shared, "sign").groupBy("node", "root").agg(F.collect_list("sign").alias("signs"))  # of one text
+    again = scratch.save(own.select("node", "root", F.explode(pandas_udf(_bands_of, "array<long>")("signs")).alias("band")), "again")
+    met = _pairs(left.where(F.col("n") <= few), "band").unionByName(_pairs(again, "band")).distinct()
+    return star.unionByName(set_join.alike(scratch.save(met, "met"), sets, least))
 
 
 def keep_one(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
