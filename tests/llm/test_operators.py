@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidelake.llm import decontaminate, lm_score, packing, repeats, secrets, sharding, simhash, spotsigs, toxicity, warc
+from tidelake.llm import decontaminate, lm_score, packing, repeats, secrets, set_join, sharding, simhash, spotsigs, toxicity, warc
 from tidelake.llm.shared import Scratch, components, numbered
 
 WORDS = "the of and to in der die und la de que stone river lamp garden window copper silver morning paper winter summer bridge tower".split()
@@ -327,6 +327,29 @@ def test_spotsigs_near_duplicates(spark):
     assert {r["doc_id"]: r["class_id"] for r in spotsigs.near_duplicates(docs).collect()} == up
 
 
+@pytest.mark.parametrize("few", [2, 64])
+def test_set_join_finds_all_links(spark, few):
+    r = np.random.default_rng(12)
+    common = list(range(12))  # signatures that most sets have
+    sets = []
+    for _ in range(40):
+        base = {*r.choice(common, 8, replace=False).tolist(), *r.integers(100, 400, int(r.integers(0, 25))).tolist()}
+        sets += [base, {*base, int(r.integers(1000))}, {*list(base)[1:], int(r.integers(1000))}]
+    sets = [list(x) for x in {tuple(sorted(x)) for x in sets if x}] + [[5], [7, 9]]
+    df = spark.createDataFrame(list(enumerate(sets)), "node long, signs array<long>")
+    scratch = Scratch(spark)
+    found = set_join.links(df, 0.8, scratch, few=few)
+    pairs = {(x["a"], x["b"]) for x in found.collect()}
+    like = lambda a, b: len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})
+    assert all(like(a, b) for a, b in pairs)
+    roots = {x["node"]: x["root"] for x in components(found, scratch).collect()}
+    up = list(range(len(sets)))
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if like(a, b):
+            up = [min(up[a], up[b]) if x in (up[a], up[b]) else x for x in up]
+    assert [roots.get(k, k) for k in range(len(sets))] == up
+
+
 def base_spans(t):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     found = [("assign", m.start(), m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]

@@ -27,27 +27,42 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.distinct().join(a, "a").join(b, "b").where(likeness(F.col("signs_a"), F.col("signs_b"), least) >= least).select("a", "b")
 
 
-def links(sets: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of nodes, of likeness ``least`` or more, that connect all pairs so alike. sets: node, signs (distinct, not empty).
+def links(sets: DataFrame, least: float, scratch: Scratch, few: int = 64) -> DataFrame:
+    """Pairs (a, b) of nodes, of likeness ``least`` or more, that connect all pairs so alike. sets: node, signs
+    (distinct and not empty; no two sets equal).
 
     A crowd of like sets first meets its cell's least one, so that it becomes one component by as many
-    pairs as it has sets; then the sets of different components that share a cell meet.
+    pairs as it has sets; then the sets of different components that share a cell meet. Cells of more than ``few`` sets are
+    split by a second signature: two sets so alike share two signatures of the prefixes that are one longer (or have one only
+    and are equal), and the rarest that they share is in both shorter ones. Nothing is cut.
     """
     sized = sets.select("node", "signs", F.size("signs").alias("size"))
     counts = sized.select(F.explode("signs").alias("sign")).groupBy("sign").agg(F.count(F.lit(1)).alias("n"))
     ranked = sized.select("node", "size", F.explode("signs").alias("sign")).join(counts, "sign")
+    ordered = ranked.groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "sign"))).alias("order"))  # one set
     first = F.size("order") - F.ceil(F.lit(least) * F.size("order")).cast("int") + 1
-    prefixes = ranked.groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "sign"))).alias("order"))  # one set
     part = F.floor(F.log(F.col("size").cast("double")) / -math.log(least)).cast("int")
-    tokens = prefixes.select("node", "size", part.alias("part"), F.explode(F.slice("order", F.lit(1), first)).alias("o")).where("o.n > 1").select("node", "size", "part", "o.sign")
+
+    def prefix(length: Column) -> Column:
+        """Signatures that no other set has are left out."""
+        return F.transform(F.filter(F.slice("order", F.lit(1), length), lambda o: o["n"] > 1), lambda o: o["sign"])
+
+    prefixes = scratch.save(ordered.select("node", "size", part.alias("part"), prefix(first).alias("short"), prefix(first + 1).alias("longer")), "prefixes")
     # a cell has the sets of two neighbouring partitions that share a prefix signature
+    tokens = prefixes.select("node", "size", "part", F.explode("short").alias("sign"))
     cells = scratch.save(tokens.select("node", "size", "sign", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part")), "cells")
     pivots = cells.groupBy("part", "sign").agg(F.min("node").alias("a"))
     to_pivot = scratch.save(alike(cells.join(pivots, ["part", "sign"]).where("node <> a").select("a", F.col("node").alias("b")), sets, least), "to-pivot")
     roots = scratch.save(components(to_pivot, scratch, "first"), "first-roots")
     placed = scratch.save(cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
-    mixed = placed.groupBy("part", "sign").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("part", "sign")
-    left = placed.join(mixed, ["part", "sign"]).select("part", "sign", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
-    right = placed.select("part", "sign", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-    near = (F.col("root_a") < F.col("root_b")) & (F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b"))
-    return to_pivot.unionByName(alike(left.join(right, ["part", "sign"]).where(near).select("a", "b"), sets, least))
+    mixed = placed.groupBy("part", "sign").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    left = scratch.save(placed.join(mixed.select("part", "sign", "n"), ["part", "sign"]), "left")
+
+    def pairs(members: DataFrame, keys: list[str]) -> DataFrame:
+        a, b = (members.select(*keys, *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "root")]) for x in "ab")
+        near = (F.col("root_a") < F.col("root_b")) & (F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b"))
+        return a.join(b, keys).where(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+    crowd = left.where(F.col("n") > few).join(prefixes.select("node", F.explode("longer").alias("second")), "node").where("second <> sign")
+    met = pairs(left.where(F.col("n") <= few), ["part", "sign"]).unionByName(pairs(crowd, ["part", "sign", "second"]))
+    return to_pivot.unionByName(alike(met, sets, least))
