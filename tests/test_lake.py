@@ -150,6 +150,54 @@ def test_nothing_empty_is_published(spark):
     assert spark.read.parquet(path).count() == 3
 
 
+def test_a_publish_that_was_cut_off_is_undone(spark):
+    path = f"{new_path(spark, 'archive')}/d"
+    layers.publish(spark.range(3).toDF("v"), path)
+    fs, p = file_system(spark, path)
+    fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(f"{path.rsplit('/', 1)[0]}/_previous-d"))  # ended between both renames
+    with pytest.raises(ValueError):
+        layers.publish(spark.range(0).toDF("v"), path)
+    assert spark.read.parquet(path).count() == 3
+    assert layers.publish(spark.range(5).toDF("v"), path) == 5 and spark.read.parquet(path).count() == 5
+    assert not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path.rsplit('/', 1)[0]}/_previous-d"))
+
+
+def test_one_day_with_all_rows_is_many_files(spark):
+    path = new_path(spark, "days")
+    rows = spark.range(4000).select(F.lit("2024-01-01").alias("date"), F.col("id").alias("ts"))
+    layers.write(rows, path, ["date"], "ts", files=4)
+    assert discovery.inventory(spark, path).count() == 4
+    assert layers.planned(rows, 3000 * layers.MIB) == min(10, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spans = [spark.read.parquet(r["path"]).agg(F.min("ts"), F.max("ts")).first() for r in discovery.inventory(spark, path).collect()]
+    spans = sorted((a, b) for a, b in spans)
+    assert all(b < c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+
+
+@pytest.mark.parametrize("size", [layers.LEAST_BYTES, layers.GOAL_BYTES, layers.MOST_BYTES, 449 * layers.MIB, 451 * layers.MIB, 749 * layers.MIB, 10**12 + 7])
+def test_planned_files_are_near_the_goal(size):
+    n, warning = layers.plan_files(size)
+    assert warning is None and size / n <= layers.MOST_BYTES and (n == 1 or size / n >= layers.LEAST_BYTES)
+
+
+def test_rows_are_counted_beyond_the_progress_that_spark_keeps(spark):
+    pages, cursor, out = new_path(spark, "pages"), new_path(spark, "cursor"), new_path(spark, "out")
+    df = spark.range(0, 220, 1, 110).toDF("i")
+    df.write.parquet(pages)
+    assert discovery.inventory(spark, pages).count() > 100
+    assert pump.pump_to(spark, pages, df.schema, cursor, out, pages_per_batch=1)["rows"] == 220
+
+
+def test_rolling_mean_over_cells(spark):
+    rows = spark.range(300).select((F.col("id") % 3 == 0).cast("int").alias("k"), F.col("id").alias("t"), (F.col("id") * 7 % 11).cast("double").alias("v"))
+    got = {r["t"]: r["rolling_mean"] for r in rollups.rolling_mean(rows, "k", ["t"], "v", preceding=5, rows_per_cell=17).collect()}
+    for k in (0, 1):
+        line = [(r["t"], r["v"]) for r in rows.where(F.col("k") == k).orderBy("t").collect()]
+        for i, (t, _) in enumerate(line):
+            frame = [v for _, v in line[max(0, i - 5) : i + 1]]
+            assert abs(got[t] - sum(frame) / len(frame)) < 1e-9
+    assert len(got) == 300
+
+
 def test_compaction_faults(spark):
     root = new_path(spark, "small")
     for part in ([5, 1, 9], [7, 2]):
