@@ -23,7 +23,8 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
 
 def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Of the pairs (a, b) of nodes those whose sets (node, signs) have the likeness ``least``."""
-    a, b = sets.select("node", "signs").toDF("a", "signs_a"), sets.select("node", "signs").toDF("b", "signs_b")
+    # sets are large rows: sorted and merged at every size, so that no size has a plan of its own
+    a, b = (sets.select("node", "signs").toDF(x, f"signs_{x}").hint("merge") for x in "ab")
     return pairs.distinct().join(a, "a").join(b, "b").where(likeness(F.col("signs_a"), F.col("signs_b"), least) >= least).select("a", "b")
 
 

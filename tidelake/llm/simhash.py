@@ -284,7 +284,8 @@ def alike_texts(texts: DataFrame, least: float, size: int, scratch: Scratch, bud
     to_first = cells.where("node <> a").select("a", F.col("node").alias("b"))
     pairs = scratch.save(to_first.unionByName(by_trie).unionByName(same_fp).distinct(), "candidates")
     named = cells.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    sets = scratch.save(texts.join(named, "node", "left_semi").select("node", _signs(size)("text").alias("signs")), "sets")
+    chosen = texts.join(named.hint("merge"), "node", "left_semi")  # one plan at every size
+    sets = scratch.save(chosen.select("node", _signs(size)("text").alias("signs")), "sets")
     star = scratch.save(set_join.alike(pairs, sets, least), "star")
     roots = scratch.save(components(star, scratch, "star"), "star-roots")
     placed = scratch.save(cells.select("band", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
@@ -313,13 +314,15 @@ def keep_one(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
     text, doc = f"c{names.index('text')}", f"c{names.index('doc_id')}"
     digest = F.unhex(F.sha2(text_of(text), 256))
     saved = scratch.save(rows.withColumn("digest", digest).withColumn("row", F.monotonically_increasing_id()), "rows")
-    once = saved.groupBy("digest").agg(F.min(F.struct(F.col(doc).isNull(), F.col(doc).alias("doc"), F.col("row"))).alias("first"))
-    once = scratch.save(once.select("first", F.col("first.row").alias("node")), "once")
-    texts = scratch.save(saved.select(F.col("row").alias("node"), text_of(text).alias("text")).join(once.select("node"), "node", "left_semi"), "texts")
-    links = scratch.save(alike_texts(texts, least, size, scratch), "links")
+    first = F.min(F.struct(F.col(doc).isNull(), F.col(doc).alias("doc"), F.col("row"))).alias("first")
+    texts = saved.groupBy("digest").agg(first, F.first(text_of(text)).alias("text")).withColumn("node", F.col("first.row"))
+    texts = scratch.save(texts.select("node", "first", "text"), "texts")
+    once = scratch.save(texts.select("node", "first"), "once")
+    links = scratch.save(alike_texts(texts.select("node", "text"), least, size, scratch), "links")
+    scratch.drop(*[name for name in list(scratch.paths) if name not in ("rows", "once", "links")])  # nothing reads them any more
     roots = once.join(components(links, scratch), "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = roots.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
-    return saved.join(kept, "row", "left_semi").select(*rows.columns).toDF(*names)
+    return saved.join(kept.hint("merge"), "row", "left_semi").select(*rows.columns).toDF(*names)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
