@@ -5,10 +5,11 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelake.functions import scalars as S
-from tidelake.operators import compact, flows, frontier, rollups
+from tidelake.operators import compact, flows, frontier, ranges, rollups
 from tidelake.operators import write as layers
 from tidelake.plans import sql as readonly
 from tidelake.scratch import file_system, new_path
@@ -167,7 +168,8 @@ def test_one_day_with_all_rows_is_many_files(spark):
     rows = spark.range(4000).select(F.lit("2024-01-01").alias("date"), F.col("id").alias("ts"))
     layers.write(rows, path, ["date"], "ts", files=4)
     assert discovery.inventory(spark, path).count() == 4
-    assert layers.planned(rows, 3000 * layers.MIB) == min(10, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert layers.planned(rows, 3000 * layers.MIB) == 10
+    assert layers.planned(rows, 10 * 1024**4) == layers.plan_files(10 * 1024**4)[0] == 34_953  # more than there are shuffle partitions
     spans = [spark.read.parquet(r["path"]).agg(F.min("ts"), F.max("ts")).first() for r in discovery.inventory(spark, path).collect()]
     spans = sorted((a, b) for a, b in spans)
     assert all(b < c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
@@ -187,15 +189,21 @@ def test_rows_are_counted_beyond_the_progress_that_spark_keeps(spark):
     assert pump.pump_to(spark, pages, df.schema, cursor, out, pages_per_batch=1)["rows"] == 220
 
 
-def test_rolling_mean_over_cells(spark):
+def test_rolling_mean_over_ranges(spark):
     rows = spark.range(300).select((F.col("id") % 3 == 0).cast("int").alias("k"), F.col("id").alias("t"), (F.col("id") * 7 % 11).cast("double").alias("v"))
-    got = {r["t"]: r["rolling_mean"] for r in rollups.rolling_mean(rows, "k", ["t"], "v", preceding=5, rows_per_cell=17).collect()}
-    for k in (0, 1):
-        line = [(r["t"], r["v"]) for r in rows.where(F.col("k") == k).orderBy("t").collect()]
-        for i, (t, _) in enumerate(line):
-            frame = [v for _, v in line[max(0, i - 5) : i + 1]]
-            assert abs(got[t] - sum(frame) / len(frame)) < 1e-9
-    assert len(got) == 300
+    line = {k: [(r["t"], r["v"]) for r in rows.where(F.col("k") == k).orderBy("t").collect()] for k in (0, 1)}
+    for preceding, tasks in ((5, 7), (40, 60), (400, 3)):  # also frames over several ranges
+        dealt = ranges.in_ranges(rows, ["k", "t"], tasks)
+        assert dealt.select(ranges.RANGE).distinct().count() > 1
+        every = ranges.with_borders(dealt, ["k", "t"], preceding)
+        w = Window.partitionBy(ranges.RANGE, "k").orderBy("t").rowsBetween(-preceding, 0)
+        got = {r["t"]: r["m"] for r in every.withColumn("m", F.avg("v").over(w)).where("not _guest").collect()}
+        for k in (0, 1):
+            for i, (t, _) in enumerate(line[k]):
+                frame = [v for _, v in line[k][max(0, i - preceding) : i + 1]]
+                assert abs(got[t] - sum(frame) / len(frame)) < 1e-9
+        assert len(got) == 300
+    assert rollups.rolling_mean(rows, "k", ["t"], "v", 5).count() == 300 and rollups.rolling_mean(rows.limit(0), "k", ["t"], "v", 5).count() == 0
 
 
 def test_compaction_faults(spark):

@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-INLINE_BYTES = 8 * 1024**2
+from ..scratch import written
+
+INLINE_BYTES, INDEX_ROWS = 8 * 1024**2, 20_000
 PLACES = {True: "inline", False: "large"}
 
 
@@ -21,21 +23,46 @@ def pack(blobs: DataFrame, path: str, inline_bytes: int = INLINE_BYTES) -> DataF
     """
     columns = ["content_type", "sha256", "length", "inline", "data"]
     newest = F.max_by(F.struct(*columns), F.struct("put", "sha256")).alias("b")
-    latest = describe(blobs, inline_bytes).groupBy("key").agg(newest).select("key", "b.*")
+    latest = written(describe(blobs, inline_bytes).groupBy("key").agg(newest).select("key", "b.*"), "latest")
     for inline, place in PLACES.items():
         part = latest.where(F.col("inline") == inline).select("key", "content_type", "sha256", "data")
         writer = part.repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").option("compression", "zstd")
         writer.option("maxRecordsPerFile", 0 if inline else 1).parquet(f"{path}/{place}")
+    schema = "key string, content_type string, sha256 string"
+    spark = blobs.sparkSession
+    placed = [spark.read.schema(schema).parquet(f"{path}/{p}").select("*", F.lit(p).alias("place"), F.col("_metadata.file_path").alias("file")) for p in PLACES.values()]
+    index = placed[0].unionByName(placed[1]).repartitionByRange("key").sortWithinPartitions("key")
+    index.write.mode("overwrite").option("compression", "zstd").option("parquet.block.row.count.limit", str(INDEX_ROWS)).parquet(f"{path}/index")
     return latest.drop("data")
 
 
+def locate(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """key, content_type, sha256, place and file of packed blobs; unknown keys have no row.
+
+    The index is sorted by key in small row groups, and the keys are pushed down to it, so that few of them are read.
+    """
+    return spark.read.parquet(f"{path}/index").where(F.col("key").isin(list(keys)))
+
+
+def get(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The blobs of ``keys``: only the files that hold them are opened. One whose bytes no longer have their digest is an error."""
+    files = [r[0] for r in locate(spark, path, keys).select("file").distinct().collect()]  # at most one a key
+    schema = "key string, content_type string, sha256 string, data binary"
+    found = spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+    return _sound(found.where(F.col("key").isin(list(keys))))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """All packed blobs again: key, content_type, sha256, data; one whose bytes no longer have their digest is an error."""
     schema = "key string, content_type string, sha256 string, data binary"
     both = [spark.read.schema(schema).parquet(f"{path}/{place}") for place in PLACES.values()]
+    return _sound(both[0].unionByName(both[1]))
+
+
+def _sound(blobs: DataFrame) -> DataFrame:
     sound = F.when(F.sha2("data", 256) == F.col("sha256"), F.col("data"))
     damaged = F.raise_error(F.concat(F.lit("damaged blob "), "key")).cast("binary")
-    return both[0].unionByName(both[1]).withColumn("data", F.coalesce(sound, F.when(F.col("data").isNotNull(), damaged)))
+    return blobs.withColumn("data", F.coalesce(sound, F.when(F.col("data").isNotNull(), damaged)))
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:

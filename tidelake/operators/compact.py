@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import file_system
-from ..sources.discovery import inventory, read_groups, union_by_name
+from ..scratch import file_system, written
+from ..sources.discovery import footers, inventory, read_groups, union_by_name
 from .write import GOAL_BYTES, LEAST_BYTES, MOST_BYTES
 
 COMPACTED = "compacted-"
@@ -45,7 +45,10 @@ def compact_group(spark: SparkSession, paths: list[str], time: str, dry_run: boo
     if len(folders) > 1:
         raise ValueError("a group lies in one folder")
     files = spark.createDataFrame([(p,) for p in paths], "path string").select(F.lit("").alias("view"), F.col("path").alias("folder"), "path")
-    frames = [spark.read.parquet(*r["paths"]) for r in read_groups(files).collect()]  # one for each set of columns
+    kinds = read_groups(files).collect()  # one for each set of columns
+    if faults := [r["fault"] for r in kinds if r["fault"]]:
+        raise ValueError(faults[0])
+    frames = [spark.read.parquet(*r["paths"]) for r in kinds]
     if any(set(f.columns) != set(frames[0].columns) for f in frames):
         raise ValueError("the files' columns differ")
     rows = union_by_name(frames)
@@ -73,22 +76,106 @@ def compact_group(spark: SparkSession, paths: list[str], time: str, dry_run: boo
     return report
 
 
-def compact(spark: SparkSession, root: str, time: str, least: int = LEAST_BYTES, most: int = MOST_BYTES, at_once: int = 8) -> dict:
-    """All groups of a tree, ``at_once`` of them as jobs side by side; one that fails does not stop the others."""
-    paths = F.sort_array(F.collect_list("path")).alias("paths")
-    groups = plan(spark, root, least, most).groupBy("folder", "part").agg(paths).where(F.size("paths") > 1)
+GROUP, FILE = "_compacting", "_compacting_file"
+
+
+def _groups(spark: SparkSession, root: str, least: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """The files of all groups of two files or more (path, columns, group), and the groups: folder, files, rows, kind (their files' columns), fault."""
+    files = plan(spark, root, least, most).withColumn("group", F.concat_ws("/", "folder", "part"))
+    files = written(files, "plan")
+    many = files.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
+    told = written(files.join(many, "group").join(footers(files), "path"), "planned")
+    groups = told.groupBy("group", "folder").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"), F.md5(F.concat_ws("\n", F.array_sort(F.collect_set("columns")))).alias("kind"),
+        F.coalesce(F.max("fault"), F.when(F.count_distinct("names") > 1, "the files' columns differ")).alias("fault"),
+    )
+    return told.select("path", "columns", "group"), written(groups, "groups")
+
+
+def _rewrite(spark: SparkSession, files: DataFrame, time: str, staging: str) -> dict[str, int]:
+    """Write all groups' files (path, columns, group) in one job, a task and a file a group; the rows that are read back of each."""
+    rows = files.collect()
+    by_columns: dict[str, list[str]] = {}
+    for r in rows:
+        by_columns.setdefault(r["columns"], []).append(r["path"])
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    frames = [spark.read.parquet(*paths) for paths in by_columns.values()]
+    frames = [f.withColumn(FILE, plain(F.col("_metadata.file_path"))) for f in frames]
+    of_file = files.select(plain(F.col("path")).alias(FILE), F.md5("group").alias(GROUP))  # at most files_per_job rows
+    groups = len({r["group"] for r in rows})
+    dealt = union_by_name(frames).join(F.broadcast(of_file), FILE).drop(FILE).repartition(groups, GROUP).sortWithinPartitions(GROUP, time)
+    dealt.write.option("compression", "zstd").partitionBy(GROUP).parquet(staging)
+    back = spark.read.parquet(staging).groupBy(GROUP).agg(F.count(F.lit(1)).alias("rows"))
+    return {r[GROUP]: r["rows"] for r in back.collect()}
+
+
+def compact(
+    spark: SparkSession, root: str, time: str, least: int = LEAST_BYTES, most: int = MOST_BYTES, at_once: int = 16, files_per_job: int = 50_000,
+    rewrite=_rewrite,
+) -> dict:
+    """Rewrite every group of a tree as one file, sorted by ``time``: totals, the jobs that wrote, and the groups that failed, with why.
+
+    Groups whose files have the same columns are rewritten together, by one job for about ``files_per_job`` files: a group is the key of
+    its shuffle. The rows of each new file are counted and held against the footers of the old ones before it is put beside them and they are deleted. A group
+    whose files are no Parquet or differ in their columns' names fails alone; where a job fails, its groups are tried one by one.
+    """
+    files, groups = _groups(spark, root, least, most)
+    failed = [(r["folder"], r["fault"]) for r in groups.where("fault is not null").select("folder", "fault").toLocalIterator()]
+    sound = groups.where("fault is null")
+    done = {"groups": 0, "files": 0, "rows": 0, "jobs": 0}
+    for kind in sound.groupBy("kind").agg(F.sum("files").alias("files")).collect():  # a row for each mix of columns
+        waves = -(-kind["files"] // files_per_job)
+        for wave in range(waves):
+            own = sound.where((F.col("kind") == kind["kind"]) & (F.pmod(F.xxhash64("group"), F.lit(waves)) == wave))
+            reports, faults = _wave(spark, root, files, own, time, at_once, rewrite)
+            failed += faults
+            done["jobs"] += 1
+            for name in ("files", "rows"):
+                done[name] += sum(r[name] for r in reports)
+            done["groups"] += len(reports)
+    return done | {"failed": failed}
+
+
+def _wave(spark: SparkSession, root: str, files: DataFrame, groups: DataFrame, time: str, at_once: int, rewrite) -> tuple[list[dict], list[tuple[str, str]]]:
+    mine = written(files.join(groups.select("group"), "group", "left_semi"), "wave")
+    paths: dict[str, list[str]] = {}
+    for r in mine.select("group", "path").collect():
+        paths.setdefault(r["group"], []).append(r["path"])
+    told = groups.select("group", "folder", "rows", F.md5("group").alias("name")).collect()
+    staging = f"{root.rstrip('/')}/_compacting-{uuid.uuid4().hex}"
+    fs, staged = file_system(spark, staging)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+
+    def alone(group) -> dict:
+        return compact_group(spark, paths[group["group"]], time)
+
+    def publish(group) -> dict:
+        if back.get(group["name"], 0) != group["rows"]:
+            raise RuntimeError("the new file does not hold what the old ones held; nothing was deleted")
+        made = [s.getPath() for s in fs.listStatus(path(f"{staging}/{GROUP}={group['name']}")) if s.getPath().getName().endswith(".parquet")]
+        for k, m in enumerate(made):
+            if not fs.rename(m, path(f"{group['folder']}/{COMPACTED}{uuid.uuid4().hex}-{k}.parquet")):
+                raise OSError("could not publish the new file; nothing was deleted")
+        for p in paths[group["group"]]:
+            fs.delete(path(p), False)
+        return {"files": len(paths[group["group"]]), "rows": group["rows"]}
+
+    try:
+        back, each = rewrite(spark, mine, time, staging), publish
+    except Exception as e:  # noqa: BLE001 - one group's data must not keep the others back
+        print(f"compacting one by one: {str(e)[:200]}")
+        each = alone
 
     def one(group) -> tuple[dict | None, tuple[str, str] | None]:
         try:
-            return compact_group(spark, group["paths"], time), None
+            return each(group), None
         except Exception as e:  # noqa: BLE001 - reported with the totals
             return None, (group["folder"], str(e)[:300])
 
     with ThreadPoolExecutor(at_once) as pool:
-        done = list(pool.map(one, groups.toLocalIterator()))
-    reports = [r for r, _ in done if r]
-    totals = {"groups": len(reports), "files": sum(r["files"] for r in reports), "rows": sum(r["rows"] for r in reports)}
-    return totals | {"failed": [f for _, f in done if f]}
+        done = list(pool.map(one, told))
+    fs.delete(staged, True)
+    return [r for r, _ in done if r], [f for _, f in done if f]
 
 
 def pending(spark: SparkSession, root: str, least: int = LEAST_BYTES) -> int:

@@ -23,12 +23,20 @@ def add(frontier: DataFrame | None, candidates: DataFrame, workers: int = 1, wor
     return rows if frontier is None else rows.join(frontier.select("key"), "key", "left_anti")
 
 
-def reserve(frontier: DataFrame, each: int, now: float) -> DataFrame:
-    """The frontier with the oldest ``each`` pending rows of every worker running."""
-    turn = F.row_number().over(Window.partitionBy("worker", F.col("state") == "pending").orderBy("added_at", "key"))
-    taken = (F.col("state") == "pending") & (F.col("_turn") <= each)
-    return frontier.withColumn("_turn", turn).select(
-        *[c for c in frontier.columns if c not in ("state", "attempts", "reserved_at")], F.when(taken, "running").otherwise(F.col("state")).alias("state"),
+def reserve(frontier: DataFrame, each: int, now: float, cells: int = 64) -> DataFrame:
+    """The frontier with the oldest ``each`` pending rows of every worker running.
+
+    Each of a worker's ``cells`` by key offers its oldest ones, so that no task gets a worker's whole frontier: the last
+    choice is among ``cells`` * ``each`` rows a worker. Only the keys of the chosen are joined back.
+    """
+    oldest = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("added_at", "key"))
+    waiting = frontier.where(F.col("state") == "pending").select("worker", "added_at", "key", F.pmod(F.xxhash64("key"), F.lit(cells)).alias("_cell"))
+    offered = waiting.withColumn("_turn", oldest("worker", "_cell")).where(F.col("_turn") <= each)
+    chosen = offered.withColumn("_turn", oldest("worker")).where(F.col("_turn") <= each).select("key", F.lit(True).alias("_taken"))
+    taken = F.coalesce("_taken", F.lit(False))
+    kept = [c for c in frontier.columns if c not in ("state", "attempts", "reserved_at")]
+    return frontier.join(chosen, "key", "left").select(
+        *kept, F.when(taken, "running").otherwise(F.col("state")).alias("state"),
         (F.col("attempts") + taken.cast("int")).alias("attempts"), F.when(taken, F.lit(now)).alias("reserved_at"),
     )
 

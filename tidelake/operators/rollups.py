@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import written
+from . import ranges
 
 UP_BYTES, DOWN_BYTES = 750 * 1024**3, 10 * 1024**4
 
@@ -31,22 +32,15 @@ def positioned(df: DataFrame, order: list, out: str = "position") -> DataFrame:
     return ranked.join(F.broadcast(starts), part).withColumn(out, F.col(start) + F.col(rank)).select(*df.columns, out)
 
 
-def rolling_mean(df: DataFrame, key: str, order: list[str], value: str | Column, preceding: int = 100, rows_per_cell: int = 1_000_000) -> DataFrame:
+def rolling_mean(df: DataFrame, key: str, order: list[str], value: str | Column, preceding: int = 100) -> DataFrame:
     """Mean over a row and the ``preceding`` before it; ``order`` should leave no ties. Decimal values are summed exactly.
 
-    A key may hold any share of the rows: all rows are laid in one order and cut into cells, each of which also gets the
-    ``preceding`` rows before it, so that every frame lies in one cell.
+    A key may hold any share of the rows: all rows are laid in one order and dealt to its ranges, each of which also gets the
+    ``preceding`` rows before it, so that every frame lies in one range.
     """
-    size = max(rows_per_cell, preceding + 1)
-    placed = positioned(df.withColumn("_value", value if isinstance(value, Column) else F.col(value)), [key, *order], "_at")
-    cell = F.floor(F.col("_at") / size).cast("long")
-    own = F.struct(cell.alias("cell"), F.lit(False).alias("guest"))
-    guest = F.struct((cell + 1).alias("cell"), F.lit(True).alias("guest"))
-    late = F.col("_at") % size >= size - preceding
-    dealt = placed.withColumn("_in", F.explode(F.when(late, F.array(own, guest)).otherwise(F.array(own)))).select("*", "_in.*")
-    w = Window.partitionBy("cell", key).orderBy("_at").rowsBetween(-preceding, 0)
-    mean = F.sum("_value").over(w).cast("double") / F.count("_value").over(w)
-    return dealt.withColumn("rolling_mean", mean).where("not guest").select(*df.columns, "rolling_mean")
+    valued = df.withColumn("_value", value if isinstance(value, Column) else F.col(value))
+    summed = ranges.rolling(valued, key, order, preceding, {"_sum": F.sum("_value"), "_n": F.count("_value")})
+    return summed.withColumn("rolling_mean", F.col("_sum").cast("double") / F.col("_n")).select(*df.columns, "rolling_mean")
 
 
 def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:

@@ -4,11 +4,12 @@ import math
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import file_system
-from ..sources.dated import days_between, scan
+from ..scratch import written as written_table
+from ..sources.dated import days_between, scan, scan_range
 from ..sources.discovery import inventory
 
 #: The folder of each layer, and the sizes that files should have.
@@ -86,12 +87,18 @@ def plan_files(size: int) -> tuple[int, str | None]:
     return max(round(size / GOAL_BYTES), math.ceil(size / MOST_BYTES)), None
 
 
+def source_bytes(df: DataFrame) -> int:
+    """What the files that ``df`` is made from hold, as far as its columns are read: the sum over the plan's sources.
+
+    The plan's own estimate would multiply both sides of a join.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+
+
 def planned(df: DataFrame, size: int | None = None) -> int:
-    """Files for ``size`` bytes, or for the optimizer's estimate, which is what the source's files hold; at most the session's shuffle partitions."""
-    spark = df.sparkSession
-    if size is None:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(plan_files(max(1, size))[0], max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """Files for ``size`` bytes, or for as many as ``df``'s sources hold."""
+    return plan_files(max(1, source_bytes(df) if size is None else size))[0]
 
 
 def write(
@@ -150,12 +157,29 @@ def present(spark: SparkSession, path: str, key: str) -> DataFrame:
 
 
 def load_missing(wanted: DataFrame, rows: DataFrame, path: str, key: str, time: str) -> DataFrame:
-    """Write the rows of wanted periods (column ``key``) that ``path`` lacks; period, rows and status of each wanted one."""
-    there = present(rows.sparkSession, path, key)
+    """Write the rows of wanted periods (column ``key``) that ``path`` lacks; period, rows and status of each wanted one.
+
+    ``rows`` is read once: what was written is counted from the new folders' footers, and must be as many rows as the write has
+    observed.
+    """
+    spark = rows.sparkSession
+    there = present(spark, path, key)
     todo = wanted.join(there, key, "left_anti")
-    new = rows.join(todo, key, "left_semi")
+    seen = Observation()
+    new = rows.join(todo, key, "left_semi").observe(seen, F.count(F.lit(1)).alias("rows"))
     write(new, path, [key], time)
-    counts = new.groupBy(key).agg(F.count(F.lit(1)).alias("written"))
+    after = present(spark, path, key).join(there, key, "left_anti")
+    folders = [f"{path}/{key}={r[0]}" for r in after.toLocalIterator()]  # a folder a period
+    schema = f"{key} string, written long"
+    if folders:
+        files = spark.read.option("basePath", path).schema(rows.schema).parquet(*folders)
+        counts = files.groupBy(F.col(key).cast("string").alias(key)).agg(F.count(F.lit(1)).alias("written"))
+    else:
+        counts = spark.createDataFrame([], schema)
+    counts = written_table(counts, "counts")
+    total = counts.agg(F.coalesce(F.sum("written"), F.lit(0))).first()[0]
+    if total != seen.get["rows"]:
+        raise RuntimeError(f"{seen.get['rows']} rows were written to {path}, {total} are there")
     status = F.when(F.col("_there"), "skipped").when(F.col("written") > 0, "written").otherwise("missing")
     marked = wanted.join(there.withColumn("_there", F.lit(True)), key, "left").join(counts, key, "left")
     return marked.select(key, F.coalesce("written", F.lit(0)).alias("written"), status.alias("status"))
@@ -164,11 +188,10 @@ def load_missing(wanted: DataFrame, rows: DataFrame, path: str, key: str, time:
 def copy_days(spark: SparkSession, table_root: str, out: str, first: str, last: str, time: str) -> DataFrame:
     """Copy the days of a date= tree that ``out`` lacks, each sorted by time; day, rows and status of every day of the range.
 
-    Files are read and written anew, all days in one job; a day without a partition is reported as missing.
+    Files are read and written anew, all days in one job; only folders of the range are listed. A day without a partition is reported as missing.
     """
     days = days_between(spark, first, last).select(F.date_format("day", "yyyy-MM-dd").alias("date"))
-    rows = spark.read.option("basePath", table_root).parquet(table_root)
-    rows = rows.where(F.col("date").cast("date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    rows = scan_range(spark, table_root, first, last)
     return load_missing(days, rows.withColumn("date", F.date_format("date", "yyyy-MM-dd")), out, "date", time)
 
 

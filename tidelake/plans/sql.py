@@ -5,9 +5,11 @@ import threading
 import time
 
 from py4j.java_gateway import JavaObject
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import ranges
+
 #: The kinds of plan that a query may be made of; every other one, commands and scripts among them, is refused.
 PLANS = set(
     """Project Filter Aggregate Sort Join AsOfJoin LateralJoin GlobalLimit LocalLimit Offset Tail Distinct SubqueryAlias Union UnionLoop
@@ -127,13 +129,13 @@ def summarise(df: DataFrame, order: list[str], last: int = 5) -> DataFrame:
 def asof_join(left: DataFrame, right: DataFrame, by: str, time: str, values: list[str]) -> DataFrame:
     """Each left row with the ``values`` of the right's latest row of the same ``by`` not after its ``time``.
 
-    Both sides are laid in one order and the last right row is carried on: one shuffle, no pairs. Right rows of one
-    time should not be repeated.
+    Both sides are laid in one order and dealt to its ranges, and the last right row is carried on within a range and from
+    range to range: no pairs, and no task with a whole ``by`` key. Right rows of one time should not be repeated.
     """
-    carried = F.struct(*[F.col(v) for v in values])
+    carry = F.struct(*[F.col(v) for v in values])
     l_cols = [c for c in left.columns if c not in (by, time)]
-    a = left.select(by, time, F.struct(*l_cols).alias("_l"), F.lit(None).cast(right.select(carried).schema[0].dataType).alias("_r"), F.lit(1).alias("_side"))
-    b = right.select(by, time, F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), carried.alias("_r"), F.lit(0).alias("_side"))
-    w = Window.partitionBy(by).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
+    a = left.select(by, time, F.struct(*l_cols).alias("_l"), F.lit(None).cast(right.select(carry).schema[0].dataType).alias("_r"), F.lit(1).alias("_side"))
+    b = right.select(by, time, F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), carry.alias("_r"), F.lit(0).alias("_side"))
+    dealt = ranges.in_ranges(a.unionByName(b), [by, time, "_side"])
+    both = ranges.carried(dealt, by, [time, "_side"], "_r").where("_side = 1")
     return both.select(by, time, "_l.*", *[F.col("_r")[v].alias(v) for v in values])

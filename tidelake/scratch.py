@@ -36,3 +36,44 @@ def file_system(spark: SparkSession, path: str):
     """Hadoop's file system of a path, and the path as it takes it: any store that Spark reads will do."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file; False if there is one already. It is never seen half written under another's name."""
+    fs, p = file_system(spark, path)
+    if fs.exists(p):
+        return False
+    try:
+        out = fs.create(p, False)
+    except Exception as e:  # noqa: BLE001 - Java's exceptions come wrapped
+        if "AlreadyExists" in str(e):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    fs, p = file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies right under a folder, sorted; none if it is not there."""
+    fs, p = file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = file_system(spark, path)
+    return fs.exists(p)

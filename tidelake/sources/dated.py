@@ -5,6 +5,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import file_system
 from .discovery import inventory
 
 #: How a date may begin, by its length.
@@ -27,6 +28,36 @@ def scan(spark: SparkSession, table_root: str, prefix: str) -> DataFrame:
     return spark.read.option("basePath", table_root).parquet(f"{table_root}/date={checked_prefix(prefix)}*")
 
 
+def cover(first: str, last: str) -> list[str]:
+    """The fewest years, months and days whose days are exactly those from ``first`` to ``last``."""
+    day, end = (datetime.date.fromisoformat(d) for d in (first, last))
+    if day > end:
+        raise ValueError(f"{first} is after {last}")
+    found, one = [], datetime.timedelta(1)
+    while day <= end:
+        month_end = (day.replace(day=28) + datetime.timedelta(4)).replace(day=1) - one
+        year_end = day.replace(month=12, day=31)
+        if day == day.replace(month=1, day=1) and year_end <= end:
+            found, day = [*found, f"{day:%Y}"], year_end + one
+        elif day.day == 1 and month_end <= end:
+            found, day = [*found, f"{day:%Y-%m}"], month_end + one
+        else:
+            found, day = [*found, f"{day:%Y-%m-%d}"], day + one
+    return found
+
+
+def scan_range(spark: SparkSession, table_root: str, first: str, last: str) -> DataFrame:
+    """The partitions from ``first`` to ``last``: one pattern for each part of the range's cover, so that only these folders are listed.
+
+    At most 60 days and 22 months beside the years. A range of which nothing is there is an error, as with scan.
+    """
+    fs, _ = file_system(spark, table_root)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    patterns = [f"{table_root}/date={c}{'' if len(c) == 10 else '-*'}" for c in cover(first, last)]
+    there = [p for p in patterns if fs.globStatus(path(p))]
+    return spark.read.option("basePath", table_root).parquet(*(there or patterns[:1]))
+
+
 def view_of(chain: str, table: str, prefix: str) -> str:
     """Fixed value: the name under which queries find a scanned table."""
     return f"s3_{chain}_{table}_{prefix}".replace("-", "_")

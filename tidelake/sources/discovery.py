@@ -1,14 +1,16 @@
 """Partition trees: what files there are, views over them, and reading files whose columns differ."""
 
 import functools
+import itertools
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import partition_map, view_name
-from ..scratch import file_system, written
+from ..scratch import exists, file_system, new_path, written
 
 WIDENING = ["boolean", "tinyint", "smallint", "int", "bigint", "float", "double"]
 #: The first part of the names of views over these folders.
@@ -60,33 +62,83 @@ def strict_concat(frames: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, frames)
 
 
-def _schemas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The columns of each file, from its footer. A store that Arrow does not know gives none: its folders are taken to be of one schema."""
+FOOTER = "path string, columns string, names string, rows long, fault string"
+
+
+def _row(path: str, columns: str, names: list[str], rows: int) -> tuple:
+    return path, columns, ",".join(sorted(names)), rows, None
+
+
+def _by_arrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Footers of files that lie in the machines' own file system, read in tasks. Only a file that is no Parquet is told; other errors are raised."""
     import pyarrow.parquet as pq
-    from pyarrow import ArrowException, fs
+    from pyarrow import ArrowInvalid, fs
 
-    def columns(path: str) -> str:
+    def footer(path: str) -> tuple:
+        store, name = fs.FileSystem.from_uri(path)
         try:
-            store, name = fs.FileSystem.from_uri(path)
-            return str(pq.read_schema(name, filesystem=store).remove_metadata())
-        except (ArrowException, OSError, ValueError):
-            return ""
+            with store.open_input_file(name) as f:
+                file = pq.ParquetFile(f)
+                return _row(path, str(file.schema_arrow.remove_metadata()), file.schema_arrow.names, file.metadata.num_rows)
+        except ArrowInvalid as e:
+            return path, None, None, None, str(e)[:300]
 
     for batch in batches:
-        yield batch.assign(columns=[columns(p) for p in batch["path"]])
+        yield pd.DataFrame([footer(p) for p in batch["path"]], columns=[c.split()[0] for c in FOOTER.split(", ")])
+
+
+def _by_hadoop(spark: SparkSession, paths: Iterator[str], at_once: int = 32, chunk: int = 10_000) -> Iterator[list[tuple]]:
+    """Footers of files in any store that Spark reads, through Hadoop's file system of it; a chunk at a time. Errors as in _by_arrow."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.parquet.hadoop
+
+    def footer(path: str) -> tuple:
+        try:
+            reader = hadoop.ParquetFileReader.open(hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf))
+        except Exception as e:
+            if "is not a Parquet file" in str(e):
+                return path, None, None, None, str(e).split("\n")[0][:300]
+            raise
+        try:
+            schema = reader.getFileMetaData().getSchema()
+            names = [schema.getFieldName(k) for k in range(schema.getFieldCount())]
+            return _row(path, schema.toString(), names, reader.getRecordCount())
+        finally:
+            reader.close()
+
+    with ThreadPoolExecutor(at_once) as pool:
+        while part := list(itertools.islice(paths, chunk)):
+            yield list(pool.map(footer, part))
+
+
+def footers(files: DataFrame) -> DataFrame:
+    """path, columns, names, rows and fault of Parquet files (column path), from their footers alone; a written table.
+
+    Files of the machines' own file system are read by tasks. Those of other stores are read through Hadoop, as Spark does, by
+    threads of the driver, which holds a chunk of them at a time. A file that is no Parquet has a fault; a store that fails is an error.
+    """
+    spark = files.sparkSession
+    own = F.col("path").rlike("^(file:|/)")
+    found = written(files.where(own).select("path").mapInPandas(_by_arrow, FOOTER), "footers")
+    others = (r["path"] for r in files.where(~own).select("path").toLocalIterator())
+    place = new_path(spark, "footers")
+    for rows in _by_hadoop(spark, others):
+        spark.createDataFrame(rows, FOOTER).write.mode("append").parquet(place)
+    return found.unionByName(spark.read.schema(FOOTER).parquet(place)) if exists(spark, place) else found
 
 
 def read_groups(files: DataFrame) -> DataFrame:
-    """view, columns, paths of files (view, folder, path): what can be read with one schema, by view.
+    """view, columns, paths, fault of files (view, folder, path): what can be read with one schema, by view.
 
-    Footers are read in tasks. A folder whose files all have the same columns is named as a whole, so that
-    the paths follow the folders and not the files.
+    A folder whose files all have the same columns is named as a whole, so that the paths follow the folders and not
+    the files. A view of which a file is no Parquet has that as its fault.
     """
-    kinds = "view string, folder string, path string, columns string"
-    seen = written(files.select("view", "folder", "path").mapInPandas(_schemas, kinds), "footers")
-    one = seen.groupBy("folder").agg(F.count_distinct("columns").alias("n"))
-    place = F.when(F.col("n") == 1, F.col("folder")).otherwise(F.col("path"))
-    return seen.join(one, "folder").groupBy("view", "columns").agg(F.sort_array(F.collect_set(place)).alias("paths"))
+    files = written(files.select("view", "folder", "path"), "files")
+    seen = files.join(footers(files), "path")
+    one = seen.groupBy("folder").agg(F.count_distinct("columns").alias("n"), F.count("fault").alias("faults"))
+    place = F.when((F.col("n") == 1) & (F.col("faults") == 0), F.col("folder")).otherwise(F.col("path"))
+    faults = seen.groupBy("view").agg(F.max("fault").alias("fault"))
+    return seen.join(one, "folder").groupBy("view", "columns").agg(F.sort_array(F.collect_set(place)).alias("paths")).join(faults, "view")
 
 
 def read_tree(spark: SparkSession, root: str, groups: list[list[str]]) -> DataFrame:
@@ -118,8 +170,10 @@ def mount_views(spark: SparkSession, root: str) -> list[str]:
     alone = loose.select("view", F.col("path").alias("folder"), "path").join(files.where("inside").select("view").distinct(), "view", "left_anti")
     groups = read_groups(files.where("inside").select("view", "folder", "path").unionByName(alone))
     made = []
-    for r in groups.groupBy("view").agg(F.collect_list("paths").alias("groups")).orderBy("view").toLocalIterator():  # a row a view
+    for r in groups.groupBy("view").agg(F.collect_list("paths").alias("groups"), F.max("fault").alias("fault")).orderBy("view").toLocalIterator():  # a row a view
         try:
+            if r["fault"]:
+                raise ValueError(r["fault"])
             read_tree(spark, root, r["groups"]).createOrReplaceTempView(r["view"])
             made.append(r["view"])
         except Exception as e:  # noqa: BLE001 - one bad tree must not hide the others

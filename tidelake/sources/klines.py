@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch_to_timestamp
-from ..scratch import file_system
+from ..operators.write import publish
+from ..scratch import children, delete, file_system
 
 #: Fixed value: the twelve columns of the format, in order.
 COLUMNS = (
@@ -49,20 +50,21 @@ def read(spark: SparkSession, archives: str, symbol: str, interval: str) -> Data
 def load(spark: SparkSession, months: list[tuple[str, str]], symbol: str, interval: str, out: str) -> DataFrame:
     """Load (month, archive path) pairs that are not there yet; month and status of each.
 
-    Written as symbol=/interval=/date= partitions of zstd files sorted by time; a second run writes nothing.
+    Written as symbol=/interval=/date= partitions of zstd files sorted by time; a second run writes nothing. A month is put into place
+    whole, so that one whose load broke off is loaded again; what such a load has left beside it is hidden from readers.
     """
     status = []
     for month, archive in months:
         target = f"{out}/symbol={symbol}/interval={interval}/date={month}"
-        fs, p = file_system(spark, target)
         source_fs, source = file_system(spark, archive)
-        if fs.exists(p):
+        if any(name.endswith(".parquet") for name in children(spark, target)):
             status.append((month, "skipped"))
         elif not source_fs.exists(source):
             status.append((month, "missing"))
         else:
+            delete(spark, target)  # a folder without files is what a broken load has left
             # an archive is one zip, read by one task: its month is one file
             rows = read(spark, archive, symbol, interval).drop("symbol", "interval")
-            rows.coalesce(1).sortWithinPartitions("open_time").write.option("compression", "zstd").parquet(target)
+            publish(rows.coalesce(1).sortWithinPartitions("open_time"), target)
             status.append((month, "written"))
     return spark.createDataFrame(status, "month string, status string")

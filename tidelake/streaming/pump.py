@@ -35,7 +35,8 @@ def pump(
     spark: SparkSession, pages: str, schema: T.StructType, checkpoint: str, sink: Callable[[DataFrame, int], None],
     pages_per_batch: int = 1, deadline_s: float | None = None,
 ) -> dict:
-    """Give every page file to ``sink`` once more at most: the sink goes first, then the cursor moves.
+    """Give every page file to ``sink``, at least once: the sink goes first, then the cursor moves, so that after a failure between
+    the two the same pages come again under the same batch number.
 
     Runs until the pages there now are drained, or the deadline. A later call goes on behind the last page;
     an error in the sink leaves the cursor where it was. Returns why it stopped, and the rows and batches that the sink took.
@@ -61,18 +62,39 @@ def pump_to(spark: SparkSession, pages: str, schema: T.StructType, checkpoint: s
     return {"rows": drained(q)[1]}
 
 
-def watch(spark: SparkSession, visits: str, schema: T.StructType, checkpoint: str, out: str, id_column: str, time_column: str) -> dict:
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def watch(
+    spark: SparkSession, visits: str, schema: T.StructType, checkpoint: str, out: str, id_column: str, time_column: str, remember_s: int | None = None
+) -> dict:
     """Store each id once, however often and however late it comes; also within one visit.
 
-    The seen ids are Spark's deduplication state, kept with the checkpoint. No event-time watermark is set,
-    since one drops late rows that have not been seen: the state grows with the ids (RocksDB keeps it on disk).
-    Returns fetched, stored and the resume point, which never goes back.
+    The seen ids are Spark's state, kept with the checkpoint. By default that is exact deduplication, and no event-time watermark is set,
+    since one drops late rows that have not been seen: the state grows with the ids. With ``remember_s`` an id is forgotten, not before so
+    many seconds after it was stored, at the next batch: the state, kept on disk by RocksDB, is bounded by the ids that come in
+    that time, and one that comes again later is stored again. The watermark for that is the time of arrival, which no row can be late for.
+    The two keep different states: a checkpoint goes on with the one it began with. Returns fetched, stored, the resume point, which never goes back, and of the state the ids it knows and its bound.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(visits).dropDuplicates([id_column])
-    writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-    _, fetched = drained(writer.trigger(availableNow=True).start())
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(visits)
+    before = spark.conf.get(PROVIDER)
+    if remember_s is None:
+        once = stream.dropDuplicates([id_column])
+    else:
+        spark.conf.set(PROVIDER, ROCKS)
+        # an id lives until the watermark, which is behind by the delay, has passed its arrival by the delay
+        arrived = stream.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", f"{-(-remember_s // 2)} seconds")
+        once = arrived.dropDuplicatesWithinWatermark([id_column]).drop("_arrived")
+    try:
+        writer = once.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        q = writer.trigger(availableNow=True).start()
+        _, fetched = drained(q)
+    finally:
+        spark.conf.set(PROVIDER, before)
+    known = sum(o.numRowsTotal for o in q.lastProgress.stateOperators) if q.lastProgress else None
     kept = spark.read.schema(schema).parquet(out).agg(F.count(F.lit(1)), F.max(time_column)).first()
-    return {"fetched": fetched, "stored": kept[0], "watermark": kept[1]}
+    return {"fetched": fetched, "stored": kept[0], "watermark": kept[1], "known": known, "remember_s": remember_s}
 
 
 def unseen(batch: DataFrame, seen: DataFrame, id_column: str) -> DataFrame:
