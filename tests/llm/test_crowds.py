@@ -42,3 +42,30 @@ def test_keep_one_in_crowds(spark, n, edits, seed):
     texts = copies(n, edits, seed)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).select("doc_id").collect()) == kept_by_brute_force(texts)
+
+
+def test_links_within_a_block():
+    """As many components as by all pairs, whatever is connected before."""
+    texts = copies(60, (3, 7), 5)
+    sets = [np.unique([hash(tuple(w[i : i + 5])) for i in range(len(w) - 4)]) for w in map(str.split, texts)]
+    kept = kept_by_brute_force(texts)
+    up = list(range(60))
+    for a, b in simhash.alike_in_block(sets, list(range(60)), 0.8, columns=50):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        assert both >= 0.8 * (len(sets[a]) + len(sets[b]) - both)
+        while up[a] != a:
+            a = up[a]
+        while up[b] != b:
+            b = up[b]
+        assert a != b
+        up[max(a, b)] = min(a, b)
+    assert [k for k in range(60) if up[k] == k] == kept
+    assert simhash.alike_in_block(sets, [7] * 60, 0.8) == []
+
+
+def test_crowd_larger_than_blocks(spark):
+    """A group of which a tenth of all pairs are alike, several blocks large: all but a few texts are connected."""
+    texts = copies(700, (3, 5), 4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept, want = simhash.keep_one(docs).count(), len(kept_by_brute_force(texts))
+    assert want <= kept <= want + 7

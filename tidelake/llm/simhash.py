@@ -252,6 +252,59 @@ def _signs(size: int):
     return pandas_udf(signs, "array<long>")
 
 
+#: Texts that all meet each other in a task, and how many of their shingles it holds at once.
+BLOCK, BLOCK_SIGNS = 256, 4_000_000
+
+
+def alike_in_block(signs: list[np.ndarray], roots: list[int], least: float, columns: int = 4_096) -> list[tuple[int, int]]:
+    """Index pairs of sets of the likeness ``least``, enough to connect all such pairs, beside what ``roots`` connect already."""
+    owner = np.repeat(np.arange(len(signs)), [len(s) for s in signs])
+    every, place, n = np.unique(np.concatenate(signs), return_inverse=True, return_counts=True)
+    shared = np.cumsum(n > 1) - 1  # signs of one text only have no part in what texts share
+    of_many = n[place] > 1
+    owner, place = owner[of_many], shared[place[of_many]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    common = np.zeros((len(signs), len(signs)), np.float32)
+    for start in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        lo, hi = np.searchsorted(place, [start, start + columns])
+        held = np.zeros((len(signs), columns), np.float32)
+        held[owner[lo:hi], place[lo:hi] - start] = 1
+        common += held @ held.T
+    size = np.array([len(s) for s in signs])
+    i, j = np.nonzero(np.triu(common >= least * (size[:, None] + size[None, :] - common), 1))
+    same: dict[int, int] = {}
+    known = [(same.setdefault(r, k), k) for k, r in enumerate(roots)]
+    known = [(a, b) for a, b in known if a != b]
+    joined = _forest(len(signs), np.array([a for a, _ in known] + i.tolist()), np.array([b for _, b in known] + j.tolist()))
+    return joined[len(known) :]
+
+
+def _in_blocks(least: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks arrive sorted; one with too many shingles is done in parts."""
+        now, nodes, roots, signs, size = None, [], [], [], 0
+
+        def out() -> Iterator[pd.DataFrame]:
+            if len(set(roots)) > 1:
+                found = alike_in_block(signs, roots, least)
+                if found:
+                    yield pd.DataFrame([(nodes[a], nodes[b]) for a, b in found], columns=["a", "b"])
+
+        for batch in batches:
+            for band, block, root, node, own in zip(*(batch[c] for c in ("band", "block", "root", "node", "signs")), strict=True):
+                if (band, block) != now or size > BLOCK_SIGNS:
+                    yield from out()
+                    now, nodes, roots, signs, size = (band, block), [], [], [], 0
+                nodes.append(node)
+                roots.append(root)
+                signs.append(np.asarray(own, np.int64))
+                size += len(signs[-1])
+        yield from out()
+
+    return run
+
+
 def _pairs(cells: DataFrame, key: str) -> DataFrame:
     """Pairs (a, b) of different components that share ``key``; a key has a bounded number of rows (key, node, root)."""
     left, right = (cells.select(key, F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
@@ -265,8 +318,10 @@ def alike_texts(texts: DataFrame, least: float, size: int, scratch: Scratch, bud
     Near copies by that measure differ in about ten bits of a whole text's fingerprint, more than a trie can be pruned
     by. So the trie join of whole fingerprints is helped by keys from the least hashes of the shingles (band_keys); every
     candidate is verified. All texts of a key meet the key's first one. Where that leaves different components, up to ``few``
-    texts of a key meet each other; the texts of larger keys are joined by their rarest shingles (set_join.links), which
-    loses no link. What can be missed is a pair that shares no key, one in a hundred at the likeness 0.8.
+    texts of a key meet each other, and the texts of larger keys are dealt to blocks of about BLOCK by a hash of text and key, within
+    which all meet. So work grows with the texts, however large a group is. What can be missed: a pair that shares no key, one
+    in a hundred at the likeness 0.8; and of a key with more texts than a block, a text that is alike to none of some hundred others
+    that its keys' blocks put it together with, nor to a key's first.
     """
     made = scratch.save(texts.withColumn("_k", _keys(size)("text")).select("node", F.col("_k.fp").alias("fp"), F.col("_k.bands").alias("bands")), "keys")
     first = made.groupBy("fp").agg(F.min("node").alias("node"))
@@ -287,11 +342,12 @@ def alike_texts(texts: DataFrame, least: float, size: int, scratch: Scratch, bud
     placed = scratch.save(cells.select("band", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
     left = scratch.save(placed.join(mixed, "band"), "left")
-    # the texts of crowded keys by their rarest shingles: no link among them is lost
-    crowd = left.where(F.col("n") > few).select("node").distinct().join(sets.hint("merge"), "node")
     met = _pairs(left.where(F.col("n") <= few), "band").distinct()
-    in_crowds = set_join.links(scratch.save(crowd, "crowd"), least, scratch)
-    return star.unionByName(set_join.alike(scratch.save(met, "met"), sets, least)).unionByName(in_crowds)
+    crowd = left.where(F.col("n") > few).withColumn("block", F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / BLOCK)))
+    blocks = crowd.join(sets.hint("merge"), "node").select("band", "block", "root", "node", "signs")
+    blocks = blocks.repartition("band", "block").sortWithinPartitions("band", "block")
+    in_blocks = scratch.save(blocks.mapInPandas(_in_blocks(least), "a long, b long"), "in-blocks").distinct()
+    return star.unionByName(set_join.alike(scratch.save(met, "met"), sets, least)).unionByName(in_blocks)
 
 
 def keep_one(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
