@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import written
+from .write import GOAL_BYTES
 
 INLINE_BYTES, INDEX_ROWS = 8 * 1024**2, 20_000
 PLACES = {True: "inline", False: "large"}
@@ -15,18 +16,20 @@ def describe(blobs: DataFrame, inline_bytes: int = INLINE_BYTES) -> DataFrame:
     return blobs.withColumns({"sha256": F.sha2("data", 256), "length": length, "inline": length <= inline_bytes})
 
 
-def pack(blobs: DataFrame, path: str, inline_bytes: int = INLINE_BYTES) -> DataFrame:
+def pack(blobs: DataFrame, path: str, inline_bytes: int = INLINE_BYTES, file_bytes: int = GOAL_BYTES) -> DataFrame:
     """Write the latest put of each key (column put), sorted by key; returns the index, without data.
 
-    Small blobs share files under ``path``/inline; each large one is a file of its own under ``path``/large, so that a reader of
+    Small blobs share files of about ``file_bytes`` under ``path``/inline; each large one is a file of its own under ``path``/large, so that a reader of
     small ones never passes over it. Of puts at the same time the one with the greatest digest counts.
     """
     columns = ["content_type", "sha256", "length", "inline", "data"]
     newest = F.max_by(F.struct(*columns), F.struct("put", "sha256")).alias("b")
     latest = written(describe(blobs, inline_bytes).groupBy("key").agg(newest).select("key", "b.*"), "latest")
+    held = {r["inline"]: r["bytes"] for r in latest.groupBy("inline").agg(F.sum("length").alias("bytes")).collect()}
     for inline, place in PLACES.items():
+        files = max(1, -(-held.get(inline, 0) // file_bytes))
         part = latest.where(F.col("inline") == inline).select("key", "content_type", "sha256", "data")
-        writer = part.repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").option("compression", "zstd")
+        writer = part.repartitionByRange(files, "key").sortWithinPartitions("key").write.mode("overwrite").option("compression", "zstd")
         writer.option("maxRecordsPerFile", 0 if inline else 1).parquet(f"{path}/{place}")
     schema = "key string, content_type string, sha256 string"
     spark = blobs.sparkSession

@@ -4,6 +4,7 @@ import math
 import uuid
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,9 @@ LAYERS = {"L1": "l1", "L2": "features", "L3": "signals"}
 MIB = 1024**2
 LEAST_BYTES, GOAL_BYTES, MOST_BYTES, GROUP_ROWS = 200 * MIB, 300 * MIB, 500 * MIB, 122_880
 
+#: Spark's estimate for a source that tells none is the greatest long.
+UNKNOWN = 1 << 62
+
 #: What each field may hold, and the fields that each kind of source needs.
 ALLOWED = {
     "mode": {"in_place", "batch", "poll"},
@@ -90,10 +94,12 @@ def plan_files(size: int) -> tuple[int, str | None]:
 def source_bytes(df: DataFrame) -> int:
     """What the files that ``df`` is made from hold, as far as its columns are read: the sum over the plan's sources.
 
-    The plan's own estimate would multiply both sides of a join.
+    The plan's own estimate would multiply both sides of a join. A source of which Spark does not know the size counts as empty; give
+    the size where that is the larger part.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(n for n in sizes if n < UNKNOWN)
 
 
 def planned(df: DataFrame, size: int | None = None) -> int:
@@ -156,6 +162,14 @@ def present(spark: SparkSession, path: str, key: str) -> DataFrame:
     return spark.createDataFrame(values, f"{key} string")
 
 
+def _observed(seen: Observation) -> int:
+    """The rows that a write has observed; where Spark saw beforehand that there are none, it has observed nothing."""
+    try:
+        return seen.get["rows"]
+    except Py4JJavaError:
+        return 0
+
+
 def load_missing(wanted: DataFrame, rows: DataFrame, path: str, key: str, time: str) -> DataFrame:
     """Write the rows of wanted periods (column ``key``) that ``path`` lacks; period, rows and status of each wanted one.
 
@@ -177,9 +191,9 @@ def load_missing(wanted: DataFrame, rows: DataFrame, path: str, key: str, time:
     else:
         counts = spark.createDataFrame([], schema)
     counts = written_table(counts, "counts")
-    total = counts.agg(F.coalesce(F.sum("written"), F.lit(0))).first()[0]
-    if total != seen.get["rows"]:
-        raise RuntimeError(f"{seen.get['rows']} rows were written to {path}, {total} are there")
+    total, made = counts.agg(F.coalesce(F.sum("written"), F.lit(0))).first()[0], _observed(seen)
+    if total != made:
+        raise RuntimeError(f"{made} rows were written to {path}, {total} are there")
     status = F.when(F.col("_there"), "skipped").when(F.col("written") > 0, "written").otherwise("missing")
     marked = wanted.join(there.withColumn("_there", F.lit(True)), key, "left").join(counts, key, "left")
     return marked.select(key, F.coalesce("written", F.lit(0)).alias("written"), status.alias("status"))

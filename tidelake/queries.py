@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import blobs, catalog, codecs, compact, flows, frontier, rollups
+from .operators import blobs, catalog, codecs, compact, flows, frontier, rollups, versions
 from .operators import write as layers
 from .plans import sql as readonly
 from .scratch import file_system, new_path, written
 from .sources import chain, dated, discovery, klines
-from .streaming import pump
+from .streaming import holding, paged, pump
 
 QUERIES, SQL = {}, {}
 
@@ -253,10 +253,15 @@ def layout_discovery(spark, sf_dir):
 
 
 @query("""with b as (select min(cast(ts as date)) as lo, max(cast(ts as date)) + 5 as hi from events)
-select cast(unnest(generate_series(lo, hi, interval 1 day)) as date) as day, cast(unnest(generate_series(lo, hi, interval 1 day)) as date) in (select cast(ts as date) from events) as present from b""")
+select cast(unnest(generate_series(lo, hi, interval 1 day)) as date) as day, cast(unnest(generate_series(lo, hi, interval 1 day)) as date) in (select cast(ts as date) from events) as present,
+  (cast(unnest(generate_series(lo, hi, interval 1 day)) as date) in (select cast(ts as date) from events))::int::bigint as files, true as bytes_are_files from b""")
 def scan_budget(spark, sf_dir):
     b = table(spark, sf_dir, "events").agg(F.min(F.to_date("ts")), F.date_add(F.max(F.to_date("ts")), 5)).first()
-    return dated.preview(spark, dated_events(spark, sf_dir), str(b[0]), str(b[1])).select("day", "present")
+    root = dated_events(spark, sf_dir)
+    day = F.regexp_extract("path", r"date=([0-9-]+)", 1).cast("date")
+    held = discovery.inventory(spark, root).groupBy(day.alias("day")).agg(F.sum("length").alias("held"))
+    previewed = dated.preview(spark, root, str(b[0]), str(b[1])).join(held, "day", "left")
+    return previewed.select("day", "present", "files", (F.col("bytes") == F.coalesce("held", F.lit(0))).alias("bytes_are_files"))
 
 
 @query("""with s as (select event_type as "table", count(distinct cast(ts as date)) as days, count(*) / 1000.0 as gb from events group by event_type)
@@ -344,14 +349,25 @@ def compacted_rows(spark, sf_dir):
     return spark.read.parquet(root).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(money("value")).cast("decimal(38,4)").alias("total"))
 
 
-@query("select 40 as files, true as within, true as once from events limit 1")
+@query("""with f as (select event_id % 40 as file, count(*) as n from events group by 1)
+select (file // 8)::int as part, count(*) as files, sum(n)::bigint as rows from f group by 1""")
 def compaction_plan(spark, sf_dir):
-    root, most = new_path(spark, "small"), 64 * 1024
-    table(spark, sf_dir, "events").repartition(40).write.parquet(root)
-    planned = compact.plan(spark, root, most=most)
-    parts = planned.groupBy("part").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
-    whole = planned.agg(F.count(F.lit(1)).alias("files"), (F.count_distinct("path") == F.count(F.lit(1))).alias("once"))
-    return whole.select("files", "once", parts.agg(F.min((F.col("bytes") <= most) | (F.col("files") == 1))).scalar().alias("within"))
+    """Forty files of like size, whose groups may have so many bytes that eight of them fill one."""
+    root = new_path(spark, "small")
+    e = table(spark, sf_dir, "events").withColumn("file", (F.col("event_id") % 40).cast("int"))
+    for_each = e.select("file", F.lit("x" * 10).alias("v")).repartition(40, "file")
+    for_each.write.partitionBy("file").parquet(f"{root}/by")
+    flat = f"{root}/flat"
+    fs, _ = file_system(spark, flat)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs.mkdirs(path(flat))
+    for k in range(40):  # one folder of files, whose names tell their order
+        made = next(x.getPath() for x in fs.listStatus(path(f"{root}/by/file={k}")) if x.getPath().getName().endswith(".parquet"))
+        fs.rename(made, path(f"{flat}/f{k:02d}.parquet"))
+    sizes = [r[0] for r in discovery.inventory(spark, flat).select("length").collect()]
+    planned = compact.plan(spark, flat, most=8 * max(sizes) if 9 * min(sizes) > 8 * max(sizes) else 0)
+    rows = discovery.footers(planned.select("path")).select("path", "rows")
+    return planned.join(rows, "path").groupBy("part").agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"))
 
 
 @query("""select url as key, sha256(html) as sha256, strlen(html) as length, strlen(html) <= 2048 as inline, md5(html) as stored_md5, strlen(html) as stored_length
@@ -804,3 +820,172 @@ def throughput(spark, sf_dir):
     sums = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("size"), F.sum(money("value")).cast("double").alias("s"))
     rates = sums.select("event_type", *rollups.throughput(F.col("n"), F.col("size"), F.col("s")))
     return rates.withColumns({c: F.round(c, 9) for c in ("rows_per_s", "mb_per_s")})
+
+
+# -- paged sources, holding, versions ------------------------------------------------------------------------------
+
+
+@query("""with o as (select o_orderkey % 6 as page, count(*) as n, cast(sum(cast(o_totalprice as decimal(18,2))) as decimal(38,2)) as total from orders group by 1),
+calls(call, status, first, past, position) as (values (1, 'max_pages', 0, 2, '2'), (2, 'max_records', 2, 3, '3'), (3, 'exhausted', 3, 6, 'null'), (4, 'already_exhausted', 6, 6, 'null'))
+select call, status, (past - first)::bigint as pages, coalesce((select sum(n) from o where page >= first and page < past), 0)::bigint as records, position,
+  (select sum(n) from o where page < past)::bigint as stored, (select cast(sum(total) as decimal(38,2)) from o where page < past) as stored_total from calls""")
+def paged_pump(spark, sf_dir):
+    """Six pages of orders, drained in calls that end by pages, by records, and at the end; a fourth asks nothing."""
+    pages, out, checkpoint = (new_path(spark, x) for x in ("pages", "pumped", "cursor"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", (F.col("o_orderkey") % 6).cast("int").alias("page"))
+    o.repartition(6, "page").write.partitionBy("page").parquet(pages)
+    source, schema = paged.ParquetPages(spark, pages), "o_orderkey long, o_totalprice double"
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/part={number}")  # a page that comes again takes its own place
+
+    told = []
+    for call, bounds in enumerate(({"max_pages": 2}, {"max_records": 1}, {"pages_per_batch": 2}, {}), 1):
+        r = paged.pump_pages(spark, source, schema, checkpoint, sink, **bounds)
+        stored = spark.read.schema(schema).parquet(out).agg(F.count(F.lit(1)), F.sum(money("o_totalprice", 2)).cast("decimal(38,2)")).first()
+        told.append((call, r["status"], r["pages"], r["records"], r["cursor"]["position"], *stored))
+    return spark.createDataFrame(told, "call int, status string, pages long, records long, position string, stored long, stored_total decimal(38,2)")
+
+
+@query("""with o as (select o_orderkey % 6 as page, count(*) as n from orders group by 1)
+select page + 1 as pages, sum(n) over (order by page)::bigint as records, page = 5 as exhausted, case page when 5 then 'exhausted' else '' end as stop from o""")
+def cursor_rows(spark, sf_dir):
+    """The cursor's rows after a drain of a page at a time."""
+    pages, checkpoint = new_path(spark, "pages"), new_path(spark, "cursor")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 6).cast("int").alias("page"))
+    o.repartition(6, "page").write.partitionBy("page").parquet(pages)
+    paged.pump_pages(spark, paged.ParquetPages(spark, pages), "o_orderkey long", checkpoint, lambda batch, number: batch.count())
+    return paged.cursor_rows(spark, checkpoint).select("pages", "records", "exhausted", "stop")
+
+
+@query("""with v(visit, lo, hi) as (values (0, 0, 1), (1, 1, 2), (2, 2, 0)), m(mode, bound_s) as (values ('exact', null), ('bounded', 86400))
+select mode, bound_s, visit, (select count(*) from events where event_id % 3 in (lo, hi))::bigint as fetched,
+  (select count(*) from events where event_id % 3 <= visit + 1)::bigint as stored, (select count(*) from events where event_id % 3 <= visit + 1)::bigint as known from v, m""")
+def watch_bounded(spark, sf_dir):
+    """Visits that each bring two thirds of the events, watched exactly and with a bound on what is remembered."""
+    e, told = table(spark, sf_dir, "events"), []
+    for mode, bound in (("exact", None), ("bounded", 86400)):
+        visits, out, checkpoint = (new_path(spark, x) for x in ("visits", "watched", "seen"))
+        for k in range(3):
+            part = F.col("event_id") % 3
+            e.where((part == k) | (part == (k + 1) % 3)).repartition(2).write.mode("append").parquet(visits)
+            r = pump.watch(spark, visits, e.schema, checkpoint, out, "event_id", "ts", bound)
+            told.append((mode, r["remember_s"], k, r["fetched"], r["stored"], r["known"]))
+    return spark.createDataFrame(told, "mode string, bound_s int, visit int, fetched long, stored long, known long")
+
+
+@query("""with f(part, reason, lo, hi, batches) as (values (0, 'count', 0, 0, 1), (2, 'age', 1, 2, 2), (3, 'size', 3, 3, 1))
+select part::bigint as part, reason, batches, (select count(*) from events where event_id % 4 between lo and hi)::bigint as rows,
+  (select count(*) from events where event_id % 4 between lo and hi)::bigint as rows_back, (select max(ts) from events where event_id % 4 between lo and hi) as last_ts from f""")
+def held_append(spark, sf_dir):
+    """Four arrivals: the first is flushed by its count, the next two wait until they are old enough, the last is flushed by its size."""
+    e, arrived, out, checkpoint = table(spark, sf_dir, "events"), *(new_path(spark, x) for x in ("records", "appended", "cursor"))
+    never = {"flush_bytes": 1 << 60, "flush_rows": 1 << 60, "flush_age_s": 600}
+    calls = [(0, 0, {"flush_rows": 1}), (1, 10, {}), (2, 500, {}), (None, 620, {}), (3, 700, {"flush_bytes": 1})]
+    for arrival, now, bounds in calls:
+        if arrival is not None:
+            e.where(F.col("event_id") % 4 == arrival).repartition(2).write.mode("append").parquet(arrived)
+        held = holding.Holding(spark, out, e.schema, "ts", clock=lambda now=now: now, **(never | bounds))
+        flushed = holding.append_held(held, arrived, checkpoint)
+    back = spark.read.parquet(out).groupBy(F.col("part").cast("long").alias("part")).agg(F.count(F.lit(1)).alias("rows_back"), F.max("ts").alias("last_ts"))
+    return flushed.select("part", "reason", "batches", "rows").join(back, "part")
+
+
+@query("""with e as (select count(*) filter (event_id % 2 = 0) as even, count(*) as whole from events)
+select step, seen, even_ as rows from (select 1 as step, 1 as seen, even as even_ from e union all select 2, 1, even from e union all select 3, 2, whole from e union all select 4, 3, even from e)""")
+def publish_versions(spark, sf_dir):
+    """What a reader sees when a version is published, while another is staged, after its pointer is switched, and after a third."""
+    e, path, told = table(spark, sf_dir, "events"), f"{new_path(spark, 'published')}/events", []
+    even = e.where(F.col("event_id") % 2 == 0)
+
+    def look(step: int) -> None:
+        told.append((step, versions.pointers(spark, path)[0][0], versions.read(spark, path).count()))
+
+    versions.publish(even, path)
+    look(1)
+    folder, _ = versions.stage(e, path)
+    look(2)
+    versions.switch(spark, path, folder)
+    look(3)
+    versions.publish(even, path)
+    look(4)
+    return spark.createDataFrame(told, "step int, seen int, rows long")
+
+
+@query("""with m as (select distinct strftime(ts, '%Y-%m') as month from events), c(call) as (values (1), (2)), w as (select month from m union all select '1970-01')
+select call, month, case when month = '1970-01' then 'missing' when call = 1 then 'written' else 'skipped' end as status,
+  (select count(*) from events where strftime(ts, '%Y-%m') = month)::bigint as rows from w, c""")
+def kline_loads(spark, sf_dir):
+    """Archives of all months of events and of one that is not there, loaded twice."""
+    root, out = new_path(spark, "archives"), new_path(spark, "market")
+    e = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM").alias("month"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "value", "event_id")
+
+    def zipped(rows):
+        lines = "".join(f"{t},{v!r},0,0,0,0,{t},0,{k},0,0,0\n" for t, v, k in zip(rows["at"], rows["value"], rows["event_id"], strict=True))
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("klines.csv", lines)
+        return pd.DataFrame({"month": [rows["month"].iloc[0]], "content": [data.getvalue()]})
+
+    archives = e.groupBy("month").applyInPandas(zipped, "month string, content binary")
+    months = []
+    fs, _ = file_system(spark, root)
+    for r in archives.toLocalIterator():  # an archive at a time, as they are downloaded
+        stream = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{r['month']}.zip"))
+        stream.write(r["content"])
+        stream.close()
+        months.append((r["month"], f"{root}/{r['month']}.zip"))
+    wanted, told = [*months, ("1970-01", f"{root}/none.zip")], []
+    for call in (1, 2):
+        told += [(call, r["month"], r["status"]) for r in klines.load(spark, wanted, "EVT", "1m", out).collect()]
+    back = spark.read.parquet(out).groupBy(F.col("date").cast("string").alias("month")).agg(F.count(F.lit(1)).alias("rows"))
+    calls = spark.createDataFrame(told, "call int, month string, status string")
+    return calls.join(back, "month", "left").select("call", "month", "status", F.coalesce("rows", F.lit(0)).cast("long").alias("rows"))
+
+
+@query("""with b as (select url as key, arg_max(html, page_id) as html from pages where html is not null group by url),
+k as (select key, html from b order by sha256(key) limit 10)
+select key, sha256(html) as sha256, case when strlen(html) <= 2048 then 'inline' else 'large' end as place, md5(html) as got_md5 from k""")
+def blob_lookup(spark, sf_dir):
+    """Ten blobs found by their keys and read from the files that hold them."""
+    pages = table(spark, sf_dir, "pages").where("html is not null")
+    put = pages.select(F.col("url").alias("key"), F.lit("text/html").alias("content_type"), F.encode("html", "UTF-8").alias("data"), F.col("page_id").alias("put"))
+    path = new_path(spark, "blobs")
+    blobs.pack(put, path, 2048)
+    keys = [r[0] for r in put.select("key").distinct().orderBy(F.sha2("key", 256)).limit(10).collect()]
+    got = blobs.get(spark, path, keys).select("key", F.md5("data").alias("got_md5"))
+    return blobs.locate(spark, path, keys).select("key", "sha256", "place").join(got, "key")
+
+
+@query("""select cast(o_orderdate as date) as date, count(*) as n, cast(sum(cast(o_totalprice as decimal(18,2))) as decimal(38,2)) as total
+from orders where cast(o_orderdate as date) between date '1994-11-28' and date '1996-02-03' group by 1""")
+def scan_range(spark, sf_dir):
+    """A range over two year ends, read by the least cover of years, months and days."""
+    root = new_path(spark, "ledger/orders")
+    o = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), "o_orderkey", "o_totalprice")
+    layers.write(o, root, ["date"], "o_orderkey")
+    rows = dated.scan_range(spark, root, "1994-11-28", "1996-02-03")
+    return rows.groupBy(F.col("date").cast("date").alias("date")).agg(F.count(F.lit(1)).alias("n"), F.sum(money("o_totalprice", 2)).cast("decimal(38,2)").alias("total"))
+
+
+@query("""with n as (select event_type, count(*) as rows from events group by event_type)
+select event_type, rows, 6 as before, 1 as after from n""")
+def compacted_tree(spark, sf_dir):
+    """A folder of six files a type, all rewritten by one job."""
+    root = new_path(spark, "tree")
+    e = table(spark, sf_dir, "events").drop("props")
+    spread = e.withColumn("cell", F.pmod(F.xxhash64("event_id"), F.lit(6)).cast("int"))
+    for cell in range(6):
+        spread.where(F.col("cell") == cell).drop("cell").repartition("event_type").write.mode("append").partitionBy("event_type").parquet(root)
+
+    def files():
+        kind = F.regexp_extract("path", "event_type=([^/]+)", 1).alias("event_type")
+        return discovery.inventory(spark, root).groupBy(kind).agg(F.count(F.lit(1)).cast("int").alias("files"))
+
+    before = written(files(), "before")
+    report = compact.compact(spark, root, "ts")
+    if report["failed"] or report["jobs"] != 1:
+        raise RuntimeError(str(report))
+    rows = spark.read.parquet(root).groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"))
+    both = before.withColumnRenamed("files", "before").join(files().withColumnRenamed("files", "after"), "event_type")
+    return rows.join(both, "event_type")
