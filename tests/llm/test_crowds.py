@@ -4,8 +4,9 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidelake.llm import simhash
+from tidelake.llm import packing, sharding, simhash
 
 
 def copies(n, edits, seed):
@@ -69,3 +70,26 @@ def test_crowd_larger_than_blocks(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     kept, want = simhash.keep_one(docs).count(), len(kept_by_brute_force(texts))
     assert want <= kept <= want + 7
+
+
+def test_equal_rows_are_numbered_in_many_cells(spark, monkeypatch):
+    """Repeated and null ids: a row number tells equal rows apart, and no cell has most of them."""
+    from tidelake.llm import shared
+
+    shares = []
+    numbered = shared.numbered
+
+    def watched(df, keys, order, out, rows_per_cell=100_000):
+        spread = df.groupBy(*keys, F.pmod(F.xxhash64(*order), F.lit(64)).alias("_c")).count().agg(F.max("count"), F.sum("count")).first()
+        if spread[1] > 100:
+            shares.append(spread[0] / spread[1])
+        return numbered(df, keys, order, out, rows_per_cell)
+
+    for module in (packing, sharding):
+        monkeypatch.setattr(module, "numbered", watched)
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    slots = sharding.into_shards(docs, 4)
+    packed = packing.pack_documents(docs, packing.word_bpe_path())
+    assert packed.groupBy("sequence_id").agg(F.count_distinct("offset").alias("d"), F.count(F.lit(1)).alias("n")).where("d <> n").count() == 0
+    assert "_piece_row" not in packed.columns and len(shares) == 2 and max(shares) < 0.1
+    assert slots.select("shard", "slot").distinct().count() == 4000

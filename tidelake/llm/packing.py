@@ -28,6 +28,8 @@ from pyspark.sql.functions import pandas_udf
 from .shared import Scratch, fresh, numbered
 
 CAPACITY = 2048
+#: A number of their own for pieces, by which equal ones are dealt as well.
+PIECE = "_piece_row"
 PIECES = "array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
 
 _tokenizers: dict = {}
@@ -340,7 +342,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         turn = n - t["first"][at]
         return pd.DataFrame({"sequence_id": t["base"][at] + turn // t["each"][at], "offset": t["offset"][at] + turn % t["each"][at] * k})
 
-    order = [c for c in ("doc_id", "piece", "ids_crc32", "start") if c in pieces.columns]
+    order = [c for c in ("doc_id", "piece", "ids_crc32", "start", PIECE) if c in pieces.columns]
     number, at = fresh("number", pieces.columns), fresh("at", pieces.columns)
     placed = numbered(pieces, ["length"], order, number).withColumn(at, place("length", number))
     least = F.lit(bound(counts, capacity)).cast("long").alias("least_sequences")
@@ -355,7 +357,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capaci
     """
     scratch = Scratch(docs.sparkSession)
     cut = docs.select("doc_id", F.explode(pieces_udf(tokenizer_path, end_id, capacity)("text")).alias("_p")).select("doc_id", "_p.*")
-    return pack(scratch.save(cut, "pieces"), capacity)
+    return pack(scratch.save(cut.withColumn(PIECE, F.monotonically_increasing_id()), "pieces"), capacity).drop(PIECE)
 
 
 def word_bpe_path() -> str:

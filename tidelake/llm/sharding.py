@@ -156,9 +156,9 @@ def into_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     ranked = numbered(groups, ["bytes"], ["copies"], "number")
     homes = scratch.save(ranked.select("copies", "members", shard_of("bytes", "number").alias("shard")), "homes")
     placed = crowd_join(rows, homes, "copies", "members", rows.count()).select("doc_id", "size", "text_crc32", "shard")
-    placed = scratch.save(placed, "placed")
+    placed = scratch.save(placed.withColumn("row", F.monotonically_increasing_id()), "placed")
     scratch.drop("sized", "groups", "homes")
-    return numbered(placed, ["shard"], ["doc_id", "text_crc32", "size"], "slot")
+    return numbered(placed, ["shard"], ["doc_id", "text_crc32", "size", "row"], "slot").drop("row")
 
 
 def fixed_capacity(docs: DataFrame, capacity: int, region_bins: int = 1_000) -> DataFrame:

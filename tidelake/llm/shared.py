@@ -130,7 +130,8 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, rows_pe
 
     A key may hold any share of the rows, so no task gets a whole key: the rows of a key are dealt
     to cells by a hash of ``order``, each cell is numbered by itself, and a cell's numbers start
-    after those of the cells before it. ``df`` is read twice and should be a written table.
+    after those of the cells before it. Rows that are equal in ``order`` share a cell, so that a column that tells rows apart
+    should end it. ``df`` is read twice and should be a written table.
     """
     cells = max(64, -(-df.count() // rows_per_cell))
     cell, rank, start, n = (fresh(name, [*df.columns, out]) for name in ("cell", "rank", "start", "n"))

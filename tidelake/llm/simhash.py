@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from . import set_join
-from .shared import ODD, Scratch, WordHashes, components, mix, text_of
+from .shared import ODD, Scratch, WordHashes, components, crowd_join, mix, text_of
 
 #: For each byte value its eight bits.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -224,10 +224,11 @@ def simhash_components(docs: DataFrame, budget: int = 2) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     fps = scratch.save(docs.select("doc_id", pandas_udf(_fingerprints, "long")("text").alias("fp")), "fingerprints")
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     roots = scratch.save(near_duplicates(fps, budget).join(least, "fp"), "roots")
-    named = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "copies")
+    # all texts without words have one fingerprint
+    return crowd_join(fps, named, "fp", "copies", fps.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _keys(size: int):
