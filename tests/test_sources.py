@@ -337,3 +337,16 @@ def test_months_that_broke_off_are_loaded_again(spark, tmp_path):
     for status in ("written", "skipped"):
         assert klines.load(spark, [("2025-01", str(archive))], "B", "1m", out).first()["status"] == status
     assert spark.read.parquet(out).count() == 1
+
+
+def test_waiting_bytes_are_known_without_listing(spark, monkeypatch):
+    root, cursor, listed = new_path(spark, "arrivals"), new_path(spark, "cursor"), []
+    pending = compact.pending
+    monkeypatch.setattr(compact, "pending", lambda *a: listed.append(1) or pending(*a))
+    made = []
+    for k in range(4):
+        spark.range(k * 10, k * 10 + 10).toDF("ts").coalesce(1).write.mode("append").parquet(root)
+        small = pending(spark, root)
+        made.append(compact.watch(spark, root, cursor, "ts", pending_bytes=small if k == 3 else small + 1)["compactions"])
+    assert made == [0, 0, 0, 1] and len(listed) == 3  # at the first batch, before and after the compaction
+    assert spark.read.parquet(root).count() == 40 and discovery.inventory(spark, root).count() == 1

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import file_system, written
+from ..scratch import children, delete, file_system, get_text, put_text, written
 from ..sources.discovery import footers, inventory, read_groups, union_by_name
 from .write import GOAL_BYTES, LEAST_BYTES, MOST_BYTES
 
@@ -185,20 +185,38 @@ def pending(spark: SparkSession, root: str, least: int = LEAST_BYTES) -> int:
     return small.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
 
+def _waiting(spark: SparkSession, ledger: str, number: int) -> int | None:
+    """What waited behind the newest batch before ``number``; None if no batch has told."""
+    told = [int(n) for n in children(spark, ledger) if n.isdigit() and int(n) < number]
+    text = get_text(spark, f"{ledger}/{max(told)}") if told else ""
+    return int(text) if text else None
+
+
 def watch(spark: SparkSession, root: str, checkpoint: str, time: str, pending_bytes: int = 100 * 1024**2, goal: int = GOAL_BYTES) -> dict:
     """Compact folders whenever files have come and those still small make ``pending_bytes``, however many calls they came in.
 
-    What has come since the last call is Spark's cursor; what waits is read from the tree itself, so that no call forgets
-    what an earlier one left.
+    What has come since the last call is Spark's cursor. What waits is a number beside the checkpoint, by batch, so that a batch that comes again
+    starts from the same one; the tree is listed at the first batch, and when that number says that a compaction is due, which the
+    listing then decides.
     """
-    seen = {"bytes": 0, "files": 0, "compactions": 0}
-
-    def arrived(batch: DataFrame, _: int) -> None:
-        new = batch.where(~F.col("path").contains(f"/{COMPACTED}")).agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
-        seen["bytes"] += new[0]
-        seen["files"] += new[1]
-        if new[1] and pending(spark, root, goal) >= pending_bytes:
-            seen["compactions"] += compact(spark, root, time, goal)["groups"] > 0
+    seen, ledger = {"bytes": 0, "files": 0, "compactions": 0}, f"{checkpoint.rstrip('/')}-waiting"
+
+    def arrived(batch: DataFrame, number: int) -> None:
+        new = batch.where(~F.col("path").contains(f"/{COMPACTED}"))
+        small = F.sum(F.when(F.col("length") < goal, F.col("length")))
+        told = new.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1)), F.coalesce(small, F.lit(0))).first()
+        seen["bytes"] += told[0]
+        seen["files"] += told[1]
+        before = _waiting(spark, ledger, number)
+        waits = pending(spark, root, goal) if before is None else before + told[2]
+        if told[1] and waits >= pending_bytes:
+            waits = pending(spark, root, goal)
+            if waits >= pending_bytes:
+                seen["compactions"] += compact(spark, root, time, goal)["groups"] > 0
+                waits = pending(spark, root, goal)
+        delete(spark, f"{ledger}/{number}")
+        put_text(spark, f"{ledger}/{number}", str(waits))
+        delete(spark, f"{ledger}/{number - 2}")
 
     schema = "path string, modificationTime timestamp, length long, content binary"
     reader = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")

@@ -16,17 +16,26 @@ def addr_flow_1d(transfers: DataFrame, first: str | None = None, last: str | Non
         span = F.lit(first or "0001-01-01").cast("date"), F.lit(last or "9999-12-31").cast("date")
         narrow = narrow.where(F.col("date").between(*span))
 
-    def leg(address: str, signed: Column, other: str) -> Column:
-        return F.struct(F.col(address).alias("address"), signed.alias("signed"), F.col(other).alias("counterparty"))
+    token, sender, receiver = (F.col(c) for c in ("token_address", "from_address", "to_address"))
+    if len({narrow.schema[c].dataType.simpleString() for c in ("token_address", "from_address", "to_address")}) > 1:
+        token, sender, receiver = (c.cast("string") for c in (token, sender, receiver))
+    nothing = F.lit(None).cast(narrow.schema["value"].dataType)
 
-    both = F.array(leg("from_address", -F.col("value"), "to_address"), leg("to_address", F.col("value"), "from_address"))
-    legs = narrow.select("date", "token_address", F.inline(both))
+    def leg(address: Column, of_token: bool, other: Column, signed: Column) -> Column:
+        return F.struct(address.alias("address"), F.lit(of_token).alias("of_token"), other.alias("other"), signed.alias("signed"))
+
+    # a leg is two narrow rows, one for its token, which has the amount, and one for its counterparty: each distinct one is a group of the
+    # first aggregate, which is combined before either shuffle, so that an address with most legs of a day is no single task
+    out, into = -F.col("value"), F.col("value")
+    both = F.array(leg(sender, True, token, out), leg(sender, False, receiver, nothing), leg(receiver, True, token, into), leg(receiver, False, sender, nothing))
     signed, zero = F.col("signed"), F.lit(0).cast("decimal(38,2)")
-    # the distinct counts are combined before either shuffle, so that an address with most legs of a day is no single task
-    grouped = legs.groupBy("date", "address").agg(
-        F.count(F.lit(1)).alias("transfer_count"), F.count_distinct("token_address").alias("token_count"),
-        F.count_distinct("counterparty").alias("counterparty_count"), F.sum(F.when(signed > 0, signed)).alias("inflow"),
-        F.sum(F.when(signed < 0, -signed)).alias("outflow"), F.sum("signed").alias("net_flow"),
+    each = narrow.select("date", F.inline(both)).groupBy("date", "address", "of_token", "other").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(signed > 0, signed)).alias("inflow"), F.sum(F.when(signed < 0, -signed)).alias("outflow"), F.sum("signed").alias("net_flow")
+    )
+    grouped = each.groupBy("date", "address").agg(
+        F.sum(F.when(F.col("of_token"), F.col("n"))).alias("transfer_count"), F.count(F.when(F.col("of_token"), F.col("other"))).alias("token_count"),
+        F.count(F.when(~F.col("of_token"), F.col("other"))).alias("counterparty_count"), *[F.sum(c).alias(c) for c in ("inflow", "outflow", "net_flow")],
     )
     amount = {c: F.coalesce(F.col(c).cast("decimal(38,2)"), zero) for c in ("inflow", "outflow")}
-    return grouped.where(F.col("transfer_count") >= min_transfers).withColumns(amount | {"net_flow": F.col("net_flow").cast("decimal(38,2)")})
+    kept = grouped.where(F.col("transfer_count") >= min_transfers).withColumns(amount | {"net_flow": F.col("net_flow").cast("decimal(38,2)")})
+    return kept.withColumn("address", F.col("address").cast(transfers.schema["from_address"].dataType))

@@ -81,8 +81,8 @@ def per_entity(spark, sf_dir):
 
 @query("select event_id, cast(sum(cast(value as decimal(18,4))) over w as double) / count(value) over w as rolling_mean from events window w as (partition by event_type order by ts, event_id rows between 100 preceding and current row)")
 def rolling_mean(spark, sf_dir):
-    out = rollups.rolling_mean(table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], money("value"))
-    return out.select("event_id", "rolling_mean")
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
+    return rollups.rolling_mean(e, "event_type", ["ts", "event_id"], money("value")).select("event_id", "rolling_mean")
 
 
 @query("select count(*) as n, round(avg(l_quantity), 6) as mean_quantity, max(l_extendedprice) as top_price from lineitem")
