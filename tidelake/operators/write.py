@@ -5,7 +5,7 @@ import uuid
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import file_system
@@ -91,6 +91,12 @@ def plan_files(size: int) -> tuple[int, str | None]:
     return max(round(size / GOAL_BYTES), math.ceil(size / MOST_BYTES)), None
 
 
+def files_of(size: Column) -> Column:
+    """plan_files over a column of sizes, for datasets that are planned at once; null where there is nothing to write."""
+    whole = F.greatest(F.bround(size / GOAL_BYTES), F.ceil(size / MOST_BYTES))
+    return F.when(size > 0, F.when(size < LEAST_BYTES, 1).otherwise(whole)).cast("long")
+
+
 def source_bytes(df: DataFrame) -> int:
     """What the files that ``df`` is made from hold, as far as its columns are read: the sum over the plan's sources.
 

@@ -989,3 +989,20 @@ def compacted_tree(spark, sf_dir):
     rows = spark.read.parquet(root).groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"))
     both = before.withColumnRenamed("files", "before").join(files().withColumnRenamed("files", "after"), "event_type")
     return rows.join(both, "event_type")
+
+
+@query("""with s as (select o_custkey, cast(floor(sum(cast(o_totalprice as decimal(18,2))) * 1000) as bigint) as bytes from orders group by 1)
+select o_custkey, bytes, case when bytes < 209715200 then 1 else greatest(cast(round_even(bytes / 314572800.0, 0) as bigint), cast(ceil(bytes / 524288000.0) as bigint)) end as files,
+  bytes < 209715200 as small from s""")
+def file_plan(spark, sf_dir):
+    """Files of a dataset a customer, planned at once, and held against the plan of each size by itself."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.floor(F.sum(money("o_totalprice", 2)) * 1000).cast("long").alias("bytes"))
+    planned = o.select("o_custkey", "bytes", layers.files_of(F.col("bytes")).alias("files"), (F.col("bytes") < layers.LEAST_BYTES).alias("small"))
+
+    def alone(batches):
+        for b in batches:
+            if any(layers.plan_files(n)[0] != f for n, f in zip(b["bytes"].tolist(), b["files"].tolist(), strict=True)):
+                raise ValueError("the plans differ")
+            yield b
+
+    return planned.mapInPandas(alone, planned.schema)
