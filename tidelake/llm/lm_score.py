@@ -9,7 +9,8 @@ Both models: P(w|h) = (c(h,w) + MU * P(w)) / (c(h) + MU), P(w) = (c(w) + 1) / (N
 Nothing is cut: the vocabulary and the pairs grow with the corpus, and are never in one place.
 
 Documents are dealt to cells. A cell asks for the counts that it needs: once for each distinct pair and word
-in it, with its own counts (how often a word ends a document tells how often it is a context), under the key's hash (48 bits of it and its bucket are compared). Tasks that each own a range of hashes add up what all cells
+in it, with its own counts (how often a word ends a document tells how often it is a context), under the key's hash (48 bits of it and its bucket
+are compared: two keys that agree in both would be counted as one, which of a million keys in a bucket happens to a pair in one bucket of 560). Tasks that each own a range of hashes add up what all cells
 say and answer every question; the cells then score their documents. A pair that all documents have is asked
 for once a cell, so that no task gets more of it than there are cells.
 """
