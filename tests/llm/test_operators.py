@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidelake.llm import decontaminate, lm_score, packing, repeats, secrets, set_join, sharding, simhash, spotsigs, toxicity, warc
-from tidelake.llm.shared import Scratch, components, numbered
+from tidelake.llm.shared import Scratch, components, numbered, salted_join
 
 WORDS = "the of and to in der die und la de que stone river lamp garden window copper silver morning paper winter summer bridge tower".split()
 
@@ -54,6 +54,17 @@ def test_numbered_and_components(spark):
     assert components(chain.limit(0), Scratch(spark)).count() == 0
 
 
+def test_salted_join_deals_a_crowd(spark):
+    """A key with two thirds of the rows is dealt to cells; keys without a fact and null keys stay."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") < 2900, F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), F.col("id").alias("many"))
+    facts = rows.where("k is not null and k <> 'k3'").groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("cell", F.upper("k"))
+    out = salted_join(rows, facts, "k", "n", 3000, ["many"], cells=20, least=10)
+    assert Counter(tuple(r) for r in out.select("many", "k", "cell").collect()) == Counter(
+        (r["many"], r["k"], r["k"].upper() if r["k"] and r["k"] != "k3" else None) for r in rows.collect()
+    )
+    assert salted_join(rows.limit(0), facts.limit(0), "k", "n", 0, ["many"]).count() == 0
+
+
 def test_warc(spark):
     rows = [(1, "u", "a"), (2, "u", "a"), (2, "u", "a"), (3, None, None), (4, "v\r\nx", ""), (None, "w", "é"), (5, "w", "é"), (None, None, "alone"), (6, "z", "b" * 100_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -87,6 +98,12 @@ def test_warc(spark):
         for i in ids[:-1]:
             wanted[(i, len(html.encode()), digest, "revisit", ids[-1])] += 1
     assert said == wanted
+    written = warc.warc_bytes(read)
+    assert Counter(r["record"] for r in warc.parsed(written).collect()) == Counter(r["record"] for r in written.collect())
+    for wrong in (F.expr("substring(record, 1, length(record) - 1)"), F.concat("record", F.lit(b"x")), F.replace(F.col("record").cast("string"), F.lit("aaa"), F.lit("aab")).cast("binary"), F.replace(F.col("record").cast("string"), F.lit("b" * 50), F.lit("c" * 50)).cast("binary")):
+        if written.where(wrong != F.col("record")).count():
+            with pytest.raises(Exception, match="damaged record"):
+                warc.parsed(written.withColumn("record", wrong)).collect()
     damaged = payloads.withColumn("payload", F.lit(b"?"))
     with pytest.raises(Exception, match="damaged"):
         warc.read_archive(records, damaged).collect()

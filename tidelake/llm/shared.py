@@ -156,6 +156,23 @@ def crowd_join(rows: DataFrame, facts: DataFrame, key: str, copies: str, total:
     return rows.join(hot, key).unionByName(rest)
 
 
+def salted_join(
+    rows: DataFrame, facts: DataFrame, key: str, copies: str, total: int, by: list[str], cells: int = 2_000, least: int = 1_000
+) -> DataFrame:
+    """``rows`` left-joined with ``facts`` (one row a key, of any size; ``copies``: how many rows have it), no task with a crowd's rows.
+
+    The rows of a key that has more than a ``cells``-th of the ``total``, and more than ``least``, are dealt to cells by a hash of
+    ``by``, and each cell gets its own copy of the fact: at most ``cells`` copies besides one a key. Fewer than ``cells`` keys and
+    numbers are broadcast. ``facts`` is read twice.
+    """
+    many, cell = fresh("many", [*rows.columns, *facts.columns]), fresh("cell", [*rows.columns, *facts.columns])
+    dealt_facts = facts.withColumn(many, F.ceil(F.col(copies) / max(least, -(-total // cells)))).drop(copies)
+    hot = F.broadcast(dealt_facts.where(F.col(many) > 1).select(key, many))
+    deal = F.coalesce(F.pmod(F.xxhash64(*by), F.col(many)), F.lit(0).cast("long"))
+    spread = dealt_facts.withColumn(cell, F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col(many), F.lit(1)) - 1))).drop(many)
+    return rows.join(hot, key, "left").withColumn(cell, deal).drop(many).join(spread, [key, cell], "left").drop(cell)
+
+
 def components(links: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """(node, root) for the nodes of the long pairs (a, b): root is the component's least node.
 
