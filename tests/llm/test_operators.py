@@ -139,14 +139,39 @@ def test_plan_is_optimal_on_small_cases():
         go(0, [])
         return best[0]
 
-    for seed in range(60):
+    for seed, width in itertools.product(range(60), (1, 12)):
         items = sorted(np.random.default_rng(seed).integers(1, 21, 10).tolist(), reverse=True)
         counts = dict(Counter(items))
-        found = packing.plan(counts, 20)
+        found, needed = packing.plan(counts, 20, width=width)
+        assert needed == least(items, 20)  # proved, also where the search begins with one filling a node
         assert Counter({x: n for x, n in sum((Counter({x: p.count(x) * t for x in set(p)}) for p, t in found), Counter()).items()}) == Counter(items)
         assert all(sum(p) <= 20 for p, _ in found)
         assert packing.bound(counts, 20) <= sum(t for _, t in found) == least(items, 20)
-    assert packing.plan({}) == []
+    assert packing.plan({}) == ([], 0)
+
+
+def test_plan_needs_a_filling_fewer_times_than_it_could():
+    """Repeated lengths: the optimum is found and proved among all ways to fill, not only the fullest use of each."""
+
+    def least(counts, capacity, seen):
+        key = tuple(sorted(counts.items()))
+        if not key:
+            return 0
+        if key not in seen:
+            big, best = max(counts), 10**9
+            rest = [x for x in sorted(counts.elements(), reverse=True)]
+            rest.remove(big)
+            for r in range(len(rest) + 1):
+                for more in set(itertools.combinations(rest, r)):
+                    if big + sum(more) <= capacity:
+                        best = min(best, 1 + least(counts - Counter((big, *more)), capacity, seen))
+            seen[key] = best
+        return seen[key]
+
+    for seed in range(12):
+        counts = Counter(np.random.default_rng(seed).choice([4, 5, 6, 7, 9, 11], 11).tolist())
+        found, needed = packing.plan(dict(counts), 20)
+        assert sum(t for _, t in found) == needed == least(counts, 20, {})
 
 
 def test_plan_beyond_best_fit():
@@ -155,7 +180,8 @@ def test_plan_beyond_best_fit():
         a, b = r.integers(550, 851, 2).tolist()
         if 550 <= 2048 - a - b <= 850:
             counts.update((a, b, 2048 - a - b))
-    found = packing.plan(dict(counts))
+    found, needed = packing.plan(dict(counts))
+    assert needed == 1000
     assert sum((Counter({x: p.count(x) * t for x in set(p)}) for p, t in found), Counter()) == counts
     assert packing.bound(counts, 2048) == 1000 and sum(t for _, t in found) <= 1010 and all(sum(p) <= 2048 for p, _ in found)
 
@@ -164,7 +190,8 @@ def test_fillings_are_undominated():
     for seed in range(30):
         counts = Counter(np.random.default_rng(seed).integers(1, 15, 8).tolist())
         bags = {tuple(sorted(c, reverse=True)) for n in range(1, 9) for c in itertools.combinations(sorted(counts.elements()), n) if sum(c) <= 20}
-        found = packing.fillings(20, dict(counts), 1000)
+        found, more = packing.fillings(20, dict(counts), 1000)
+        assert not more and packing.fillings(20, dict(counts), 1)[1]
         assert len(set(found)) == len(found) and set(found) <= bags
         for bag in found:
             free, waste = counts - Counter(bag), 20 - sum(bag)

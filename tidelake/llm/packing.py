@@ -7,7 +7,7 @@ and prunes a branch whose waste shows that it cannot need fewer sequences than t
 first incumbent is best-fit-decreasing, and each node that the search reaches offers a new one. Where the search
 ends by its budget above the lower bound, small parts of the incumbent (its emptiest sequences with some others) are
 searched again by the same method. The plan (patterns and how often each is used) is then laid over the numbered
-pieces in tasks. ``least_sequences`` tells the lower bound beside the plan, so that a gap shows.
+pieces in tasks. ``least_sequences`` tells the proved least or the lower bound beside the plan, so that a gap shows.
 """
 
 import bisect
@@ -166,9 +166,12 @@ def bound(counts: dict[int, int], capacity: int) -> int:
     return int((items[-1] - items[half] + np.maximum(0, -(-rest // capacity))).max())
 
 
-def fillings(room: int, counts: dict[int, int], limit: int) -> list[tuple[int, ...]]:
-    """At most ``limit`` undominated fillings of ``room``, least waste of all first: no length left fits in the waste,
-    and no item or pair of items of it can be exchanged for a single longer one that is left."""
+def fillings(room: int, counts: dict[int, int], limit: int) -> tuple[list[tuple[int, ...]], bool]:
+    """Undominated fillings of ``room``, least waste of all first, and whether there may be more than were returned.
+
+    Undominated: no length left fits in the waste, and no item or pair of items of it can be exchanged for a single longer one
+    that is left. At most ``limit`` are returned, of at most 40 times as many looked at.
+    """
     lengths = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
     mask, sums = (1 << room + 1) - 1, [1]  # bit r of sums[k]: lengths[k:] have a filling of exactly r
     for x in reversed(lengths):
@@ -215,8 +218,8 @@ def fillings(room: int, counts: dict[int, int], limit: int) -> list[tuple[int, .
                 found.append(taken)
             looked += 1
             if len(found) == limit or found and looked >= 40 * limit:
-                return found
-    return found
+                return found, True
+    return found, False
 
 
 Plan = list[tuple[tuple[int, ...], int]]
@@ -226,20 +229,36 @@ def size(patterns: Plan) -> int:
     return sum(n for _, n in patterns)
 
 
-def complete(counts: dict[int, int], capacity: int, nodes: int, width: int) -> Plan:
-    """Bin completion: the best plan that the search finds. Ends when the incumbent meets the lower bound.
+def complete(counts: dict[int, int], capacity: int, nodes: int, width: int) -> tuple[Plan, bool]:
+    """Bin completion: the best plan that the search finds, and whether it is proved that none is better.
+
+    Ends when the incumbent meets the lower bound. ``width`` fillings a node are branched on at first. When all of these
+    are searched and nodes are left, the search is made again with twice the width, until no node has a filling more: then the
+    plan is the optimum. After ``nodes`` nodes in all no further branch is begun.
+    """
+    incumbent, least, seen = best_fit(counts, capacity), bound(counts, capacity), 0
+    while size(incumbent) > least:
+        if seen >= nodes:
+            return incumbent, False
+        incumbent, used, ended, cut = descend(counts, capacity, incumbent, least, nodes - seen, width)
+        if size(incumbent) > least and not (ended and cut):
+            return incumbent, ended
+        seen, width = seen + used, 2 * width
+    return incumbent, True
+
+
+def descend(counts: dict[int, int], capacity: int, incumbent: Plan, least: int, nodes: int, width: int) -> tuple[Plan, int, bool, bool]:
+    """One search, depth first: the incumbent, the nodes seen, whether no branch is left, and whether ``width`` cut fillings off.
 
-    ``width`` fillings a node are branched on. After ``nodes`` nodes no further branch is begun; the one at hand is
-    followed to its leaf, and each node on it uses up a length at least.
+    After ``nodes`` nodes the branch at hand is followed to its leaf, and each node on it uses up a length at least.
     """
-    incumbent, least = best_fit(counts, capacity), bound(counts, capacity)
     total = sum(k * n for k, n in counts.items())
     # a branch is held as its parent's counts and one filling, so that the stack has one table of counts a level
-    stack, seen, depth = [(counts, {}, 0, 0, None, 0)], 0, -1
+    stack, seen, depth, cut = [(counts, {}, 0, 0, None, 0)], 0, -1, False
     while stack and size(incumbent) > least:
         above, used, bins, waste, done, level = stack.pop()
         if seen >= nodes and level <= depth:
-            break
+            return incumbent, seen, False, cut
         seen, depth = seen + 1, level
         if waste > (size(incumbent) - 1) * capacity - total:  # this branch cannot save a sequence
             continue
@@ -253,12 +272,17 @@ def complete(counts: dict[int, int], capacity: int, nodes: int, width: int) -> P
             continue
         largest = max(left)
         beside = left | {largest: left[largest] - 1}
-        for fill in reversed(fillings(capacity - largest, beside, width) or [()]):
+        fills, more = fillings(capacity - largest, beside, width)
+        cut = cut or more
+        for fill in reversed(fills or [()]):
             taken = Counter((largest, *fill))
             times = min(left[x] // n for x, n in taken.items())
-            branch = {x: times * n for x, n in taken.items()}
-            stack.append((left, branch, bins + times, waste + times * (capacity - largest - sum(fill)), (((largest, *fill), times), done), level + 1))
-    return incumbent
+            # a filling is made as often as it can be, but also once, as the optimum may need it less often
+            for often in sorted({1, times}):
+                branch = {x: often * n for x, n in taken.items()}
+                lost = waste + often * (capacity - largest - sum(fill))
+                stack.append((left, branch, bins + often, lost, (((largest, *fill), often), done), level + 1))
+    return incumbent, seen, not stack, cut
 
 
 def repacked(patterns: Plan, capacity: int, least: int, tries: int, width: int, part: int = 10, nodes: int = 20) -> Plan:
@@ -286,7 +310,7 @@ def repacked(patterns: Plan, capacity: int, least: int, tries: int, width: int,
         for p, n in chosen.items():
             for x in p:
                 lengths[x] += n
-        found = complete(dict(lengths), capacity, nodes, width)
+        found, _ = complete(dict(lengths), capacity, nodes, width)
         if (size(found), -filled(found)) < (chosen.total(), -filled(chosen.items())):
             failed = 0 if size(found) < chosen.total() else failed
             held -= chosen
@@ -295,16 +319,19 @@ def repacked(patterns: Plan, capacity: int, least: int, tries: int, width: int,
     return list(held.items())
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, work: int = 200_000, width: int = 12, tries: int = 300) -> Plan:
-    """Patterns and their counts that use as few sequences as the search finds.
+def plan(counts: dict[int, int], capacity: int = CAPACITY, work: int = 200_000, width: int = 12, tries: int = 300) -> tuple[Plan, int]:
+    """Patterns and their counts that use as few sequences as the search finds, and how many no packing can do without.
 
     ``work`` bounds the search: so many nodes times lengths, besides the branch at hand; ``tries`` the parts that are searched
-    again. Ends at once when the plan meets the lower bound, ``bound(counts, capacity)``.
+    again where it did not prove its plan. Ends at once when the plan meets the lower bound. The second number is
+    that bound, or the plan's own size where the search has proved it to be the optimum.
     """
     counts = {k: n for k, n in counts.items() if n}
     least = bound(counts, capacity)
-    found = complete(counts, capacity, 200 + work // max(1, len(counts)), width)
-    return repacked(found, capacity, least, tries, width) if size(found) > least and len(counts) > 12 else found
+    found, proved = complete(counts, capacity, 200 + work // max(1, len(counts)), width)
+    if proved:
+        return found, size(found)
+    return repacked(found, capacity, least, tries, width), least
 
 
 def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
@@ -329,11 +356,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     ``pieces`` is read several times and should be a written table. No rows give no rows; equal rows
     are pieces of their own; null ids are kept; other columns come back as they are, whatever their names, unless they
-    have one of the three. least_sequences is the lower bound that no packing beats, the same in all rows.
+    have one of the three. least_sequences is a number that no packing beats, the same in all rows: the number of
+    sequences itself where the search has proved it, else the lower bound.
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    slots = spark.sparkContext.broadcast(_slots(plan(counts, capacity)))  # bounded by ``capacity`` as well
+    patterns, needed = plan(counts, capacity)
+    slots = spark.sparkContext.broadcast(_slots(patterns))  # bounded by ``capacity`` as well
 
     @pandas_udf("struct<sequence_id:long,offset:long>")
     def place(length: pd.Series, number: pd.Series) -> pd.DataFrame:
@@ -345,7 +374,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     order = [c for c in ("doc_id", "piece", "ids_crc32", "start", PIECE) if c in pieces.columns]
     number, at = fresh("number", pieces.columns), fresh("at", pieces.columns)
     placed = numbered(pieces, ["length"], order, number).withColumn(at, place("length", number))
-    least = F.lit(bound(counts, capacity)).cast("long").alias("least_sequences")
+    least = F.lit(needed).cast("long").alias("least_sequences")
     return placed.select(*pieces.columns, f"{at}.sequence_id", f"{at}.offset", least)
 
 
