@@ -292,6 +292,25 @@ def test_decontamination(spark, docs, block):
     assert out[0].asDict().keys() == {*docs.columns, "found"}
 
 
+def test_decontamination_in_blocks_writes_hits_only(spark, docs, monkeypatch):
+    """The documents are written once however many blocks there are; a block's table has only the rows that it hits."""
+    bench, saved = spark.createDataFrame(ITEMS, "item_id string, text string"), []
+    save = Scratch.save
+
+    def kept(self, df, name):
+        saved.append((name, df.columns, save(self, df, name)))
+        return saved[-1][2]
+
+    monkeypatch.setattr(Scratch, "save", kept)
+    many = decontaminate.contamination(docs.withColumn("_row", F.lit("x")).withColumn("spans", F.lit("y")), bench, words_per_block=20, out="found")
+    once = decontaminate.contamination(docs, bench, out="found")
+    rows = lambda df: Counter((key(r["doc_id"]), *[str(r["found"][c]) for c in r["found"].asDict()]) for r in df.collect())
+    assert rows(many) == rows(once) and {r["_row"] + r["spans"] for r in many.collect()} == {"xy"}
+    assert [name for name, *_ in saved].count("docs") == 1 and len(saved) > 3
+    for name, columns, table in saved:
+        assert name == "docs" or (columns == ["_row", "spans", "items"] and table.where("size(spans) = 0").count() == 0)
+
+
 def test_decontamination_of_nothing(spark, docs):
     none = spark.createDataFrame([], "item_id string, text string")
     out = decontaminate.contamination(docs, none, out="found")
@@ -510,6 +529,26 @@ def test_lm_score(spark, docs):
     assert lm_score.score(docs, target.limit(0)).count() == len(TEXTS)
 
 
+#: Names that the operators use inside.
+INNER = "digest ord row copies first_ord kind low x y z cell bucket h good none fp bits shard slot size number start rank word words n n_bytes a b node root prev total".split()
+
+
+@pytest.mark.parametrize("made", [
+    repeats.repeats,
+    lambda d: lm_score.score(d, d.sparkSession.createDataFrame([(0,), (8,)], "doc_id long")),
+    simhash.simhash_components,
+    lambda d: sharding.into_shards(d, shards=4).select("doc_id", "size", "text_crc32"),
+], ids=["repeats", "lm_score", "simhash", "sharding"])
+def test_inner_names_as_columns(spark, docs, made):
+    """Extra columns under names that the operator uses inside change nothing."""
+    plain = docs.select("doc_id", "text")
+    clash = plain.withColumns({c: F.lit("x") for c in INNER})
+    want, got = made(plain), made(clash)
+    assert want.columns == [c for c in got.columns if c in want.columns] and want.count() == len(TEXTS)
+    rows = lambda df: Counter(map(str, df.select(*want.columns).collect()))
+    assert rows(got) == rows(want)
+
+
 def slow_fingerprint(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))
     if not w:

@@ -7,9 +7,11 @@ window would have to begin; begins outside the document, or in documents too sho
 up, and what is left is compared word by word.
 
 The benchmark is the stated query set: its windows are taken in blocks of bounded bytes, and each
-block is joined inside one pass over the documents, without a shuffle. Any number of blocks is exact.
+block is joined inside one pass over the documents, without a shuffle. Any number of blocks is exact: beyond
+the first, the documents are written once, each block writes only the rows that it hits, and these are joined back at the end.
 """
 
+import functools
 import hashlib
 from array import array
 from collections.abc import Iterator
@@ -25,6 +27,7 @@ from .shared import Scratch
 #: Bytes that are no part of a word count as blanks, A-Z as a-z.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 HITS = "struct<n_words:long,spans:array<struct<start:long,stop:long>>,items:array<string>>"
+FOUND = "_row long, spans array<struct<start:long,stop:long>>, items array<string>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -221,6 +224,18 @@ def _hits(block):
     return pandas_udf(hits, HITS)
 
 
+def _found(block):
+    """Like ``_hits``, but only of the texts with hits, beside the number of their row."""
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen = block.value.search(*block.value.ids(batch["text"]))
+            rows = [(int(batch["_row"].iat[k]), merged(spans), sorted(items)) for k, (spans, items) in seen.items()]
+            yield pd.DataFrame(rows, columns=["_row", "spans", "items"])
+
+    return found
+
+
 def _summary(hits: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for words, found, named in zip(hits["n_words"], hits["spans"], hits["items"], strict=True):
@@ -242,16 +257,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, words
     names = docs.columns
     rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text = f"c{names.index('text')}"
-    made, first = rows, True
-    for block in blocks_of(benchmark, window, words_per_block):
-        block.order(_rarities(docs, spark.sparkContext.broadcast(block)))
-        found = _hits(spark.sparkContext.broadcast(block))(text)
-        if first:
-            made, first = made.withColumn("_h", found), False
-        else:  # later blocks add to what earlier ones found
-            made = scratch.save(made, "hits").withColumn("_g", found)
-            made = made.withColumn("_h", F.struct("_h.n_words", F.concat("_h.spans", "_g.spans").alias("spans"), F.concat("_h.items", "_g.items").alias("items"))).drop("_g")
-    if first:
+    made, later = rows, []
+    for k, block in enumerate(blocks_of(benchmark, window, words_per_block)):
+        unordered = spark.sparkContext.broadcast(block)
+        block.order(_rarities(docs, unordered))
+        unordered.unpersist()
+        shared = spark.sparkContext.broadcast(block)
+        if k == 0:
+            made = made.withColumn("_h", _hits(shared)(text))
+            continue
+        if k == 1:  # later blocks read this table, and only what they find is written
+            made = scratch.save(made.withColumn("_row", F.monotonically_increasing_id()), "docs")
+        found = made.select("_row", F.col(text).alias("text")).mapInPandas(_found(shared), FOUND)
+        later.append(scratch.save(found, f"hits-{k}"))
+        shared.unpersist()
+    if later:
+        more = functools.reduce(DataFrame.unionByName, later).groupBy("_row")  # at most a row a block
+        both = more.agg(*[F.flatten(F.collect_list(c)).alias(f"_{c}") for c in ("spans", "items")])
+        joined = [F.concat(f"_h.{c}", F.coalesce(f"_{c}", F.array())).alias(c) for c in ("spans", "items")]
+        made = made.join(both, "_row", "left").select(*rows.columns, F.struct("_h.n_words", *joined).alias("_h"))
+    if "_h" not in made.columns:  # no block, so no window
         empty = pandas_udf(lambda t: pd.DataFrame({"n_words": [len(words_of(x)) for x in t], "spans": [[]] * len(t), "items": [[]] * len(t)}), HITS, functionType=200)
         made = made.withColumn("_h", empty(text))
     summary = pandas_udf(_summary, "struct<n_words:long,n_hit:long,n_items:long,items_sha256:string,contaminated:boolean,spans:array<struct<start:long,stop:long>>>")
