@@ -246,9 +246,16 @@ def partition_span(spark, sf_dir):
     return discovery.partition_span(spark, dated_events(spark, sf_dir))
 
 
-@query("select 'ledger' as chain, 'events' as table_name from events limit 1")
+@query("""select distinct 'status_' || lower(o_orderstatus) as chain, 'orders' as table_name from orders
+union all select distinct 'status_' || lower(l_linestatus), 'lineitem' from lineitem""")
 def layout_discovery(spark, sf_dir):
-    root = dated_events(spark, sf_dir).rsplit("/", 2)[0]
+    """A chain for each status, with the orders and the lines that have it, each in partitions of its own."""
+    root = new_path(spark, "layout")
+    for name, status, key in (("orders", "o_orderstatus", "o_orderpriority"), ("lineitem", "l_linestatus", "l_returnflag")):
+        rows = table(spark, sf_dir, name)
+        for r in rows.select(status).distinct().collect():  # three at most
+            part = rows.where(F.col(status) == r[0]).withColumn("part", F.lower(F.left(key, F.lit(1))))
+            part.write.partitionBy("part").parquet(f"{root}/status_{r[0].lower()}/{name}")
     return discovery.layout(spark, root).select("chain", F.explode("tables").alias("table_name"))
 
 
