@@ -125,6 +125,15 @@ def test_holding_is_exact_after_failures(spark):
     assert h.flush() is None and h.flush_due() is None
 
 
+def test_bounds_of_a_row_do_not_make_files_of_a_row(spark):
+    """What is flushed at once has files by size, not by the bound that made it due."""
+    for name, bounds in (("rows", {"flush_rows": 1, "flush_bytes": 1 << 60}), ("bytes", {"flush_rows": 1 << 60, "flush_bytes": 1})):
+        out = new_path(spark, name)
+        h = holding.Holding(spark, out, spark.range(1).schema, "id", flush_age_s=1e9, **bounds)
+        h.arrive(spark.range(300), 0)
+        assert spark.read.parquet(out).count() == 300 and discovery.inventory(spark, f"{out}/part=0").count() == 1
+
+
 def test_versions_are_whole_at_every_step(spark, monkeypatch):
     path = f"{new_path(spark, 'published')}/d"
     with pytest.raises(FileNotFoundError):

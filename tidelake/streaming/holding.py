@@ -85,7 +85,11 @@ class Holding:
         return self.flush(reason) if reason else None
 
     def flush(self, reason: str = "explicit") -> dict | None:
-        """Write all that waits, sorted by time, in files of about ``flush_rows`` rows; None if nothing waits."""
+        """Write all that waits, sorted by time; None if nothing waits.
+
+        Files have about FLUSH_ROWS rows and at most twice FLUSH_BYTES, whatever bounds tell when to flush: these bounds may be a row, or more
+        than a task can sort.
+        """
         held = self.held()
         rows = sum(d["rows"] for d in held.values())
         if not rows:
@@ -95,7 +99,7 @@ class Holding:
             if name.startswith("part=") and int(name[5:]) not in done:
                 delete(self.spark, f"{self.out}/{name}")
         waiting = self.spark.read.schema(self.schema).parquet(*[f"{self.out}/_held/batch={n}" for n in batches])
-        files = max(1, round(rows / self.flush_rows), -(-sum(d["bytes"] for d in held.values()) // (2 * self.flush_bytes)))
+        files = max(1, round(rows / FLUSH_ROWS), -(-sum(d["bytes"] for d in held.values()) // (2 * FLUSH_BYTES)))
         path = f"{self.out}/part={part}"
         dealt = waiting.repartitionByRange(files, self.time_column).sortWithinPartitions(self.time_column)
         dealt.write.mode("overwrite").option("compression", "zstd").parquet(path)
