@@ -5,7 +5,7 @@ import io
 import zipfile
 
 import pytest
-from pyspark.sql import Window
+from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
 from tidelake.functions import scalars as S
@@ -175,6 +175,22 @@ def test_one_day_with_all_rows_is_many_files(spark):
     assert all(b < c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
 
 
+def test_days_smaller_than_a_file_are_one_file_each(spark):
+    """Also where all of them make several files, and where one of them does; no task sorts many days."""
+    rows = spark.range(4000).select(F.when(F.col("id") < 2000, 0).otherwise(F.col("id") % 8).cast("string").alias("date"), F.col("id").alias("ts"))
+    small = rows.where("ts >= 2000")
+    for name, part, files, many in (("small", small, 3, 1), ("large", rows, 4, 2)):
+        path, seen = new_path(spark, name), Observation()
+        layers.write(part, path, ["date"], "ts", files=files, size=700 * layers.MIB, seen=seen)
+        made = discovery.inventory(spark, path).groupBy(F.regexp_extract("path", "date=([^/]*)", 1).alias("d")).count().collect()
+        assert {r["d"]: r["count"] for r in made} == {str(k): 1 if k else many for k in range(8)}
+        assert spark.read.parquet(path).count() == seen.get["rows"] == part.count()
+    path = new_path(spark, "one-file")
+    layers.write(small, path, ["date"], "ts", size=160 * layers.MIB)  # planned as one file
+    names = [r["path"].rsplit("/", 1)[1][:10] for r in discovery.inventory(spark, path).collect()]
+    assert len(names) == 8 and len(set(names)) > 2  # several tasks wrote them
+
+
 @pytest.mark.parametrize("size", [layers.LEAST_BYTES, layers.GOAL_BYTES, layers.MOST_BYTES, 449 * layers.MIB, 451 * layers.MIB, 749 * layers.MIB, 10**12 + 7])
 def test_planned_files_are_near_the_goal(size):
     n, warning = layers.plan_files(size)

@@ -18,6 +18,10 @@ LAYERS = {"L1": "l1", "L2": "features", "L3": "signals"}
 MIB = 1024**2
 LEAST_BYTES, GOAL_BYTES, MOST_BYTES, GROUP_ROWS = 200 * MIB, 300 * MIB, 500 * MIB, 122_880
 
+#: Bytes of the sources that a task is given to sort, where folders are small: sorted rows take many times as much memory. And as many
+#: tasks at most, unless there are more files.
+TASK_BYTES, TASKS = 4 * MIB, 4096
+
 #: Spark's estimate for a source that tells none is the greatest long.
 UNKNOWN = 1 << 62
 
@@ -113,17 +117,45 @@ def planned(df: DataFrame, size: int | None = None) -> int:
     return plan_files(max(1, source_bytes(df) if size is None else size))[0]
 
 
+def _cut(df: DataFrame, keys: list[str], size: int, files: int | None) -> tuple[DataFrame | None, int]:
+    """The combinations of ``keys`` with more rows than make one file (one row each), and the files of all these; None if there are none.
+
+    At most as many as there are files, and found by one pass that reads the keys only.
+    """
+    n = written_table(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "folders")
+    share = F.col("_n") / (n.agg(F.sum("_n")).first()[0] or 1)
+    of_key = F.round(share * files) if files else files_of(F.ceil(share * size))
+    large = written_table(n.withColumn("_files", of_key.cast("long")).where("_files > 1"), "large")
+    most = large.agg(F.sum("_files")).first()[0]
+    return (large.select(*keys), most) if most else (None, 0)
+
+
 def write(
-    df: DataFrame, path: str, keys: list[str], time: str, mode: str = "overwrite", files: int | None = None, size: int | None = None
+    df: DataFrame, path: str, keys: list[str], time: str, mode: str = "overwrite", files: int | None = None, size: int | None = None,
+    seen: Observation | None = None,
 ) -> None:
     """zstd files, sorted by keys and time, under one folder for each combination of ``keys``.
 
-    Rows are dealt to ranges of (keys, time), as many as the size plans files for, so that a day with a third of all
-    rows is spread over tasks and files like any other, and small days share a task.
+    A combination is one file in a task of few others, about TASK_BYTES of the sources together. Only one with more than a file's rows
+    is dealt to ranges of time, each a file, so that a day with a third of all rows is spread over tasks like any other. Without keys all
+    rows are dealt to ranges. ``seen`` gets the rows that were written.
     """
+    size = source_bytes(df) if size is None else size
     ranges = files or planned(df, size)
-    sorted_rows = df.repartitionByRange(ranges, *keys, time).sortWithinPartitions(*keys, time)
-    writer = sorted_rows.write.mode(mode).option("compression", "zstd").option("partitionOverwriteMode", "dynamic")
+    large, cuts = _cut(df, keys, size, files) if keys and ranges > 1 else (None, 0)
+    if not keys:
+        dealt = df.repartitionByRange(ranges, time)
+    else:
+        tasks = max(ranges, min(TASKS, -(-size // TASK_BYTES)))
+        same = [F.col(f"rows.{k}").eqNullSafe(F.col(f"large.{k}")) for k in keys]
+        one = df if large is None else df.alias("rows").join(F.broadcast(large.alias("large")), same, "left_anti")
+        dealt = one.repartition(tasks, *keys)
+        if large is not None:
+            many = df.alias("rows").join(F.broadcast(large.alias("large")), same, "left_semi")
+            dealt = dealt.unionByName(many.repartitionByRange(cuts, *keys, time))
+    if seen is not None:  # behind the exchange, which may read its input once more to find ranges
+        dealt = dealt.observe(seen, F.count(F.lit(1)).alias("rows"))
+    writer = dealt.sortWithinPartitions(*keys, time).write.mode(mode).option("compression", "zstd").option("partitionOverwriteMode", "dynamic")
     writer = writer.option("parquet.block.row.count.limit", str(GROUP_ROWS))
     (writer.partitionBy(*keys) if keys else writer).parquet(path)
 
@@ -179,15 +211,14 @@ def _observed(seen: Observation) -> int:
 def load_missing(wanted: DataFrame, rows: DataFrame, path: str, key: str, time: str) -> DataFrame:
     """Write the rows of wanted periods (column ``key``) that ``path`` lacks; period, rows and status of each wanted one.
 
-    ``rows`` is read once: what was written is counted from the new folders' footers, and must be as many rows as the write has
+    ``rows`` is read once, beside what ``write`` needs where they make more than a file: what was written is counted from the new folders' footers, and must be as many rows as the write has
     observed.
     """
     spark = rows.sparkSession
     there = present(spark, path, key)
     todo = wanted.join(there, key, "left_anti")
     seen = Observation()
-    new = rows.join(todo, key, "left_semi").observe(seen, F.count(F.lit(1)).alias("rows"))
-    write(new, path, [key], time)
+    write(rows.join(todo, key, "left_semi"), path, [key], time, seen=seen)
     after = present(spark, path, key).join(there, key, "left_anti")
     folders = [f"{path}/{key}={r[0]}" for r in after.toLocalIterator()]  # a folder a period
     schema = f"{key} string, written long"
