@@ -72,6 +72,15 @@ def test_crowd_larger_than_blocks(spark):
     assert want <= kept <= want + 7
 
 
+def test_nothing_of_a_large_key_is_missed(spark, monkeypatch):
+    """Texts of one key, far more than a block, whose only alike ones meet in few blocks: all are connected as by brute force."""
+    pairs = [f"{' '.join(f'p{k}-{i}' for i in range(40))} {end}" for k in range(60) for end in ("left", "right")]
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    monkeypatch.setattr(simhash, "band_keys", lambda distinct: np.array([7], np.uint64))  # all share it
+    docs = spark.createDataFrame(list(enumerate(pairs)), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).select("doc_id").collect()) == list(range(0, 120, 2)) == kept_by_brute_force(pairs)
+
+
 def test_equal_rows_are_numbered_in_many_cells(spark, monkeypatch):
     """Repeated and null ids: a row number tells equal rows apart, and no cell has most of them."""
     from tidelake.llm import shared

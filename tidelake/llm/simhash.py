@@ -281,9 +281,9 @@ def alike_in_block(signs: list[np.ndarray], roots: list[int], least: float, colu
     return joined[len(known) :]
 
 
-def _in_blocks(least: float):
+def _in_blocks(least: float, most: int | None = BLOCK_SIGNS):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Blocks arrive sorted; one with too many shingles is done in parts."""
+        """Blocks arrive sorted; one with more than ``most`` shingles is done in parts, without it as a whole."""
         now, nodes, roots, signs, size = None, [], [], [], 0
 
         def out() -> Iterator[pd.DataFrame]:
@@ -294,7 +294,7 @@ def _in_blocks(least: float):
 
         for batch in batches:
             for band, block, root, node, own in zip(*(batch[c] for c in ("band", "block", "root", "node", "signs")), strict=True):
-                if (band, block) != now or size > BLOCK_SIGNS:
+                if (band, block) != now or most is not None and size > most:
                     yield from out()
                     now, nodes, roots, signs, size = (band, block), [], [], [], 0
                 nodes.append(node)
@@ -312,6 +312,34 @@ def _pairs(cells: DataFrame, key: str) -> DataFrame:
     return left.join(right, key).where("root_a < root_b").select("a", "b")
 
 
+def _tiles(left: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """band, block, root, node: every two texts of a band that are in different components share a block. left: band, node, root.
+
+    The texts of a band's largest component, and its others, are cut into blocks of about BLOCK texts and a quarter of BLOCK_SIGNS. Each block
+    of others meets all blocks, so that work grows with the largest component as long as the others are few.
+    """
+    mixed = left.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    sized = left.join(mixed, "band").join(sets.select("node", F.size("signs").alias("size")), "node").select("band", "node", "root", "size")
+    sized = scratch.save(sized, "mixed")
+    of_root = sized.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    largest = of_root.groupBy("band").agg(
+        F.max(F.struct("n", "root", "s")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s")
+    )
+    blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / (BLOCK_SIGNS // 4)), F.lit(1))
+    cuts = largest.select(
+        "band", F.col("main.root").alias("main"), blocks(F.col("main.n"), F.col("main.s")).alias("mains"), blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("others")
+    )
+    cell = F.xxhash64("band", "node", F.lit(1))
+    in_main = F.col("root") == F.col("main")
+    placed = sized.join(cuts, "band").withColumn("own", F.pmod(cell, F.when(in_main, F.col("mains")).otherwise(F.col("others"))))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    # a tile is a block of the others and a later one of them, or (from the number of these on) a block of the largest component
+    with_others = F.transform(every("others"), lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j")))
+    with_mains = F.transform(every("mains"), lambda k: F.struct(F.col("own").alias("i"), (F.col("others") + k).alias("j")))
+    of_main = F.transform(every("others"), lambda k: F.struct(k.alias("i"), (F.col("others") + F.col("own")).alias("j")))
+    return placed.select("band", "root", "node", F.explode(F.when(in_main, of_main).otherwise(F.concat(with_others, with_mains))).alias("block"))
+
+
 def alike_texts(texts: DataFrame, least: float, size: int, scratch: Scratch, budget: int = 2, few: int = 16) -> DataFrame:
     """Links (a, b) among the distinct texts (node, text): pairs whose sets of ``size``-word shingles have the Jaccard
     likeness ``least``, and enough of them to connect the groups of such texts.
@@ -320,9 +348,10 @@ def alike_texts(texts: DataFrame, least: float, size: int, scratch: Scratch, bud
     by. So the trie join of whole fingerprints is helped by keys from the least hashes of the shingles (band_keys); every
     candidate is verified. All texts of a key meet the key's first one. Where that leaves different components, up to ``few``
     texts of a key meet each other, and the texts of larger keys are dealt to blocks of about BLOCK by a hash of text and key, within
-    which all meet. So work grows with the texts, however large a group is. What can be missed: a pair that shares no key, one
-    in a hundred at the likeness 0.8; and of a key with more texts than a block, a text that is alike to none of some hundred others
-    that its keys' blocks put it together with, nor to a key's first.
+    which all meet. Where a key is then still in several components, every two of its texts in different ones meet (_tiles). So
+    no pair that shares a key is missed, and work grows with the texts as long as most of a key's texts are one component by then; a key of many
+    texts that are not alike costs the square of their number, in tiles of two blocks. What can be missed: a pair that shares no
+    key, one in a hundred at the likeness 0.8.
     """
     made = scratch.save(texts.withColumn("_k", _keys(size)("text")).select("node", F.col("_k.fp").alias("fp"), F.col("_k.bands").alias("bands")), "keys")
     first = made.groupBy("fp").agg(F.min("node").alias("node"))
@@ -348,7 +377,16 @@ def alike_texts(texts: DataFrame, least: float, size: int, scratch: Scratch, bud
     blocks = crowd.join(sets.hint("merge"), "node").select("band", "block", "root", "node", "signs")
     blocks = blocks.repartition("band", "block").sortWithinPartitions("band", "block")
     in_blocks = scratch.save(blocks.mapInPandas(_in_blocks(least), "a long, b long"), "in-blocks").distinct()
-    return star.unionByName(set_join.alike(scratch.save(met, "met"), sets, least)).unionByName(in_blocks)
+    found = star.unionByName(set_join.alike(scratch.save(met, "met"), sets, least)).unionByName(in_blocks)
+    if not crowd.limit(1).count():
+        return found
+    found = scratch.save(found, "found")
+    roots = scratch.save(components(found, scratch, "found"), "found-roots")
+    rest = crowd.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    tiles = _tiles(rest, sets, scratch).join(sets.hint("merge"), "node").select("band", "block", "root", "node", "signs")
+    tiles = tiles.repartition("band", "block").sortWithinPartitions("band", "block")
+    tiled = scratch.save(tiles.mapInPandas(_in_blocks(least, None), "a long, b long"), "in-tiles").distinct()
+    return found.unionByName(tiled)
 
 
 def keep_one(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
