@@ -927,14 +927,31 @@ def kline_loads(spark, sf_dir):
     root, out = new_path(spark, "archives"), new_path(spark, "market")
     e = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM").alias("month"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "value", "event_id")
 
-    def zipped(rows):
-        lines = "".join(f"{t},{v!r},0,0,0,0,{t},0,{k},0,0,0\n" for t, v, k in zip(rows["at"], rows["value"], rows["event_id"], strict=True))
-        data = io.BytesIO()
-        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-            z.writestr("klines.csv", lines)
-        return pd.DataFrame({"month": [rows["month"].iloc[0]], "content": [data.getvalue()]})
-
-    archives = e.groupBy("month").applyInPandas(zipped, "month string, content binary")
+    def zipped(batches):
+        """Months arrive one after another; of each only the zip is held, not its lines."""
+        begun, month, data, z, member = False, None, None, None, None
+
+        def finished():
+            member.close()
+            z.close()
+            return pd.DataFrame({"month": [month], "content": [data.getvalue()]})
+
+        for batch in batches:
+            for name, rows in batch.groupby("month", sort=False, dropna=False):
+                name = None if pd.isna(name) else name
+                if not begun or name != month:
+                    if begun:
+                        yield finished()
+                    begun, month, data = True, name, io.BytesIO()
+                    z = zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED)
+                    member = z.open("klines.csv", "w", force_zip64=True)
+                lines = zip(rows["at"], rows["value"], rows["event_id"], strict=True)
+                member.write("".join(f"{t},{v!r},0,0,0,0,{t},0,{k},0,0,0\n" for t, v, k in lines).encode())
+        if begun:
+            yield finished()
+
+    dealt = e.repartition("month").sortWithinPartitions("month")
+    archives = dealt.mapInPandas(zipped, "month string, content binary")
     months = []
     fs, _ = file_system(spark, root)
     for r in archives.toLocalIterator():  # an archive at a time, as they are downloaded
