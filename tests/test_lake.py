@@ -302,6 +302,18 @@ def test_flow_of_a_self_transfer(spark):
     assert r["b"]["counterparty_count"] == 0 and r[None]["transfer_count"] == 1
 
 
+def test_legs_are_exchanged_once_but_for_crowded_addresses(spark, monkeypatch):
+    rows = [(f"2024-01-{d:02d}", k % 7, k % 5, 100 + k % 11, k - 20) for d in (1, 2) for k in range(60)] + [("2024-01-01", 1, None, 100, None)]
+    t = spark.createDataFrame(rows, "date string, token_address long, from_address long, to_address long, value long")
+    t = t.withColumns({"date": F.to_date("date"), "value": F.col("value").cast("decimal(18,2)")})
+    monkeypatch.setattr(flows, "TASK_LEGS", 50)
+    want = sorted(map(str, flows.addr_flow_1d(t, min_transfers=1).collect()))
+    assert flows.addr_flow_1d(t, min_transfers=1)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(flows, "CROWD_LEGS", 9)  # five senders of a day are crowded, its receivers are not
+    assert sorted(map(str, flows.addr_flow_1d(t, min_transfers=1).collect())) == want and len(want) == 33
+    assert flows.addr_flow_1d(t.limit(0)).count() == 0
+
+
 def test_flow_reads_five_columns(spark, sf_dir):
     path = new_path(spark, "transfers")
     spark.range(5).select(F.current_date().alias("date"), *[F.col("id").alias(c) for c in ("token_address", "from_address", "to_address", "other")], F.col("id").cast("decimal(38,0)").alias("value")).write.parquet(path)
