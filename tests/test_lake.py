@@ -331,3 +331,19 @@ def test_denied_calls_use_nothing(spark):
 def test_synthetic_rows_are_marked(spark):
     df = chain.synthetic(spark, 10, 20)
     assert df.count() == 1000 and df.where("not is_synthetic").count() == 0 and chain.block_range(df, 10, 12).where("block_number > 12").count() == 0
+
+
+def test_near_median_by_counts_is_near_median_by_percentiles(spark, sf_dir):
+    from tidelake import queries as lake
+
+    plan = lake.QUERIES["sql_approximate"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert " percentile(" not in plan  # which takes all values of a flag to one task
+    spark.range(500).selectExpr("id % 3 as g", "id * 37 % 101 as x").unionAll(spark.sql("select 9L, 5L")).createOrReplaceTempView("spread")
+    rows = spark.sql(
+        """with b as (select g, count(*) as n, percentile(x, 0.498) as lo, percentile(x, 0.502) as hi, percentile(x, 0.3) as lo3, percentile(x, 0.7) as hi3 from spread group by g),
+        p as (select distinct g, x as p from spread)
+        select b.g, p, n, first(lo) <= p and p <= first(hi) as inside, first(lo3) <= p and p <= first(hi3) as inside3, count_if(x < p) as below, count_if(x <= p) as upto
+        from p join b on p.g = b.g join spread s on s.g = p.g group by b.g, p, n"""
+    )
+    met = lambda q, to: F.expr(f"ceil({q}D * (n - 1)) < upto and floor({to}D * (n - 1)) >= below")
+    assert rows.where(met(0.498, 0.502) != F.col("inside")).count() == rows.where(met(0.3, 0.7) != F.col("inside3")).count() == 0 < rows.where("inside").count()

@@ -672,8 +672,14 @@ conforms(
 # approximate aggregates, held to their stated error against the exact ones
 conforms(
     "sql_approximate", "select l_returnflag, count(distinct l_partkey) as parts, true as near_distinct, true as near_median from lineitem group by l_returnflag",
-    "select l_returnflag, count(distinct l_partkey) as parts, abs(approx_count_distinct(l_partkey, 0.01) - count(distinct l_partkey)) <= 0.05 * count(distinct l_partkey) as near_distinct, "
-    "approx_percentile(l_extendedprice, 0.5, 1000) between percentile(l_extendedprice, 0.498) and percentile(l_extendedprice, 0.502) as near_median from lineitem group by l_returnflag",
+    # percentile(x, q) <= p, of an element p of x, where more than the ceiling of q * (n - 1) elements are up to p; the other bound likewise
+    """with d as (select l_returnflag, count(distinct l_partkey) as parts from lineitem group by l_returnflag),
+    a as (select l_returnflag, approx_count_distinct(l_partkey, 0.01) as near, approx_percentile(l_extendedprice, 0.5, 1000) as median from lineitem group by l_returnflag),
+    r as (select /*+ broadcast(a) */ a.l_returnflag, first(near) as near, count(l_extendedprice) as n, count_if(l_extendedprice < median) as below, count_if(l_extendedprice <= median) as upto
+      from lineitem l join a on l.l_returnflag <=> a.l_returnflag group by a.l_returnflag)
+    select /*+ broadcast(r) */ d.l_returnflag, parts, abs(near - parts) <= 0.05 * parts as near_distinct,
+      case when n > 0 then ceil(0.498D * (n - 1)) < upto and floor(0.502D * (n - 1)) >= below end as near_median
+    from d join r on d.l_returnflag <=> r.l_returnflag""",
 )
 conforms("sql_subquery", "select p_partkey from part where p_retailprice > (select avg(p_retailprice) from part)")
 
