@@ -241,6 +241,23 @@ def test_compaction_faults(spark):
     assert len(compact.compact(spark, other, "ts")["failed"]) == 1
 
 
+@pytest.mark.parametrize("mode", ["compact", "alone"])
+def test_a_group_is_sorted_by_several_tasks_and_still_one_file(spark, monkeypatch, mode):
+    root = new_path(spark, "large")
+    rows = spark.range(20000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") * 7919 % 20011).alias("ts"), F.md5(F.col("id").cast("string")).alias("v"))
+    rows.repartition(5).write.parquet(root)
+    paths = [r["path"] for r in discovery.inventory(spark, root).select("path").collect()]
+    monkeypatch.setattr(compact, "SORT_BYTES", 200_000)
+    asked, once = [], compact._in_pieces
+    monkeypatch.setattr(compact, "_in_pieces", lambda *a: asked.append(a[2]) or once(*a))
+    report = compact.compact(spark, root, "ts") if mode == "compact" else compact.compact_group(spark, paths, "ts")
+    back = spark.read.parquet(root)
+    assert report["files"] == 5 and asked and asked[0] > 2 and not report.get("failed")
+    assert discovery.inventory(spark, root).count() == 1 and back.exceptAll(rows).count() == rows.exceptAll(back).count() == 0
+    at = [r["ts"] for r in back.orderBy("_metadata.row_index").select("ts").collect()]
+    assert at == sorted(at)
+
+
 def test_compaction_stream(spark):
     root, cursor = new_path(spark, "arrivals"), new_path(spark, "cursor")
     spark.range(100).toDF("ts").repartition(4).write.parquet(root)

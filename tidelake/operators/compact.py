@@ -2,6 +2,7 @@
 
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,13 @@ from pyspark.sql import functions as F
 
 from ..scratch import children, delete, file_system, get_text, put_text, written
 from ..sources.discovery import footers, inventory, read_groups, union_by_name
-from .write import GOAL_BYTES, LEAST_BYTES, MOST_BYTES
+from .write import GOAL_BYTES, LEAST_BYTES, MIB, MOST_BYTES
 
 COMPACTED = "compacted-"
 
+#: Bytes of files that one task sorts: a group of more is sorted in ranges of time, by a task each, and one more task puts these in a row.
+SORT_BYTES = 64 * MIB
+
 
 def plan(spark: SparkSession, root: str, least: int = LEAST_BYTES, most: int = MOST_BYTES) -> DataFrame:
     """folder, part, path, length: files under ``least`` in groups of at most ``most`` bytes, in path order, folder by folder.
@@ -59,14 +63,15 @@ def compact_group(spark: SparkSession, paths: list[str], time: str, dry_run: boo
     folder = folders.pop()
     aside = f"{folder}/_compacting-{uuid.uuid4().hex}"
     fs, staging = file_system(spark, aside)
-    # a group has at most MOST_BYTES, so that one task can sort it
-    rows.coalesce(1).sortWithinPartitions(time).write.option("compression", "zstd").parquet(aside)
-    back = spark.read.parquet(aside)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    whole = f"{aside}/whole"
+    pieces = -(-sum(fs.getFileStatus(path(p)).getLen() for p in paths) // SORT_BYTES)
+    (_in_pieces(rows, time, pieces, f"{aside}/pieces") if pieces > 1 else rows.coalesce(1).sortWithinPartitions(time)).write.option("compression", "zstd").parquet(whole)
+    back = spark.read.parquet(whole)
     if count(back) != before or set(back.columns) != set(frames[0].columns):
         fs.delete(staging, True)
         raise RuntimeError("the new file does not hold what the old ones held; nothing was deleted")
-    made = [s.getPath() for s in fs.listStatus(staging) if s.getPath().getName().endswith(".parquet")]
-    path = spark._jvm.org.apache.hadoop.fs.Path
+    made = [s.getPath() for s in fs.listStatus(path(whole)) if s.getPath().getName().endswith(".parquet")]
     for k, m in enumerate(made):
         if not fs.rename(m, path(f"{folder}/{COMPACTED}{uuid.uuid4().hex}-{k}.parquet")):
             raise OSError("could not publish the new file; nothing was deleted")
@@ -76,17 +81,31 @@ def compact_group(spark: SparkSession, paths: list[str], time: str, dry_run: boo
     return report
 
 
-GROUP, FILE = "_compacting", "_compacting_file"
+def _in_pieces(rows: DataFrame, time: str, pieces: int, aside: str) -> DataFrame:
+    """``rows`` in the order of ``time`` and one partition: sorted in ranges, a task and a file each under ``aside``, and read back one behind the other.
+
+    Rows of one time are dealt by their content, so that a time with most rows is no single range.
+    """
+    spark = rows.sparkSession
+    plain = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]  # which have no hash
+    dealt = rows.repartitionByRange(pieces, F.col(time), F.xxhash64(time, *plain)).withColumn(PIECE, F.spark_partition_id())
+    dealt.sortWithinPartitions(PIECE, time).write.option("compression", "zstd").partitionBy(PIECE).parquet(aside)
+    numbers = sorted(int(n.split("=")[1]) for n in children(spark, aside) if n.startswith(f"{PIECE}="))
+    names = [f"{aside}/{PIECE}={k}/{n}" for k in numbers for n in children(spark, f"{aside}/{PIECE}={k}") if n.endswith(".parquet")]
+    return reduce(DataFrame.union, [spark.read.schema(rows.schema).parquet(n) for n in names]).coalesce(1)
+
+
+GROUP, FILE, PIECE = "_compacting", "_compacting_file", "_compacting_piece"
 
 
 def _groups(spark: SparkSession, root: str, least: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """The files of all groups of two files or more (path, columns, group), and the groups: folder, files, rows, kind (their files' columns), fault."""
+    """The files of all groups of two files or more (path, columns, group), and the groups: folder, files, rows, bytes, kind (their files' columns), fault."""
     files = plan(spark, root, least, most).withColumn("group", F.concat_ws("/", "folder", "part"))
     files = written(files, "plan")
     many = files.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
     told = written(files.join(many, "group").join(footers(files), "path"), "planned")
     groups = told.groupBy("group", "folder").agg(
-        F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"), F.md5(F.concat_ws("\n", F.array_sort(F.collect_set("columns")))).alias("kind"),
+        F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"), F.sum("length").alias("bytes"), F.md5(F.concat_ws("\n", F.array_sort(F.collect_set("columns")))).alias("kind"),
         F.coalesce(F.max("fault"), F.when(F.count_distinct("names") > 1, "the files' columns differ")).alias("fault"),
     )
     return told.select("path", "columns", "group"), written(groups, "groups")
@@ -116,7 +135,7 @@ def compact(
     """Rewrite every group of a tree as one file, sorted by ``time``: totals, the jobs that wrote, and the groups that failed, with why.
 
     Groups whose files have the same columns are rewritten together, by one job for about ``files_per_job`` files: a group is the key of
-    its shuffle. The rows of each new file are counted and held against the footers of the old ones before it is put beside them and they are deleted. A group
+    its shuffle; one of more than SORT_BYTES is rewritten by jobs of its own, ``at_once`` of them together. The rows of each new file are counted and held against the footers of the old ones before it is put beside them and they are deleted. A group
     whose files are no Parquet or differ in their columns' names fails alone; where a job fails, its groups are tried one by one.
     """
     files, groups = _groups(spark, root, least, most)
@@ -137,11 +156,11 @@ def compact(
 
 
 def _wave(spark: SparkSession, root: str, files: DataFrame, groups: DataFrame, time: str, at_once: int, rewrite) -> tuple[list[dict], list[tuple[str, str]]]:
-    mine = written(files.join(groups.select("group"), "group", "left_semi"), "wave")
+    mine = written(files.join(groups.select("group", (F.col("bytes") > SORT_BYTES).alias("large")), "group"), "wave")
     paths: dict[str, list[str]] = {}
     for r in mine.select("group", "path").collect():
         paths.setdefault(r["group"], []).append(r["path"])
-    told = groups.select("group", "folder", "rows", F.md5("group").alias("name")).collect()
+    told = groups.select("group", "folder", "rows", (F.col("bytes") > SORT_BYTES).alias("large"), F.md5("group").alias("name")).collect()
     staging = f"{root.rstrip('/')}/_compacting-{uuid.uuid4().hex}"
     fs, staged = file_system(spark, staging)
     path = spark._jvm.org.apache.hadoop.fs.Path
@@ -150,6 +169,8 @@ def _wave(spark: SparkSession, root: str, files: DataFrame, groups: DataFrame, t
         return compact_group(spark, paths[group["group"]], time)
 
     def publish(group) -> dict:
+        if group["large"]:
+            return alone(group)
         if back.get(group["name"], 0) != group["rows"]:
             raise RuntimeError("the new file does not hold what the old ones held; nothing was deleted")
         made = [s.getPath() for s in fs.listStatus(path(f"{staging}/{GROUP}={group['name']}")) if s.getPath().getName().endswith(".parquet")]
@@ -161,7 +182,8 @@ def _wave(spark: SparkSession, root: str, files: DataFrame, groups: DataFrame, t
         return {"files": len(paths[group["group"]]), "rows": group["rows"]}
 
     try:
-        back, each = rewrite(spark, mine, time, staging), publish
+        small = any(not g["large"] for g in told)
+        back, each = rewrite(spark, mine.where("not large").drop("large"), time, staging) if small else {}, publish
     except Exception as e:  # noqa: BLE001 - one group's data must not keep the others back
         print(f"compacting one by one: {str(e)[:200]}")
         each = alone
