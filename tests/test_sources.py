@@ -100,6 +100,44 @@ def test_seen_ids_are_forgotten_only_with_a_bound(spark):
         assert r["stored"] == 4 if bound is None else r["stored"] >= 5  # 1 was forgotten and came again
 
 
+@pytest.mark.parametrize("bound", [None, 1000])
+def test_a_watch_takes_small_files_together_and_opens_few_partitions_of_state(spark, bound):
+    """Each batch opens and commits every partition of state, whatever it holds."""
+    visits, out, cursor = (new_path(spark, x) for x in ("visits", "out", "cursor"))
+    before = {name: spark.conf.get(name) for name in (pump.PROVIDER, pump.PARTITIONS)}
+    try:
+        spark.conf.set(pump.PARTITIONS, "200")
+        for k in range(2):
+            spark.range(50 * (k + 1)).select("id", F.lit(k).alias("t")).repartition(5).write.mode("append").parquet(visits)
+            r = pump.watch(spark, visits, spark.read.parquet(visits).schema, cursor, out, "id", "t", bound)
+            assert (r["fetched"], r["stored"], r["known"]) == (50 * (k + 1),) * 3
+        assert spark.conf.get(pump.PARTITIONS) == "200" and spark.conf.get(pump.PROVIDER) == before[pump.PROVIDER]
+    finally:
+        spark.conf.set(pump.PARTITIONS, before[pump.PARTITIONS])
+    assert [n for n in children(spark, f"{cursor}/sources/0") if n.isdigit()] == ["0", "1"]  # a batch a call, and not one a file
+    states = [n for n in children(spark, f"{cursor}/state/0") if n.isdigit()]
+    assert len(states) == max(pump.LEAST_PARTITIONS, 2 * spark.sparkContext.defaultParallelism)
+
+
+def test_a_watch_goes_on_with_the_state_that_its_checkpoint_has(spark):
+    """Begun with state in memory, a file a batch and five partitions."""
+    visits, out, cursor = (new_path(spark, x) for x in ("visits", "out", "cursor"))
+    before = {name: spark.conf.get(name) for name in (pump.PROVIDER, pump.PARTITIONS)}
+    spark.range(50).repartition(3).write.parquet(visits)
+    try:
+        spark.conf.set(pump.PROVIDER, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+        spark.conf.set(pump.PARTITIONS, "5")
+        stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(visits).dropDuplicates(["id"])
+        begun = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", cursor).trigger(availableNow=True).start()
+        begun.awaitTermination()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    spark.range(80).repartition(3).write.mode("append").parquet(visits)
+    r = pump.watch(spark, visits, spark.range(0).schema, cursor, out, "id", "id")
+    assert (r["fetched"], r["stored"], r["known"], r["watermark"]) == (80, 80, 80, 79)
+
+
 def test_holding_is_exact_after_failures(spark):
     out, schema = new_path(spark, "appended"), "t long"
     rows = lambda *v: spark.createDataFrame([(x,) for x in v], schema)

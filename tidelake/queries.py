@@ -875,13 +875,13 @@ def cursor_rows(spark, sf_dir):
 select mode, bound_s, visit, (select count(*) from events where event_id % 3 in (lo, hi))::bigint as fetched,
   (select count(*) from events where event_id % 3 <= visit + 1)::bigint as stored, (select count(*) from events where event_id % 3 <= visit + 1)::bigint as known from v, m""")
 def watch_bounded(spark, sf_dir):
-    """Visits that each bring two thirds of the events, watched exactly and with a bound on what is remembered."""
-    e, told = table(spark, sf_dir, "events"), []
-    for mode, bound in (("exact", None), ("bounded", 86400)):
-        visits, out, checkpoint = (new_path(spark, x) for x in ("visits", "watched", "seen"))
-        for k in range(3):
-            part = F.col("event_id") % 3
-            e.where((part == k) | (part == (k + 1) % 3)).repartition(2).write.mode("append").parquet(visits)
+    """Visits that each bring two thirds of the events, watched exactly and with a bound on what is remembered, by watchers of their own."""
+    e, told, visits = table(spark, sf_dir, "events"), [], new_path(spark, "visits")
+    watchers = [(mode, bound, new_path(spark, "watched"), new_path(spark, "seen")) for mode, bound in (("exact", None), ("bounded", 86400))]
+    part, files = F.col("event_id") % 3, max(2, layers.source_bytes(e) // (2 * layers.TASK_BYTES))  # two, or more where events are large
+    for k in range(3):
+        e.where((part == k) | (part == (k + 1) % 3)).repartition(files).write.mode("append").parquet(visits)
+        for mode, bound, out, checkpoint in watchers:
             r = pump.watch(spark, visits, e.schema, checkpoint, out, "event_id", "ts", bound)
             told.append((mode, r["remember_s"], k, r["fetched"], r["stored"], r["known"]))
     return spark.createDataFrame(told, "mode string, bound_s int, visit int, fetched long, stored long, known long")

@@ -64,34 +64,45 @@ def pump_to(spark: SparkSession, pages: str, schema: T.StructType, checkpoint: s
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PARTITIONS = "spark.sql.shuffle.partitions"
+
+#: A batch of a watch takes files of so many bytes, and at least one file. A partition of state is opened and committed in each batch, which takes
+#: about 0.2 s whatever it holds: so there are two a core, no fewer than these (a cluster may still be growing), if the session does not ask for fewer.
+BATCH_BYTES, LEAST_PARTITIONS = 512 * 1024**2, 32
 
 
 def watch(
-    spark: SparkSession, visits: str, schema: T.StructType, checkpoint: str, out: str, id_column: str, time_column: str, remember_s: int | None = None
+    spark: SparkSession, visits: str, schema: T.StructType, checkpoint: str, out: str, id_column: str, time_column: str, remember_s: int | None = None,
+    partitions: int | None = None,
 ) -> dict:
     """Store each id once, however often and however late it comes; also within one visit.
 
-    The seen ids are Spark's state, kept with the checkpoint. By default that is exact deduplication, and no event-time watermark is set,
-    since one drops late rows that have not been seen: the state grows with the ids. With ``remember_s`` an id is forgotten, not before so
-    many seconds after it was stored, at the next batch: the state, kept on disk by RocksDB, is bounded by the ids that come in
+    The seen ids are Spark's state, kept with the checkpoint, on disk by RocksDB. By default that is exact deduplication, and no event-time
+    watermark is set, since one drops late rows that have not been seen: the state grows with the ids. With ``remember_s`` an id is forgotten, not
+    before so many seconds after it was stored, at the next batch: the state is bounded by the ids that come in
     that time, and one that comes again later is stored again. The watermark for that is the time of arrival, which no row can be late for.
-    The two keep different states: a checkpoint goes on with the one it began with. Returns fetched, stored, the resume point, which never goes back, and of the state the ids it knows and its bound.
+    The two keep different states: a checkpoint goes on with the one it began with, and with its ``partitions``, which are to be given where
+    the state will be far larger than what this cluster's cores take. Returns fetched, stored, the resume point, which never goes back, and of the state the ids it knows and its bound.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(visits)
-    before = spark.conf.get(PROVIDER)
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(visits)
+    before = {name: spark.conf.get(name) for name in (PROVIDER, PARTITIONS)}
+    most = max(LEAST_PARTITIONS, 2 * spark.sparkContext.defaultParallelism)
+    own = {PROVIDER: ROCKS, PARTITIONS: str(partitions or min(int(before[PARTITIONS]), most))}
     if remember_s is None:
         once = stream.dropDuplicates([id_column])
     else:
-        spark.conf.set(PROVIDER, ROCKS)
         # an id lives until the watermark, which is behind by the delay, has passed its arrival by the delay
         arrived = stream.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", f"{-(-remember_s // 2)} seconds")
         once = arrived.dropDuplicatesWithinWatermark([id_column]).drop("_arrived")
+    writer = once.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
     try:
-        writer = once.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        for name, value in own.items():
+            spark.conf.set(name, value)
         q = writer.trigger(availableNow=True).start()
         _, fetched = drained(q)
     finally:
-        spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     known = sum(o.numRowsTotal for o in q.lastProgress.stateOperators) if q.lastProgress else None
     kept = spark.read.schema(schema).parquet(out).agg(F.count(F.lit(1)), F.max(time_column)).first()
     return {"fetched": fetched, "stored": kept[0], "watermark": kept[1], "known": known, "remember_s": remember_s}
