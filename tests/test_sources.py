@@ -399,6 +399,67 @@ def test_months_that_broke_off_are_loaded_again(spark, tmp_path):
     assert spark.read.parquet(out).count() == 1
 
 
+def kline_zip(path, opened):
+    import zipfile
+
+    path.parent.mkdir(parents=True, exist_ok=True)
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("k.csv", "".join(f"{1735689600000 + t},1,2,0.5,1.5,10,1735689659999,15,3,5,7.5,0\n" for t in opened))
+
+
+def test_a_month_of_many_rows_is_parsed_and_sorted_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(klines, "SORT_ROWS", 100, raising=False)
+    for k in range(8):
+        kline_zip(tmp_path / f"of january/{k}.zip", range(k, 400, 8))
+    kline_zip(tmp_path / "of january/_half/0.zip", [0])
+    kline_zip(tmp_path / "february.zip", range(30, 0, -1))
+    out = new_path(spark, "market")
+    wanted = [("2025-01", str(tmp_path / "of january")), ("2025-02", str(tmp_path / "february.zip")), ("2025-02", str(tmp_path / "february.zip"))]
+    assert [r["status"] for r in klines.load(spark, wanted, "B", "1m", out).collect()] == ["written", "written", "skipped"]
+    rows = spark.read.parquet(out)
+    assert {r["date"]: r["count"] for r in rows.withColumn("date", F.col("date").cast("string")).groupBy("date").count().collect()} == {"2025-01": 400, "2025-02": 30}
+    spans = rows.groupBy("date", F.input_file_name().alias("file")).agg(F.min("open_time").alias("a"), F.max("open_time").alias("b")).orderBy("date", "a").collect()
+    of_january = [r for r in spans if str(r["date"]).startswith("2025-01")]
+    assert len(of_january) > 2 and len(spans) == len(of_january) + 1
+    assert all(x["b"] < y["a"] for x, y in zip(of_january, of_january[1:], strict=False))
+    for r in spans:
+        times = [x[0] for x in spark.read.parquet(r["file"]).select("open_time").collect()]
+        assert times == sorted(times)
+
+
+def test_a_broken_archive_keeps_no_other_month_back(spark, tmp_path):
+    (tmp_path / "a.zip").write_bytes(b"no zip")
+    kline_zip(tmp_path / "b.zip", [])
+    kline_zip(tmp_path / "c.zip", range(3))
+    out = new_path(spark, "market")
+    wanted = [(f"2025-0{k}", str(tmp_path / f"{name}.zip")) for k, name in enumerate("abcd", 1)]
+    with pytest.raises(ValueError, match="BadZipFile.*2025-01; 0 rows for .*2025-02; not published"):
+        klines.load(spark, wanted, "B", "1m", out)
+    kline_zip(tmp_path / "a.zip", range(2))
+    kline_zip(tmp_path / "b.zip", range(1))
+    status = [r["status"] for r in klines.load(spark, wanted, "B", "1m", out).collect()]
+    assert status == ["written", "written", "skipped", "missing"] and spark.read.parquet(out).count() == 6
+
+
+def test_kline_archives_of_a_month_are_bounded(spark, sf_dir, monkeypatch):
+    import io
+    import zipfile
+
+    from tidelake import queries as lake
+
+    given, load = [], klines.load
+    monkeypatch.setattr(lake, "ARCHIVE_LINES", 100, raising=False)
+    monkeypatch.setattr(klines, "load", lambda spark, wanted, *a: given.append(wanted) or load(spark, wanted, *a))
+    lake.QUERIES["kline_loads"](spark, sf_dir)
+    zips, lines = spark.read.format("binaryFile").load([archive for month, archive in given[0] if month != "1970-01"]).collect(), 0
+    for r in zips:
+        with zipfile.ZipFile(io.BytesIO(r["content"])) as z:
+            assert z.testzip() is None
+            lines += z.read("klines.csv").count(b"\n")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    assert lines == events and len(zips) >= events // 100 > 1
+
+
 def test_waiting_bytes_are_known_without_listing(spark, monkeypatch):
     root, cursor, listed = new_path(spark, "arrivals"), new_path(spark, "cursor"), []
     pending = compact.pending

@@ -15,12 +15,15 @@ from .functions import scalars as S
 from .operators import blobs, catalog, codecs, compact, flows, frontier, rollups, versions
 from .operators import write as layers
 from .plans import sql as readonly
-from .scratch import file_system, new_path, written
+from .scratch import children, file_system, new_path, written
 from .sources import chain, dated, discovery, klines
 from .streaming import holding, paged, pump
 
 QUERIES, SQL = {}, {}
 
+#: Fixed value: lines of a zipped kline archive, and a batch more at most.
+ARCHIVE_LINES = 250_000
+
 
 def query(sql: str | None = None):
     def register(f):
@@ -929,42 +932,47 @@ def publish_versions(spark, sf_dir):
 select call, month, case when month = '1970-01' then 'missing' when call = 1 then 'written' else 'skipped' end as status,
   (select count(*) from events where strftime(ts, '%Y-%m') = month)::bigint as rows from w, c""")
 def kline_loads(spark, sf_dir):
-    """Archives of all months of events and of one that is not there, loaded twice."""
+    """Archives of all months of events, a folder each, and of one that is not there, loaded twice."""
     root, out = new_path(spark, "archives"), new_path(spark, "market")
-    e = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM").alias("month"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "value", "event_id")
+    e = table(spark, sf_dir, "events").select("ts", "value", "event_id")
+    at, value, k = (F.coalesce(c.cast("string"), F.lit("")) for c in (F.unix_millis(F.col("ts").cast("timestamp")), F.col("value"), F.col("event_id")))
+    line = F.concat_ws(",", at, value, *[F.lit("0")] * 4, at, F.lit("0"), k, *[F.lit("0")] * 3)
 
     def zipped(batches):
-        """Months arrive one after another; of each only the zip is held, not its lines."""
-        begun, month, data, z, member = False, None, None, None, None
+        """Months arrive one after another; of each archive only the zip is held, not its lines.
+
+        The text writer ends each row by a line end, which is the zip's comment.
+        """
+        month, data, z, member, lines = None, None, None, None, 0
 
         def finished():
             member.close()
+            z.comment = b"\n"
             z.close()
-            return pd.DataFrame({"month": [month], "content": [data.getvalue()]})
+            return pd.DataFrame({"month": [month], "content": [data.getvalue()[:-1]]})
 
         for batch in batches:
             for name, rows in batch.groupby("month", sort=False, dropna=False):
                 name = None if pd.isna(name) else name
-                if not begun or name != month:
-                    if begun:
-                        yield finished()
-                    begun, month, data = True, name, io.BytesIO()
+                if lines and (name != month or lines >= ARCHIVE_LINES):
+                    yield finished()
+                    lines = 0
+                if not lines:
+                    month, data = name, io.BytesIO()
                     z = zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED)
                     member = z.open("klines.csv", "w", force_zip64=True)
-                lines = zip(rows["at"], rows["value"], rows["event_id"], strict=True)
-                member.write("".join(f"{t},{v!r},0,0,0,0,{t},0,{k},0,0,0\n" for t, v, k in lines).encode())
-        if begun:
+                member.write("".join(f"{x}\n" for x in rows["line"]).encode())
+                lines += len(rows)
+        if lines:
             yield finished()
 
-    dealt = e.repartition("month").sortWithinPartitions("month")
-    archives = dealt.mapInPandas(zipped, "month string, content binary")
-    months = []
-    fs, _ = file_system(spark, root)
-    for r in archives.toLocalIterator():  # an archive at a time, as they are downloaded
-        stream = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{r['month']}.zip"))
-        stream.write(r["content"])
-        stream.close()
-        months.append((r["month"], f"{root}/{r['month']}.zip"))
+    # ranges of time, about an archive each: a month is zipped, and its zips are read, by as many tasks as it needs
+    tasks = max(1, min(layers.TASKS, -(-e.count() // ARCHIVE_LINES)))
+    dealt = e.repartitionByRange(tasks, "ts", "event_id").sortWithinPartitions("ts").select(F.date_format("ts", "yyyy-MM").alias("month"), line.alias("line"))
+    archives = dealt.mapInPandas(zipped, "month string, content binary").select("month", F.col("content").cast("string").alias("value"))
+    archives.write.partitionBy("month").option("maxRecordsPerFile", 1).option("compression", "none").text(root)  # a zip a file
+    folders = [name for name in children(spark, root) if name.startswith("month=")]
+    months = [(None if name.endswith("=__HIVE_DEFAULT_PARTITION__") else name.removeprefix("month="), f"{root}/{name}") for name in folders]
     wanted, told = [*months, ("1970-01", f"{root}/none.zip")], []
     for call in (1, 2):
         told += [(call, r["month"], r["status"]) for r in klines.load(spark, wanted, "EVT", "1m", out).collect()]
